@@ -66,7 +66,7 @@ def cluster_leads(df: DataFrame, cluster: str, entities: str, tie: str, per_clus
                   clusters: int = 20) -> DataFrame:
     """Most relevant distinct titles of the largest clusters."""
     largest = df.groupBy(cluster).agg(F.count("*").alias("size")).filter(
-        F.col(cluster) != -1).orderBy(F.desc("size"), cluster).limit(clusters)
+        F.col(cluster).cast("string") != "-1").orderBy(F.desc("size"), cluster).limit(clusters)
     kept = df.select(cluster, entities, "confidence", "title", tie).join(
         F.broadcast(largest), cluster)  # `clusters` rows
     scored = with_relevance(kept, cluster, entities)

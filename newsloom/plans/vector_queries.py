@@ -1 +1,179 @@
-"""Queries."""
+"""Queries for vectors, drift and clustering."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from newsloom.functions.vector import cosine, running_mean, silhouette_band
+from newsloom.operators import vectors as vec
+from newsloom.plans.catalog import query
+from newsloom.plans.tables import VECTORS, STAMP, rounded, stamp
+
+COSINE = "list_cosine_similarity({}, {})"
+
+MEANS = """parts AS (SELECT label, i, avg(vector[i]) AS x FROM vectors, generate_series(1, 64) g(i)
+    GROUP BY 1, 2),
+  means AS (SELECT label, list(x ORDER BY i) AS c FROM parts GROUP BY 1)"""
+
+
+def means(t):
+    return vec.centroids(t("embeddings").select("label", F.col("embedding").alias("vector")),
+                         "vector", ["label"])
+
+
+@query("e1_cosine", """WITH p AS (SELECT a.vec_id, a.embedding::DOUBLE[] AS a,
+    b.embedding::DOUBLE[] AS b FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1)
+  SELECT vec_id, round(list_cosine_similarity(a, b), 6) AS similarity FROM p""")
+def _(t):
+    a = t("embeddings").select("vec_id", F.col("embedding").alias("a"))
+    b = t("embeddings").select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("b"))
+    return a.join(b, "vec_id").select("vec_id", rounded(cosine(F.col("a"), F.col("b")))
+                                      .alias("similarity"))
+
+
+@query("e2_nearest_centroid", f"""WITH {VECTORS}, {MEANS}, s AS (SELECT id, m.label,
+    list_cosine_similarity(vector, c) AS sim FROM vectors, means m),
+  r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY sim DESC, label) AS k FROM s)
+  SELECT id, label AS centroid_id, round(sim, 6) AS similarity FROM r WHERE k = 1""")
+def _(t):
+    cents = means(t).select(F.col("label").alias("id"), "centroid")
+    out = vec.nearest_centroid(t("embeddings"), "vec_id", "embedding", cents)
+    return out.select(F.col("vec_id").alias("id"), "centroid_id",
+                      rounded(F.col("similarity")).alias("similarity"))
+
+
+@query("e3_running_mean", f"""WITH {VECTORS}, {MEANS}, n AS (SELECT label, count(*) AS n FROM vectors
+    GROUP BY 1) SELECT id, round((c[1] * n + vector[1]) / (n + 1), 6) AS x1,
+    round((c[64] * n + vector[64]) / (n + 1), 6) AS x64
+  FROM vectors JOIN means USING (label) JOIN n USING (label)""")
+def _(t):
+    rows = t("embeddings").join(F.broadcast(means(t)), "label")  # one centroid per label
+    mean = running_mean(F.col("centroid"), F.col("n"), F.col("embedding"))
+    return rows.select(F.col("vec_id").alias("id"), mean.alias("m")).select(
+        "id", rounded(F.get("m", F.lit(0))).alias("x1"), rounded(F.get("m", F.lit(63))).alias("x64"))
+
+
+@query("e4_group_centroids", f"""WITH {VECTORS}, {MEANS} SELECT label, i::INT AS position,
+  round(x, 6) AS value FROM parts""")
+def _(t):
+    return means(t).select("label", F.posexplode("centroid").alias("p", "x")).select(
+        "label", (F.col("p") + 1).alias("position"), rounded(F.col("x")).alias("value"))
+
+
+@query("e5_set_drift", f"""WITH {VECTORS}, h AS (SELECT label < 5 AS old, i, avg(vector[i]) AS x
+    FROM vectors, generate_series(1, 64) g(i) GROUP BY 1, 2),
+  c AS (SELECT old, list(x ORDER BY i) AS c FROM h GROUP BY 1),
+  d AS (SELECT 1 - list_cosine_similarity(a.c, b.c) AS drift FROM c a, c b
+    WHERE a.old AND NOT b.old)
+  SELECT round(drift, 6) AS drift, CASE WHEN drift > 0.3 THEN 'high' WHEN drift > 0.15
+    THEN 'moderate' ELSE 'stable' END AS band FROM d""")
+def _(t):
+    rows = t("embeddings")
+    out = vec.set_drift(rows.filter("label < 5"), rows.filter("label >= 5"), "embedding")
+    return out.withColumn("drift", rounded(F.col("drift")))
+
+
+SERIES = f"""{VECTORS}, b AS (SELECT *, time_bucket(INTERVAL 4 HOUR, ts) AS bucket FROM vectors),
+  n AS (SELECT bucket, count(*) AS n FROM b GROUP BY 1 HAVING count(*) >= 2),
+  x AS (SELECT bucket, i, avg(vector[i]) AS x FROM b, generate_series(1, 64) g(i) GROUP BY 1, 2),
+  c AS (SELECT bucket, n, list(x ORDER BY i) AS c FROM x JOIN n USING (bucket) GROUP BY 1, 2),
+  l AS (SELECT *, lag(c) OVER (ORDER BY bucket) AS p FROM c),
+  series AS (SELECT bucket, n, 1 - list_cosine_similarity(p, c) AS drift FROM l
+    WHERE p IS NOT NULL)"""
+
+
+@query("e6_drift_series", f"""WITH {SERIES} SELECT {STAMP.format('bucket')} AS bucket, n,
+  round(drift, 6) AS drift FROM series""")
+def _(t):
+    out = vec.drift_series(t.vectors, "ts", "vector")
+    return out.withColumns({"bucket": stamp("bucket"), "drift": rounded(F.col("drift"))})
+
+
+@query("e7_drift_spikes", f"""WITH {SERIES} SELECT {STAMP.format('bucket')} AS bucket,
+  drift > (SELECT avg(drift) + 1.5 * stddev_pop(drift) FROM series) AS is_spike FROM series""")
+def _(t):
+    out = vec.flag_spikes(vec.drift_series(t.vectors, "ts", "vector"))
+    return out.select(stamp("bucket").alias("bucket"), "is_spike")
+
+
+@query("e8_kmeans")
+def _(t):
+    rows = t("embeddings").select("vec_id", "embedding")
+    model = vec.fit_kmeans(rows, "embedding", k=8, n_init=2, max_iter=20)
+    return vec.assign_clusters(rows, model, "embedding").select("vec_id", "cluster", "distance")
+
+
+@query("e9_confidence", f"""WITH {VECTORS}, {MEANS}, d AS (SELECT id, list_distance(vector, c) AS d
+    FROM vectors JOIN means USING (label))
+  SELECT id, round(1 - d / (SELECT max(d) FROM d), 6) AS confidence FROM d""")
+def _(t):
+    rows = t("embeddings").select(F.col("vec_id").alias("id"), F.col("label").alias("cluster"),
+                                  "embedding")
+    cents = means(t).select(F.col("label").alias("cluster"), "centroid")
+    out = vec.with_confidence(vec.cluster_distances(rows, "cluster", "embedding", cents))
+    return out.select("id", rounded(F.col("confidence")).alias("confidence"))
+
+
+@query("e10_tfidf")
+def _(t):
+    from pyspark.ml.functions import vector_to_array
+
+    out = vec.tfidf(t("documents").select("doc_id", "text"), "text", 1000)
+    weights = vector_to_array("features")
+    return out.select("doc_id", F.size(F.filter(weights, lambda x: x > 0)).alias("terms"),
+                      F.round(F.sqrt(F.aggregate(weights, F.lit(0.0), lambda a, x: a + x * x)), 6)
+                      .alias("length"))
+
+
+@query("e11_clustering_benchmark")
+def _(t):
+    from pyspark.ml.functions import array_to_vector
+
+    dense = t("embeddings").select(array_to_vector(F.col("embedding").cast("array<double>"))
+                                   .alias("features"))
+    sets = {"lexical": vec.tfidf(t("documents").select("text"), "text", 200), "semantic": dense}
+    out = vec.clustering_benchmark(sets, (5, 10, 15), max_iter=5)
+    return out.withColumn("band", silhouette_band(F.col("silhouette")))
+
+
+@query("e12_silhouette_band", """SELECT l_tax * 10 AS score, CASE WHEN l_tax * 10 >= 0.7 THEN 'strong'
+  WHEN l_tax * 10 >= 0.5 THEN 'reasonable' WHEN l_tax * 10 >= 0.25 THEN 'weak' ELSE 'none' END
+  AS band, count(*) AS n FROM lineitem GROUP BY 1, 2""")
+def _(t):
+    score = F.col("l_tax") * 10
+    return t("lineitem").groupBy(score.alias("score"), silhouette_band(score).alias("band")).agg(
+        F.count("*").alias("n"))
+
+
+@query("e13_projection")
+def _(t):
+    out = vec.project_2d(t("embeddings").select("vec_id", "label", "embedding"), "embedding")
+    return out.select("vec_id", "label", "x", "y")
+
+
+@query("e13_centers_2d")
+def _(t):
+    out = vec.project_2d(t("embeddings").select("vec_id", "label", "embedding"), "embedding")
+    return vec.cluster_centers_2d(out, "label")
+
+
+NOISE = "CASE WHEN label >= 8 THEN -1 ELSE label END"
+
+
+@query("e14_cluster_sizes", f"""SELECT {NOISE} AS cluster, count(*) AS size FROM embeddings
+  WHERE label < 8 GROUP BY 1 ORDER BY size DESC, cluster LIMIT 15""")
+def _(t):
+    return vec.cluster_sizes(t("embeddings").select(F.expr(NOISE).alias("cluster")))
+
+
+@query("e14_cluster_totals", f"""SELECT count(DISTINCT c) FILTER (c <> -1) AS clusters,
+  count(*) FILTER (c <> -1) AS clustered, count(*) FILTER (c = -1) AS noise
+  FROM (SELECT {NOISE} AS c FROM embeddings)""")
+def _(t):
+    return vec.cluster_totals(t("embeddings").select(F.expr(NOISE).alias("cluster")))
+
+
+@query("d26_embed")
+def _(t):
+    return t("documents").select("doc_id", vec.embed(F.col("text"), vec.hash_embedder(32))
+                                 .alias("v")).select("doc_id", F.size("v").alias("dims"))
