@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -40,30 +40,39 @@ def _exists(df: DataFrame, path: str) -> bool:
     return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
 
 
-def upsert(batch: DataFrame, path: str, key: str, order: list, partition: str) -> None:
-    """Merge a batch into a Parquet table partitioned by ``partition``: the last row per key wins.
+def upsert(batch: DataFrame, path: str, key: str, order: Sequence[str], partition: str,
+           rows_move: bool = True) -> None:
+    """Merge a batch into a Parquet table partitioned by ``partition``: the row that is last by
+    the ``order`` columns wins, so late and repeated batches are harmless.
 
-    Only the partitions that receive rows, or lose a row that moved, are read and rewritten.
-    The new contents are first written elsewhere, then replace those partitions; running
-    the same batch again gives the same table.
+    Only the partitions that receive rows, or hold an older row of a key that comes again, are
+    read in full and rewritten. Finding the latter reads the key column of the table;
+    ``rows_move=False`` skips it where a key always stays in its partition. The new contents
+    are written elsewhere first and then replace those partitions.
     """
     spark = batch.sparkSession
-    last = top_per_group(batch, [key], [c.desc() for c in order], 1)
+    latest = [F.col(c).desc() for c in order]
+    last = top_per_group(batch, [key], latest, 1)
     if not _exists(batch, path):
         last.write.partitionBy(partition).parquet(path)
         return
     staged = scratch_path(spark, "upsert")
-    last.write.parquet(f"{staged}/new")
-    new = spark.read.schema(last.schema).parquet(f"{staged}/new")
+
+    def step(df: DataFrame, name: str) -> DataFrame:
+        df.write.parquet(f"{staged}/{name}")
+        return spark.read.schema(df.schema).parquet(f"{staged}/{name}")
+
+    new = step(last, "new")
     old = spark.read.schema(last.schema).parquet(path)
-    moved = old.select(key, partition).join(new.select(key), key, "left_semi").select(partition)
-    touched = new.select(partition).unionByName(moved).distinct()
-    keep = old.join(touched, partition, "left_semi").join(new.select(key), key, "left_anti")
-    keep.unionByName(new).write.parquet(f"{staged}/merged")
-    # A partition whose only rows moved away needs an empty replacement: delete its rows too.
-    merged = spark.read.schema(last.schema).parquet(f"{staged}/merged")
-    (merged.repartition(partition).write.mode("overwrite")
-     .option("partitionOverwriteMode", "dynamic").partitionBy(partition).parquet(path))
+    touched = new.select(partition)
+    if rows_move:
+        known = old.select(key, partition).join(new.select(key), key, "left_semi")
+        touched = touched.unionByName(known.select(partition))
+    touched = step(touched.distinct(), "touched")
+    present = old.join(touched, partition, "left_semi")
+    merged = step(top_per_group(present.unionByName(new), [key], latest, 1), "merged")
+    (merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+     .partitionBy(partition).parquet(path))
     _drop_emptied(touched.join(merged.select(partition), partition, "left_anti"), path, partition)
 
 
@@ -77,10 +86,11 @@ def _drop_emptied(partitions: DataFrame, path: str, partition: str) -> None:
         folder.getFileSystem(conf).delete(folder, True)
 
 
-def upsert_stream(stream: DataFrame, path: str, checkpoint: str, key: str, order: list,
-                  partition: str, every: str | None = None) -> StreamingQuery:
+def upsert_stream(stream: DataFrame, path: str, checkpoint: str, key: str,
+                  order: Sequence[str], partition: str, rows_move: bool = True,
+                  every: str | None = None) -> StreamingQuery:
     def merge(batch: DataFrame, batch_id: int) -> None:
-        upsert(batch, path, key, order, partition)
+        upsert(batch, path, key, order, partition, rows_move)
 
     return foreach_batch(stream, merge, checkpoint, every)
 
