@@ -56,21 +56,21 @@ def blocked(*texts: Column, words: Sequence[str] = lx.BLOCKED_WORDS) -> Column:
 def clean_for_display(text: Column) -> Column:
     """Drop tags and links, collapse white space."""
     out = F.regexp_replace(F.coalesce(text, F.lit("")), "<[^>]+>", "")
-    out = F.regexp_replace(out, f"http[^{lx.SPACE_CLASS}]+", "")
+    out = F.regexp_replace(out, rf"(?U)http[^{lx.SPACE_CLASS}]+", "")
     return F.trim(F.regexp_replace(out, lx.SPACES, " "))
 
 
 def clean_ascii(text: Column) -> Column:
     """Tags and runs of non-ASCII characters become a blank, links disappear."""
     out = F.regexp_replace(F.coalesce(text, F.lit("")), "<[^>]+>", " ")
-    out = F.regexp_replace(out, f"http[^{lx.SPACE_CLASS}]+", "")
+    out = F.regexp_replace(out, rf"(?U)http[^{lx.SPACE_CLASS}]+", "")
     out = F.regexp_replace(out, r"[^\x00-\x7F]+", " ")
     return F.trim(F.regexp_replace(out, lx.SPACES, " "))
 
 
 def title_key(title: Column) -> Column:
     """Lower-cased title with only letters, digits, underscores and white space left."""
-    return F.regexp_replace(F.lower(title), rf"[^\p{{L}}\p{{N}}_{lx.SPACE_CLASS}]", "")
+    return F.regexp_replace(F.lower(title), rf"(?U)[^\p{{L}}\p{{N}}_{lx.SPACE_CLASS}]", "")
 
 
 def as_list(values: Column | None, scalar: Column) -> Column:

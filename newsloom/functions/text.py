@@ -23,8 +23,11 @@ def words(text: Column) -> Column:
 
 
 def word_count(text: Column) -> Column:
-    trimmed = F.regexp_replace(F.regexp_replace(text, f"^{lx.SPACES}", ""), f"{lx.SPACES}$", "")
-    return F.when(trimmed == "", F.lit(0)).otherwise(F.size(F.split(trimmed, lx.SPACES)))
+    parts = F.split(text, lx.SPACES)
+    # Splitting leaves an empty part before leading and after trailing white space.
+    edges = (F.get(parts, F.lit(0)) == "").cast("int") + (
+        F.get(parts, F.size(parts) - 1) == "").cast("int")
+    return F.greatest(F.size(parts) - edges, F.lit(0))
 
 
 def hit_count(text: Column, lexicon: Sequence[str]) -> Column:
@@ -41,8 +44,8 @@ def any_hit(text: Column, lexicon: Sequence[str]) -> Column:
 def title_keywords(text: Column, top_n: int = 5,
                    stop_words: Sequence[str] = lx.KEYWORD_STOP_WORDS) -> Column:
     """First distinct words longer than three, stripped of punctuation, no stop words."""
-    stripped = F.transform(F.split(F.lower(text), lx.SPACES),
-                           lambda w: F.trim(w, F.lit(lx.KEYWORD_STRIP_CHARS)))
+    long = F.filter(F.split(F.lower(text), lx.SPACES), lambda w: F.length(w) > 3)
+    stripped = F.transform(long, lambda w: F.trim(w, F.lit(lx.KEYWORD_STRIP_CHARS)))
     kept = F.filter(stripped, lambda w: (F.length(w) > 3) & ~w.isin(*stop_words)
                     & w.rlike(r"^[\p{L}\p{N}]+$"))
     return F.slice(F.array_distinct(kept), 1, top_n)
@@ -108,33 +111,29 @@ def negation_sentiment(text: Column, positive: Sequence[str] = lx.TOKEN_POSITIVE
 
     A negated positive word counts 1 against, a negated negative word 0.5 in favour.
     A side wins with at least 2 and more than the other; the score is 0.15 per point of
-    difference, at most 0.8 either way. One pass over the words carries (pos, neg, flip).
+    difference, at most 0.8 either way.
+
+    Each word becomes one digit (1 positive, 2 negative, 3 negation, 0 other); the counts
+    are those of the digits and of the pairs "31" and "32" in the resulting string.
     """
-    tokens = F.transform(words(F.lower(text)), lambda w: F.trim(w, F.lit(lx.TOKEN_STRIP_CHARS)))
-    start = F.struct(F.lit(0.0).alias("pos"), F.lit(0.0).alias("neg"), F.lit(False).alias("flip"))
-
-    def step(acc: Column, w: Column) -> Column:
-        good = w.isin(*positive)
-        bad = w.isin(*negative) & ~good
-        flip = acc["flip"]
-        return F.struct(
-            (acc["pos"] + F.when(good & ~flip, 1.0).when(bad & flip, 0.5).otherwise(0.0))
-            .alias("pos"),
-            (acc["neg"] + F.when((good & flip) | (bad & ~flip), 1.0).otherwise(0.0)).alias("neg"),
-            w.isin(*negations).alias("flip"),
-        )
-
-    def finish(acc: Column) -> Column:
-        pos, neg = acc["pos"], acc["neg"]
-        up = (pos > neg) & (pos >= 2)
-        down = (neg > pos) & (neg >= 2)
-        size = F.least(F.lit(0.8), F.abs(pos - neg) * 0.15)
-        return F.struct(
-            F.when(up, "positive").when(down, "negative").otherwise("neutral").alias("label"),
-            F.when(up, size).when(down, -size).otherwise(0.0).alias("score"),
-        )
-
-    return F.aggregate(F.coalesce(tokens, F.array().cast("array<string>")), start, step, finish)
+    def digit(w: Column) -> Column:
+        return (F.when(w.isin(*positive), "1").when(w.isin(*negative), "2")
+                .when(w.isin(*negations), "3").otherwise("0"))
+
+    digits = F.array_join(F.transform(
+        F.split(F.lower(text), lx.SPACES),
+        lambda w: digit(F.trim(w, F.lit(lx.TOKEN_STRIP_CHARS)))), "")
+    flipped_pos = pattern_count(digits, "31")
+    flipped_neg = pattern_count(digits, "32")
+    pos = char_count(digits, "1") - flipped_pos + flipped_neg * 0.5
+    neg = (char_count(digits, "2") - flipped_neg + flipped_pos).cast("double")
+    up = (pos > neg) & (pos >= 2)
+    down = (neg > pos) & (neg >= 2)
+    size = F.least(F.lit(0.8), F.abs(pos - neg) * 0.15)
+    return F.struct(
+        F.when(up, "positive").when(down, "negative").otherwise("neutral").alias("label"),
+        F.when(up, size).when(down, -size).otherwise(0.0).alias("score"),
+    )
 
 
 def polarity_label(score: Column, low: float = -0.1, high: float = 0.1) -> Column:
@@ -146,32 +145,35 @@ def polarity_label(score: Column, low: float = -0.1, high: float = 0.1) -> Colum
 def upper_ratio(text: Column) -> Column:
     upper = F.length(F.regexp_replace(text, r"\P{Lu}+", ""))
     return F.coalesce(F.try_divide(upper.cast("double"), F.length(text).cast("double")),
-                      F.lit(0.0))
+                      F.when(text.isNotNull(), 0.0))
+
+
+def pattern_count(text: Column, pattern: str) -> Column:
+    """Occurrences of a fixed string that cannot overlap itself."""
+    removed = F.length(text) - F.length(F.replace(text, F.lit(pattern), F.lit("")))
+    return (removed / len(pattern)).cast("int") if len(pattern) > 1 else removed
 
 
 def char_count(text: Column, char: str) -> Column:
-    return F.length(text) - F.length(F.replace(text, F.lit(char), F.lit("")))
+    return pattern_count(text, char)
 
 
 def hype_score(text: Column, entities: Column, sensational: Sequence[str] = lx.SENSATIONAL_WORDS,
                emotional: Sequence[str] = lx.EMOTIONAL_WORDS) -> Column:
     """struct(hype, sensationalism, density); zeros for texts under ten characters."""
-    short = F.coalesce(F.length(text) < 10, F.lit(True))
-    sens = (hit_count(text, sensational) * 2 + hit_count(text, emotional)
-            + char_count(text, "!") + upper_ratio(text) * 5.0)
+    # A short text becomes null and null figures become 0: without branches, figures that
+    # are used twice are computed once.
+    shown = F.when(F.length(text) >= 10, text)
+    sens = F.coalesce(hit_count(shown, sensational) * 2 + hit_count(shown, emotional)
+                      + char_count(shown, "!") + upper_ratio(shown) * 5.0, F.lit(0.0))
     n_entities = F.coalesce(F.array_size(entities), F.lit(0))
     density = F.coalesce(F.try_divide(n_entities.cast("double"),
-                                      word_count(text).cast("double")) * 10.0, F.lit(0.0))
+                                      word_count(shown).cast("double")) * 10.0, F.lit(0.0))
     hype = F.greatest(F.lit(0.0), F.least(F.lit(10.0), sens - density))
-
-    def unless_short(value: Column) -> Column:
-        return F.when(short, F.lit(0.0)).otherwise(value)
-
-    return F.struct(unless_short(hype).alias("hype"), unless_short(sens).alias("sensationalism"),
-                    unless_short(density).alias("density"))
+    return F.struct(hype.alias("hype"), sens.alias("sensationalism"), density.alias("density"))
 
 
-CAPITAL_WORD = (rf"(?:^|[{lx.SPACE_CLASS}])[^\p{{Ll}}{lx.SPACE_CLASS}]*\p{{Lu}}"
+CAPITAL_WORD = (rf"(?U)(?:^|[{lx.SPACE_CLASS}])[^\p{{Ll}}{lx.SPACE_CLASS}]*\p{{Lu}}"
                 rf"[^\p{{Ll}}{lx.SPACE_CLASS}]*(?:[{lx.SPACE_CLASS}]|$)")
 
 

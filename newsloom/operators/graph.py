@@ -90,10 +90,16 @@ def top_subgraph(articles: DataFrame, items: str, nodes: int = 20) -> tuple[Data
     """
     top = weighted_degree(articles, items).orderBy(F.desc("degree"), "entity").limit(nodes)
     names = top.agg(F.array_sort(F.collect_list("entity"))).scalar()  # one list of `nodes` names
-    counted = articles.select(F.col(items).alias("items")).withColumn("names", names).select(
-        F.filter(F.transform("names", lambda t: F.struct(
-            t.alias("e"), F.size(F.filter("items", lambda x: x == t)).cast("long").alias("c"))),
-            lambda n: n["c"] > 0).alias("n"))
+    lists = articles.select(F.col(items).alias("items")).withColumn("names", names)
+
+    def occurrences(i: int):
+        name = F.get("names", F.lit(i))
+        left = F.array_size(F.array_remove("items", name))
+        return F.struct(name.alias("e"), (F.array_size("items") - left).cast("long").alias("c"))
+
+    # array_remove and size run natively; a lambda per list entry would be far slower.
+    counted = lists.filter(F.arrays_overlap("items", "names")).select(F.filter(
+        F.array(*[occurrences(i) for i in range(nodes)]), lambda n: n["c"] > 0).alias("n"))
     first = counted.select("n", F.posexplode("n").alias("i", "a"))
     both = first.select("a", F.explode(F.slice("n", F.col("i") + 1, F.size("n"))).alias("b"))
     same = F.col("a.e") == F.col("b.e")

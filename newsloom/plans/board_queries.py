@@ -4,12 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from newsloom import lexicons as lx
 from newsloom.operators import boards, summaries, timeseries
 from newsloom.operators import entities as en
 from newsloom.plans.catalog import query
 from newsloom.plans.series_queries import SLIDING, history
-from newsloom.plans.tables import (ART, STAMP, STOP_WORDS, fill, in_list, rounded, stamp)
+from newsloom.plans.tables import (ART, SQL_SPACES, STAMP, STOP_WORDS, fill, in_list, rounded, stamp)
 from newsloom.plans.text_queries import CLEAN, FELT, LOUD, TITLE_KEY, hits
 
 ARTICLE_CONFIDENCE = "(length(content) % 97) / 97.0::DOUBLE"
@@ -112,7 +111,7 @@ def _(t):
 
 
 N_WORDS = ("len(list_filter(regexp_split_to_array(shown, '" +
-           lx.SPACES + "'), lambda w: w <> ''))")
+           SQL_SPACES + "'), lambda w: w <> ''))")
 SENS = (f"({hits('shown', LOUD)} * 2 + {hits('shown', FELT)} + length(shown) - "
         "length(replace(shown, '!', '')) + length(regexp_replace(shown, '\\P{Lu}+', '', 'g'))"
         "::DOUBLE / length(shown) * 5)")

@@ -132,8 +132,9 @@ def _(t):
     return readers.row_count(t("lineitem"))
 
 
-@query("a10_upsert", """SELECT o_custkey AS id, max((o_orderdate, o_orderkey)).o_orderkey
-  AS orderkey FROM (SELECT o_custkey, o_orderkey, o_orderdate FROM orders) GROUP BY 1""")
+@query("a10_upsert", """SELECT o_custkey AS id, o_orderkey AS orderkey FROM (SELECT *, row_number()
+  OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS rn FROM orders)
+  WHERE rn = 1""")
 def _(t):
     """Orders arrive in three batches, out of order; the table keeps each customer's latest."""
     spark, base = t.spark, scratch_path(t.spark, "upsert-table")

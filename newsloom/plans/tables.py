@@ -22,6 +22,8 @@ STOP_WORDS = ("the", "and", "that", "with", "les", "des", "die", "der", "que", "
 VALENCE = (("that", 1.5), ("with", 0.8), ("avec", 0.4), ("nicht", -1.2), ("stupid", -2.0),
            ("worthless", -2.5))
 LABELS = ("PERSON", "ORG", "GPE", "LOC", "PRODUCT", "EVENT")
+TEXT_KEYS = {"documents": ("doc_id",), "pages": ("page_id",), "conversations": ("conv_id", "turn")}
+SMALL_FILE = 128 * 1024 * 1024
 NAME_PATTERN = "[A-Z][a-z]{3,}"
 
 
@@ -41,7 +43,22 @@ class Tables:
         self.spark, self.folder = spark, folder
 
     def __call__(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        path = f"{self.folder}/{name}.parquet"
+        df = self.spark.read.parquet(path)
+        return self._spread(df, path, TEXT_KEYS[name]) if name in TEXT_KEYS else df
+
+    def _spread(self, df: DataFrame, path: str, keys: tuple[str, ...]) -> DataFrame:
+        """Deal the rows of one small file of texts to all cores.
+
+        A file of one row group is read by one task, which would then do all the work on
+        the texts. Folders of many files, and large files, already have many tasks.
+        """
+        context = self.spark.sparkContext
+        file = context._jvm.org.apache.hadoop.fs.Path(path)
+        status = file.getFileSystem(context._jsc.hadoopConfiguration()).getFileStatus(file)
+        if status.isDirectory() or status.getLen() > SMALL_FILE:
+            return df
+        return df.repartition(context.defaultParallelism, *keys)
 
     @cached_property
     def articles(self) -> DataFrame:
@@ -122,7 +139,12 @@ def fill(template: str, value: str) -> str:
     return template.replace(":x:", value)
 
 
-WORDS = "list_filter(regexp_split_to_array(:x:, '" + lx.SPACES + "'), lambda w: w <> '')"
+# The same white space written out, since RE2 has no Unicode flag.
+SQL_SPACE = (
+    r"\t-\r\x{1c}- \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+)
+SQL_SPACES = f"[{SQL_SPACE}]+"
+WORDS = f"list_filter(regexp_split_to_array(:x:, '{SQL_SPACES}'), lambda w: w <> '')"
 STAMP = "strftime({}, '%Y-%m-%d %H:%M:%S')"
 
 ART = f"""art AS (

@@ -9,7 +9,8 @@ from newsloom.functions import normalize as nz
 from newsloom.functions import text as tx
 from newsloom.operators import dedup, entities, sentiment, summaries
 from newsloom.plans.catalog import query
-from newsloom.plans.tables import (ART, MENTIONS, NEGATIONS, NEGATIVE, POSITIVE, STAMP, STOP_WORDS,
+from newsloom.plans.tables import (ART, MENTIONS, NEGATIONS, NEGATIVE, POSITIVE, SQL_SPACE, SQL_SPACES,
+                                   STAMP, STOP_WORDS,
                                    VALENCE, WORDS, distinct_in_order, fill, hits, in_list, rounded, stamp,
                                    text_list, vote_label)
 
@@ -20,6 +21,10 @@ def joined(col, sep=","):
     return F.array_join(col, sep)
 
 
+CAPITAL_SQL = (f"(?:^|[{SQL_SPACE}])[^\\p{{Ll}}{SQL_SPACE}]*\\p{{Lu}}[^\\p{{Ll}}{SQL_SPACE}]*"
+               f"(?:[{SQL_SPACE}]|$)")
+
+
 # --- normalisation -------------------------------------------------------------------
 
 def raw_news(t):
@@ -130,10 +135,10 @@ def _(t):
 
 
 CLEAN = ("trim(regexp_replace(regexp_replace(regexp_replace(:x:, '<[^>]+>', '', 'g'), "
-         f"'http[^{lx.SPACE_CLASS}]+', '', 'g'), '{lx.SPACES}', ' ', 'g'))")
+         f"'http[^{SQL_SPACE}]+', '', 'g'), '{SQL_SPACES}', ' ', 'g'))")
 CLEAN_ASCII = ("trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(:x:, '<[^>]+>', "
-               f"' ', 'g'), 'http[^{lx.SPACE_CLASS}]+', '', 'g'), '[^\\x00-\\x7F]+', ' ', 'g'), "
-               f"'{lx.SPACES}', ' ', 'g'))")
+               f"' ', 'g'), 'http[^{SQL_SPACE}]+', '', 'g'), '[^\\x00-\\x7F]+', ' ', 'g'), "
+               f"'{SQL_SPACES}', ' ', 'g'))")
 
 
 @query("b10_clean_html", f"""SELECT page_id, md5({fill(CLEAN, 'html')}) AS cleaned,
@@ -144,7 +149,7 @@ def _(t):
         F.md5(nz.clean_ascii(F.col("html")).cast("binary")).alias("ascii"))
 
 
-TITLE_KEY = f"regexp_replace(lower(title), '[^\\p{{L}}\\p{{N}}_{lx.SPACE_CLASS}]', '', 'g')"
+TITLE_KEY = f"regexp_replace(lower(title), '[^\\p{{L}}\\p{{N}}_{SQL_SPACE}]', '', 'g')"
 
 
 @query("b11_title_key", f"WITH {ART} SELECT id, {TITLE_KEY} AS k FROM art")
@@ -267,11 +272,11 @@ def _(t):
 
 # --- keywords ----------------------------------------------------------------------------
 
-D1 = (f"list_filter(list_transform(regexp_split_to_array(lower(:x:), '{lx.SPACES}'), "
+D1 = (f"list_filter(list_transform(regexp_split_to_array(lower(:x:), '{SQL_SPACES}'), "
       f"lambda w: trim(w, '{lx.KEYWORD_STRIP_CHARS.replace(chr(39), chr(39) * 2)}')), "
       "lambda w: length(w) > 3 AND regexp_matches(w, '^[\\p{L}\\p{N}]+$') AND w NOT IN "
       f"{in_list(lx.KEYWORD_STOP_WORDS)})")
-D2 = (f"list_filter(regexp_split_to_array(lower(:x:), '{lx.SPACES}'), "
+D2 = (f"list_filter(regexp_split_to_array(lower(:x:), '{SQL_SPACES}'), "
       "lambda w: length(w) > 4 AND regexp_matches(w, '^\\p{L}+$'))[1:10]")
 
 
@@ -459,7 +464,7 @@ TITLE_WORDS = ((("retiti", "avec"), 2.0), (("nicht", "ung"), 2.0), (("that", "le
 def title_points(text):
     points = [f"CASE WHEN {hits(text, ws)} > 0 THEN {p}::DOUBLE ELSE 0 END" for ws, p in TITLE_WORDS]
     points.append(f"CASE WHEN regexp_matches({text}, '[!?]') THEN 1.0::DOUBLE ELSE 0 END")
-    points.append(f"CASE WHEN regexp_matches({text}, '{tx.CAPITAL_WORD}') THEN 1.2::DOUBLE "
+    points.append(f"CASE WHEN regexp_matches({text}, '{CAPITAL_SQL}') THEN 1.2::DOUBLE "
                   "ELSE 0 END")
     return "round(least(5.0::DOUBLE, " + " + ".join(points) + "), 2)"
 
@@ -480,7 +485,7 @@ def _(t):
 
 
 WEIGHTED = (f"least(5.0::DOUBLE, {hits('text', LOUD)} * 2.0::DOUBLE + CASE WHEN "
-            f"regexp_matches(text, '{tx.CAPITAL_WORD}') THEN 1.5::DOUBLE ELSE 0 END + CASE WHEN "
+            f"regexp_matches(text, '{CAPITAL_SQL}') THEN 1.5::DOUBLE ELSE 0 END + CASE WHEN "
             "length(text) - length(replace(text, '!', '')) > 1 OR length(text) - "
             "length(replace(text, '?', '')) > 1 THEN 1.0::DOUBLE ELSE 0 END)")
 

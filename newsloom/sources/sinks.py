@@ -54,7 +54,7 @@ def upsert(batch: DataFrame, path: str, key: str, order: Sequence[str], partitio
     latest = [F.col(c).desc() for c in order]
     last = top_per_group(batch, [key], latest, 1)
     if not _exists(batch, path):
-        last.write.partitionBy(partition).parquet(path)
+        last.hint("rebalance", F.col(partition)).write.partitionBy(partition).parquet(path)
         return
     staged = scratch_path(spark, "upsert")
 
@@ -71,7 +71,7 @@ def upsert(batch: DataFrame, path: str, key: str, order: Sequence[str], partitio
     touched = step(touched.distinct(), "touched")
     present = old.join(touched, partition, "left_semi")
     merged = step(top_per_group(present.unionByName(new), [key], latest, 1), "merged")
-    (merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    (merged.hint("rebalance", F.col(partition)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
      .partitionBy(partition).parquet(path))
     _drop_emptied(touched.join(merged.select(partition), partition, "left_anti"), path, partition)
 
