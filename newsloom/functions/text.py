@@ -7,7 +7,7 @@ use ``isin``, which Spark turns into a hash-set lookup for long lists.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
 from operator import add
 
@@ -17,6 +17,11 @@ from pyspark.sql import functions as F
 from newsloom import lexicons as lx
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def words(text: Column) -> Column:
     """White-space separated words, no empty ones."""
     return F.filter(F.split(text, lx.SPACES), lambda w: w != "")
@@ -123,17 +128,22 @@ def negation_sentiment(text: Column, positive: Sequence[str] = lx.TOKEN_POSITIVE
     digits = F.array_join(F.transform(
         F.split(F.lower(text), lx.SPACES),
         lambda w: digit(F.trim(w, F.lit(lx.TOKEN_STRIP_CHARS)))), "")
-    flipped_pos = pattern_count(digits, "31")
-    flipped_neg = pattern_count(digits, "32")
-    pos = char_count(digits, "1") - flipped_pos + flipped_neg * 0.5
-    neg = (char_count(digits, "2") - flipped_neg + flipped_pos).cast("double")
-    up = (pos > neg) & (pos >= 2)
-    down = (neg > pos) & (neg >= 2)
-    size = F.least(F.lit(0.8), F.abs(pos - neg) * 0.15)
-    return F.struct(
-        F.when(up, "positive").when(down, "negative").otherwise("neutral").alias("label"),
-        F.when(up, size).when(down, -size).otherwise(0.0).alias("score"),
-    )
+    def count(d: Column) -> Column:
+        flipped_pos, flipped_neg = pattern_count(d, "31"), pattern_count(d, "32")
+        return F.struct(
+            (char_count(d, "1") - flipped_pos + flipped_neg * 0.5).alias("pos"),
+            (char_count(d, "2") - flipped_neg + flipped_pos).cast("double").alias("neg"))
+
+    def decide(c: Column) -> Column:
+        pos, neg = c["pos"], c["neg"]
+        up = (pos > neg) & (pos >= 2)
+        down = (neg > pos) & (neg >= 2)
+        size = F.least(F.lit(0.8), F.abs(pos - neg) * 0.15)
+        return F.struct(
+            F.when(up, "positive").when(down, "negative").otherwise("neutral").alias("label"),
+            F.when(up, size).when(down, -size).otherwise(0.0).alias("score"))
+
+    return let(let(digits, count), decide)
 
 
 def polarity_label(score: Column, low: float = -0.1, high: float = 0.1) -> Column:

@@ -1,8 +1,10 @@
-"""Broadcasts and driver-side reads behind a check of the size."""
+"""Broadcasts and driver-side reads behind a check of the size; one row per list item."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Row
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 MAX_BROADCAST_ROWS = 200_000
@@ -23,3 +25,24 @@ def rows_if_small(df: DataFrame, max_rows: int) -> list[Row] | None:
     """The rows of a table known to be small, or None if it has more than ``max_rows``."""
     rows = df.limit(max_rows + 1).collect()
     return rows if len(rows) <= max_rows else None
+
+
+def one_per_item(df: DataFrame, items: str | Column, name: str,
+                 keep: Sequence[str | Column] = ()) -> DataFrame:
+    """One row per non-null list item, with the kept columns.
+
+    A plain ``explode`` makes the optimizer add a filter on the list's size below it, which
+    computes the list again; for lists cut out of long texts that doubles the work.
+    """
+    return df.select(*keep, F.explode_outer(items).alias(name)).filter(F.col(name).isNotNull())
+
+
+def compute_once(df: DataFrame, **columns: Column) -> DataFrame:
+    """``withColumns`` whose values are computed once, whatever filters and uses follow.
+
+    A filter on a plain computed column moves below the projection and computes the value
+    again there; it cannot move below a generator.
+    """
+    fields = F.struct(*[value.alias(name) for name, value in columns.items()])
+    out = df.select("*", F.explode_outer(F.array(fields)).alias("__once"))
+    return out.select(*df.columns, *[F.col(f"__once.{name}").alias(name) for name in columns])

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from newsloom import lexicons as lx
-from newsloom.operators.bounds import broadcast_if_small
+from newsloom.operators.bounds import broadcast_if_small, one_per_item
 from newsloom.operators.matching import match_substrings
 from newsloom.operators.ranking import top_per_group
 
@@ -83,7 +83,7 @@ def validate_entities(mentions: DataFrame, known: Sequence[str] = lx.ORGANIZATIO
 def frequency(df: DataFrame, items: str, name: str = "entity", by: Sequence[str] = ()
               ) -> DataFrame:
     """Mentions per item (and per ``by``), counted before the shuffle and after."""
-    exploded = df.select(*by, F.explode(items).alias(name))
+    exploded = one_per_item(df, items, name, by)
     return exploded.groupBy(*by, name).agg(F.count("*").alias("mentions"))
 
 
@@ -100,7 +100,8 @@ def top_entities_by(df: DataFrame, items: str, by: str, k: int, name: str = "ent
 def articles_of_top_entities(df: DataFrame, key: str, items: str, k: int) -> DataFrame:
     """(entity, mentions, article…) for the k most frequent entities, each article once."""
     top = F.broadcast(top_entities(df, items, k))  # k rows
-    exploded = df.withColumn("entity", F.explode(F.array_distinct(items))).drop(items)
+    rest = [c for c in df.columns if c != items]
+    exploded = one_per_item(df, F.array_distinct(items), "entity", rest)
     return exploded.join(top, "entity")
 
 
@@ -123,7 +124,7 @@ def top_stories(df: DataFrame, items: str, ts: str, tie: str, entities: int = 3,
 
 def top_words(df: DataFrame, text: str, k: int, stop_words: DataFrame) -> DataFrame:
     """Most frequent alphabetic words of a text column that are not stop words."""
-    tokens = df.select(F.explode(F.split(F.lower(text), lx.SPACES)).alias("word")).filter(
+    tokens = one_per_item(df, F.split(F.lower(text), lx.SPACES), "word").filter(
         F.col("word").rlike(r"^\p{L}+$"))
     counts = tokens.groupBy("word").agg(F.count("*").alias("n"))
     return counts.join(broadcast_if_small(stop_words.select("word")), "word", "left_anti").orderBy(

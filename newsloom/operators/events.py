@@ -13,8 +13,10 @@ from pyspark.sql import types as T
 from newsloom.functions.normalize import entity_count
 from newsloom.functions.text import (cluster_key, matching_keywords, negation_sentiment,
                                      plain_keywords)
+from newsloom.operators.bounds import compute_once
 from newsloom.operators.matching import match_substrings
 from newsloom.operators.ranking import running_rank, time_slot, top_per_group
+from newsloom.session import materialize
 
 # --- events from embeddings --------------------------------------------------------
 
@@ -148,8 +150,9 @@ def keyword_clusters(articles: DataFrame, id: str = "id", ts: str = "published_a
                      carry: Sequence[str] = ()) -> DataFrame:
     """(id, ts, keywords, cluster_key, carried…) of articles with two keywords or more."""
     present = [c for c in text if c in articles.columns]
-    keyed = articles.select(F.col(id).alias("id"), F.col(ts).alias("ts"), *carry,
-                            plain_keywords(F.concat_ws(" ", *present)).alias("keywords"))
+    keyed = compute_once(articles,
+                         keywords=plain_keywords(F.concat_ws(" ", *present)))
+    keyed = keyed.select(F.col(id).alias("id"), F.col(ts).alias("ts"), *carry, "keywords")
     return keyed.filter(F.size("keywords") >= 2).withColumn(
         "cluster_key", cluster_key(F.col("keywords")))
 
@@ -199,6 +202,7 @@ def match_posts(posts: DataFrame, events: DataFrame, ttl_seconds: int = 86_400,
     keywords = active.select(
         "event_id", "event_ts",
         F.explode(F.array_distinct(F.transform("keywords", lambda k: F.lower(k)))).alias("keyword"))
+    keywords = materialize(keywords, "keywords")  # read three times below
     keys = [*post_key, "post_ts"]
     found = match_substrings(posts.filter(F.col("text") != ""), keys, "text", keywords, "keyword")
 

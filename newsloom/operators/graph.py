@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from newsloom.operators.bounds import one_per_item
 from newsloom.operators.entities import frequency
 from newsloom.session import materialize
 
@@ -27,11 +28,9 @@ def entity_pairs(articles: DataFrame, items: str, carry: Sequence[str] = ()) ->
 
 def _article_counts(articles: DataFrame, key: str, items: str) -> DataFrame:
     """(doc, blocks, entity, c): how often each article's list names each entity."""
-    listed = articles.select(F.col(key).alias("doc"), F.col(items).alias("items")).filter(
-        F.size("items") >= 2)
-    mentions = listed.select(
-        "doc", F.ceil(F.size("items") / F.lit(BLOCK)).cast("int").alias("blocks"),
-        F.explode("items").alias("entity"))
+    listed = articles.select(F.col(key).alias("doc"), F.col(items).alias("items"))
+    blocks = F.ceil(F.size("items") / F.lit(BLOCK)).cast("int").alias("blocks")
+    mentions = one_per_item(listed, "items", "entity", ["doc", blocks])
     return mentions.groupBy("doc", "blocks", "entity").agg(F.count("*").alias("c"))
 
 
@@ -77,30 +76,27 @@ def weighted_degree(articles: DataFrame, items: str) -> DataFrame:
     Each occurrence in a list of n entries takes part in n - 1 pairs, so the degree is the
     sum of n - 1 over occurrences: linear in the input however long a list is.
     """
-    rows = articles.filter(F.size(items) >= 2).select(
-        (F.size(items) - 1).cast("long").alias("others"), F.explode(items).alias("entity"))
-    return rows.groupBy("entity").agg(F.sum("others").alias("degree"))
+    others = (F.size(items) - 1).cast("long").alias("others")
+    rows = one_per_item(articles, items, "entity", [others])
+    return rows.groupBy("entity").agg(F.sum("others").alias("degree")).filter("degree > 0")
 
 
-def top_subgraph(articles: DataFrame, items: str, nodes: int = 20) -> tuple[DataFrame, DataFrame]:
+def top_subgraph(articles: DataFrame, key: str, items: str, nodes: int = 20
+                 ) -> tuple[DataFrame, DataFrame]:
     """(top nodes, edges among them) by weighted degree.
 
-    The lists are cut to the top names before pairing: at most nodes²/2 rows per article
-    and in total, whatever the lists' lengths.
+    The lists are cut to the top names before pairing: at most nodes² / 2 pairs per article,
+    whatever its list's length.
     """
     top = weighted_degree(articles, items).orderBy(F.desc("degree"), "entity").limit(nodes)
-    names = top.agg(F.array_sort(F.collect_list("entity"))).scalar()  # one list of `nodes` names
-    lists = articles.select(F.col(items).alias("items")).withColumn("names", names)
-
-    def occurrences(i: int):
-        name = F.get("names", F.lit(i))
-        left = F.array_size(F.array_remove("items", name))
-        return F.struct(name.alias("e"), (F.array_size("items") - left).cast("long").alias("c"))
-
-    # array_remove and size run natively; a lambda per list entry would be far slower.
-    counted = lists.filter(F.arrays_overlap("items", "names")).select(F.filter(
-        F.array(*[occurrences(i) for i in range(nodes)]), lambda n: n["c"] > 0).alias("n"))
-    first = counted.select("n", F.posexplode("n").alias("i", "a"))
+    mentions = one_per_item(articles, items, "e", [F.col(key).alias("doc")])
+    wanted = F.broadcast(top.select(F.col("entity").alias("e")))  # `nodes` rows
+    counts = mentions.join(wanted, "e", "left_semi").groupBy("doc", "e").agg(
+        F.count("*").alias("c"))
+    lists = counts.groupBy("doc").agg(
+        F.array_sort(F.collect_list(F.struct("e", "c"))).alias("n"))  # `nodes` entries
+    first = lists.select("n", F.posexplode("n").alias("i", "a"))
+    # Entry i with itself gives c(c-1)/2 pairs, with a later one c1*c2.
     both = first.select("a", F.explode(F.slice("n", F.col("i") + 1, F.size("n"))).alias("b"))
     same = F.col("a.e") == F.col("b.e")
     weight = F.when(same, (F.col("a.c") * (F.col("a.c") - 1) / 2).cast("long")).otherwise(

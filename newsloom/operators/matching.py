@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from newsloom import lexicons as lx
+from newsloom.operators.bounds import one_per_item
 
 GRAM = 4
 
@@ -46,8 +47,8 @@ def match_substrings(docs: DataFrame, keys: Sequence[str], text: str, patterns:
     def fold(c: Column) -> Column:
         return F.lower(c) if fold_case else c
 
-    tokens = docs.select(*keys, F.explode(F.array_distinct(
-        F.split(fold(F.col(text)), lx.SPACES))).alias("token")).filter(F.col("token") != "")
+    tokens = one_per_item(docs, F.array_distinct(F.split(fold(F.col(text)), lx.SPACES)), "token",
+                          keys).filter(F.col("token") != "")
     wanted = patterns.select(F.col(pattern).alias("pattern")).distinct().filter(
         F.trim("pattern") != "")
     wanted = wanted.withColumn("probe", longest_part(fold(F.trim("pattern"))))

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from newsloom.functions.normalize import headline_topic
+from newsloom.operators.bounds import one_per_item
 from newsloom.operators.entities import top_entities_by
 from newsloom.operators.ranking import exact_median, top_per_group
 
@@ -52,7 +53,7 @@ def active_streams(df: DataFrame, source: str, ts: str, as_of: Column, seconds:
 
 
 def entity_coverage(df: DataFrame, items: str) -> DataFrame:
-    return df.select(F.explode(items).alias("e")).agg(F.countDistinct("e").alias("entities"))
+    return one_per_item(df, items, "e").agg(F.countDistinct("e").alias("entities"))
 
 
 def distribution(df: DataFrame, column: str) -> DataFrame:

@@ -67,13 +67,13 @@ def _(t):
 
 @query("g7_top_subgraph", f"WITH {WEIGHTS}, {TOP} SELECT src, dst, weight FROM sub")
 def _(t):
-    return graph.top_subgraph(t.articles, "entities")[1]
+    return graph.top_subgraph(t.articles, "id", "entities")[1]
 
 
 @query("j7_top_relationships", f"""WITH {WEIGHTS}, {TOP} SELECT src, dst, weight FROM sub
   ORDER BY weight DESC, src, dst LIMIT 20""")
 def _(t):
-    edges = graph.top_subgraph(t.articles, "entities")[1]
+    edges = graph.top_subgraph(t.articles, "id", "entities")[1]
     return edges.orderBy(F.desc("weight"), "src", "dst").limit(20)
 
 
@@ -81,12 +81,12 @@ def _(t):
   (SELECT count(DISTINCT e) FROM (SELECT src AS e FROM sub UNION SELECT dst FROM sub)) AS nodes,
   (SELECT count(*) FROM documents) AS articles FROM sub""")
 def _(t):
-    edges = graph.top_subgraph(t.articles, "entities")[1]
+    edges = graph.top_subgraph(t.articles, "id", "entities")[1]
     return graph.graph_metrics(edges, t("documents"))
 
 
 # The anchor graph: distinct names per article, at least 3 shared articles.
-ANCHOR = f"""{ART}, m AS (SELECT id, unnest(entities) AS e FROM art WHERE len(entities) >= 2),
+ANCHOR = f"""{ART}, m AS (SELECT id, unnest(entities) AS e FROM art),
   f AS (SELECT e AS entity, count(*) AS mentions FROM (SELECT unnest(entities) AS e FROM art)
     GROUP BY 1),
   many AS (SELECT e FROM m GROUP BY 1 HAVING count(*) >= 5),

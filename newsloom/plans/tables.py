@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from newsloom import lexicons as lx
 from newsloom.functions.text import vote
+from newsloom.operators.bounds import one_per_item
 from newsloom.operators.entities import extract_from_gazetteer
 
 # Lexicons that occur in the test tables, so that every branch is taken.
@@ -78,8 +79,8 @@ class Tables:
     @cached_property
     def mentions(self) -> DataFrame:
         """(id, text, label): capitalised words, labelled by their length."""
-        words = self("documents").select(F.col("doc_id").alias("id"), F.explode(
-            F.regexp_extract_all("text", F.lit(NAME_PATTERN), F.lit(0))).alias("text"))
+        names = F.regexp_extract_all("text", F.lit(NAME_PATTERN), F.lit(0))
+        words = one_per_item(self("documents"), names, "text", [F.col("doc_id").alias("id")])
         labels = F.array(*[F.lit(x) for x in LABELS])
         return words.withColumn("label", F.get(labels, F.length("text") % len(LABELS)))
 

@@ -8,6 +8,7 @@ from newsloom import lexicons as lx
 from newsloom.functions import normalize as nz
 from newsloom.functions import text as tx
 from newsloom.operators import dedup, entities, sentiment, summaries
+from newsloom.operators.bounds import one_per_item
 from newsloom.plans.catalog import query
 from newsloom.plans.tables import (ART, MENTIONS, NEGATIONS, NEGATIVE, POSITIVE, SQL_SPACE, SQL_SPACES,
                                    STAMP, STOP_WORDS,
@@ -584,8 +585,8 @@ KNOWN = ("Thon", "Erin", "Tion")
       AND length(regexp_replace(text, '[^A-Z]', '', 'g')) >= 2)) GROUP BY 1, 2""")
 def _(t):
     labels = F.array(*[F.lit(x) for x in ("PERSON", "ORG", "GPE", "LOC", "PRODUCT", "EVENT")])
-    words = t("documents").select(F.col("doc_id").alias("id"), F.explode(F.regexp_extract_all(
-        "text", F.lit("[A-Za-z]{3,}[A-Z]*"), F.lit(0))).alias("text"))
+    found = F.regexp_extract_all("text", F.lit("[A-Za-z]{3,}[A-Z]*"), F.lit(0))
+    words = one_per_item(t("documents"), found, "text", [F.col("doc_id").alias("id")])
     m = words.withColumn("label", F.get(labels, F.length("text") % 6))
     return entities.validate_entities(m, KNOWN).groupBy("text", "label").agg(
         F.count("*").alias("n"))
