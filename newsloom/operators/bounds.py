@@ -21,6 +21,16 @@ def broadcast_if_small(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> Dat
     return F.broadcast(df)
 
 
+def small_or_merge(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
+    """Join side that is broadcast if it is small, else sort-merged.
+
+    For joins whose other side is an explode: its size estimate is that of the rows before
+    the explode, so the optimizer must not be left to broadcast it.
+    """
+    side = broadcast_if_small(df, max_rows)
+    return side if side is not df else df.hint("merge")
+
+
 def rows_if_small(df: DataFrame, max_rows: int) -> list[Row] | None:
     """The rows of a table known to be small, or None if it has more than ``max_rows``."""
     rows = df.limit(max_rows + 1).collect()

@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 from newsloom.functions.normalize import entity_count
 from newsloom.functions.text import (cluster_key, matching_keywords, negation_sentiment,
                                      plain_keywords)
-from newsloom.operators.bounds import compute_once
+from newsloom.operators.bounds import compute_once, one_per_item
 from newsloom.operators.matching import match_substrings
 from newsloom.operators.ranking import running_rank, time_slot, top_per_group
 from newsloom.session import materialize
@@ -198,10 +198,9 @@ def match_posts(posts: DataFrame, events: DataFrame, ttl_seconds: int = 86_400,
     the time bound is an equality on the slot of the TTL's length plus the exact test,
     so a common keyword only meets the events of two slots.
     """
-    active = events.filter(F.col("event_id").isNotNull() & (F.size("keywords") > 0))
-    keywords = active.select(
-        "event_id", "event_ts",
-        F.explode(F.array_distinct(F.transform("keywords", lambda k: F.lower(k)))).alias("keyword"))
+    active = events.filter(F.col("event_id").isNotNull())
+    keywords = one_per_item(active, F.array_distinct(F.transform("keywords", lambda k: F.lower(k))),
+                            "keyword", ["event_id", "event_ts"])
     keywords = materialize(keywords, "keywords")  # read three times below
     keys = [*post_key, "post_ts"]
     found = match_substrings(posts.filter(F.col("text") != ""), keys, "text", keywords, "keyword")

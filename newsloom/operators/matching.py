@@ -15,7 +15,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from newsloom import lexicons as lx
-from newsloom.operators.bounds import one_per_item
+from newsloom.operators.bounds import one_per_item, small_or_merge
+from newsloom.session import materialize
 
 GRAM = 4
 
@@ -52,21 +53,25 @@ def match_substrings(docs: DataFrame, keys: Sequence[str], text: str, patterns:
     wanted = patterns.select(F.col(pattern).alias("pattern")).distinct().filter(
         F.trim("pattern") != "")
     wanted = wanted.withColumn("probe", longest_part(fold(F.trim("pattern"))))
-    wanted = wanted.withColumn("piece", F.substring("probe", 1, GRAM))
-
-    shortest = wanted.agg(F.min(F.length("piece"))).first()[0]
+    wanted = materialize(wanted.withColumn("piece", F.substring("probe", 1, GRAM)), "patterns")
+    has_space = F.col("pattern").rlike(lx.SPACES)
+    shortest, phrases_exist = wanted.agg(F.min(F.length("piece")),
+                                         F.coalesce(F.bool_or(has_space), F.lit(False))).first()
     sizes = list(range(min(shortest or GRAM, GRAM), GRAM + 1))
+
     vocabulary = tokens.select("token").distinct()
-    vocabulary = vocabulary.select("token", F.explode(pieces(F.col("token"), sizes)).alias("piece"))
-    hits = vocabulary.join(wanted, "piece").filter(F.contains("token", "probe")).select(
-        "token", "pattern").distinct()
-    pairs = tokens.join(hits, "token").select(*keys, "pattern").distinct()
+    vocabulary = one_per_item(vocabulary, pieces(F.col("token"), sizes), "piece", ["token"])
+    hits = vocabulary.join(small_or_merge(wanted), "piece").filter(
+        F.contains("token", "probe")).select("token", "pattern").distinct()
+    # Written once: its size decides whether the words of the texts have to move at all.
+    hits = materialize(hits, "hits")
+    pairs = tokens.join(small_or_merge(hits), "token").select(*keys, "pattern").distinct()
+    if not phrases_exist:
+        return pairs.withColumnRenamed("pattern", pattern)
 
     # A pattern of several words was only found by one of them: check the text itself.
-    has_space = F.col("pattern").rlike(lx.SPACES)
-    single = pairs.filter(~has_space)
-    phrases = pairs.filter(has_space)
+    pairs = materialize(pairs, "pairs")
     whole = docs.select(*keys, fold(F.col(text)).alias("__text"))
-    verified = phrases.join(whole, list(keys)).filter(
+    verified = whole.join(pairs.filter(has_space), list(keys)).filter(
         F.contains("__text", fold(F.col("pattern")))).drop("__text")
-    return single.unionByName(verified).withColumnRenamed("pattern", pattern)
+    return pairs.filter(~has_space).unionByName(verified).withColumnRenamed("pattern", pattern)
