@@ -80,15 +80,16 @@ def nearest_centroid(df: DataFrame, key: str, vector: str, cents: DataFrame) ->
                           F.col("b.sim").alias("similarity"))
 
     blocks = 64
-    numbered = cents.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)))
-    spread = df.select(key, F.col(vector).alias("v"), F.explode(
-        F.array(*[F.lit(b).cast("long") for b in range(blocks)])).alias("block"))
-    pairs = spread.join(numbered, "block").select(
-        key, "id", cosine(F.col("v"), F.col("centroid")).alias("sim"))
+    numbered = cents.select(F.col("id").alias("__c"), "centroid",
+                            F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("__block"))
+    spread = df.select(key, F.col(vector).alias("__v"), F.explode(
+        F.array(*[F.lit(b).cast("long") for b in range(blocks)])).alias("__block"))
+    pairs = spread.join(numbered, "__block").select(
+        key, "__c", cosine(F.col("__v"), F.col("centroid")).alias("sim"))
     found = pairs.groupBy(key).agg(
-        F.min(F.struct((-F.col("sim")).alias("neg"), F.col("id"))).alias("b"))
+        F.min(F.struct((-F.col("sim")).alias("neg"), F.col("__c").alias("c"))).alias("b"))
     positive = F.col("b.neg") < 0
-    return found.select(key, F.when(positive, F.col("b.id")).alias("centroid_id"),
+    return found.select(key, F.when(positive, F.col("b.c")).alias("centroid_id"),
                         F.when(positive, -F.col("b.neg")).otherwise(0.0).alias("similarity"))
 
 
