@@ -10,8 +10,12 @@ from newsloom.operators import entities as en
 from newsloom.plans.catalog import query
 from newsloom.plans.tables import ART, PLACES_SQL, STAMP, rounded, stamp
 
-AS_OF = F.lit("2024-01-04 12:00:00").cast("timestamp_ntz")
-AS_OF_SQL = "TIMESTAMP '2024-01-04 12:00:00'"
+AS_OF = "2024-01-04 12:00:00"
+AS_OF_SQL = f"TIMESTAMP '{AS_OF}'"
+
+
+def moment(text: str):
+    return F.lit(text).cast("timestamp_ntz")
 
 
 def joined(col, sep=","):
@@ -31,7 +35,7 @@ def joined(col, sep=","):
   round(count(*) FILTER (len(locations) > 0) * 100.0::DOUBLE / count(*), 6) AS located_pct
   FROM art""")
 def _(t):
-    out = metrics.board_figures(t.articles, "published_at", AS_OF)
+    out = metrics.board_figures(t.articles, "published_at", moment(AS_OF))
     return out.withColumns({c: rounded(F.col(c)) for c in out.columns if c.endswith("_pct")})
 
 
@@ -49,7 +53,7 @@ def _(t):
 @query("h3_active_streams", f"""SELECT count(DISTINCT user_id) AS active_sources FROM events
   WHERE ts >= {AS_OF_SQL} - INTERVAL 6 HOUR AND ts <= {AS_OF_SQL}""")
 def _(t):
-    return metrics.active_streams(t("events"), "user_id", "ts", AS_OF, 6 * 3600)
+    return metrics.active_streams(t("events"), "user_id", "ts", moment(AS_OF), 6 * 3600)
 
 
 @query("h3_entity_coverage", f"""WITH {ART} SELECT count(DISTINCT e) AS entities FROM (
@@ -145,7 +149,7 @@ RANGE = ("2024-01-03 00:00:00", "2024-01-10 00:00:00")
     {STAMP.format('min(ts)')} AS first_ts FROM events WHERE ts BETWEEN TIMESTAMP '{RANGE[0]}' AND
     TIMESTAMP '{RANGE[1]}' GROUP BY 1 ORDER BY n DESC, event_type LIMIT 20""")
 def _(t):
-    lo, hi = [F.lit(x).cast("timestamp_ntz") for x in RANGE]
+    lo, hi = [moment(x) for x in RANGE]
     return metrics.group_sizes_in_range(t("events"), "event_type", "ts", lo, hi).withColumn(
         "first_ts", stamp("first_ts"))
 
@@ -154,7 +158,7 @@ def _(t):
   FROM events WHERE ts BETWEEN TIMESTAMP '{RANGE[0]}' AND TIMESTAMP '{RANGE[1]}'
   AND event_type = 'click' GROUP BY 1 ORDER BY n DESC, user_id LIMIT 20""")
 def _(t):
-    lo, hi = [F.lit(x).cast("timestamp_ntz") for x in RANGE]
+    lo, hi = [moment(x) for x in RANGE]
     return metrics.group_sizes_in_range(t("events"), "user_id", "ts", lo, hi, event_type="click"
                                         ).withColumn("first_ts", stamp("first_ts"))
 
@@ -202,7 +206,7 @@ def _(t):
     return neutral_share(t.articles).withColumn("neutral_share", rounded(F.col("neutral_share")))
 
 
-DIGEST_AT = F.lit("2024-01-02 12:00:00").cast("timestamp_ntz")
+DIGEST_AT = "2024-01-02 12:00:00"
 TOPIC = ("CASE WHEN contains(title, ':') THEN split_part(title, ':', 1) ELSE left(title, 50) END")
 
 
@@ -216,7 +220,7 @@ TOPIC = ("CASE WHEN contains(title, ':') THEN split_part(title, ':', 1) ELSE lef
     (SELECT string_agg(topic, '|' ORDER BY i) FROM f WHERE k <= 3) AS topics,
     (SELECT string_agg(left(title, 100), '|' ORDER BY i) FROM n WHERE i <= 3) AS headlines""")
 def _(t):
-    out = metrics.daily_digest(t.articles, "published_at", "id", DIGEST_AT)
+    out = metrics.daily_digest(t.articles, "published_at", "id", moment(DIGEST_AT))
     return out.select("articles", "status", joined("topics", "|").alias("topics"),
                       joined("headlines", "|").alias("headlines"))
 
