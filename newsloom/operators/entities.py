@@ -110,14 +110,15 @@ def top_stories(df: DataFrame, items: str, ts: str, tie: str, entities: int = 3,
     """Newest distinct headlines of the most frequent entities with enough articles."""
     narrow = df.select(tie, "title", F.col(ts), items)
     tagged = articles_of_top_entities(narrow, tie, items, entities)
-    sizes = tagged.groupBy("entity").agg(F.count("*").alias("articles")).filter(
-        F.col("articles") >= min_articles)
     # One row per entity and title before ranking, so a hot entity is already reduced.
-    newest = tagged.filter(F.col("title") != "").groupBy("entity", "mentions", "title").agg(
+    titles = tagged.groupBy("entity", "mentions", "title").agg(
+        F.count("*").alias("n"),
         F.max(F.struct(F.col(ts).alias("ts"), (-F.col(tie)).alias("neg"))).alias("at"))
-    ranked = top_per_group(newest, ["entity"],
-                           [F.col("at.ts").desc(), F.col("at.neg").desc(), F.col("title")],
-                           headlines, rank="rank")
+    order = [F.col("at.ts").desc(), F.col("at.neg").desc(), F.col("title")]
+    ranked = top_per_group(titles.filter(F.col("title") != ""), ["entity"], order, headlines,
+                           rank="rank")
+    sizes = titles.groupBy("entity").agg(F.sum("n").alias("articles")).filter(
+        F.col("articles") >= min_articles)  # one row per entity
     return ranked.join(F.broadcast(sizes), "entity").select(
         "entity", "mentions", "articles", "rank", "title")
 

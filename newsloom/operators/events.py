@@ -107,16 +107,16 @@ def _leader_pass(rows: DataFrame, group: Sequence[str], order: Sequence[str],
         run, f"id {kind}, event {kind}, similarity double, is_new boolean")
 
 
-def semantic_events(vectors: DataFrame, threshold: float = 0.75, lsh_bits: int = 0,
-                    slot_seconds: float | None = None, dim: int = 384,
+def semantic_events(vectors: DataFrame, threshold: float = 0.75, lsh_bits: int = 12,
+                    slot_seconds: float | None = 3600.0, dim: int = 384,
                     seed: int = 42) -> DataFrame:
     """Assign each (id, ts, vector) to an event: (id, event, similarity, is_new).
 
-    ``event`` is the id of the article that started the event. With ``lsh_bits=0`` and no
-    slots one ordered pass gives the exact sequential result, which needs one task. At
-    scale, ``lsh_bits`` spreads the work over buckets and ``slot_seconds`` splits a hot
-    bucket by time; the slots' events are then merged by a second pass over their
-    centroids, which are far fewer than the articles.
+    ``event`` is the id of the article that started the event. ``lsh_bits`` spreads the work
+    over buckets of similar vectors and ``slot_seconds`` splits a hot bucket by time; the
+    slots' events are then merged by a second pass over their centroids, which are far fewer
+    than the articles. ``lsh_bits=0, slot_seconds=None`` is the rule applied to one global
+    sequence, exact and by its nature one task: for small inputs only.
     """
     rows = vectors.select("id", "ts", F.col("vector").cast("array<double>").alias("vsum"),
                           F.lit(1.0).alias("n"),
@@ -178,7 +178,8 @@ def keyword_event_births(articles: DataFrame, size: int = 3,
 def keyword_event_updates(articles: DataFrame, size: int = 3, slot_seconds: float = 3600.0,
                           **columns) -> DataFrame:
     """One update per article after the ``size``-th of its keyword group."""
-    clusters = keyword_clusters(articles, **columns)
+    # Ranks read their input twice: let that be the written keys, not the texts.
+    clusters = materialize(keyword_clusters(articles, **columns), "clusters")
     ranked = running_rank(clusters, ["cluster_key"], "ts", ["id"], rank="article_count",
                           slot_seconds=slot_seconds, first="first_seen")
     return ranked.filter(F.col("article_count") > size).select(

@@ -181,10 +181,10 @@ def anchor_scores(articles: DataFrame, key: str, items: str, min_mentions: int =
                   min_articles: int = 3, leaf_mentions: int = 10) -> DataFrame:
     """(entity, mentions, degree, centrality, score) of the pruned anchor graph.
 
-    score = mentions / most mentions of any entity * centrality. The edge list is read
-    several times, so it is written once.
+    score = mentions / most mentions of any entity * centrality. Edges and mentions are read
+    several times, so they are written once.
     """
-    mentions = frequency(articles, items)
+    mentions = materialize(frequency(articles, items), "mentions")
     edges = materialize(article_edges(articles, key, items, min_mentions, min_articles), "edges")
     nodes, _ = prune_leaves(edges, mentions, leaf_mentions)
     most = mentions.agg(F.max("mentions")).scalar()

@@ -75,12 +75,10 @@ def group_sizes_in_range(df: DataFrame, group: str, ts: str, start: Column, end:
 
 def latency_stats(df: DataFrame, level: str, value: str) -> DataFrame:
     """Count, mean, extremes, exact median and sample deviation (0 for one row) per level."""
-    rows = df.filter(F.col(value).isNotNull() & F.col(level).isNotNull())
-    simple = rows.groupBy(level).agg(
-        F.count("*").alias("count"), F.avg(value).alias("avg_ms"), F.min(value).alias("min_ms"),
-        F.max(value).alias("max_ms"),
-        F.coalesce(F.stddev_samp(value), F.lit(0.0)).alias("stdev_ms"))
-    return simple.join(exact_median(rows, level, value, "median_ms"), level)
+    return exact_median(
+        df.filter(F.col(level).isNotNull()), level, value, "median_ms",
+        count=F.count("*"), avg_ms=F.avg(value), min_ms=F.min(value), max_ms=F.max(value),
+        stdev_ms=F.coalesce(F.stddev_samp(value), F.lit(0.0)))
 
 
 def latency_samples(df: DataFrame, level: str, value: str, order: Sequence[str], k: int = 100

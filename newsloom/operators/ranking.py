@@ -16,6 +16,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from newsloom.operators.bounds import small_or_merge
+from newsloom.session import materialize
+
 
 def _columns(names: Sequence[str | Column]) -> list[Column]:
     return [F.col(n) if isinstance(n, str) else n for n in names]
@@ -75,27 +78,30 @@ def running_sum(df: DataFrame, keys: Sequence[str], ts: str, value: str, name: s
 
 
 def exact_median(df: DataFrame, key: str, value: str, name: str = "median",
-                 accuracy: int = 100_000) -> DataFrame:
+                 accuracy: int = 100_000, **figures: Column) -> DataFrame:
     """Exact median per key without holding a group's values in one place.
 
     A quantile sketch brackets the middle of each group within a few parts in
-    ``accuracy``. One more pass counts the values below the bracket and only the values
-    inside it, already collapsed to (value, count), are ranked.
+    ``accuracy``; other ``figures`` are aggregated in the same pass. The bracket, one row
+    per key, is written and then broadcast if there are few keys. The second pass counts
+    the values below the bracket and ranks only those inside, collapsed to (value, count).
     """
-    rows = df.filter(F.col(value).isNotNull()).select(key, F.col(value).cast("double").alias("v"))
+    rows = df.filter(F.col(value).isNotNull())
+    v = F.col(value).cast("double")
     margin = 4.0 / accuracy
-    bracket = rows.groupBy(key).agg(
-        F.percentile_approx("v", [0.5 - margin, 0.5 + margin], accuracy).alias("b"),
-        F.count("*").alias("n"), F.min("v").alias("lo_all"), F.max("v").alias("hi_all"))
-    # Small groups: the sketch is exact, but neighbours of the middle may be missed.
-    bracket = bracket.select(
-        key, "n",
-        F.when(F.col("n") < accuracy, F.col("lo_all")).otherwise(F.col("b")[0]).alias("lo"),
-        F.when(F.col("n") < accuracy, F.col("hi_all")).otherwise(F.col("b")[1]).alias("hi"))
-    placed = rows.join(bracket, key).filter(F.col("v") <= F.col("hi"))
-    below = F.col("v") < F.col("lo")
-    counted = placed.groupBy(key, F.when(below, F.lit(None)).otherwise(F.col("v")).alias("v")).agg(
-        F.count("*").alias("c"), F.first("n").alias("n"))
+    sketch = rows.groupBy(key).agg(
+        F.percentile_approx(v, [0.5 - margin, 0.5 + margin], accuracy).alias("b"),
+        F.count("*").alias("n"), F.min(v).alias("lo_all"), F.max(v).alias("hi_all"),
+        *[figure.alias(label) for label, figure in figures.items()])
+    # Small groups are ranked whole: the sketch may skip neighbours of their middle.
+    whole = F.col("n") < accuracy
+    bracket = materialize(sketch.select(
+        key, "n", *figures, F.when(whole, F.col("lo_all")).otherwise(F.col("b")[0]).alias("lo"),
+        F.when(whole, F.col("hi_all")).otherwise(F.col("b")[1]).alias("hi")), "bracket")
+    placed = rows.select(key, v.alias("v")).join(
+        small_or_merge(bracket.select(key, "n", "lo", "hi")), key).filter(F.col("v") <= F.col("hi"))
+    inside = F.when(F.col("v") >= F.col("lo"), F.col("v"))
+    counted = placed.groupBy(key, "n", inside.alias("v")).agg(F.count("*").alias("c"))
     upto = W.partitionBy(key).orderBy(F.col("v").asc_nulls_first()).rowsBetween(
         W.unboundedPreceding, 0)
     ranked = counted.withColumn("last", F.sum("c").over(upto))
@@ -106,4 +112,5 @@ def exact_median(df: DataFrame, key: str, value: str, name: str = "median",
     def at(rank: Column) -> Column:
         return F.max(F.when((F.col("first") <= rank) & (rank <= F.col("last")), F.col("v")))
 
-    return ranked.groupBy(key).agg(((at(low_rank) + at(high_rank)) / 2).alias(name))
+    medians = ranked.groupBy(key).agg(((at(low_rank) + at(high_rank)) / 2).alias(name))
+    return medians.join(bracket.select(key, *figures), key) if figures else medians

@@ -49,12 +49,6 @@ def _(t):
     return events.semantic_events(rows, threshold=0.2, lsh_bits=3, slot_seconds=86_400.0, dim=64)
 
 
-@query("f1_semantic_events_exact")
-def _(t):
-    rows = t.vectors.select("id", "ts", "vector")
-    return events.semantic_events(rows, threshold=0.2, lsh_bits=0, dim=64)
-
-
 # Events: one per document, with the keywords of its title. Posts: conversation turns.
 EVENTS = f"""{ART}, kw0 AS (SELECT id AS doc_id, title AS text FROM art),
   {ordered_distinct_cte('kw', 'doc_id', fill(D1, 'text'), 'kw0', 5)},

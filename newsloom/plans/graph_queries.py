@@ -9,6 +9,7 @@ from newsloom.operators import entities as en
 from newsloom.operators.entities import extract_from_gazetteer
 from newsloom.plans.catalog import query
 from newsloom.plans.tables import ART, MENTIONS, NAMES, rounded, text_list
+from newsloom.session import materialize
 
 NAMED = f"""named AS (SELECT doc_id AS id, list_sort(list_filter({text_list(NAMES)},
     lambda n: contains(text, n))) AS names, text FROM documents)"""
@@ -112,6 +113,12 @@ def edges(t):
     return graph.article_edges(t.articles.select("id", "entities"), "id", "entities")
 
 
+def pruned(t):
+    """Nodes left after pruning; the edges are read several times, hence written once."""
+    written = materialize(edges(t), "edges")
+    return graph.prune_leaves(written, en.frequency(t.articles, "entities"))[0]
+
+
 @query("k4_article_edges", f"WITH {ANCHOR} SELECT src, dst, weight FROM edges")
 def _(t):
     return edges(t)
@@ -119,7 +126,7 @@ def _(t):
 
 @query("k5_prune_leaves", f"WITH {ANCHOR} SELECT entity, mentions, degree FROM nodes")
 def _(t):
-    return graph.prune_leaves(edges(t), en.frequency(t.articles, "entities"))[0]
+    return pruned(t)
 
 
 SCORED = "entity, mentions, degree, round(centrality, 8) AS centrality, round(score, 8) AS score"
@@ -133,7 +140,7 @@ def scored(t):
 @query("k6_degree_centrality", f"""WITH {ANCHOR} SELECT entity, round(centrality, 8) AS centrality
   FROM scored""")
 def _(t):
-    nodes, _ = graph.prune_leaves(edges(t), en.frequency(t.articles, "entities"))
+    nodes = pruned(t)
     return graph.degree_centrality(nodes).select(
         "entity", rounded(F.col("centrality"), 8).alias("centrality"))
 
@@ -169,7 +176,7 @@ def _(t):
   FROM nodes JOIN types USING (entity) WHERE degree >= 3 AND label = 'ORG'
   AND contains(lower(entity), 'th')""")
 def _(t):
-    nodes, _ = graph.prune_leaves(edges(t), en.frequency(t.articles, "entities"))
+    nodes = pruned(t)
     typed = nodes.join(types(t), "entity")
     return graph.filter_nodes(typed, 3, "ORG", "Th").select("entity", "degree", "label")
 
@@ -178,6 +185,6 @@ def _(t):
   WHEN centrality >= 0.3 THEN 'secondary' ELSE 'peripheral' END AS band, count(*) AS n
   FROM scored GROUP BY 1""")
 def _(t):
-    nodes, _ = graph.prune_leaves(edges(t), en.frequency(t.articles, "entities"))
+    nodes = pruned(t)
     band = graph.centrality_band(F.col("centrality"))
     return graph.degree_centrality(nodes).groupBy(band.alias("band")).agg(F.count("*").alias("n"))

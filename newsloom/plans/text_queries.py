@@ -60,8 +60,8 @@ RAW = """raw AS (SELECT doc_id, text, lang,
   WHERE title <> ''""")
 def _(t):
     out = nz.normalize_articles(raw_news(t), F.lit("2024-03-01 00:00:00").cast("timestamp"))
-    return out.select("url", "source", "title", F.length("description").alias("description_chars"),
-                      F.length("content").alias("content_chars"), "author",
+    return out.select("url", "source", "title", F.length("description").cast("long").alias("description_chars"),
+                      F.length("content").cast("long").alias("content_chars"), "author",
                       stamp("published_at").alias("published_at"))
 
 
@@ -77,7 +77,8 @@ def _(t):
         F.col("doc_id").cast("string").alias("url"), "doc_id")
     out = nz.feed_entries(d, "feed_title", ["doc_id"])
     return out.select(F.col("url").cast("long").alias("doc_id"), "source_id", "source_name",
-                      "description", F.length("content").alias("content_chars"))
+                      "description",
+                      F.length("content").cast("long").alias("content_chars"))
 
 
 @query("b3_source_name", f"WITH {RAW} SELECT doc_id, source FROM raw")

@@ -181,24 +181,29 @@ def semantic_events(stream: DataFrame, threshold: float = 0.75, lsh_bits: int =
 
 
 def match_posts(posts: DataFrame, events: DataFrame, ttl: str = "24 hours",
-                lateness: str = "10 minutes") -> DataFrame:
+                lateness: str = "10 minutes", salts: int = 8) -> DataFrame:
     """(post_id, post_ts, event_id) pairs of two streams; every pair once.
 
     The words of a post are cut into pieces of four characters, which meet the leading
     piece of each keyword in a time-bounded equi-join (a stream-stream join needs one);
     ``contains`` decides. Keywords need four characters or more and no white space.
+    Posts are dealt over ``salts`` copies of the keywords, so that a very common piece is
+    not one task's work.
     """
     words = posts.withWatermark("post_ts", lateness).select(
         "post_id", "post_ts", F.explode(F.array_distinct(F.split(F.lower("text"), lx.SPACES)))
         .alias("word"))
-    words = words.select("post_id", "post_ts", "word", F.explode(pieces(F.col("word")))
-                         .alias("piece"))
+    words = words.select("post_id", "post_ts", "word",
+                         F.pmod(F.xxhash64("post_id"), F.lit(salts)).alias("salt"),
+                         F.explode(pieces(F.col("word"))).alias("piece"))
     keywords = events.withWatermark("event_ts", lateness).select(
         "event_id", "event_ts", F.explode(F.array_distinct("keywords")).alias("k"))
     keywords = keywords.select("event_id", "event_ts", F.lower("k").alias("keyword")).filter(
         F.length("keyword") >= GRAM).withColumn("lead", F.substring("keyword", 1, GRAM))
+    copies = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long")))
+    keywords = keywords.withColumn("copy", copies)
     pairs = words.join(keywords, F.expr(
-        f"piece = lead AND contains(word, keyword) AND post_ts >= event_ts "
+        f"piece = lead AND salt = copy AND contains(word, keyword) AND post_ts >= event_ts "
         f"AND post_ts < event_ts + INTERVAL {ttl}"))
     return pairs.select("post_id", "event_id", "post_ts").dropDuplicatesWithinWatermark(
         ["post_id", "event_id"])

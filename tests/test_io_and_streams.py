@@ -199,7 +199,7 @@ def test_semantic_events_over_batches_equal_one_pass(spark, tmp_path):
     land(df, tmp_path / "in", 3)
     out = jobs.run_available(jobs.semantic_events(stream_of(spark, tmp_path / "in", df.schema),
                                                   0.75, 0, 6), "t")
-    want = events.semantic_events(df, 0.75)
+    want = events.semantic_events(df, 0.75, 0, None)
     assert {(r["id"], r["event"]) for r in out.collect()} == \
         {(r["id"], r["event"]) for r in want.collect()}
 

@@ -187,7 +187,7 @@ def points_df(spark, points):
 
 
 def test_semantic_events_exact(points, points_df):
-    got = events.semantic_events(points_df, 0.75).collect()
+    got = events.semantic_events(points_df, 0.75, 0, None).collect()
     want = leader(points, 0.75)
     assert {r["id"]: r["event"] for r in got} == want
     assert {r["id"] for r in got if r["is_new"]} == set(want.values())
@@ -198,7 +198,7 @@ def test_semantic_events_split_covers_every_row(points, points_df):
     assert sorted(r["id"] for r in got) == [i for i, _ in points]
     assert {r["event"] for r in got if r["is_new"]} == {r["event"] for r in got}
     # Slots without buckets merge back to few events: the groups are well apart.
-    merged = events.semantic_events(points_df, 0.75, slot_seconds=1800).collect()
+    merged = events.semantic_events(points_df, 0.75, 0, 1800).collect()
     assert len({r["event"] for r in merged}) == len(set(leader(points, 0.75).values()))
 
 
