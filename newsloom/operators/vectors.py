@@ -22,7 +22,7 @@ from pyspark.sql import types as T
 from newsloom.functions.vector import cosine, drift_band, euclidean
 from newsloom.operators.bounds import broadcast_if_small, rows_if_small
 
-MAX_LOCAL_CENTROIDS = 4096
+MAX_LOCAL_CENTROIDS = 4096  # rows; a few megabytes at some hundred dimensions
 
 
 # --- centroids -------------------------------------------------------------------------

@@ -279,15 +279,14 @@ def _(t):
         "bucket", stamp("bucket"))
 
 
-@query("i1_hourly_purchases", f"""WITH {FILLED.format(unit='hour', where="WHERE value > 30")}
-  SELECT event_type, {STAMP.format('bucket')} AS bucket, n FROM f""")
+@query("i1_hourly_counts", f"""WITH {HOURLY} SELECT event_type, {STAMP.format('bucket')} AS bucket, n
+  FROM f""")
 def _(t):
-    rows = t("events").filter("value > 30")
-    return timeseries.filled_counts(rows, "ts", "hour", ["event_type"]).withColumn(
+    return timeseries.filled_counts(t("events"), "ts", "hour", ["event_type"]).withColumn(
         "bucket", stamp("bucket"))
 
 
-RECENT = """ev AS (SELECT ts, value, length(props) AS e FROM events {where}),
+RECENT = """ev AS (SELECT {ts} AS ts, value, length(props) AS e FROM events),
   r AS (SELECT * FROM ev WHERE ts >= (SELECT max(ts) FROM ev) - INTERVAL 7 DAY),
   c AS (SELECT date_trunc('{unit}', ts)::TIMESTAMP AS bucket, count(*) AS post_count,
     avg(value) AS avg_sentiment, sum(e)::BIGINT AS total_entities FROM r GROUP BY 1),
@@ -311,16 +310,19 @@ def recent(t, rows):
         "bucket": stamp("bucket"), "avg_sentiment": rounded(F.col("avg_sentiment"))})
 
 
-@query("i2_lifecycle_days", "WITH " + RECENT.format(unit="day", where=""))
+@query("i2_lifecycle_days", "WITH " + RECENT.format(unit="day", ts="ts"))
 def _(t):
     return recent(t, t("events"))
 
 
 @query("i2_lifecycle_hours", "WITH " + RECENT.format(
-    unit="hour", where="WHERE ts < TIMESTAMP '2024-01-02 20:00:00' AND value > 20"))
+    unit="hour", ts="make_timestamp(1704067200000000 + (epoch_us(ts) - 1704067200000000) // 20)"))
 def _(t):
-    until = F.lit("2024-01-02 20:00:00").cast("timestamp_ntz")
-    return recent(t, t("events").filter((F.col("ts") < until) & (F.col("value") > 20)))
+    """The month of events squeezed into a day and a half, so that buckets are hours."""
+    start = 1_704_067_200_000_000  # 2024-01-01 in microseconds
+    micros = F.unix_micros(F.col("ts").cast("timestamp"))
+    squeezed = F.timestamp_micros(F.floor((micros - start) / 20).cast("long") + start)
+    return recent(t, t("events").withColumn("ts", squeezed))
 
 
 @query("i3_velocity", f"""WITH {DAILY}, {VELOCITY} SELECT event_type,

@@ -131,7 +131,7 @@ def _(t):
 
     dense = t("embeddings").select(array_to_vector(F.col("embedding").cast("array<double>"))
                                    .alias("features"))
-    sets = {"lexical": vec.tfidf(t("documents").select("text"), "text", 200), "semantic": dense}
+    sets = {"lexical": vec.tfidf(t("documents").select("text"), "text", 1000), "semantic": dense}
     out = vec.clustering_benchmark(sets, (5, 10, 15), max_iter=5)
     return out.withColumn("band", silhouette_band(F.col("silhouette")))
 
