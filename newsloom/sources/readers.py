@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from newsloom.functions.normalize import matched_event, parse_timestamp, split_list
+from newsloom.operators.boards import newest
 from newsloom.operators.ranking import top_per_group
 
 
@@ -89,8 +90,9 @@ def read_csv_articles(spark: SparkSession, path: str, schema: T.StructType,
     return out.limit(limit) if limit else out
 
 
-def newest_rows(table: DataFrame, ts: str, tie: str, size: int) -> DataFrame:
-    return table.orderBy(F.col(ts).desc(), tie).limit(size)
+def newest_rows(table: DataFrame, ts: str, key: str, size: int) -> DataFrame:
+    """Snapshot: the newest rows of a table, newest first."""
+    return newest(table, ts, key, size)
 
 
 def full_scan(table: DataFrame, exclude: Sequence[str] = ("embedding_vector",)) -> DataFrame:
