@@ -126,7 +126,7 @@ def semantic_events(vectors: DataFrame, threshold: float = 0.75, lsh_bits: int =
         return _leader_pass(rows, group, ["ts", "id"], threshold)
 
     rows = rows.withColumn("slot", time_slot(F.col("ts"), slot_seconds))
-    local = _leader_pass(rows, [*group, "slot"], ["ts", "id"], threshold)
+    local = materialize(_leader_pass(rows, [*group, "slot"], ["ts", "id"], threshold), "local")
     from pyspark.ml.functions import array_to_vector, vector_to_array
     from pyspark.ml.stat import Summarizer
 

@@ -13,6 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from newsloom.operators.ranking import running_rank, running_sum
+from newsloom.session import materialize
 
 STEP = {"hour": "INTERVAL 1 HOUR", "day": "INTERVAL 1 DAY"}
 
@@ -53,19 +54,24 @@ def recent_lifecycle(df: DataFrame, ts: str, days: int = 7, switch_hours: float
                      ) -> DataFrame:
     """Counts, mean sentiment and entity totals of the last days before the newest row.
 
-    Buckets are days if the rows span more than ``switch_hours``, else hours; the unit is
-    picked by a one-row aggregate inside the same query.
+    Buckets are days if the rows span more than ``switch_hours``, else hours. The rows are
+    read once for their newest time and once to be summed by hour; the few hourly sums are
+    written, and days are made from them if that is the unit.
     """
     latest = df.agg(F.max(ts)).scalar()
     recent = df.withColumn("__latest", latest).filter(
         F.col(ts) >= F.col("__latest") - F.make_dt_interval(days=F.lit(days)))
-    daily = recent.agg(_seconds(F.max(ts), F.min(ts)) / 3600.0 > switch_hours).scalar()
-    bucketed = recent.withColumn("__daily", daily).withColumn("bucket", F.when(
-        F.col("__daily"), F.date_trunc("day", F.col(ts))).otherwise(
-        F.date_trunc("hour", F.col(ts))))
-    counts = bucketed.groupBy("__daily", "bucket").agg(
-        F.count("*").alias("post_count"), F.avg("sentiment_score").alias("avg_sentiment"),
-        F.sum("entity_count").alias("total_entities"))
+    hours = materialize(recent.groupBy(F.date_trunc("hour", F.col(ts)).alias("hour")).agg(
+        F.count("*").alias("n"), F.sum("sentiment_score").alias("s"),
+        F.count("sentiment_score").alias("rated"), F.sum("entity_count").alias("e"),
+        F.min(ts).alias("lo"), F.max(ts).alias("hi")), "hours")
+    daily = hours.agg(_seconds(F.max("hi"), F.min("lo")) / 3600.0 > switch_hours).scalar()
+    unit = hours.withColumn("__daily", daily).withColumn("bucket", F.when(
+        F.col("__daily"), F.date_trunc("day", F.col("hour"))).otherwise(F.col("hour")))
+    counts = unit.groupBy("__daily", "bucket").agg(
+        F.sum("n").alias("post_count"),
+        F.try_divide(F.sum("s"), F.sum("rated")).alias("avg_sentiment"),
+        F.sum("e").alias("total_entities"))
     span = counts.groupBy("__daily").agg(F.min("bucket").alias("lo"), F.max("bucket").alias("hi"))
     steps = span.select(F.explode(F.when(
         F.col("__daily"), F.sequence("lo", "hi", F.expr(STEP["day"]))).otherwise(

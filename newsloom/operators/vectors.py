@@ -21,6 +21,7 @@ from pyspark.sql import types as T
 
 from newsloom.functions.vector import cosine, drift_band, euclidean
 from newsloom.operators.bounds import broadcast_if_small, rows_if_small
+from newsloom.session import materialize
 
 MAX_LOCAL_CENTROIDS = 4096  # rows; a few megabytes at some hundred dimensions
 
@@ -118,7 +119,11 @@ def drift_series(df: DataFrame, ts: str, vector: str, width: str = "4 hours",
 
 
 def flag_spikes(series: DataFrame, sigmas: float = 1.5, value: str = "drift") -> DataFrame:
-    """Adds ``is_spike``: above the mean plus ``sigmas`` population deviations."""
+    """Adds ``is_spike``: above the mean plus ``sigmas`` population deviations.
+
+    The series, one row per bucket, is read twice and therefore written.
+    """
+    series = materialize(series, "series")
     limit = series.agg(F.avg(value) + F.stddev_pop(value) * sigmas).scalar()
     return series.withColumn("__limit", limit).withColumn(
         "is_spike", F.col(value) > F.col("__limit")).drop("__limit")
