@@ -104,13 +104,10 @@ def chunks(batches: Iterable[pa.RecordBatch], columns: list[str], text: str,
 
 def flat(texts: list[str | None], split, hashes: WordHashes) -> tuple[np.ndarray, np.ndarray]:
     """Word hashes of all texts one after the other, and where each text begins (one more)."""
-    parts = [split(t) for t in texts]
+    parts = [hashes.array(split(t)) for t in texts]
     starts = np.zeros(len(parts) + 1, np.int64)
     np.cumsum([len(p) for p in parts], out=starts[1:])
-    out = np.empty(int(starts[-1]), np.uint64)
-    for part, start in zip(parts, starts):
-        out[start:start + len(part)] = hashes.array(part)
-    return out, starts
+    return np.concatenate(parts) if parts else np.empty(0, np.uint64), starts
 
 
 def valid_starts(starts: np.ndarray, size: int) -> np.ndarray:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newsloom.llm import decontamination, packing, substrings, token_files
+from newsloom.llm import decontamination, fingerprints, packing, personal_data, substrings, token_files, toxicity
 from newsloom.session import configure, scratch_path
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -56,6 +56,22 @@ def _(spark, folder):
     return token_files.read_token_files(spark, files, with_ids=False)
 
 
+@query("op2_fingerprints")
+def _(spark, folder):
+    return fingerprints.compare_edited(table(spark, folder, "documents"))
+
+
+@query("op7_personal_data")
+def _(spark, folder):
+    return personal_data.find_personal_data(table(spark, folder, "documents"))
+
+
+@query("op8_toxicity")
+def _(spark, folder):
+    docs = table(spark, folder, "documents")
+    return toxicity.score(docs, toxicity.fit(docs, table(spark, folder, "labels")))
+
+
 FOLDED = ("regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', "
           r"'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')")
 

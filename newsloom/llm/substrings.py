@@ -101,7 +101,7 @@ def repeated_paths(docs: DataFrame, window: int, doc_id: str, text: str,
     ``copy`` is a hash of the text: a document's coordinates are (doc_id, copy, start), nulls
     first. Windows of ``window`` words are the edges of a de Bruijn graph. They are dealt by their
     anchor, so a run of neighbouring edges travels as one row part; a task sends each distinct edge
-    once for about 16 MB of text, however often it occurs there. Where edges of all texts meet,
+    once for about 8 MB of text, however often it occurs there. Where edges of all texts meet,
     each takes its least coordinates as source, and neighbouring edges with neighbouring sources
     leave as one path.
     """
@@ -134,7 +134,7 @@ def repeated_paths(docs: DataFrame, window: int, doc_id: str, text: str,
                 pa.array([copies[used]], pa.list_(pa.int64())),
                 pa.array([payload], pa.binary())], sent.fieldNames())
 
-        for ids, copies, texts in chunks(typed(), ["doc_id", "copy", "text"], "text", 16 << 20):
+        for ids, copies, texts in chunks(typed(), ["doc_id", "copy", "text"], "text"):
             order = sorted(range(len(ids)), key=lambda i: (ids[i] is not None, ids[i], copies[i]))
             ids, copies = [ids[i] for i in order], np.array([copies[i] for i in order])
             values, starts = flat([texts[i] for i in order], plain_words, hashes)
