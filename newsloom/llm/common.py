@@ -6,6 +6,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
@@ -102,12 +103,60 @@ def chunks(batches: Iterable[pa.RecordBatch], columns: list[str], text: str,
         yield rows
 
 
-def flat(texts: list[str | None], split, hashes: WordHashes) -> tuple[np.ndarray, np.ndarray]:
-    """Word hashes of all texts one after the other, and where each text begins (one more)."""
-    parts = [hashes.array(split(t)) for t in texts]
-    starts = np.zeros(len(parts) + 1, np.int64)
-    np.cumsum([len(p) for p in parts], out=starts[1:])
-    return np.concatenate(parts) if parts else np.empty(0, np.uint64), starts
+def fold(text: str | None) -> bytes:
+    """The text with ``folded_words`` between spaces."""
+    return (text or "").encode().translate(_FOLD)
+
+
+def split_words(texts: list[bytes]) -> tuple[pa.Array, np.ndarray]:
+    """All texts' words (between ASCII white space), and where each text's begin (one more)."""
+    column = pc.ascii_trim_whitespace(pa.array(texts, pa.large_binary()).cast(pa.large_string()))
+    lists = pc.ascii_split_whitespace(column)
+    counts = np.diff(lists.offsets.to_numpy())
+    words = lists.flatten()
+    empty = pc.equal(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
+    if empty.any():  # to Arrow an empty text is one empty word
+        words = words.filter(pc.not_equal(pc.binary_length(words), 0))
+        counts[empty] = 0
+    return words, np.append(0, np.cumsum(counts))
+
+
+def flat(texts: list[str | None], folded: bool, hashes: WordHashes) -> tuple[np.ndarray, np.ndarray]:
+    """Word hashes of all texts one after the other, and where each text begins (one more).
+
+    The words are those of ``folded_words`` or ``plain_words``; Arrow cuts the texts, and each
+    distinct word is hashed once.
+    """
+    words, starts = split_words([fold(t) if folded else (t or "").encode() for t in texts])
+    coded = pc.dictionary_encode(words)
+    known = hashes.array(coded.dictionary.cast(pa.large_binary()).to_pylist())
+    return known[coded.indices.to_numpy()], starts
+
+
+def planes(values: np.ndarray) -> bytes:
+    """Unsigned 32-bit numbers as their low halves, then their high halves (mostly zeros)."""
+    return ((values & 0xFFFF).astype("<u2").tobytes()
+            + (values >> 16).astype("<u2").tobytes())
+
+
+def unplaned(raw: bytes, at: int, count: int) -> np.ndarray:
+    low = np.frombuffer(raw, "<u2", count, at).astype(np.int64)
+    return low | np.frombuffer(raw, "<u2", count, at + 2 * count).astype(np.int64) << 16
+
+
+def ranks(ids: pa.Array, copies: pa.Array) -> np.ndarray:
+    """Dense ranks of (id, copy), null ids first; equal pairs have equal ranks."""
+    table = pa.table({"known": pc.is_valid(ids), "id": ids, "copy": copies})
+    order = pc.sort_indices(table, sort_keys=[("known", "ascending"), ("id", "ascending"),
+                                              ("copy", "ascending")])
+    table = table.take(order)
+    a, b = table.slice(1), table.slice(0, max(0, len(table) - 1))
+    same_id = pc.if_else(pc.and_(a["known"], b["known"]), pc.fill_null(
+        pc.equal(a["id"], b["id"]), False), pc.equal(a["known"], b["known"]))
+    same = pc.and_(same_id, pc.equal(a["copy"], b["copy"])).to_numpy()
+    out = np.empty(len(table), np.int64)
+    out[order.to_numpy()] = np.append(0, np.cumsum(~same.astype(bool))) if len(table) else 0
+    return out
 
 
 def valid_starts(starts: np.ndarray, size: int) -> np.ndarray:

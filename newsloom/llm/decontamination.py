@@ -45,7 +45,7 @@ class BenchmarkWindows:
 
     def scan(self, texts: list[str | None], hashes: WordHashes):
         """For each text: (number of words, positions of hit words, ids of items)."""
-        values, starts = flat(texts, folded_words, hashes)
+        values, starts = flat(texts, True, hashes)
         covered = np.zeros(len(values) + 1, np.int64)
         items: dict[int, set[str]] = defaultdict(set)
         split: dict[int, list[bytes]] = {}

@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newsloom.llm import decontamination, fingerprints, packing, personal_data, substrings, token_files, toxicity
+from newsloom.llm import (decontamination, fingerprints, line_duplicates, near_duplicates, packing,
+                          personal_data, substrings, token_files, toxicity)
 from newsloom.session import configure, scratch_path
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -61,6 +62,16 @@ def _(spark, folder):
     return fingerprints.compare_edited(table(spark, folder, "documents"))
 
 
+@query("op5_jaccard_join")
+def _(spark, folder):
+    return near_duplicates.near_duplicates(table(spark, folder, "documents")).drop("copy")
+
+
+@query("op9_line_duplicates")
+def _(spark, folder):
+    return line_duplicates.line_report(table(spark, folder, "documents"))
+
+
 @query("op7_personal_data")
 def _(spark, folder):
     return personal_data.find_personal_data(table(spark, folder, "documents"))

@@ -7,13 +7,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from newsloom.llm.common import (WordHashes, chunks, flat, mix, plain_words, shuffle_partitions,
-                                 valid_starts, window_hashes)
+from newsloom.llm.common import (WordHashes, chunks, flat, mix, plain_words, planes, ranks,
+                                 shuffle_partitions, unplaned, valid_starts, window_hashes)
 
 ANCHOR = 8
 
@@ -68,29 +67,18 @@ def _islands(owner: np.ndarray, start: np.ndarray, shift: np.ndarray):
     return first, np.diff(np.append(first, len(start)))
 
 
-def _planes(values: np.ndarray) -> bytes:
-    """Unsigned 32-bit numbers as their low halves, then their high halves (mostly zeros)."""
-    return ((values & 0xFFFF).astype("<u2").tobytes()
-            + (values >> 16).astype("<u2").tobytes())
-
-
-def _unplaned(raw: bytes, at: int, count: int) -> np.ndarray:
-    low = np.frombuffer(raw, "<u2", count, at).astype(np.int64)
-    return low | np.frombuffer(raw, "<u2", count, at + 2 * count).astype(np.int64) << 16
-
-
 def _edge_blob(hashes, owner, start, count, windows) -> bytes:
     """Edges of the graph, by runs with one anchor; 40 bits of each window's hash."""
     return b"".join([
         np.array([len(hashes), len(windows)], "<u4").tobytes(), hashes.astype("<u8").tobytes(),
-        count.astype(np.uint8).tobytes(), _planes(owner), _planes(start),
+        count.astype(np.uint8).tobytes(), planes(owner), planes(start),
         (windows >> np.uint64(24)).astype("<u4").tobytes(),
         (windows >> np.uint64(56)).astype(np.uint8).tobytes()])
 
 
 def _path_blob(owner, start, count, source, source_start) -> bytes:
     return b"".join([np.array([len(owner)], "<u4").tobytes(),
-                     *[_planes(x) for x in (owner, start, count, source, source_start)]])
+                     *[planes(x) for x in (owner, start, count, source, source_start)]])
 
 
 def repeated_paths(docs: DataFrame, window: int, doc_id: str, text: str,
@@ -137,7 +125,7 @@ def repeated_paths(docs: DataFrame, window: int, doc_id: str, text: str,
         for ids, copies, texts in chunks(typed(), ["doc_id", "copy", "text"], "text"):
             order = sorted(range(len(ids)), key=lambda i: (ids[i] is not None, ids[i], copies[i]))
             ids, copies = [ids[i] for i in order], np.array([copies[i] for i in order])
-            values, starts = flat([texts[i] for i in order], plain_words, hashes)
+            values, starts = flat([texts[i] for i in order], False, hashes)
             first, count, marks, whole = anchors(values, starts, window, anchor)
             if not len(first):
                 continue
@@ -189,7 +177,7 @@ def repeated_paths(docs: DataFrame, window: int, doc_id: str, text: str,
             raw = raw.as_py()
             if flags[r]:
                 n = int(np.frombuffer(raw, "<u4", 1)[0])
-                part = [_unplaned(raw, 4 + 4 * n * k, n) for k in range(5)]
+                part = [unplaned(raw, 4 + 4 * n * k, n) for k in range(5)]
                 part[0] += base[r]
                 part[3] += base[r]
                 done.append(part)
@@ -200,11 +188,11 @@ def repeated_paths(docs: DataFrame, window: int, doc_id: str, text: str,
                 high = np.frombuffer(raw, np.uint8, m, at + 8 * n + 4 * m).astype(np.uint64)
                 runs.append((np.frombuffer(raw, "<u8", n, 8),
                              np.frombuffer(raw, np.uint8, n, 8 + 8 * n).astype(np.int64),
-                             _unplaned(raw, at, n) + base[r], _unplaned(raw, at + 4 * n, n),
+                             unplaned(raw, at, n) + base[r], unplaned(raw, at + 4 * n, n),
                              low | high << np.uint64(32)))
         if runs:
             marks, count, owner, start, keys = (np.concatenate(x) for x in zip(*runs))
-            rank = _ranks(ids, copies)
+            rank = ranks(ids, copies)
             at = _runs(start, count)
             with np.errstate(over="ignore"):
                 keys = mix(np.repeat(marks, count) * np.uint64(0x9E3779B97F4A7C15) + mix(keys))
@@ -245,21 +233,6 @@ def repeated_paths(docs: DataFrame, window: int, doc_id: str, text: str,
     return rows.mapInArrow(edges, sent).groupBy("bucket").applyInArrow(meet, paths)
 
 
-def _ranks(ids: pa.Array, copies: pa.Array) -> np.ndarray:
-    """Dense ranks of (id, copy), null ids first; equal pairs have equal ranks."""
-    table = pa.table({"known": pc.is_valid(ids), "id": ids, "copy": copies})
-    order = pc.sort_indices(table, sort_keys=[("known", "ascending"), ("id", "ascending"),
-                                              ("copy", "ascending")])
-    table = table.take(order)
-    a, b = table.slice(1), table.slice(0, max(0, len(table) - 1))
-    same_id = pc.if_else(pc.and_(a["known"], b["known"]), pc.fill_null(
-        pc.equal(a["id"], b["id"]), False), pc.equal(a["known"], b["known"]))
-    same = pc.and_(same_id, pc.equal(a["copy"], b["copy"])).to_numpy()
-    out = np.empty(len(table), np.int64)
-    out[order.to_numpy()] = np.append(0, np.cumsum(~same.astype(bool))) if len(table) else 0
-    return out
-
-
 def repeated_spans(docs: DataFrame, window: int = 20, doc_id: str = "doc_id",
                    text: str = "text") -> DataFrame:
     """Maximal repeated spans with their sources, in words: (doc_id, copy, start, end, source_id,
@@ -268,14 +241,15 @@ def repeated_spans(docs: DataFrame, window: int = 20, doc_id: str = "doc_id",
     Paths that continue each other in the document and in the source alike are glued: those
     neighbours are verified by their coordinates on both sides.
     """
-    paths = repeated_paths(docs, window, doc_id, text)
-    line = ["doc_id", "copy", "source_id", "source_copy"]
-    by = Window.partitionBy(*line, F.col("source_start") - F.col("start")).orderBy("start")
+    paths = repeated_paths(docs, window, doc_id, text).withColumn(
+        "shift", F.col("source_start") - F.col("start"))
+    line = ["doc_id", "copy", "source_id", "source_copy", "shift"]
+    by = Window.partitionBy(*line).orderBy("start")
     reach = F.max(F.col("start") + F.col("count")).over(
         by.rowsBetween(Window.unboundedPreceding, -1))
     marked = paths.withColumn("new", F.coalesce((F.col("start") > reach).cast("int"), F.lit(1)))
     island = marked.withColumn("island", F.sum("new").over(by))
-    return (island.groupBy(*line, (F.col("source_start") - F.col("start")).alias("shift"), "island")
+    return (island.groupBy(*line, "island")
             .agg(F.min("start").alias("start"),
                  (F.max(F.col("start") + F.col("count")) + (window - 1)).alias("end"),
                  F.min("source_start").alias("source_start"))
