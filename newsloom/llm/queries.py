@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from newsloom.llm import (decontamination, fingerprints, line_duplicates, near_duplicates, packing,
-                          personal_data, substrings, token_files, toxicity)
+                          personal_data, substrings, token_files, toxicity, transcripts)
 from newsloom.session import configure, scratch_path
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -67,6 +67,12 @@ def _(spark, folder):
     return near_duplicates.near_duplicates(table(spark, folder, "documents")).drop("copy")
 
 
+@query("op6_transcripts")
+def _(spark, folder):
+    made = transcripts.as_transcripts(table(spark, folder, "conversations"))
+    return transcripts.parse(made, transcripts.fit(made), with_text=False)
+
+
 @query("op9_line_duplicates")
 def _(spark, folder):
     return line_duplicates.line_report(table(spark, folder, "documents"))
