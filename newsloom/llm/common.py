@@ -9,6 +9,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 # A-Z in lower case, ASCII other than letters and digits as a space; the rest is part of words.
 _FOLD = bytes(
@@ -110,7 +111,7 @@ def fold(text: str | None) -> bytes:
 
 def split_words(texts: list[bytes]) -> tuple[pa.Array, np.ndarray]:
     """All texts' words (between ASCII white space), and where each text's begin (one more)."""
-    column = pc.ascii_trim_whitespace(pa.array(texts, pa.large_binary()).cast(pa.large_string()))
+    column = pc.ascii_trim_whitespace(pa.array(texts, pa.large_binary()).view(pa.large_string()))
     lists = pc.ascii_split_whitespace(column)
     counts = np.diff(lists.offsets.to_numpy())
     words = lists.flatten()
@@ -129,7 +130,7 @@ def flat(texts: list[str | None], folded: bool, hashes: WordHashes) -> tuple[np.
     """
     words, starts = split_words([fold(t) if folded else (t or "").encode() for t in texts])
     coded = pc.dictionary_encode(words)
-    known = hashes.array(coded.dictionary.cast(pa.large_binary()).to_pylist())
+    known = hashes.array(coded.dictionary.view(pa.large_binary()).to_pylist())
     return known[coded.indices.to_numpy()], starts
 
 
@@ -178,14 +179,19 @@ def shuffle_partitions(spark: SparkSession, df: DataFrame | None = None,
     return max(least, min(size // target, 1 << 20)) if size < 1 << 60 else least
 
 
-def tie_free(names: Iterable[str], taken: Iterable[str]) -> dict[str, str]:
-    """Names for helper columns that clash with none of ``taken``."""
-    used = set(taken)
-    out = {}
-    for name in names:
-        new = name
-        while new in used:
-            new = "_" + new
-        used.add(new)
-        out[name] = new
-    return out
+def may_contain(df: DataFrame, key: str, members: DataFrame, bits: int = 25) -> DataFrame:
+    """``df`` with ``__may``: false only where no row of ``members`` has the 64-bit hash ``key``.
+
+    The members' hashes set bits of a bitmap of fixed size (4 MB), which is broadcast in parts of
+    4 KB. It keeps rows that cannot match out of a shuffle; those that may still go through it.
+    """
+    place = F.pmod(F.col(key), F.lit(1 << bits)) + 1
+    parts = members.select(place.alias("__p")).groupBy(
+        F.bitmap_bucket_number("__p").alias("__part")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position("__p")).alias("__bits"))
+    both = df.withColumn("__p", place).join(
+        F.broadcast(parts), F.bitmap_bucket_number("__p") == F.col("__part"), "left")
+    at = F.bitmap_bit_position("__p")
+    byte = F.conv(F.hex(F.substring("__bits", (F.floor(at / 8) + 1).cast("int"), F.lit(1))), 16, 10)
+    hit = F.floor(byte.cast("long") / F.pow(F.lit(2), at % 8)) % 2 == 1
+    return both.withColumn("__may", F.coalesce(hit, F.lit(False))).drop("__p", "__part", "__bits")

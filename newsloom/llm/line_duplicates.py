@@ -13,8 +13,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from newsloom.llm.common import (WordHashes, chunks, flat, fold, mix, planes, ranks,
-                                 shuffle_partitions, split_words, unplaned)
+from newsloom.llm.common import (WordHashes, chunks, flat, fold, may_contain, mix, planes,
+                                 ranks, shuffle_partitions, split_words, unplaned)
 from newsloom.llm.components import components
 from newsloom.llm.near_duplicates import block_pairs
 from newsloom.session import materialize
@@ -38,7 +38,7 @@ def frequent_words(docs: DataFrame, text: str) -> dict[int, int]:
             names, counts = found.field(0), found.field(1)
             keep = pc.greater_equal(counts, max(2, len(words) // FREQUENT))
             yield pa.RecordBatch.from_arrays(
-                [names.filter(keep).cast(pa.binary()), counts.filter(keep).cast(pa.int64())],
+                [names.filter(keep).view(pa.large_binary()).cast(pa.binary()), counts.filter(keep).cast(pa.int64())],
                 schema.fieldNames())
 
     parts = docs.select(F.col(text).alias("text")).mapInArrow(count, schema)
@@ -59,10 +59,11 @@ def _sets(values, starts, places):
     names, place = places
     at = np.minimum(np.searchsorted(names, values), max(0, len(names) - 1))
     known = names[at] == values if len(names) else np.zeros(len(values), bool)
-    keys = values >> np.uint64(16)
+    keys = values >> np.uint64(21)  # 43 bits of a rare word's hash, a frequent word's place
     if len(names):
-        keys = keys | np.where(known, place[at], 0).astype(np.uint64) << np.uint64(48)
-    order = np.lexsort((keys, owner))
+        keys = np.where(known, np.uint64(1 << 43) + place[at].astype(np.uint64), keys)
+    order = np.argsort(owner.astype(np.uint64) << np.uint64(44) | keys) if len(starts) <= 1 << 20 \
+        else np.lexsort((keys, owner))
     keys, owner = keys[order], owner[order]
     new = np.append(True, (keys[1:] != keys[:-1]) | (owner[1:] != owner[:-1])) if len(keys) else \
         np.zeros(0, bool)
@@ -179,9 +180,11 @@ def _candidates(postings: DataFrame, threshold: float) -> DataFrame:
         if rows:
             marks, bits, words, owner, line, sizes, place = (np.concatenate(x) for x in zip(*rows))
             rank = ranks(ids, copies)[owner] << 32 | line
-            order = np.lexsort((rank, bits, marks, words))
+            order = np.lexsort((rank, words << 31 | (marks >> np.uint64(33)).astype(np.int64)))
             marks, bits, words, owner, line, sizes, place, rank = (
                 x[order] for x in (marks, bits, words, owner, line, sizes, place, rank))
+            # Sets whose marks differ in their last bits only may stand between equal ones, which
+            # are then candidates of each other.
             same = np.append(False, (words[1:] == words[:-1]) & (marks[1:] == marks[:-1])
                              & (bits[1:] == bits[:-1]))
             lead = np.maximum.accumulate(np.where(same, 0, np.arange(len(same))))
@@ -312,25 +315,33 @@ def repeated_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     firsts = linked.groupBy("u").agg(F.min(order).alias("at"), F.first("n").alias("n"))
     firsts = materialize(firsts.join(roots, F.col("u") == F.col("node")).select(
         "node", "root", "n", "at.doc_id", "at.copy", "at.line"), "line-sets")
-    texts = rows.select(F.col("doc_id").alias("d"), F.col("copy").alias("c"), "text")
+    texts = may_contain(rows, "copy", firsts).filter("__may").select(
+        F.col("doc_id").alias("d"), F.col("copy").alias("c"), "text")
     lines = firsts.join(texts, firsts["doc_id"].eqNullSafe(texts["d"])
                         & (firsts["copy"] == texts["c"])).select(
         "node", "root", "n", "doc_id", "copy", "line",
         F.get(F.split("text", "\n"), F.col("line").cast("int")).alias("text"))
     lines = materialize(lines, "line-texts")
-    near = _verified(block_pairs(lines, block, threshold), threshold)
-    return sure.unionByName(near).groupBy("doc_id", "copy").agg(
-        F.collect_set("line").alias("lines"))
+    near = _verified(block_pairs(lines.drop("text"), block, threshold).join(
+        lines.select("node", "text"), "node"), threshold)
+    return materialize(sure.unionByName(near).groupBy("doc_id", "copy").agg(
+        F.collect_set("line").alias("lines")), "lines")
 
 
 def _kept(docs: DataFrame, doc_id: str, text: str, threshold: float) -> tuple[DataFrame, str]:
-    """The rows with a column of line numbers to remove, and that column's name."""
+    """The rows with a column of line numbers to remove, and that column's name.
+
+    Only rows that may lose lines are shuffled.
+    """
     gone = repeated_lines(docs, doc_id, text, threshold).select(
         F.col("doc_id").alias("__d"), F.col("copy").alias("__c"), F.col("lines").alias("__lines"))
-    marked = docs.withColumn("__copy", F.xxhash64(text))
-    return marked.join(gone, marked[doc_id].eqNullSafe(gone["__d"])
-                       & (marked["__copy"] == gone["__c"]), "left").drop(
-        "__copy", "__d", "__c"), "__lines"
+    marked = may_contain(docs.withColumn("__copy", F.xxhash64(text)), "__copy",
+                         gone.select(F.col("__c").alias("__copy")))
+    some = marked.filter("__may")
+    some = some.join(gone, some[doc_id].eqNullSafe(gone["__d"])
+                     & (some["__copy"] == gone["__c"]), "left").drop("__d", "__c")
+    rest = marked.filter("NOT __may").withColumn("__lines", F.lit(None).cast("array<bigint>"))
+    return some.unionByName(rest).drop("__copy", "__may"), "__lines"
 
 
 def drop_repeated_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from newsloom.llm.common import (WordHashes, chunks, flat, folded_words, mix, shuffle_partitions,
+from newsloom.llm.common import (WordHashes, chunks, flat, may_contain, mix, shuffle_partitions,
                                  window_hashes)
 from newsloom.llm.components import components
 from newsloom.session import materialize
@@ -296,8 +296,11 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         found, F.col("short") == found["node"]).select(
         nodes["node"], "root", "n", "copies", F.col("first.doc_id").alias("doc_id"),
         F.col("first.copy").alias("copy"))
-    texts = docs.select(F.col(doc_id).alias("d"), F.xxhash64(text).alias("c"),
+    grouped = materialize(grouped, "near-grouped")
+    texts = docs.select(F.col(doc_id).alias("d"), F.xxhash64(text).alias("copy"),
                         F.col(text).alias("text"))
+    texts = may_contain(texts, "copy", grouped).filter("__may").select(
+        "d", F.col("copy").alias("c"), "text")
     # Copies of one row would meet twice in a block: one of them is enough.
     involved = grouped.join(texts, grouped["doc_id"].eqNullSafe(texts["d"])
                             & (grouped["copy"] == texts["c"])).groupBy(

@@ -11,8 +11,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from newsloom.llm.common import (WordHashes, chunks, flat, mix, plain_words, planes, ranks,
-                                 shuffle_partitions, unplaned, valid_starts, window_hashes)
+from newsloom.llm.common import (WordHashes, chunks, flat, may_contain, mix, plain_words,
+                                 planes, ranks, shuffle_partitions, unplaned, valid_starts,
+                                 window_hashes)
+from newsloom.session import materialize
 
 ANCHOR = 8
 
@@ -257,15 +259,23 @@ def repeated_spans(docs: DataFrame, window: int = 20, doc_id: str = "doc_id",
 
 
 def _join_spans(docs: DataFrame, window: int, doc_id: str, text: str) -> DataFrame:
-    """(doc_id, text, starts, ends): each row with its document's repeated spans."""
+    """(doc_id, text, starts, ends): each row with its document's repeated spans.
+
+    Only rows that may have some are shuffled.
+    """
     spans = repeated_spans(docs, window, doc_id, text)
-    listed = spans.groupBy(F.col("doc_id").alias("d"), F.col("copy").alias("c")).agg(
-        F.collect_list("start").alias("starts"), F.collect_list("end").alias("ends"))
+    listed = materialize(spans.groupBy(F.col("doc_id").alias("d"), F.col("copy").alias("c")).agg(
+        F.collect_list("start").alias("starts"), F.collect_list("end").alias("ends")), "spans")
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"),
                        F.xxhash64(text).alias("copy"))
-    return rows.join(listed, rows["doc_id"].eqNullSafe(listed["d"])
-                     & (rows["copy"] == listed["c"]), "left").select(
-        "doc_id", "text", "starts", "ends")
+    rows = may_contain(rows, "copy", listed.select(F.col("c").alias("copy")))
+    some = rows.filter("__may")
+    some = some.join(listed, some["doc_id"].eqNullSafe(listed["d"])
+                     & (some["copy"] == listed["c"]), "left")
+    none = F.lit(None).cast("array<bigint>")
+    rest = rows.filter("NOT __may").withColumn("starts", none).withColumn("ends", none)
+    columns = ["doc_id", "text", "starts", "ends"]
+    return some.select(columns).unionByName(rest.select(columns))
 
 
 def remove_repeats(docs: DataFrame, window: int = 20, doc_id: str = "doc_id",
