@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,14 +11,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from newsloom.llm.common import (WordHashes, chunks, flat, fold, may_contain, mix, planes,
-                                 ranks, shuffle_partitions, split_words, unplaned)
-from newsloom.llm.components import components
-from newsloom.llm.near_duplicates import block_pairs
+from newsloom.llm.common import (WordHashes, chunks, flat, fold, folded_words,
+                                 may_contain, mix, planes, ranks, shuffle_partitions, split_words,
+                                 unplaned)
 from newsloom.session import materialize
 
 THRESHOLD = 0.8
 FREQUENT = 10_000  # a word with this part of all words' occurrences, or more, is frequent
+FEW = 16           # candidates of a set in a bucket that are all kept
 
 
 def frequent_words(docs: DataFrame, text: str) -> dict[int, int]:
@@ -71,6 +69,13 @@ def _sets(values, starts, places):
     return keys, np.append(0, np.cumsum(np.bincount(owner, minlength=len(starts) - 1))), owner
 
 
+def _tallies(parts: np.ndarray, owner: np.ndarray, count: int) -> np.ndarray:
+    """How many of a line's words fall into each of 32 hashed parts, modulo 16: two in a byte."""
+    each = np.bincount(owner * 32 + parts.astype(np.int64), minlength=count * 32)
+    each = (each & 15).astype(np.uint8).reshape(count, 32)
+    return each[:, :16] | each[:, 16:] << 4
+
+
 def _postings(docs: DataFrame, threshold: float, buckets: int, frequent: dict[int, int]) -> DataFrame:
     """Prefix words of each distinct line of about 8 MB of text, dealt by the word, packed.
 
@@ -114,9 +119,8 @@ def _postings(docs: DataFrame, threshold: float, buckets: int, frequent: dict[in
                 continue
             with np.errstate(over="ignore"):
                 marks = np.add.reduceat(mix(keys), at[some])
-            bits = np.bitwise_xor.reduceat(
-                np.uint64(1) << (mix(keys) >> np.uint64(58)), at[some])
-            _, first = np.unique(np.stack((marks, bits), axis=1), axis=0, return_index=True)
+            tallies = _tallies(mix(keys) >> np.uint64(59), owner, len(starts) - 1)[some]
+            _, first = np.unique(marks, return_index=True)
             fresh = np.zeros(len(some), bool)
             fresh[first] = True
             late = some[~fresh]
@@ -133,28 +137,35 @@ def _postings(docs: DataFrame, threshold: float, buckets: int, frequent: dict[in
             words = mix(keys[at[kept][which] + place])
             target = words % np.uint64(buckets)
             order = np.argsort(target, kind="stable")
-            marks, bits = marks[fresh], bits[fresh]
+            marks, tallies = marks[fresh], tallies[fresh]
             for part in np.split(order, np.flatnonzero(np.diff(target[order])) + 1):
                 w = which[part]
                 used, name = np.unique(document[kept[w]], return_inverse=True)
                 yield row(int(target[part[0]]), False, ids, copies, used, b"".join([
-                    np.array([len(part)], "<u4").tobytes(), marks[w].tobytes(), bits[w].tobytes(),
+                    np.array([len(part)], "<u4").tobytes(), marks[w].tobytes(), tallies[w].tobytes(),
                     (words[part] >> np.uint64(32)).astype("<u4").tobytes(), planes(name),
                     planes(line[kept[w]]), planes(sizes[kept[w]]), planes(place[part])]))
 
     return docs.mapInArrow(deal, sent)
 
 
-def _candidates(postings: DataFrame, threshold: float) -> DataFrame:
-    """Removed lines (``u`` null) and candidate sets: (doc_id, copy, line, n, u, v).
+def _candidates(postings: DataFrame, threshold: float, only: np.ndarray | None = None) -> DataFrame:
+    """Removed lines (``set`` null) and candidates: (doc_id, copy, line, set, other, apart, more,
+    other_id, other_copy, other_line).
 
-    Where the postings of a word meet, equal sets keep their first line. Pairs that the filters by
-    length, position and bitmap leave are candidates; of their graph only a spanning forest (u, v)
-    leaves, with each set's first line and number of words.
+    Where the postings of a word meet, equal sets keep their first line. A pair that the filters by
+    length, position and tallies leave is a candidate for its later set. A set with more
+    than ``FEW`` candidates in a bucket gets the two with the nearest tallies (``apart``) from it,
+    and ``more`` counts the others there. With ``only``, a bitmap of sets' marks, those sets get all their candidates.
     """
     kind = postings.schema["ids"].dataType.elementType
-    schema = T.StructType([T.StructField("doc_id", kind)] + [
-        T.StructField(n, T.LongType()) for n in ("copy", "line", "n", "u", "v")])
+    long = T.LongType()
+    schema = T.StructType(
+        [T.StructField("doc_id", kind), T.StructField("copy", long), T.StructField("line", long),
+         T.StructField("set", long), T.StructField("other", long),
+         T.StructField("apart", T.DoubleType()), T.StructField("more", long),
+         T.StructField("other_id", kind), T.StructField("other_copy", long),
+         T.StructField("other_line", long)])
 
     def meet(table: pa.Table) -> pa.Table:
         ids = table.column("ids").combine_chunks()
@@ -162,7 +173,7 @@ def _candidates(postings: DataFrame, threshold: float) -> DataFrame:
         lengths = np.diff(ids.offsets.to_numpy())
         ids, copies = ids.flatten(), copies.flatten()
         base = np.cumsum(lengths) - lengths
-        gone, rows = [], []
+        gone, rows = [(np.zeros(0, np.int64),) * 2], []
         for r, (removed, raw) in enumerate(zip(table.column("removed").to_pylist(),
                                                table.column("payload"))):
             raw = raw.as_py()
@@ -170,59 +181,69 @@ def _candidates(postings: DataFrame, threshold: float) -> DataFrame:
             if removed:
                 gone.append((unplaned(raw, 4, n) + base[r], unplaned(raw, 4 + 4 * n, n)))
             else:
-                at = 4 + 20 * n
+                at = 4 + 28 * n
                 rows.append((
-                    np.frombuffer(raw, "<u8", n, 4), np.frombuffer(raw, "<u8", n, 4 + 8 * n),
-                    np.frombuffer(raw, "<u4", n, 4 + 16 * n).astype(np.int64),
+                    np.frombuffer(raw, "<u8", n, 4),
+                    np.frombuffer(raw, np.uint8, 16 * n, 4 + 8 * n).reshape(n, 16),
+                    np.frombuffer(raw, "<u4", n, 4 + 24 * n).astype(np.int64),
                     unplaned(raw, at, n) + base[r],
                     *[unplaned(raw, at + 4 * n * k, n) for k in (1, 2, 3)]))
-        out = [(o, x, np.zeros(len(o), np.int64), None, None) for o, x in gone]
+        late = early = np.zeros(0, np.int64)
+        apart, more = np.zeros(0), late
+        marks, owner, line = np.zeros(0, np.uint64), late, late
         if rows:
-            marks, bits, words, owner, line, sizes, place = (np.concatenate(x) for x in zip(*rows))
+            marks, tallies, words, owner, line, sizes, place = (
+                np.concatenate(x) for x in zip(*rows))
             rank = ranks(ids, copies)[owner] << 32 | line
             order = np.lexsort((rank, words << 31 | (marks >> np.uint64(33)).astype(np.int64)))
-            marks, bits, words, owner, line, sizes, place, rank = (
-                x[order] for x in (marks, bits, words, owner, line, sizes, place, rank))
+            marks, tallies, words, owner, line, sizes, place, rank = (
+                x[order] for x in (marks, tallies, words, owner, line, sizes, place, rank))
             # Sets whose marks differ in their last bits only may stand between equal ones, which
             # are then candidates of each other.
             same = np.append(False, (words[1:] == words[:-1]) & (marks[1:] == marks[:-1])
-                             & (bits[1:] == bits[:-1]))
+                             & (tallies[1:] == tallies[:-1]).all(axis=1))
             lead = np.maximum.accumulate(np.where(same, 0, np.arange(len(same))))
-            late = same & (place == 0) & (rank > rank[lead])  # each set has one rarest word
-            out.append((owner[late], line[late], np.zeros(late.sum(), np.int64), None, None))
-            keep = ~same
-            order = np.flatnonzero(keep)
+            again = same & (place == 0) & (rank > rank[lead])  # a set has one rarest word
+            gone.append((owner[again], line[again]))
+            order = np.flatnonzero(~same)
             order = order[np.lexsort((sizes[order], words[order]))]
-            a, b = _similar(words[order], sizes[order], place[order], bits[order], threshold)
-            if len(a):
-                a, b = order[a], order[b]
-                nodes, first, local = np.unique(
-                    marks[np.concatenate((a, b))].view(np.int64), return_index=True,
-                    return_inverse=True)
-                parent = _forest(local[:len(a)], local[len(a):], len(nodes))
-                at = np.concatenate((a, b))[first]
-                out.append((owner[at], line[at], sizes[at], nodes, nodes[parent]))
-        columns = [np.concatenate([o[k] for o in out]) for k in range(3)] if out else [
-            np.zeros(0, np.int64)] * 3
-        edges = [pa.array(np.concatenate([
-            np.zeros(len(o[0]), np.int64) if o[3] is None else o[k] for o in out]) if out else
-            np.zeros(0, np.int64), mask=np.concatenate([
-                np.full(len(o[0]), o[3] is None) for o in out]) if out else None) for k in (3, 4)]
-        take = pa.array(columns[0])
-        return pa.table({"doc_id": ids.take(take), "copy": copies.take(take), "line": columns[1],
-                         "n": columns[2], "u": edges[0], "v": edges[1]})
+            chosen = None if only is None else only[
+                (marks[order] & np.uint64(len(only) - 1)).astype(np.int64)]
+            late, early, apart, more = _similar(
+                words[order], sizes[order], place[order], tallies[order], rank[order], threshold,
+                chosen)
+            late, early = order[late], order[early]
+        holders, lines = (np.concatenate(x) for x in zip(*gone))
+        n, m = len(holders), len(late)
+        empty = np.append(np.ones(n, bool), np.zeros(m, bool))
+
+        def known(values, kind):
+            return pa.array(np.append(np.zeros(n, values.dtype), values).astype(kind), mask=empty)
+
+        other = pa.array(np.append(np.zeros(n, np.int64), owner[early]), mask=empty)
+        mine = pa.array(np.append(holders, owner[late]))
+        return pa.table([
+            ids.take(mine), copies.take(mine), pa.array(np.append(lines, line[late])),
+            known(marks[late].view(np.int64), np.int64), known(marks[early].view(np.int64), np.int64),
+            known(apart, np.float64), known(more, np.int64), ids.take(other), copies.take(other),
+            known(line[early], np.int64)], names=schema.fieldNames())
 
     return postings.groupBy("bucket").applyInArrow(meet, schema)
 
 
-def _similar(words, sizes, place, bits, threshold):
-    """Pairs of postings of one word, ordered by size, that pass the filters.
+def _similar(words, sizes, place, tallies, rank, threshold, chosen):
+    """Candidate pairs of postings of one word, ordered by size: (later, earlier, apart, more).
 
     Length: the smaller set has ``threshold`` of the larger one's size. Position: the words after
-    the shared one must suffice for the needed overlap. Bitmap: the parities of the words' hashed
-    bits differ at most as often as the words do.
+    the shared one must suffice for the needed overlap. Tallies: the words' numbers in hashed parts
+    differ by no more than the sets do. Of a set with more than ``FEW`` pairs only the best two are
+    kept as the pairs go by, unless ``chosen`` marks the sets all of whose pairs are wanted.
     """
-    found = [], []
+    counts = np.concatenate((tallies & 15, tallies >> 4), axis=1).astype(np.int8)
+    best = np.full((2, len(words)), np.inf)
+    partner = np.full((2, len(words)), -1)
+    count = np.zeros(len(words), np.int64)
+    everything = [], [], []
     left = np.arange(len(words))
     shift = 1
     while True:
@@ -234,64 +255,87 @@ def _similar(words, sizes, place, bits, threshold):
             break
         total = sizes[left] + sizes[right]
         needed = np.ceil(threshold / (1 + threshold) * total - 1e-9).astype(np.int64)
-        most = 1 + np.minimum(place[left], place[right]) + np.minimum(
-            sizes[left] - place[left], sizes[right] - place[right]) - 1
+        most = np.minimum(place[left], place[right]) + np.minimum(
+            sizes[left] - place[left], sizes[right] - place[right])
         good = most >= needed
-        good &= np.bitwise_count(bits[left] ^ bits[right]) <= total - 2 * needed
-        found[0].append(left[good])
-        found[1].append(right[good])
+        a, b, allowed, total = left[good], right[good], (total - 2 * needed)[good], total[good]
+        apart = np.abs(counts[a] - counts[b])
+        differ = np.minimum(apart, 16 - apart).sum(axis=1, dtype=np.int64)
+        good = differ <= allowed
+        a, b, score = a[good], b[good], differ[good] / total[good]
+        for own, lates, earlies in ((rank[a] > rank[b], a, b), (rank[a] < rank[b], b, a)):
+            late, early, s = lates[own], earlies[own], score[own]  # each set once on a side
+            if chosen is not None:
+                keep = chosen[late]
+                for kept, x in zip(everything, (late[keep], early[keep], s[keep])):
+                    kept.append(x)
+                continue
+            count[late] += 1
+            first = s < best[0, late]
+            k = late[first]
+            best[1, k], partner[1, k] = best[0, k], partner[0, k]
+            best[0, k], partner[0, k] = s[first], early[first]
+            second = ~first & (s < best[1, late])
+            k = late[second]
+            best[1, k], partner[1, k] = s[second], early[second]
         shift += 1
-    return [np.concatenate(f) if f else np.zeros(0, np.int64) for f in found]
-
+    if chosen is not None:
+        late, early, s = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in everything)
+        return late, early, s.astype(float), np.zeros(len(late), np.int64)
+    few = (count > 2) & (count <= FEW)
+    late, early, apart, more = _similar(
+        words, sizes, place, tallies, rank, threshold, few) if few.any() else (
+        np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64))
+    partner[:, few] = -1
+    rest = np.concatenate([np.flatnonzero(p >= 0) for p in partner])
+    slot = np.concatenate([np.full((p >= 0).sum(), k) for k, p in enumerate(partner)])
+    return (np.append(late, rest), np.append(early, partner[slot, rest]),
+            np.append(apart, best[slot, rest]), np.append(more, np.maximum(count[rest] - 2, 0)))
+
+
+def _verified(pairs: DataFrame, lines: DataFrame, threshold: float) -> DataFrame:
+    """The sets of ``pairs`` (set, other) that are similar by their lines' words: (set)."""
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for a, b in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+                x, y = set(folded_words(a)), set(folded_words(b))
+                common = len(x & y)
+                keep.append(common >= threshold * (len(x) + len(y) - common) - 1e-9)
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(keep, pa.bool_()))],
+                                             ["set"])
+
+    mine = lines.select(F.col("mark").alias("m"), F.col("text").alias("a"))
+    others = lines.select(F.col("mark").alias("o"), F.col("text").alias("b"))
+    both = pairs.join(mine, F.col("set") == F.col("m")).join(others, F.col("other") == F.col("o"))
+    return both.select("set", "a", "b").mapInArrow(verify, "set long").distinct()
+
+
+def _texts(rows: DataFrame, sets: DataFrame) -> DataFrame:
+    """(mark, text) of sets by the place of a line (mark, doc_id, copy, line)."""
+    texts = may_contain(rows, "copy", sets).filter("__may").select(
+        F.col("doc_id").alias("d"), F.col("copy").alias("c"), "text")
+    found = sets.join(texts, sets["doc_id"].eqNullSafe(texts["d"]) & (sets["copy"] == texts["c"]))
+    return materialize(found.select("mark", F.get(
+        F.split("text", "\n"), F.col("line").cast("int")).alias("text")).dropDuplicates(["mark"]),
+        "line-texts")
 
-def _forest(a: np.ndarray, b: np.ndarray, count: int) -> np.ndarray:
-    """For each node the least node of its component."""
-    parent = np.arange(count)
-    while True:
-        low = np.minimum(parent[a], parent[b])
-        before = parent.copy()
-        np.minimum.at(parent, a, low)
-        np.minimum.at(parent, b, low)
-        np.minimum.at(parent, before[a], low)
-        np.minimum.at(parent, before[b], low)
-        parent = parent[parent]
-        if (parent == before).all():
-            return parent
-
-
-def _verified(rows: DataFrame, threshold: float) -> DataFrame:
-    """Lines of block pairs that are similar to an earlier line of theirs: (doc_id, copy, line)."""
-    schema = T.StructType([rows.schema["doc_id"], T.StructField("copy", T.LongType()),
-                           T.StructField("line", T.LongType())])
-
-    def verify(table: pa.Table) -> pa.Table:
-        values, starts = flat(table.column("text").to_pylist(), True, WordHashes())
-        sets = [np.unique(values[a:b]) for a, b in zip(starts[:-1], starts[1:])]
-        names, local = np.unique(np.concatenate(sets), return_inverse=True)
-        sizes = np.array([len(s) for s in sets])
-        ends = np.cumsum(sizes)
-        rank = ranks(table.column("doc_id").combine_chunks(),
-                     table.column("copy").combine_chunks()) << 32 | table.column("line").to_numpy()
-        sides = np.array([-1 if s is None else s for s in table.column("side").to_pylist()])
-        member = np.zeros(len(names), bool)
-        late = np.zeros(len(sets), bool)
-        for i in range(len(sets)):
-            other = ((rank > rank[i]) & ~late & ((sides < 0) | (sides != sides[i]))
-                     & (np.minimum(sizes, sizes[i]) >= threshold * np.maximum(sizes, sizes[i]) - 1e-9))
-            if not other.any():
-                continue
-            own = local[ends[i] - sizes[i]:ends[i]]
-            member[own] = True
-            common = np.add.reduceat(member[local].astype(np.int64), ends - sizes)
-            member[own] = False
-            late |= other & (common >= threshold * (sizes + sizes[i] - common) - 1e-9)
-        return table.select(["doc_id", "copy", "line"]).filter(pa.array(late))
 
-    return rows.groupBy("pair").applyInArrow(verify, schema)
+def _bitmap(sets: DataFrame, bits: int = 25) -> np.ndarray:
+    """The low bits of the sets' marks, as a bitmap of fixed size."""
+    low = F.col("set").bitwiseAND((1 << bits) - 1)
+    parts = sets.select((low + 1).alias("p")).groupBy(F.bitmap_bucket_number("p").alias("part")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("bits"))
+    out = np.zeros(1 << bits, bool)
+    for part, raw in parts.collect():  # 4 MB at most
+        size = 8 * len(raw)
+        out[(part - 1) * size:part * size] = np.unpackbits(
+            np.frombuffer(bytes(raw), np.uint8), bitorder="little")
+    return out
 
 
 def repeated_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
-                   threshold: float = THRESHOLD, block: int = 512) -> DataFrame:
+                   threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, copy, lines): numbers from 0 of the lines that are similar to an earlier line.
 
     Lines are parts between line breaks, as sets of ``folded_words``. A line goes if the Jaccard
@@ -299,8 +343,10 @@ def repeated_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     ``threshold``; whether that line itself goes does not count. A line without words stays.
 
     Each set of lines is represented by its first line. Sets share one of their rarest words (the
-    prefix filter); those that pass the filters of ``_similar`` are joined to components, cut into
-    block pairs of bounded size and verified by their words, so no pairs travel.
+    prefix filter); pairs that pass the filters of ``_similar`` are candidates. One similar earlier
+    set is enough: each set is verified by its words against its best candidate, the rest against
+    the others that were kept, and sets that are left and had more against all of them, in a second
+    pass over the postings. So a group of n similar lines gives of the order of n pairs.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("copy"),
@@ -308,26 +354,34 @@ def repeated_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     buckets = 4 * shuffle_partitions(spark, docs, 32 << 20)
     postings = _postings(rows, threshold, buckets, frequent_words(docs, text))
     found = materialize(_candidates(postings, threshold), "line-candidates")
-    sure = found.filter("u IS NULL").select("doc_id", "copy", "line")
-    linked = found.filter("u IS NOT NULL")
-    roots = components(linked.select("u", "v"))
-    order = F.struct(F.col("doc_id").isNotNull().alias("known"), "doc_id", "copy", "line")
-    firsts = linked.groupBy("u").agg(F.min(order).alias("at"), F.first("n").alias("n"))
-    firsts = materialize(firsts.join(roots, F.col("u") == F.col("node")).select(
-        "node", "root", "n", "at.doc_id", "at.copy", "at.line"), "line-sets")
-    texts = may_contain(rows, "copy", firsts).filter("__may").select(
-        F.col("doc_id").alias("d"), F.col("copy").alias("c"), "text")
-    lines = firsts.join(texts, firsts["doc_id"].eqNullSafe(texts["d"])
-                        & (firsts["copy"] == texts["c"])).select(
-        "node", "root", "n", "doc_id", "copy", "line",
-        F.get(F.split("text", "\n"), F.col("line").cast("int")).alias("text"))
-    lines = materialize(lines, "line-texts")
-    near = _verified(block_pairs(lines.drop("text"), block, threshold).join(
-        lines.select("node", "text"), "node"), threshold)
+    pairs = found.filter("set IS NOT NULL")
+    done = _settle(rows, pairs, threshold)
+    left = pairs.filter("more > 0").select("set").join(done, "set", "left_anti").distinct()
+    left = materialize(left, "lines-left")
+    if left.take(1):
+        rest = _candidates(postings, threshold, _bitmap(left)).filter("set IS NOT NULL")
+        rest = materialize(rest.join(left, "set", "left_semi"), "line-candidates")
+        done = done.unionByName(_settle(rows, rest, threshold))
+        pairs = pairs.unionByName(rest)
+    near = pairs.join(done.distinct(), "set", "left_semi").select("doc_id", "copy", "line")
+    sure = found.filter("set IS NULL").select("doc_id", "copy", "line")
     return materialize(sure.unionByName(near).groupBy("doc_id", "copy").agg(
         F.collect_set("line").alias("lines")), "lines")
 
 
+def _settle(rows: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame:
+    """The sets of ``pairs`` that have a similar candidate: the best one first, then the others."""
+    place = ["doc_id", "copy", "line"]
+    sets = pairs.select(F.col("set").alias("mark"), *place).unionByName(pairs.select(
+        F.col("other").alias("mark"), F.col("other_id").alias("doc_id"),
+        F.col("other_copy").alias("copy"), F.col("other_line").alias("line")))
+    lines = _texts(rows, materialize(sets.dropDuplicates(["mark"]), "line-sets"))
+    best = pairs.groupBy("set").agg(F.min_by("other", F.struct("apart", "other")).alias("other"))
+    first = materialize(_verified(best, lines, threshold), "lines-done")
+    others = pairs.select("set", "other").join(first, "set", "left_anti").distinct()
+    return first.unionByName(materialize(_verified(others, lines, threshold), "lines-done"))
+
+
 def _kept(docs: DataFrame, doc_id: str, text: str, threshold: float) -> tuple[DataFrame, str]:
     """The rows with a column of line numbers to remove, and that column's name.
 
