@@ -18,7 +18,8 @@ from newsloom.session import materialize
 
 THRESHOLD = 0.8
 FREQUENT = 10_000  # a word with this part of all words' occurrences, or more, is frequent
-FEW = 16           # candidates of a set in a bucket that are all kept
+FEW = 64           # candidates of a set in a bucket that are all kept
+MOST_HELD = 2_000_000  # pairs held at once; beyond it, those of sets with more than ``FEW`` go
 
 
 def frequent_words(docs: DataFrame, text: str) -> dict[int, int]:
@@ -240,12 +241,13 @@ def _similar(words, sizes, place, tallies, rank, threshold, chosen):
     kept as the pairs go by, unless ``chosen`` marks the sets all of whose pairs are wanted.
     """
     counts = np.concatenate((tallies & 15, tallies >> 4), axis=1).astype(np.int8)
-    best = np.full((2, len(words)), np.inf)
-    partner = np.full((2, len(words)), -1)
-    count = np.zeros(len(words), np.int64)
-    everything = [], [], []
     left = np.arange(len(words))
-    shift = 1
+    if chosen is not None:
+        wanted = np.unique(words[chosen])
+        left = left[np.isin(words, wanted)]
+    # The smaller set has the word among fewer of its rarest words still.
+    left = left[place[left] < prefix_length(sizes[left], 2 * threshold / (1 + threshold))]
+    found, held, shift = [], 0, 1
     while True:
         left = left[left + shift < len(words)]
         right = left + shift
@@ -253,44 +255,49 @@ def _similar(words, sizes, place, tallies, rank, threshold, chosen):
         left, right = left[ok], right[ok]  # sizes rise: a pair that fails has no longer partner
         if not len(left):
             break
+        shift += 1
         total = sizes[left] + sizes[right]
         needed = np.ceil(threshold / (1 + threshold) * total - 1e-9).astype(np.int64)
-        most = np.minimum(place[left], place[right]) + np.minimum(
-            sizes[left] - place[left], sizes[right] - place[right])
-        good = most >= needed
-        a, b, allowed, total = left[good], right[good], (total - 2 * needed)[good], total[good]
+        good = np.minimum(place[left], place[right]) + np.minimum(
+            sizes[left] - place[left], sizes[right] - place[right]) >= needed
+        if not good.any():
+            continue
+        a, b, allowed = left[good], right[good], (total - 2 * needed)[good]
         apart = np.abs(counts[a] - counts[b])
         differ = np.minimum(apart, 16 - apart).sum(axis=1, dtype=np.int64)
         good = differ <= allowed
-        a, b, score = a[good], b[good], differ[good] / total[good]
-        for own, lates, earlies in ((rank[a] > rank[b], a, b), (rank[a] < rank[b], b, a)):
-            late, early, s = lates[own], earlies[own], score[own]  # each set once on a side
-            if chosen is not None:
-                keep = chosen[late]
-                for kept, x in zip(everything, (late[keep], early[keep], s[keep])):
-                    kept.append(x)
-                continue
-            count[late] += 1
-            first = s < best[0, late]
-            k = late[first]
-            best[1, k], partner[1, k] = best[0, k], partner[0, k]
-            best[0, k], partner[0, k] = s[first], early[first]
-            second = ~first & (s < best[1, late])
-            k = late[second]
-            best[1, k], partner[1, k] = s[second], early[second]
-        shift += 1
-    if chosen is not None:
-        late, early, s = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in everything)
-        return late, early, s.astype(float), np.zeros(len(late), np.int64)
-    few = (count > 2) & (count <= FEW)
-    late, early, apart, more = _similar(
-        words, sizes, place, tallies, rank, threshold, few) if few.any() else (
-        np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64))
-    partner[:, few] = -1
-    rest = np.concatenate([np.flatnonzero(p >= 0) for p in partner])
-    slot = np.concatenate([np.full((p >= 0).sum(), k) for k, p in enumerate(partner)])
-    return (np.append(late, rest), np.append(early, partner[slot, rest]),
-            np.append(apart, best[slot, rest]), np.append(more, np.maximum(count[rest] - 2, 0)))
+        a, b = a[good], b[good]
+        later = rank[a] > rank[b]
+        late = np.where(later, a, b)
+        part = (late, np.where(later, b, a), differ[good] / (sizes[a] + sizes[b]),
+                np.zeros(len(a), np.int64))
+        if chosen is not None:
+            part = tuple(x[chosen[late]] for x in part)
+        found.append(part)
+        held += len(part[0])
+        if chosen is None and held > MOST_HELD:
+            found = [_best(found)]
+            held = len(found[0][0])
+    if not found:
+        return (np.zeros(0, np.int64),) * 2 + (np.zeros(0), np.zeros(0, np.int64))
+    return _best(found) if chosen is None else tuple(np.concatenate(x) for x in zip(*found))
+
+
+def _best(found):
+    """The pairs, of sets with more than ``FEW`` only the best two; ``more`` adds up the others."""
+    late, early, apart, more = (np.concatenate(x) for x in zip(*found))
+    order = np.lexsort((early, apart, late))
+    late, early, apart, more = late[order], early[order], apart[order], more[order]
+    first = np.append(True, late[1:] != late[:-1])
+    lead = np.flatnonzero(first)
+    size = np.diff(np.append(lead, len(late)))
+    place = np.arange(len(late)) - np.repeat(lead, size)
+    gone = np.add.reduceat(more, lead)
+    many = (size > FEW) | (gone > 0)
+    rest = np.where(many, np.maximum(size - 2, 0) + gone, 0)
+    keep = (place < 2) | ~np.repeat(many, size)
+    more = np.where(place == 0, np.repeat(rest, size), 0)
+    return late[keep], early[keep], apart[keep], more[keep]
 
 
 def _verified(pairs: DataFrame, lines: DataFrame, threshold: float) -> DataFrame:
