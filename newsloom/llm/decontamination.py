@@ -153,9 +153,9 @@ def _hashed(df: DataFrame, keys: list[str], text: str, lengths: list[int],
                     columns[2] += [n] * len(first)
                     columns[3] += first.view(np.int64).tolist()
                     columns[4] += second.view(np.int64).tolist()
-                index = pa.array([r] * len(columns[0]), pa.int32())
+                n = len(columns[0])
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(k).take(index) for k in keys]
+                    [pa.array([batch.column(k)[r].as_py()] * n, batch.column(k).type) for k in keys]
                     + [pa.array(c, pa.int64()) for c in columns], schema.fieldNames())
 
     return df.select(*keys, text).mapInArrow(windows, schema)
@@ -219,14 +219,14 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, remove: str = "document
         raise ValueError("remove is 'documents' or 'spans'")
     windows = _windows(benchmark, size, item_id, item_text, broadcast_bytes)
     if windows is None:
-        found = _joined(docs.select(text).distinct().withColumn("doc_id", F.col(text)), benchmark,
-                        size, "doc_id", text, item_id, item_text)
+        texts = docs.select(F.sha2(text, 256).alias("doc_id"), F.col(text).alias("text")).distinct()
+        found = _joined(texts, benchmark, size, "doc_id", "text", item_id, item_text)
         hits = found.filter(F.size("hit_words") > 0).select(
-            F.col("doc_id").alias("__text"), F.col("hit_words").alias("__hit"))
+            F.col("doc_id").alias("__digest"), F.col("hit_words").alias("__hit"))
         if remove == "documents":
-            return docs.join(hits, docs[text] == hits["__text"], "left_anti")
+            return docs.join(hits, F.sha2(docs[text], 256) == hits["__digest"], "left_anti")
         cut = F.udf(lambda t, h: t if not h else without_words(t, np.array(h)))
-        both = docs.join(hits, docs[text] == hits["__text"], "left")
+        both = docs.join(hits, F.sha2(docs[text], 256) == hits["__digest"], "left")
         return both.withColumn(text, cut(text, "__hit")).select(docs.columns)
     shared = docs.sparkSession.sparkContext.broadcast(windows)
 

@@ -127,7 +127,7 @@ def _buckets(docs: DataFrame, count: int) -> DataFrame:
     """
     shares = F.array(*[F.lit(k / count) for k in range(1, count)]) if count > 1 else F.array(F.lit(0.5))
     cuts = docs.agg(F.percentile_approx(F.col("doc_id").cast("double"), shares, 20 * count)).first()[0]
-    splits = [float("-inf"), *sorted(set(cuts or [])), float("inf")]
+    splits = [float("-inf"), *(sorted(set(cuts or [])) or [0.0]), float("inf")]
     ranges = Bucketizer(splits=splits, inputCol="__id", outputCol="__range", handleInvalid="keep")
     out = ranges.transform(docs.withColumn("__id", F.col("doc_id").cast("double")))
     null_range = F.shiftright("copy", 58) - 32  # -64 to -1, in the hash's order

@@ -323,8 +323,8 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
             F.col("class_id")).alias("class_id"),
         F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("copy_of")).alias("copy_of"),
         F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
-        F.coalesce(F.col("lead.doc_id").eqNullSafe(F.col("doc_id"))
-                   & (F.col("lead.copy") == F.col("copy")), F.lit(True)).alias("keep"))
+        (F.col("node").isNull() | (F.col("lead.doc_id").eqNullSafe(F.col("doc_id"))
+                                   & (F.col("lead.copy") == F.col("copy")))).alias("keep"))
 
 
 def drop_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
