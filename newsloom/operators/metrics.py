@@ -28,8 +28,8 @@ def board_figures(df: DataFrame, ts: str, as_of: Column, recent_seconds: int = 3
         located = located & (F.size("locations") > 0)
     figures = df.agg(
         F.count("*").alias("total"),
-        F.count_if(F.col(ts) >= as_of - F.make_dt_interval(secs=F.lit(recent_seconds)))
-        .alias("recent"),
+        F.count_if((F.col(ts) >= as_of - F.make_dt_interval(secs=F.lit(recent_seconds)))
+                   & (F.col(ts) <= as_of)).alias("recent"),
         F.count_if(F.col("sentiment") == "positive").alias("positive"),
         F.count_if(F.col("sentiment") == "negative").alias("negative"),
         F.count("sentiment").alias("rated"), F.count_if(located).alias("located"))

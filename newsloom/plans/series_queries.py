@@ -25,7 +25,8 @@ def joined(col, sep=","):
 # --- key figures -----------------------------------------------------------------------
 
 @query("h1_board_figures", f"""WITH {ART} SELECT count(*) AS total, count(*) FILTER (published_at >=
-    {AS_OF_SQL} - INTERVAL 5 MINUTE) AS recent, count(*) FILTER (sentiment = 'positive') AS positive,
+    {AS_OF_SQL} - INTERVAL 5 MINUTE AND published_at <= {AS_OF_SQL}) AS recent,
+    count(*) FILTER (sentiment = 'positive') AS positive,
   count(*) FILTER (sentiment = 'negative') AS negative, count(sentiment) AS rated,
   count(*) FILTER (len(locations) > 0) AS located,
   round(count(*) FILTER (sentiment = 'positive') * 100.0::DOUBLE / count(sentiment), 6)

@@ -131,9 +131,11 @@ def latency_report(stats: DataFrame, samples: DataFrame, level: str, value: str)
 
 
 def velocity_report(peaks: DataFrame, history: DataFrame, group: str, ts: str, value: str,
-                    points: int = 1000) -> DataFrame:
-    """One nested row per group: its peak and its latest history points."""
-    latest = top_per_group(history.select(group, ts, value), [group], [F.col(ts).desc()], points)
-    listed = latest.groupBy(group).agg(
+                    points: int | None = None) -> DataFrame:
+    """One nested row per group: its peak and its whole history, or its latest ``points`` points."""
+    kept = history.select(group, ts, value)
+    if points is not None:
+        kept = top_per_group(kept, [group], [F.col(ts).desc()], points)
+    listed = kept.groupBy(group).agg(
         F.array_sort(F.collect_list(F.struct(ts, value))).alias("velocity_history"))
     return peaks.join(listed, group, "left")
