@@ -10,24 +10,21 @@ from newsloom.functions.normalize import (clean_for_display, display_location, f
 from newsloom.functions.text import hype_score, overlap_size, quadrant
 from newsloom.operators.entities import top_entities_by
 from newsloom.operators.events import event_badge
-from newsloom.operators.ranking import top_per_group
+from newsloom.operators.ranking import newest_first, top_per_group
 
 
-MAX_INLINE_KEYS = 500
-
 
 def newest(df: DataFrame, ts: str, key: str, k: int) -> DataFrame:
-    """The k newest rows, newest first; ``key`` identifies a row.
+    """The k newest rows, newest first; ``key`` identifies a row and breaks ties.
 
-    The first pass reads two columns. Everything else is then read, and computed, only for
-    the rows picked: their keys become a filter of the scan.
+    The first pass reads two columns. Everything else is then computed only for the rows
+    picked. Rows without a time come last; a null key is a key like any other.
     """
     order = [F.col(ts).desc(), F.col(key)]
-    top = df.select(ts, key).orderBy(*order).limit(k)
-    if k <= MAX_INLINE_KEYS:
-        picked = df.filter(F.col(key).isin([r[key] for r in top.collect()]))
-    else:
-        picked = df.join(F.broadcast(top.select(key)), key, "left_semi")  # k rows
+    top = df.select(F.col(ts).alias("__ts"), F.col(key).alias("__key")).orderBy(
+        F.col("__ts").desc(), "__key").limit(k)
+    same = F.col(key).eqNullSafe(F.col("__key")) & F.col(ts).eqNullSafe(F.col("__ts"))
+    picked = df.join(F.broadcast(top), same, "left_semi")  # k rows
     return picked.orderBy(*order).limit(k)
 
 
@@ -47,12 +44,12 @@ def _headlines(df: DataFrame, mood: str, ts: str, tie: str, k: int, minimum: int
                default_place: str) -> DataFrame:
     rows = df.filter(F.col("sentiment") == mood).select(
         title_key(F.col("title")).alias("k"), F.struct(tie, "title", "locations").alias("row"),
-        F.struct(F.col(ts).alias("ts"), (-F.col(tie)).alias("neg")).alias("at"))
+        newest_first(F.col(ts), F.col(tie)).alias("at"))
     # One row per headline, combined before the shuffle; the total is the sum of its counts.
-    once = rows.groupBy("k").agg(F.max_by("row", "at").alias("row"), F.max("at").alias("at"),
+    once = rows.groupBy("k").agg(F.min_by("row", "at").alias("row"), F.min("at").alias("at"),
                                  F.count("*").alias("n"))
     total = once.agg(F.coalesce(F.sum("n"), F.lit(0))).scalar()
-    top = once.orderBy(F.col("at").desc()).limit(k).select("row.*")
+    top = once.orderBy("at").limit(k).select("row.*")
     return top.withColumn("articles", total).filter(F.col("articles") >= minimum).select(
         tie, display_location(F.col("locations"), default_place).alias("place"),
         clean_for_display(F.col("title")).alias("title"), "articles")

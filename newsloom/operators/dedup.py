@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,9 +19,35 @@ def first_per_key(df: DataFrame, key: str, order: Sequence[str | Column]) -> Dat
 
 def first_per_window(df: DataFrame, key: str, ts: str, seconds: int,
                      tie: str) -> DataFrame:
-    """First row per key and fixed time window (batch form of the streaming rule)."""
-    slot = F.floor(F.unix_micros(F.col(ts).cast("timestamp")) / F.lit(seconds * 1_000_000))
-    return top_per_group(df.withColumn("__w", slot), [key, "__w"], [ts, tie], 1).drop("__w")
+    """A row goes if a kept row of its key lies less than ``seconds`` before it.
+
+    So the first row of a key stays, and after each kept row the first one ``seconds`` or
+    more later. The decision depends on the one before, hence one pass over each key's rows
+    in the order of time; a task streams its rows in Arrow batches and holds one time. Of a
+    key's rows without a time the first by ``tie`` stays.
+    """
+    micros = F.unix_micros(F.col(ts).cast("timestamp"))
+    placed = df.withColumn("__micros", micros)
+    # Of equal times only the first can stay: a burst is reduced before the shuffle.
+    placed = top_per_group(placed, [key, "__micros"], [tie], 1)
+    ordered = placed.repartition(key).sortWithinPartitions(key, "__micros")
+    span = seconds * 1_000_000
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, last = object(), None
+        for batch in batches:
+            keep = []
+            keys, times = batch.column(key).to_pylist(), batch.column("__micros").to_pylist()
+            for name, at in zip(keys, times):
+                if name != current:
+                    current, last = name, None
+                stays = at is None or last is None or at >= last + span
+                if stays and at is not None:
+                    last = at
+                keep.append(stays)
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    return ordered.mapInArrow(run, placed.schema).drop("__micros")
 
 
 def only_new(batch: DataFrame, sink: DataFrame, key: str, order: Sequence[str | Column]

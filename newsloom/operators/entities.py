@@ -10,16 +10,15 @@ from pyspark.sql import functions as F
 from newsloom import lexicons as lx
 from newsloom.operators.bounds import broadcast_if_small, one_per_item
 from newsloom.operators.matching import match_substrings
-from newsloom.operators.ranking import top_per_group
-
-MAX_INLINE_NAMES = 500
+from newsloom.operators.ranking import newest_first, top_per_group
 
 
 def extract_from_gazetteer(text: Column, names: Sequence[str],
                            existing: Column | None = None) -> Column:
-    """Sorted distinct gazetteer names that occur in the text, with those already known."""
-    if len(names) > MAX_INLINE_NAMES:
-        raise ValueError("use match_gazetteer for large gazetteers")
+    """Sorted distinct gazetteer names that occur in the text, with those already known.
+
+    Every name is tried on every text; gazetteer tables belong in ``match_gazetteer``.
+    """
     found = F.filter(F.array(*[F.lit(n) for n in names]), lambda n: F.contains(text, n))
     found = F.coalesce(found, F.array().cast("array<string>"))
     if existing is not None:
@@ -33,21 +32,23 @@ def match_gazetteer(docs: DataFrame, key: str, text: str, gazetteer: DataFrame,
     return match_substrings(docs, [key], text, gazetteer, name, fold_case=False)
 
 
-def entity_groups(mentions: DataFrame, key: str, per_group: int = 5) -> DataFrame:
-    """(key, persons, organizations, locations): first names of each kind in sorted order.
+def entity_groups(mentions: DataFrame, key: str | Sequence[str], per_group: int = 5
+                  ) -> DataFrame:
+    """(key…, persons, organizations, locations): first names of each kind in sorted order.
 
     Mentions are reduced to the names kept before any list is built.
     """
     kind = (F.when(F.col("label") == "PERSON", "persons")
             .when(F.col("label").isin("ORG", "PRODUCT"), "organizations")
             .when(F.col("label").isin("GPE", "LOC"), "locations"))
-    names = mentions.select(key, kind.alias("kind"), "text").filter("kind is not null").distinct()
-    kept = top_per_group(names, [key, "kind"], ["text"], per_group)
+    keys = [key] if isinstance(key, str) else list(key)
+    names = mentions.select(*keys, kind.alias("kind"), "text").filter("kind is not null").distinct()
+    kept = top_per_group(names, [*keys, "kind"], ["text"], per_group)
 
     def group(name: str) -> Column:
         return F.array_sort(F.collect_list(F.when(F.col("kind") == name, F.col("text")))).alias(name)
 
-    return kept.groupBy(key).agg(group("persons"), group("organizations"), group("locations"))
+    return kept.groupBy(*keys).agg(group("persons"), group("organizations"), group("locations"))
 
 
 def drop_generic(mentions: DataFrame, generic: Sequence[str] = lx.GENERIC_ENTITIES) -> DataFrame:
@@ -113,8 +114,8 @@ def top_stories(df: DataFrame, items: str, ts: str, tie: str, entities: int = 3,
     # One row per entity and title before ranking, so a hot entity is already reduced.
     titles = tagged.groupBy("entity", "mentions", "title").agg(
         F.count("*").alias("n"),
-        F.max(F.struct(F.col(ts).alias("ts"), (-F.col(tie)).alias("neg"))).alias("at"))
-    order = [F.col("at.ts").desc(), F.col("at.neg").desc(), F.col("title")]
+        F.min(newest_first(F.col(ts), F.col(tie))).alias("at"))
+    order = ["at", "title"]
     ranked = top_per_group(titles.filter(F.col("title") != ""), ["entity"], order, headlines,
                            rank="rank")
     sizes = titles.groupBy("entity").agg(F.sum("n").alias("articles")).filter(

@@ -11,11 +11,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from newsloom.functions.normalize import entity_count
-from newsloom.functions.text import (cluster_key, matching_keywords, negation_sentiment,
-                                     plain_keywords)
+from newsloom.functions.text import (cluster_key, event_id, matching_keywords, negation_sentiment,
+                                     plain_keywords, title_keywords)
+from newsloom.functions.vector import cosine
 from newsloom.operators.bounds import compute_once, one_per_item
+from newsloom.operators.entities import entity_groups
 from newsloom.operators.matching import match_substrings
 from newsloom.operators.ranking import running_rank, time_slot, top_per_group
+from newsloom.schema import DETECTED_EVENT
 from newsloom.session import materialize
 
 # --- events from embeddings --------------------------------------------------------
@@ -107,40 +110,79 @@ def _leader_pass(rows: DataFrame, group: Sequence[str], order: Sequence[str],
         run, f"id {kind}, event {kind}, similarity double, is_new boolean")
 
 
+def _event_sums(members: DataFrame) -> DataFrame:
+    """One row per event of members(event, id, ts, n, vsum, bucket), as a member of the next
+    pass: its id is the event's, its place that of the earliest member."""
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+    from pyspark.ml.stat import Summarizer
+
+    mean = Summarizer.mean(
+        array_to_vector(F.transform("vsum", lambda x: x / F.col("n"))), F.col("n"))
+    sums = members.groupBy("event").agg(
+        mean.alias("m"), F.sum("n").alias("n"), F.min("ts").alias("ts"),
+        F.min_by("bucket", F.struct("ts", "id")).alias("bucket"))
+    return sums.select(F.col("event").alias("id"), "ts", "n", "bucket",
+                       F.transform(vector_to_array("m"), lambda x: x * F.col("n")).alias("vsum"))
+
+
 def semantic_events(vectors: DataFrame, threshold: float = 0.75, lsh_bits: int = 12,
                     slot_seconds: float | None = 3600.0, dim: int = 384,
                     seed: int = 42) -> DataFrame:
     """Assign each (id, ts, vector) to an event: (id, event, similarity, is_new).
 
-    ``event`` is the id of the article that started the event. ``lsh_bits`` spreads the work
-    over buckets of similar vectors and ``slot_seconds`` splits a hot bucket by time; the
-    slots' events are then merged by a second pass over their centroids, which are far fewer
-    than the articles. ``lsh_bits=0, slot_seconds=None`` is the rule applied to one global
-    sequence, exact and by its nature one task: for small inputs only.
-    """
-    rows = vectors.select("id", "ts", F.col("vector").cast("array<double>").alias("vsum"),
-                          F.lit(1.0).alias("n"),
-                          lsh_bucket(F.col("vector"), lsh_bits, dim, seed).alias("bucket"))
-    group = ["bucket"] if lsh_bits else []
-    if slot_seconds is None:
-        return _leader_pass(rows, group, ["ts", "id"], threshold)
-
-    rows = rows.withColumn("slot", time_slot(F.col("ts"), slot_seconds))
-    local = materialize(_leader_pass(rows, [*group, "slot"], ["ts", "id"], threshold), "local")
-    from pyspark.ml.functions import array_to_vector, vector_to_array
-    from pyspark.ml.stat import Summarizer
+    ``event`` is the id of the article that started the event. Articles meet first within
+    time slots of buckets of similar vectors, which may split an event. Its parts are put
+    together by passes over their centroids, by the same rule in the order of time: over
+    all slots of a bucket, over coarser buckets of half the bits, and over all. Only the last
+    pass is one task, and it meets one row per event of the pass before, not articles.
 
-    joined = local.withColumnRenamed("event", "local").join(rows, "id")
-    centroids = joined.groupBy("local", *group).agg(
-        Summarizer.mean(array_to_vector("vsum")).alias("m"), F.sum("n").alias("n"),
-        F.min("ts").alias("ts"))
-    centroids = centroids.select(
-        F.col("local").alias("id"), "ts", "n", *group,
-        F.transform(vector_to_array("m"), lambda x: x * F.col("n")).alias("vsum"))
-    merged = _leader_pass(centroids, group, ["ts", "id"], threshold).select(
-        F.col("id").alias("local"), "event")
-    return local.withColumnRenamed("event", "local").join(merged, "local").select(
-        "id", "event", "similarity", (F.col("id") == F.col("event")).alias("is_new"))
+    ``similarity`` is that to the event's centroid over all its articles, and 0 for the article
+    that started it (``is_new``). ``lsh_bits=0, slot_seconds=None`` is the rule applied to one
+    global sequence, by its nature one task; there ``similarity`` is that on arrival. Rows
+    without a vector belong to no event and are left out.
+    """
+    rows = vectors.filter(F.col("vector").isNotNull()).select(
+        "id", "ts", F.col("vector").cast("array<double>").alias("vsum"), F.lit(1.0).alias("n"),
+        lsh_bucket(F.col("vector"), lsh_bits, dim, seed).alias("bucket"))
+    if not lsh_bits and slot_seconds is None:
+        return _leader_pass(rows, [], ["ts", "id"], threshold)
+
+    slot = F.lit(0) if slot_seconds is None else time_slot(F.col("ts"), slot_seconds)
+    local = materialize(_leader_pass(rows.withColumn("slot", slot), ["bucket", "slot"],
+                                     ["ts", "id"], threshold).select("id", "event"), "local")
+    parts = materialize(_event_sums(local.join(rows, "id")), "parts")
+    names = parts.select(F.col("id").alias("local"), F.col("id").alias("event"))
+    for bits in sorted({lsh_bits, lsh_bits // 2, 0}, reverse=True):
+        coarse = parts.withColumn("bucket", F.pmod("bucket", F.lit(1 << bits)))
+        merged = materialize(_leader_pass(coarse, ["bucket"], ["ts", "id"], threshold).select(
+            "id", "event"), "merged")
+        parts = materialize(_event_sums(merged.join(parts, "id")), "parts")
+        into = merged.select(F.col("id").alias("event"), F.col("event").alias("into"))
+        names = names.join(into, "event").select("local", F.col("into").alias("event"))
+
+    events = names.join(parts.select(F.col("id").alias("event"), F.col("vsum").alias("centroid")),
+                        "event")
+    found = local.withColumnRenamed("event", "local").join(events, "local").join(
+        rows.select("id", "vsum"), "id")
+    is_new = F.col("id") == F.col("event")
+    likeness = cosine(F.col("vsum"), F.col("centroid"))
+    return found.select("id", "event", F.when(is_new, 0.0).otherwise(likeness).alias("similarity"),
+                        is_new.alias("is_new"))
+
+
+def event_records(assigned: DataFrame, articles: DataFrame) -> DataFrame:
+    """The record of each detected event, as ``schema.DETECTED_EVENT``.
+
+    ``assigned`` comes from ``semantic_events``; ``articles(id, ts, vector, title, source)``
+    may lack the source.
+    """
+    source = F.col("source") if "source" in articles.columns else F.lit(None)
+    told = articles.select("id", "title", "vector", F.col("ts").alias("timestamp"),
+                           F.coalesce(source, F.lit("Unknown")).alias("source"))
+    founders = assigned.filter("is_new").join(told, "id")
+    named = founders.withColumns({"event_id": event_id(F.col("event")),
+                                  "keywords": title_keywords(F.coalesce("title", F.lit("")))})
+    return named.select([F.col(f.name).cast(f.dataType) for f in DETECTED_EVENT])
 
 
 # --- events from keywords ------------------------------------------------------------
@@ -158,12 +200,16 @@ def keyword_clusters(articles: DataFrame, id: str = "id", ts: str = "published_a
 
 
 def keyword_event_births(articles: DataFrame, size: int = 3,
-                         carry: Sequence[str] = ("title", "source"), **columns) -> DataFrame:
+                         carry: Sequence[str] = ("title", "source", "url"), **columns
+                         ) -> DataFrame:
     """One event per keyword group that reaches ``size`` articles, as of that article.
 
+    ``carry`` names what an initial article shows, as far as the articles have it.
+
     The window keeps at most ``size`` rows per group before the shuffle, and the lists
     hold ``size`` entries.
     """
+    carry = [c for c in carry if c in articles.columns]
     clusters = keyword_clusters(articles, carry=carry, **columns)
     first = top_per_group(clusters, ["cluster_key"], ["ts", "id"], size, rank="n")
     initial = F.struct("n", *carry)
@@ -219,8 +265,16 @@ def match_posts(posts: DataFrame, events: DataFrame, ttl_seconds: int = 86_400,
 
 def enrich_matches(matches: DataFrame, posts: DataFrame, events: DataFrame,
                    post_key: Sequence[str] = ("post_id",), positive: Sequence[str] | None = None,
-                   negative: Sequence[str] | None = None) -> DataFrame:
-    """One document per matched (post, event) with keywords in the event's own order."""
+                   negative: Sequence[str] | None = None, mentions: DataFrame | None = None,
+                   per_group: int = 5) -> DataFrame:
+    """One document per matched (post, event) with keywords in the event's own order.
+
+    ``mentions(post_key…, text, label)`` are the entities of the posts, from a model or
+    a gazetteer; they become ``entities`` (persons, organizations, locations). Posts without
+    any have empty lists. ``enriched_at`` is the time of the run.
+    """
+    kinds = ("persons", "organizations", "locations")
+    none = F.array().cast("array<string>")
     lists = {k: v for k, v in (("positive", positive), ("negative", negative)) if v is not None}
     titles = events.select("event_id", F.col("title").alias("event_title"), "keywords")
     optional = {"platform": F.lit("Unknown"), "user": F.lit("Unknown"),
@@ -230,12 +284,17 @@ def enrich_matches(matches: DataFrame, posts: DataFrame, events: DataFrame,
         (F.coalesce(F.col(c), d) if c in posts.columns else d).alias(c)
         for c, d in optional.items()],
         negation_sentiment(F.col("text"), **lists)["score"].alias("sentiment"))
+    if mentions is not None:
+        found = entity_groups(mentions, post_key, per_group)
+        details = details.join(found, list(post_key), "left")
+    lists = [F.coalesce(F.col(k), none) if mentions is not None else none for k in kinds]
+    details = details.withColumn("entities", F.struct(*[v.alias(k) for v, k in zip(lists, kinds)]))
     return matches.drop("matched_keywords").join(details, list(post_key)).join(
         titles, "event_id").select(
         "event_id", "event_title", *post_key, "post_ts",
         matching_keywords(F.col("text"), F.col("keywords")).alias("matched_keywords"),
         F.col("text").alias("social_text"), "platform", "user", "location", "sentiment",
-        "likes", "retweets")
+        "entities", "likes", "retweets", F.current_timestamp().alias("enriched_at"))
 
 
 def event_badge(entities: Column) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Mapping
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,9 +17,8 @@ def coordinates(spark: SparkSession, table: Mapping[str, tuple] = lx.LOCATION_CO
 
 
 def country_aliases(spark: SparkSession,
-                    table: Mapping[str, Sequence[str]] = lx.COUNTRY_ALIASES) -> DataFrame:
-    rows = [(alias, country) for country, aliases in table.items() for alias in aliases]
-    return spark.createDataFrame(rows, "location string, country string")
+                    table: Mapping[str, str] = lx.COUNTRY_ALIASES) -> DataFrame:
+    return spark.createDataFrame(list(table.items()), "location string, country string")
 
 
 def country_totals(mentions: DataFrame, aliases: DataFrame) -> DataFrame:

@@ -26,6 +26,12 @@ def entity_pairs(articles: DataFrame, items: str, carry: Sequence[str] = ()) ->
     return first.select(*carry, "source", F.explode(rest).alias("target"))
 
 
+def pairs_per_article(articles: DataFrame, key: str, items: str) -> DataFrame:
+    """(key, pairs): how many pairs ``entity_pairs`` has for each article, without making them."""
+    n = F.size(items).cast("long")
+    return articles.filter(F.size(items) >= 2).select(key, F.floor(n * (n - 1) / 2).alias("pairs"))
+
+
 def _article_counts(articles: DataFrame, key: str, items: str) -> DataFrame:
     """(doc, blocks, entity, c): how often each article's list names each entity."""
     listed = articles.select(F.col(key).alias("doc"), F.col(items).alias("items"))

@@ -38,6 +38,15 @@ def time_slot(ts: Column, seconds: float) -> Column:
     return F.floor(micros / F.lit(int(seconds * 1_000_000))).cast("long")
 
 
+def newest_first(ts: Column, tie: Column) -> Column:
+    """A value whose least is the newest row's; rows without a time come last.
+
+    ``tie`` may have any type that can be ordered.
+    """
+    return F.struct(ts.isNull().alias("untimed"),
+                    (-F.unix_micros(ts.cast("timestamp"))).alias("age"), tie.alias("tie"))
+
+
 def running_rank(df: DataFrame, keys: Sequence[str], ts: str, tie: Sequence[str | Column],
                  rank: str = "rank", slot_seconds: float = 3600.0,
                  first: str | None = None) -> DataFrame:

@@ -47,51 +47,62 @@ def merge_means(parts: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 def nearest_centroid(df: DataFrame, key: str, vector: str, cents: DataFrame) -> DataFrame:
     """(key, centroid_id, similarity): most similar centroid if the cosine is above 0.
 
-    ``cents(id, centroid)``; ties go to the lower id. Up to ``MAX_LOCAL_CENTROIDS`` the
-    centroids travel to the tasks as one matrix and each Arrow batch is one product.
-    Beyond, vectors meet blocks of centroids through an equi-join on the block number and
-    only the best per vector leaves a task.
+    ``cents(id, centroid)``; ties go to the lower id. One row out for each row in; a null
+    vector, or none above 0, gives (null, 0). Up to ``MAX_LOCAL_CENTROIDS`` the centroids
+    travel to the tasks as one matrix and each Arrow batch is one product. Beyond, vectors
+    meet blocks of centroids of that number through an equi-join on the block number and
+    only the best per vector leaves a task. Both ways give the same rows.
     """
     id_type = cents.schema["id"].dataType
-    small = rows_if_small(cents.select("id", "centroid").orderBy("id"), MAX_LOCAL_CENTROIDS)
+    usable = cents.select("id", "centroid").filter("id is not null and centroid is not null")
+    small = rows_if_small(usable.orderBy("id"), MAX_LOCAL_CENTROIDS)
     if small == []:
         return df.select(key, F.lit(None).cast(id_type).alias("centroid_id"),
                          F.lit(0.0).alias("similarity"))
     if small is not None:
-        ids = [r["id"] for r in small]
+        ids = F.array(*[F.lit(r["id"]).cast(id_type) for r in small])
         matrix = np.array([r["centroid"] for r in small], dtype=float)
         norms = np.linalg.norm(matrix, axis=1, keepdims=True)
         unit = np.divide(matrix, norms, out=np.zeros_like(matrix), where=norms > 0)
-        result = T.StructType([T.StructField("id", id_type), T.StructField("sim", T.DoubleType())])
 
-        @F.pandas_udf(result)
+        @F.pandas_udf("at int, sim double")  # positions, so that ids never pass through pandas
         def best(vectors: pd.Series) -> pd.DataFrame:
-            rows = np.stack(vectors.to_numpy()).astype(float)
-            length = np.linalg.norm(rows, axis=1)
-            sims = rows @ unit.T
-            sims = np.divide(sims, length[:, None], out=np.zeros_like(sims),
-                             where=length[:, None] > 0)
-            at = sims.argmax(axis=1)
-            top = sims[np.arange(len(rows)), at]
-            return pd.DataFrame({"id": [ids[i] if s > 0 else None for i, s in zip(at, top)],
-                                 "sim": np.maximum(top, 0.0)})
+            out = pd.DataFrame({"at": -1, "sim": 0.0}, index=vectors.index)
+            given = vectors.notna().to_numpy()
+            if given.any():
+                rows = np.stack(vectors[given].to_numpy()).astype(float)
+                length = np.linalg.norm(rows, axis=1)
+                sims = rows @ unit.T
+                sims = np.divide(sims, length[:, None], out=np.zeros_like(sims),
+                                 where=length[:, None] > 0)
+                at = sims.argmax(axis=1)
+                top = sims[np.arange(len(rows)), at]
+                out.loc[given, "at"] = np.where(top > 0, at, -1)
+                out.loc[given, "sim"] = np.maximum(top, 0.0)
+            return out.astype({"at": "int32"})
 
         hit = df.select(key, best(F.col(vector)).alias("b"))
-        return hit.select(key, F.col("b.id").alias("centroid_id"),
-                          F.col("b.sim").alias("similarity"))
-
-    blocks = 64
-    numbered = cents.select(F.col("id").alias("__c"), "centroid",
-                            F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("__block"))
-    spread = df.select(key, F.col(vector).alias("__v"), F.explode(
-        F.array(*[F.lit(b).cast("long") for b in range(blocks)])).alias("__block"))
-    pairs = spread.join(numbered, "__block").select(
-        key, "__c", cosine(F.col("__v"), F.col("centroid")).alias("sim"))
-    found = pairs.groupBy(key).agg(
+        return hit.select(key, F.when(F.col("b.at") >= 0, F.get(ids, F.col("b.at")))
+                          .alias("centroid_id"), F.col("b.sim").alias("similarity"))
+
+    blocks = -(-usable.count() // MAX_LOCAL_CENTROIDS) if MAX_LOCAL_CENTROIDS else 2
+    numbered = usable.select(F.col("id").alias("__c"), "centroid",
+                             F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("__block"))
+    # Equal rows travel once; their number brings them back.
+    once = df.groupBy(F.col(key).alias("__k"), F.col(vector).alias("__v")).agg(
+        F.count("*").alias("__n"))
+    spread = once.withColumn("__block", F.explode(F.sequence(
+        F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
+    similarity = F.coalesce(cosine(F.col("__v"), F.col("centroid")), F.lit(0.0))
+    pairs = spread.join(numbered, "__block").select("__k", "__v", "__n", "__c",
+                                                    similarity.alias("sim"))
+    found = pairs.groupBy("__k", "__v", "__n").agg(
         F.min(F.struct((-F.col("sim")).alias("neg"), F.col("__c").alias("c"))).alias("b"))
     positive = F.col("b.neg") < 0
-    return found.select(key, F.when(positive, F.col("b.c")).alias("centroid_id"),
-                        F.when(positive, -F.col("b.neg")).otherwise(0.0).alias("similarity"))
+    return found.select(
+        F.col("__k").alias(key), F.when(positive, F.col("b.c")).alias("centroid_id"),
+        F.when(positive, -F.col("b.neg")).otherwise(0.0).alias("similarity"),
+        F.explode(F.sequence(F.lit(1).cast("long"), F.col("__n"))).alias("__copy")).drop("__copy")
 
 
 # --- drift -----------------------------------------------------------------------------

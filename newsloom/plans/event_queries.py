@@ -8,7 +8,8 @@ from newsloom import lexicons as lx
 from newsloom.functions.text import document_key, title_keywords
 from newsloom.operators import events
 from newsloom.plans.catalog import query
-from newsloom.plans.tables import ART, POSTS, STAMP, fill, rounded, stamp
+from newsloom.plans.tables import (ART, LABELS, NAME_PATTERN, POSTS, STAMP, fill, labelled,
+                                   rounded, stamp)
 from newsloom.plans.text_queries import (CLUSTER_KEY, D1, D2, TOKEN_BAD, TOKEN_GOOD,
                                          distinct_in_order, negation_sql, ordered_distinct_cte)
 
@@ -74,20 +75,32 @@ def _(t):
                       joined("matched_keywords").alias("matched"))
 
 
+def grouped(*labels):
+    """The first five names of some kinds in a post, as one string."""
+    at = ", ".join(str(LABELS.index(x)) for x in labels)
+    return f"""array_to_string(list_sort(list_distinct(list_filter(regexp_extract_all(text,
+      '{NAME_PATTERN}'), lambda n: length(n) % {len(LABELS)} IN ({at}))))[1:5], ',')"""
+
+
 @query("g2_enrich_matches", f"""WITH docs2 AS (SELECT conv_id * 100 + turn AS doc_id, text
     FROM conversations), {negation_sql(TOKEN_GOOD, TOKEN_BAD, lx.NEGATIONS)
                           .replace('FROM documents', 'FROM docs2')}, {MATCHES}
   SELECT post_id, event_id, title AS event_title, array_to_string(in_order, ',') AS matched,
     "user", 'Unknown' AS platform, 0::BIGINT AS likes, round(coalesce(score, 0)::DOUBLE, 6)
-    AS sentiment FROM matches JOIN (SELECT post_id, "user" FROM posts) USING (post_id)
+    AS sentiment, {grouped('PERSON')} AS persons, {grouped('ORG', 'PRODUCT')} AS organizations,
+    {grouped('GPE', 'LOC')} AS locations
+  FROM matches JOIN (SELECT post_id, "user", text FROM posts) USING (post_id)
   LEFT JOIN scored ON scored.doc_id = post_id""")
 def _(t):
     ev = title_events(t)
     found = events.match_posts(t.posts, ev)
-    out = events.enrich_matches(found, t.posts, ev, positive=TOKEN_GOOD, negative=TOKEN_BAD)
+    out = events.enrich_matches(found, t.posts, ev, positive=TOKEN_GOOD, negative=TOKEN_BAD,
+                                mentions=labelled(t.posts, "post_id"))
     return out.select("post_id", "event_id", "event_title",
                       joined("matched_keywords").alias("matched"), "user", "platform", "likes",
-                      rounded(F.col("sentiment")).alias("sentiment"))
+                      rounded(F.col("sentiment")).alias("sentiment"),
+                      *[joined(f"entities.{k}").alias(k)
+                        for k in ("persons", "organizations", "locations")])
 
 
 @query("a11_document_key", f"""WITH {POSTS} SELECT post_id, post_id || '_' ||

@@ -6,38 +6,25 @@ from pyspark.sql import functions as F
 
 from newsloom.operators import boards, graph
 from newsloom.operators import entities as en
-from newsloom.operators.entities import extract_from_gazetteer
 from newsloom.plans.catalog import query
 from newsloom.plans.tables import ART, MENTIONS, NAMES, rounded, text_list
 from newsloom.session import materialize
 
-NAMED = f"""named AS (SELECT doc_id AS id, list_sort(list_filter({text_list(NAMES)},
-    lambda n: contains(text, n))) AS names, text FROM documents)"""
+PAIRS = """pairs AS (SELECT id, sentiment, entities, entities[i] AS source, unnest(entities[i + 1:])
+    AS target FROM (SELECT *, unnest(generate_series(1, len(entities))) AS i FROM art))"""
 
 
-def named(t):
-    """Articles with the gazetteer names they contain: at most twelve each."""
-    return t.articles.select("id", "sentiment", extract_from_gazetteer(F.col("content"), NAMES)
-                             .alias("names"))
-
-
-PAIRS = """pairs AS (SELECT id, names[i] AS source, names[j] AS target FROM named,
-    generate_series(1, 12) a(i), generate_series(1, 12) b(j) WHERE i < j AND j <= len(names))"""
-
-
-@query("k1_entity_pairs", f"""WITH {ART}, {NAMED}, {PAIRS} SELECT id, sentiment, source, target
-  FROM pairs JOIN (SELECT id, sentiment FROM art) USING (id)""")
+@query("k1_entity_pairs", f"""WITH {ART}, {PAIRS} SELECT id, sentiment, source, target FROM pairs""")
 def _(t):
-    return graph.entity_pairs(named(t).withColumnRenamed("sentiment", "mood"), "names",
-                              ["id", "mood"]).withColumnRenamed("mood", "sentiment").select(
-        "id", "sentiment", F.col("source"), "target")
+    rows = t.articles.select("id", F.col("sentiment").alias("mood"), "entities")
+    return graph.entity_pairs(rows, "entities", ["id", "mood"]).withColumnRenamed(
+        "mood", "sentiment").select("id", "sentiment", "source", "target")
 
 
-@query("g6_pairs_per_document", f"""WITH {NAMED}, {PAIRS} SELECT id, count(*) AS pairs FROM pairs
+@query("g6_pairs_per_document", f"""WITH {ART}, {PAIRS} SELECT id, count(*) AS pairs FROM pairs
   GROUP BY 1""")
 def _(t):
-    return graph.entity_pairs(named(t), "names", ["id"]).groupBy("id").agg(
-        F.count("*").alias("pairs"))
+    return graph.pairs_per_article(t.articles, "id", "entities")
 
 
 # Weights over whole lists with repetitions: per article c1*c2, or c(c-1)/2 for one name.

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from newsloom import lexicons as lx
 from newsloom.operators import geo, metrics, timeseries
 from newsloom.operators import entities as en
+from newsloom.operators.bounds import broadcast_if_small
 from newsloom.plans.catalog import query
 from newsloom.plans.tables import ART, PLACES_SQL, STAMP, rounded, stamp
 
@@ -89,43 +89,54 @@ def _(t):
     return t.places.orderBy(F.desc("mentions"), "location").limit(20)
 
 
-def values(rows) -> str:
-    def lit(x):
-        return "'" + x.replace("'", "''") + "'" if isinstance(x, str) else f"{x}::DOUBLE"
-    return "(VALUES " + ", ".join("(" + ", ".join(map(lit, r)) + ")" for r in rows) + ")"
+# The nations as place names, each with its region for a country; every third has no coordinates.
+COUNTRIES = """countries AS (SELECT DISTINCT array_to_string(list_transform(string_split(
+    lower(n_name), ' '), lambda w: upper(w[1]) || w[2:]), ' ') AS location, r_name AS country
+  FROM nation JOIN region ON n_regionkey = r_regionkey)"""
+COORDS = """coords AS (SELECT array_to_string(list_transform(string_split(lower(n_name), ' '),
+    lambda w: upper(w[1]) || w[2:]), ' ') AS location, n_nationkey * 2.5::DOUBLE - 30 AS lat,
+    n_nationkey * 5::DOUBLE - 60 AS lon FROM nation WHERE n_nationkey % 3 <> 0)"""
 
 
-COUNTRIES = values([(a, c) for c, names in lx.COUNTRY_ALIASES.items() for a in names])
-COORDS = values([(n, *xy) for n, xy in lx.LOCATION_COORDS.items()])
+def spelled(t):
+    return t("nation").withColumn("location", F.initcap(F.lower("n_name")))
 
 
-@query("g3_country_lookup", f"""WITH {PLACES_SQL} SELECT location, country FROM places
-  JOIN {COUNTRIES} a(location, country) USING (location)""")
+def countries(t):
+    return spelled(t).join(F.broadcast(t("region")), F.col("n_regionkey") == F.col("r_regionkey")
+                           ).select("location", F.col("r_name").alias("country"))  # some regions
+
+
+def coords(t):
+    key = F.col("n_nationkey").cast("double")
+    return spelled(t).filter("n_nationkey % 3 <> 0").select(
+        "location", (key * 2.5 - 30).alias("lat"), (key * 5 - 60).alias("lon"))
+
+
+@query("g3_country_lookup", f"""WITH {PLACES_SQL}, {COUNTRIES} SELECT location, country FROM places
+  JOIN countries USING (location)""")
 def _(t):
-    return t.places.join(F.broadcast(geo.country_aliases(t.spark)), "location").select(
-        "location", "country")
+    return t.places.join(broadcast_if_small(countries(t)), "location").select("location", "country")
 
 
-@query("g4_map_markers", f"""WITH {PLACES_SQL} SELECT location, mentions, lat, lon,
-  round(least(mentions / 2.0::DOUBLE, 20), 6) AS radius FROM places
-  JOIN {COORDS} c(location, lat, lon) USING (location)""")
+@query("g4_map_markers", f"""WITH {PLACES_SQL}, {COORDS} SELECT location, mentions, lat, lon,
+  round(least(mentions / 2.0::DOUBLE, 20), 6) AS radius FROM places JOIN coords USING (location)""")
 def _(t):
-    out = geo.map_markers(t.places, geo.coordinates(t.spark))
+    out = geo.map_markers(t.places, coords(t))
     return out.withColumn("radius", rounded(F.col("radius")))
 
 
-@query("g4_map_markers_default", f"""WITH {PLACES_SQL} SELECT location, mentions,
+@query("g4_map_markers_default", f"""WITH {PLACES_SQL}, {COORDS} SELECT location, mentions,
   coalesce(lat, 28.6139::DOUBLE) AS lat, coalesce(lon, 77.209::DOUBLE) AS lon,
-  least(mentions::DOUBLE, 30) AS radius FROM places
-  LEFT JOIN {COORDS} c(location, lat, lon) USING (location)""")
+  least(mentions::DOUBLE, 30) AS radius FROM places LEFT JOIN coords USING (location)""")
 def _(t):
-    return geo.map_markers(t.places, geo.coordinates(t.spark), 1.0, 30.0, (28.6139, 77.2090))
+    return geo.map_markers(t.places, coords(t), 1.0, 30.0, (28.6139, 77.2090))
 
 
-@query("h6_country_totals", f"""WITH {PLACES_SQL} SELECT country, sum(mentions)::BIGINT AS mentions
-  FROM places JOIN {COUNTRIES} a(location, country) USING (location) GROUP BY 1""")
+@query("h6_country_totals", f"""WITH {PLACES_SQL}, {COUNTRIES} SELECT country,
+  sum(mentions)::BIGINT AS mentions FROM places JOIN countries USING (location) GROUP BY 1""")
 def _(t):
-    return geo.country_totals(t.places, geo.country_aliases(t.spark))
+    return geo.country_totals(t.places, countries(t))
 
 
 @query("h6_region_totals", """SELECT r_name AS country, count(*) AS mentions FROM customer

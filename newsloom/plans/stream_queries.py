@@ -10,7 +10,7 @@ from newsloom.operators.timeseries import peaks
 from newsloom.plans.catalog import query
 from newsloom.plans.event_queries import CLUSTERS, EVENTS
 from newsloom.plans.series_queries import SLIDING
-from newsloom.plans.tables import POSTS, STAMP, rounded, stamp
+from newsloom.plans.tables import KEPT, POSTS, STAMP, rounded, stamp
 from newsloom.session import scratch_path
 from newsloom.sources import readers, sinks
 from newsloom.streaming import jobs
@@ -27,11 +27,12 @@ def events(t):
     return t("events").withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-@query("c1_dedup_stream", "SELECT DISTINCT user_id FROM events")
+@query("c1_dedup_stream", f"""WITH RECURSIVE {KEPT} SELECT user_id, {STAMP.format('ts')} AS ts
+  FROM kept""")
 def _(t):
     rows = events(t).select("user_id", "ts")
-    out = jobs.drop_duplicates(streamed(t, rows, "c1-in"), "user_id", "ts", "40 days")
-    return jobs.run_available(out, "c1").select("user_id")
+    out = jobs.drop_duplicates(streamed(t, rows, "c1-in"), "user_id", "ts", 3600)
+    return jobs.run_available(out, "c1").select("user_id", stamp("ts").alias("ts"))
 
 
 FINAL = "WHERE window_start + INTERVAL 60 SECOND <= (SELECT max(ts) FROM events)"

@@ -35,6 +35,14 @@ def rounded(value: Column, digits: int = 6) -> Column:
     return F.round(value, digits) + F.lit(0.0)
 
 
+def labelled(df: DataFrame, key: str) -> DataFrame:
+    """(key, text, label): capitalised words of a text, labelled by their length."""
+    names = F.regexp_extract_all("text", F.lit(NAME_PATTERN), F.lit(0))
+    labels = F.array(*[F.lit(x) for x in LABELS])
+    return one_per_item(df, names, "text", [key]).withColumn(
+        "label", F.get(labels, F.length("text") % len(LABELS)))
+
+
 class Tables:
     """Views over one folder of Parquet tables. All are lazy and prune their columns."""
 
@@ -62,10 +70,7 @@ class Tables:
     @cached_property
     def mentions(self) -> DataFrame:
         """(id, text, label): capitalised words, labelled by their length."""
-        names = F.regexp_extract_all("text", F.lit(NAME_PATTERN), F.lit(0))
-        words = one_per_item(self("documents"), names, "text", [F.col("doc_id").alias("id")])
-        labels = F.array(*[F.lit(x) for x in LABELS])
-        return words.withColumn("label", F.get(labels, F.length("text") % len(LABELS)))
+        return labelled(self("documents").withColumnRenamed("doc_id", "id"), "id")
 
     @cached_property
     def posts(self) -> DataFrame:
@@ -157,3 +162,8 @@ PLACES_SQL = """places AS (
   SELECT array_to_string(list_transform(string_split(lower(n_name), ' '),
            lambda w: upper(w[1]) || w[2:]), ' ') AS location, count(*) AS mentions
   FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY 1)"""
+
+# Times at which a user's events stay if others within an hour after a kept one go.
+KEPT = """kept AS (SELECT user_id, min(ts) AS ts FROM events GROUP BY 1
+  UNION ALL SELECT k.user_id, min(e.ts) FROM kept k JOIN events e
+    ON e.user_id = k.user_id AND e.ts >= k.ts + INTERVAL 1 HOUR GROUP BY 1)"""

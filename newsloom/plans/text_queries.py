@@ -10,7 +10,7 @@ from newsloom.functions import text as tx
 from newsloom.operators import dedup, entities, sentiment, summaries
 from newsloom.operators.bounds import one_per_item
 from newsloom.plans.catalog import query
-from newsloom.plans.tables import (ART, MENTIONS, NEGATIONS, NEGATIVE, POSITIVE, SQL_SPACE, SQL_SPACES,
+from newsloom.plans.tables import (ART, KEPT, MENTIONS, NEGATIONS, NEGATIVE, POSITIVE, SQL_SPACE, SQL_SPACES,
                                    STAMP, STOP_WORDS,
                                    VALENCE, WORDS, distinct_in_order, fill, hits, in_list, rounded, stamp,
                                    text_list, vote_label)
@@ -218,9 +218,8 @@ def _(t):
 
 # --- duplicates ------------------------------------------------------------------------
 
-@query("c1_dedup_within_hour", """SELECT event_id FROM (SELECT event_id, row_number() OVER (
-  PARTITION BY user_id, date_trunc('hour', ts) ORDER BY ts, event_id) AS rn FROM events)
-  WHERE rn = 1""")
+@query("c1_dedup_within_hour", f"""WITH RECURSIVE {KEPT} SELECT min(event_id) AS event_id
+  FROM kept JOIN events USING (user_id, ts) GROUP BY user_id, ts""")
 def _(t):
     return dedup.first_per_window(t("events").select("event_id", "user_id", "ts"), "user_id", "ts",
                                   3600, "event_id").select("event_id")

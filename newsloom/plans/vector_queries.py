@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from newsloom.functions.vector import cosine, running_mean, silhouette_band
 from newsloom.operators import vectors as vec
+from newsloom.operators.bounds import broadcast_if_small
 from newsloom.plans.catalog import query
 from newsloom.plans.tables import VECTORS, STAMP, rounded, stamp
 
@@ -47,7 +48,7 @@ def _(t):
     round((c[64] * n + vector[64]) / (n + 1), 6) AS x64
   FROM vectors JOIN means USING (label) JOIN n USING (label)""")
 def _(t):
-    rows = t("embeddings").join(F.broadcast(means(t)), "label")  # one centroid per label
+    rows = t("embeddings").join(broadcast_if_small(means(t)), "label")
     mean = running_mean(F.col("centroid"), F.col("n"), F.col("embedding"))
     return rows.select(F.col("vec_id").alias("id"), mean.alias("m")).select(
         "id", rounded(F.get("m", F.lit(0))).alias("x1"), rounded(F.get("m", F.lit(63))).alias("x64"))
@@ -129,10 +130,11 @@ def _(t):
 def _(t):
     from pyspark.ml.functions import array_to_vector
 
-    dense = t("embeddings").select(array_to_vector(F.col("embedding").cast("array<double>"))
-                                   .alias("features"))
-    sets = {"lexical": vec.tfidf(t("documents").select("text"), "text", 1000), "semantic": dense}
-    out = vec.clustering_benchmark(sets, (5, 10, 15), max_iter=5)
+    texts = t("documents").select(F.coalesce("text", F.lit("")).alias("text"))
+    meaning = vec.embed(F.col("text"), vec.hash_embedder(32)).cast("array<double>")
+    sets = {"lexical": vec.tfidf(texts, "text", 1000),
+            "semantic": texts.select(array_to_vector(meaning).alias("features"))}
+    out = vec.clustering_benchmark(sets, (5, 10, 15))
     return out.withColumn("band", silhouette_band(F.col("silhouette")))
 
 
@@ -173,7 +175,7 @@ def _(t):
     return vec.cluster_totals(t("embeddings").select(F.expr(NOISE).alias("cluster")))
 
 
-@query("d26_embed")
+@query("d26_embed", "SELECT doc_id, 32 AS dims FROM documents")
 def _(t):
     return t("documents").select("doc_id", vec.embed(F.col("text"), vec.hash_embedder(32))
                                  .alias("v")).select("doc_id", F.size("v").alias("dims"))

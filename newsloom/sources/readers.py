@@ -107,7 +107,3 @@ def row_count(table: DataFrame) -> DataFrame:
 def union_feeds(*feeds: DataFrame) -> DataFrame:
     """All feeds' rows; a column a feed lacks is null there."""
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), feeds)
-
-
-def first_entries(entries: DataFrame, feed: str, order: Sequence, per_feed: int) -> DataFrame:
-    return top_per_group(entries, [feed], order, per_feed)

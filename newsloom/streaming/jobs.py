@@ -52,9 +52,58 @@ def run_updates(stream: DataFrame, name: str, keys: Sequence[str]) -> DataFrame:
     return last.select(*keys, "r.*")
 
 
-def drop_duplicates(stream: DataFrame, key: str, ts: str, within: str = "1 hour") -> DataFrame:
-    """First row per key; later ones within the time are dropped, then the key is forgotten."""
-    return stream.withWatermark(ts, within).dropDuplicatesWithinWatermark([key])
+class FirstPerWindow(StatefulProcessor):
+    """Keeps the time of a key's last kept row until the watermark is past its window."""
+
+    def __init__(self, seconds: int):
+        self.millis = seconds * 1000
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.last = handle.getValueState("last", "millis double")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues
+                        ) -> Iterator[pd.DataFrame]:
+        before = self.last.get()[0] if self.last.exists() else None
+        last, first = before, {}
+        for batch in rows:  # the earliest rows of a micro-batch come first
+            millis = batch["__millis"].to_numpy()
+            for at in np.argsort(millis, kind="stable"):
+                first.setdefault(float(millis[at]), batch.iloc[[at]])
+        kept = []
+        for at in sorted(first):
+            if last is None or at >= last + self.millis or at <= last - self.millis:
+                kept.append(first[at])
+                last = at if last is None else max(last, at)
+        if last is not None and last != before:
+            self.last.update((last,))
+            self.handle.registerTimer(int(last) + self.millis)
+        if kept:
+            yield pd.concat(kept).drop(columns="__millis")
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        if self.last.exists() and \
+                self.last.get()[0] + self.millis <= expiredTimerInfo.getExpiryTimeInMs():
+            self.last.clear()
+        return iter(())
+
+    def close(self) -> None:
+        pass
+
+
+def drop_duplicates(stream: DataFrame, key: str, ts: str, seconds: int = 3600,
+                    lateness: str = "0 seconds") -> DataFrame:
+    """The rule of ``dedup.first_per_window`` on a stream: a row goes if a kept row of its key
+    lies less than ``seconds`` before it, then the key is forgotten.
+
+    Rows of one micro-batch are taken in the order of time; of equal times the first to
+    arrive stays. Rows without a time cannot be placed and go.
+    """
+    millis = F.unix_micros(F.col(ts).cast("timestamp")) / 1000.0
+    timed = stream.filter(F.col(ts).isNotNull()).withColumn("__millis", millis)
+    return timed.withWatermark(ts, lateness).groupBy(key).transformWithStateInPandas(
+        statefulProcessor=FirstPerWindow(seconds), outputStructType=stream.schema,
+        outputMode="Append", timeMode="EventTime")
 
 
 def sliding_counts(stream: DataFrame, ts: str, group: str, window: int = 60, poll: int = 5,
@@ -131,24 +180,24 @@ class KeywordEventProcessor(StatefulProcessor):
 
 def keyword_events(clusters: DataFrame, size: int = 3) -> DataFrame:
     """Births and updates of keyword groups from (id, ts, cluster_key) as they arrive."""
-    narrow = clusters.select("cluster_key", F.col("id").cast("long").alias("id"),
-                             F.col("ts").cast("timestamp").alias("ts"))
+    narrow = clusters.select("cluster_key", "id", F.col("ts").cast("timestamp").alias("ts"))
+    kind = dict(narrow.dtypes)["id"]
     return narrow.groupBy("cluster_key").transformWithStateInPandas(
         statefulProcessor=KeywordEventProcessor(size),
-        outputStructType="event_id string, id long, article_count long, first_seen timestamp, "
-                         "event_update boolean",
+        outputStructType=f"event_id string, id {kind}, article_count long, "
+                         "first_seen timestamp, event_update boolean",
         outputMode="Append", timeMode="None")
 
 
 class SemanticEventProcessor(StatefulProcessor):
     """Centroids of one bucket: name -> (sum, count), forgotten after the time to live."""
 
-    def __init__(self, threshold: float, ttl_ms: int | None):
-        self.threshold, self.ttl_ms = threshold, ttl_ms
+    def __init__(self, threshold: float, ttl_ms: int | None, kind: str):
+        self.threshold, self.ttl_ms, self.kind = threshold, ttl_ms, kind
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.events = handle.getMapState("events", "name long", "vsum array<double>, n double",
-                                         self.ttl_ms)
+        self.events = handle.getMapState("events", f"name {self.kind}",
+                                         "vsum array<double>, n double", self.ttl_ms)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues
                         ) -> Iterator[pd.DataFrame]:
@@ -156,7 +205,7 @@ class SemanticEventProcessor(StatefulProcessor):
         for (name,), (vsum, n) in sorted(self.events.iterator(), key=lambda e: e[0][0]):
             clusters.load(name, np.asarray(vsum), n)
         batch = pd.concat(list(rows)).sort_values(["ts", "id"])  # one bucket of one micro-batch
-        found = [clusters.add(int(i), v) for i, v in zip(batch["id"], batch["vector"])]
+        found = [clusters.add(i, v) for i, v in zip(batch["id"].tolist(), batch["vector"])]
         for name in {f[0] for f in found}:
             at = clusters.names.index(name)
             self.events.updateValue((name,), (clusters.sums[at].tolist(), clusters.counts[at]))
@@ -168,15 +217,21 @@ class SemanticEventProcessor(StatefulProcessor):
 
 
 def semantic_events(stream: DataFrame, threshold: float = 0.75, lsh_bits: int = 0,
-                    dim: int = 384, ttl_ms: int | None = None) -> DataFrame:
-    """Assign (id, ts, vector) rows to events as they arrive, bucket by bucket."""
-    keyed = stream.select(
+                    dim: int = 384, ttl_ms: int | None = 86_400_000) -> DataFrame:
+    """Assign (id, ts, vector) rows to events as they arrive, bucket by bucket.
+
+    Events without an article for ``ttl_ms`` are forgotten, so the state holds those of a day.
+    Buckets (``lsh_bits``) spread the work but part an event whose articles fall into several;
+    without them the rule is exact, and one task's work.
+    """
+    kind = dict(stream.dtypes)["id"]
+    keyed = stream.filter(F.col("vector").isNotNull()).select(
         "id", F.col("ts").cast("timestamp").alias("ts"),
         F.col("vector").cast("array<double>").alias("vector"),
         lsh_bucket(F.col("vector"), lsh_bits, dim).alias("bucket"))
     return keyed.groupBy("bucket").transformWithStateInPandas(
-        statefulProcessor=SemanticEventProcessor(threshold, ttl_ms),
-        outputStructType="id long, event long, similarity double, is_new boolean",
+        statefulProcessor=SemanticEventProcessor(threshold, ttl_ms, kind),
+        outputStructType=f"id {kind}, event {kind}, similarity double, is_new boolean",
         outputMode="Append", timeMode="ProcessingTime" if ttl_ms else "None")
 
 
