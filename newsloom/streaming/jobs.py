@@ -52,6 +52,9 @@ def run_updates(stream: DataFrame, name: str, keys: Sequence[str]) -> DataFrame:
     return last.select(*keys, "r.*")
 
 
+MILLIS = "millis_of_row"  # a processor renames columns that begin with an underscore
+
+
 class FirstPerWindow(StatefulProcessor):
     """Keeps the time of a key's last kept row until the watermark is past its window."""
 
@@ -66,8 +69,10 @@ class FirstPerWindow(StatefulProcessor):
                         ) -> Iterator[pd.DataFrame]:
         before = self.last.get()[0] if self.last.exists() else None
         last, first = before, {}
-        for batch in rows:  # the earliest rows of a micro-batch come first
-            millis = batch["__millis"].to_numpy()
+        for batch in rows:
+            if batch.empty:  # the call that precedes a timer
+                continue
+            millis = batch[MILLIS].to_numpy()
             for at in np.argsort(millis, kind="stable"):
                 first.setdefault(float(millis[at]), batch.iloc[[at]])
         kept = []
@@ -79,7 +84,7 @@ class FirstPerWindow(StatefulProcessor):
             self.last.update((last,))
             self.handle.registerTimer(int(last) + self.millis)
         if kept:
-            yield pd.concat(kept).drop(columns="__millis")
+            yield pd.concat(kept).drop(columns=MILLIS)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         if self.last.exists() and \
@@ -100,7 +105,7 @@ def drop_duplicates(stream: DataFrame, key: str, ts: str, seconds: int = 3600,
     arrive stays. Rows without a time cannot be placed and go.
     """
     millis = F.unix_micros(F.col(ts).cast("timestamp")) / 1000.0
-    timed = stream.filter(F.col(ts).isNotNull()).withColumn("__millis", millis)
+    timed = stream.filter(F.col(ts).isNotNull()).withColumn(MILLIS, millis)
     return timed.withWatermark(ts, lateness).groupBy(key).transformWithStateInPandas(
         statefulProcessor=FirstPerWindow(seconds), outputStructType=stream.schema,
         outputMode="Append", timeMode="EventTime")
@@ -190,25 +195,34 @@ def keyword_events(clusters: DataFrame, size: int = 3) -> DataFrame:
 
 
 class SemanticEventProcessor(StatefulProcessor):
-    """Centroids of one bucket: name -> (sum, count), forgotten after the time to live."""
+    """Centroids of one bucket: name -> (sum, count, time of the last article)."""
 
-    def __init__(self, threshold: float, ttl_ms: int | None, kind: str):
-        self.threshold, self.ttl_ms, self.kind = threshold, ttl_ms, kind
+    def __init__(self, threshold: float, ttl_seconds: float | None, kind: str):
+        self.threshold, self.ttl_seconds, self.kind = threshold, ttl_seconds, kind
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.events = handle.getMapState("events", f"name {self.kind}",
-                                         "vsum array<double>, n double", self.ttl_ms)
+                                         "vsum array<double>, n double, seen double")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues
                         ) -> Iterator[pd.DataFrame]:
-        clusters = LeaderClusters(self.threshold)
-        for (name,), (vsum, n) in sorted(self.events.iterator(), key=lambda e: e[0][0]):
-            clusters.load(name, np.asarray(vsum), n)
         batch = pd.concat(list(rows)).sort_values(["ts", "id"])  # one bucket of one micro-batch
+        seconds = (batch["ts"] - pd.Timestamp(0)).dt.total_seconds().tolist()
+        clusters = LeaderClusters(self.threshold)
+        forgotten = []
+        for (name,), (vsum, n, seen) in sorted(self.events.iterator(), key=lambda e: e[0][0]):
+            if self.ttl_seconds is not None and seen < seconds[0] - self.ttl_seconds:
+                forgotten.append(name)
+            else:
+                clusters.load(name, np.asarray(vsum), n)
+        for name in forgotten:
+            self.events.removeKey((name,))
         found = [clusters.add(i, v) for i, v in zip(batch["id"].tolist(), batch["vector"])]
-        for name in {f[0] for f in found}:
-            at = clusters.names.index(name)
-            self.events.updateValue((name,), (clusters.sums[at].tolist(), clusters.counts[at]))
+        last = {f[0]: at for f, at in zip(found, seconds)}
+        place = {name: at for at, name in enumerate(clusters.names)}
+        for name, seen in last.items():
+            at = place[name]
+            self.events.updateValue((name,), (clusters.sums[at].tolist(), clusters.counts[at], seen))
         yield pd.DataFrame({"id": batch["id"].to_numpy(), "event": [f[0] for f in found],
                             "similarity": [f[1] for f in found], "is_new": [f[2] for f in found]})
 
@@ -217,12 +231,13 @@ class SemanticEventProcessor(StatefulProcessor):
 
 
 def semantic_events(stream: DataFrame, threshold: float = 0.75, lsh_bits: int = 0,
-                    dim: int = 384, ttl_ms: int | None = 86_400_000) -> DataFrame:
+                    dim: int = 384, ttl_seconds: float | None = 86_400) -> DataFrame:
     """Assign (id, ts, vector) rows to events as they arrive, bucket by bucket.
 
-    Events without an article for ``ttl_ms`` are forgotten, so the state holds those of a day.
-    Buckets (``lsh_bits``) spread the work but part an event whose articles fall into several;
-    without them the rule is exact, and one task's work.
+    When a micro-batch comes, events whose last article is more than ``ttl_seconds`` older than
+    its first row are forgotten, so the state holds the events of a day. Buckets (``lsh_bits``)
+    spread the work but part an event whose articles fall into several; without them the rule
+    is exact, and one task's work. Rows without a vector are left out.
     """
     kind = dict(stream.dtypes)["id"]
     keyed = stream.filter(F.col("vector").isNotNull()).select(
@@ -230,9 +245,9 @@ def semantic_events(stream: DataFrame, threshold: float = 0.75, lsh_bits: int =
         F.col("vector").cast("array<double>").alias("vector"),
         lsh_bucket(F.col("vector"), lsh_bits, dim).alias("bucket"))
     return keyed.groupBy("bucket").transformWithStateInPandas(
-        statefulProcessor=SemanticEventProcessor(threshold, ttl_ms, kind),
+        statefulProcessor=SemanticEventProcessor(threshold, ttl_seconds, kind),
         outputStructType=f"id {kind}, event {kind}, similarity double, is_new boolean",
-        outputMode="Append", timeMode="ProcessingTime" if ttl_ms else "None")
+        outputMode="Append", timeMode="None")
 
 
 def match_posts(posts: DataFrame, events: DataFrame, ttl: str = "24 hours",

@@ -142,10 +142,25 @@ def test_dedup_forgets_keys(spark, tmp_path):
     df = spark.createDataFrame(rows, "id long, url string, ts timestamp")
     land(df, tmp_path / "in", 6)
     out = jobs.run_available(jobs.drop_duplicates(stream_of(spark, tmp_path / "in", df.schema),
-                                                  "url", "ts", "1 hour"), "t")
+                                                  "url", "ts", 3600), "t")
     assert sorted(r["id"] for r in out.collect()) == [0, 2, 3, 4, 5]
 
 
+def test_dedup_across_a_full_hour_equals_batch(spark, tmp_path):
+    from newsloom.operators.dedup import first_per_window
+
+    # 10:59 and 11:01 lie within an hour; so does 11:58 of 10:59, but 12:00 does not.
+    minutes = [659, 661, 718, 720, 779, 780]
+    rows = [(str(i), "u", at(60 * m)) for i, m in enumerate(minutes)] + [("z", None, at(60 * 660))]
+    df = spark.createDataFrame(rows, "id string, url string, ts timestamp")
+    batch = first_per_window(df, "url", "ts", 3600, "id")
+    assert sorted(r["id"] for r in batch.collect()) == ["0", "3", "5", "z"]
+    df.coalesce(1).orderBy(F.desc("ts")).write.parquet(str(tmp_path / "in"))
+    out = jobs.run_available(jobs.drop_duplicates(stream_of(spark, tmp_path / "in", df.schema),
+                                                  "url", "ts", 3600), "t")
+    assert sorted(r["id"] for r in out.collect()) == ["0", "3", "5", "z"]
+
+
 def test_late_rows_are_dropped(spark, tmp_path):
     # Spark drops by the watermark of the batch before: row 3 comes two batches after row 1.
     rows = [(0, "a", at(0)), (1, "a", at(1000)), (2, "a", at(1001)), (3, "a", at(2)),
@@ -204,6 +219,15 @@ def test_semantic_events_over_batches_equal_one_pass(spark, tmp_path):
         {(r["id"], r["event"]) for r in want.collect()}
 
 
+def test_semantic_events_are_forgotten_after_a_day(spark, tmp_path):
+    rows = [("0", at(0), [1.0, 0.0]), ("1", at(86_400), [1.0, 0.0]),
+            ("2", at(2 * 86_400 + 1), [1.0, 0.0]), ("3", at(2 * 86_400 + 2), None)]
+    df = spark.createDataFrame(rows, "id string, ts timestamp, vector array<double>")
+    land(df, tmp_path / "in", 4)
+    out = jobs.run_available(jobs.semantic_events(stream_of(spark, tmp_path / "in", df.schema)), "t")
+    assert {r["id"]: r["event"] for r in out.collect()} == {"0": "0", "1": "0", "2": "2"}
+
+
 def test_match_posts_over_batches(spark, tmp_path):
     ev = [(i, at(i * 3600), [f"storm{i % 3}", "flood"]) for i in range(6)]
     posts = [(i, at(i * 7000 + 10), "After STORM%d: %s" % (i % 3, "floods" if i % 4 == 0 else ""))

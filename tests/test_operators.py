@@ -147,7 +147,14 @@ def test_enrich_matches_defaults(spark):
     ev = spark.createDataFrame([("e1", at(0), "T", ["Storm", "win"])],
                                "event_id string, event_ts timestamp, title string, "
                                "keywords array<string>")
-    row = events.enrich_matches(events.match_posts(posts, ev), posts, ev).first()
+    found = events.match_posts(posts, ev)
+    row = events.enrich_matches(found, posts, ev).first()
+    assert row["entities"].asDict() == {"persons": [], "organizations": [], "locations": []}
+    named = spark.createDataFrame([(1, "Rao", "PERSON"), (1, "Pune", "GPE")],
+                                  "post_id long, text string, label string")
+    known = events.enrich_matches(found, posts, ev, mentions=named).first()["entities"]
+    assert known.asDict() == {"persons": ["Rao"], "organizations": [], "locations": ["Pune"]}
+    assert row["enriched_at"] is not None
     assert row["matched_keywords"] == ["Storm", "win"]
     assert (row["user"], row["platform"], row["likes"], row["retweets"]) == ("Unknown", "Unknown",
                                                                              7, 0)
@@ -202,6 +209,38 @@ def test_semantic_events_split_covers_every_row(points, points_df):
     assert len({r["event"] for r in merged}) == len(set(leader(points, 0.75).values()))
 
 
+@pytest.mark.parametrize("noise", [0.3, 0.5])
+def test_semantic_events_default_split_finds_the_rules_events(spark, noise):
+    rng = np.random.default_rng(11)
+    centers = rng.standard_normal((40, 384))
+    rows = [(str(i), centers[i % 40] + rng.standard_normal(384) * noise) for i in range(800)]
+    df = spark.createDataFrame([(i, at(60 * int(i)), [float(x) for x in v]) for i, v in rows]
+                               + [("none", at(0), None)],
+                               "id string, ts timestamp, vector array<double>")
+    exact = len({r["event"] for r in events.semantic_events(df, 0.75, 0, None).collect()})
+    got = events.semantic_events(df).collect()
+    assert sorted(r["id"] for r in got) == sorted(i for i, _ in rows)
+    found = {r["event"] for r in got}
+    assert abs(len(found) - exact) <= 0.05 * exact
+    assert {r["id"] for r in got if r["is_new"]} == found
+    assert all((r["similarity"] == 0) == r["is_new"] for r in got)
+
+
+def test_event_records(spark):
+    from newsloom.schema import DETECTED_EVENT
+
+    df = spark.createDataFrame(
+        [("a", at(0), [1.0, 0.0], "Storm hits coastal town", "x"),
+         ("b", at(5), [1.0, 0.1], "Storm again", "y"), ("c", at(9), [0.0, 1.0], None, None)],
+        "id string, ts timestamp, vector array<double>, title string, source string")
+    out = events.event_records(events.semantic_events(df, dim=2), df)
+    assert [f.name for f in out.schema] == [f.name for f in DETECTED_EVENT]
+    got = {r["source"]: r for r in out.collect()}
+    assert set(got) == {"x", "Unknown"}
+    assert got["x"]["title"] == "Storm hits coastal town" and "storm" in got["x"]["keywords"]
+    assert got["x"]["is_new"] and got["x"]["similarity"] == 0.0
+
+
 def test_keyword_births_and_updates(spark):
     same = "markets rally after budget speech today"
     rows = [(i, at(i), same, "s") for i in range(5)] + [(9, at(9), "tiny", "s")] + \
@@ -407,6 +446,21 @@ def test_nearest_centroid_both_ways(spark, points, points_df, monkeypatch, limit
         assert got[i][0] == want[0] and got[i][1] == pytest.approx(want[1])
 
 
+@pytest.mark.parametrize("limit", [0, 1, 4096])
+def test_nearest_centroid_odd_rows(spark, monkeypatch, limit):
+    monkeypatch.setattr(vectors, "MAX_LOCAL_CENTROIDS", limit)
+    big = 2 ** 53 + 1
+    rows = [(1, [1.0, 0.0]), (1, [1.0, 0.0]), (1, [0.0, 1.0]), (2, None), (None, [1.0, 0.0]),
+            (3, [-1.0, -1.0])]
+    df = spark.createDataFrame(rows, "k long, v array<double>")
+    cents = spark.createDataFrame([(big, [2.0, 0.0]), (7, [0.0, 1.0]), (8, None)],
+                                  "id long, centroid array<double>")
+    got = sorted((tuple(r) for r in vectors.nearest_centroid(df, "k", "v", cents).collect()),
+                 key=str)
+    assert got == sorted([(1, big, 1.0), (1, big, 1.0), (1, 7, 1.0), (2, None, 0.0),
+                          (None, big, 1.0), (3, None, 0.0)], key=str)
+
+
 def test_nearest_centroid_without_centroids(spark, points_df):
     none = spark.createDataFrame([], "id long, centroid array<double>")
     row = vectors.nearest_centroid(points_df, "id", "vector", none).first()
@@ -538,3 +592,16 @@ def test_breaking_needs_two_articles(spark):
            for r in boards.breaking(df, "ts", "id").collect()]
     assert got == [(2, "India", "a b!", 3), (3, "India", "C", 3)]
     assert boards.trending(df, "ts", "id").count() == 0
+
+
+def test_boards_take_string_ids_and_null_keys(spark):
+    rows = [("b", "A x", "negative", ["p"], at(5), ["E", "F"]),
+            ("a", "A x", "negative", None, at(5), ["E"]), ("c", "B", "negative", [], None, ["E"]),
+            (None, "C", "positive", [], at(9), [])]
+    df = spark.createDataFrame(rows, "id string, title string, sentiment string, "
+                                     "locations array<string>, ts timestamp, names array<string>")
+    assert [(r["id"], r["articles"]) for r in boards.breaking(df, "ts", "id").collect()] == \
+        [("a", 3), ("c", 3)]
+    top = entities.top_stories(df, "names", "ts", "id").collect()
+    assert [(r["entity"], r["rank"], r["title"]) for r in top] == [("E", 1, "A x"), ("E", 2, "B")]
+    assert [r["id"] for r in boards.newest(df, "ts", "id", 2).collect()] == [None, "a"]
