@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from newsloom.operators import boards, graph
 from newsloom.operators import entities as en
 from newsloom.plans.catalog import query
-from newsloom.plans.tables import ART, MENTIONS, NAMES, rounded, text_list
+from newsloom.plans.tables import ART, MENTIONS, rounded
 from newsloom.session import materialize
 
 PAIRS = """pairs AS (SELECT id, sentiment, entities, entities[i] AS source, unnest(entities[i + 1:])

@@ -17,8 +17,6 @@ POSITIVE = ("nicht", "avec")
 NEGATIVE = ("worthless", "stupid", "idiot")
 NEGATIONS = ("of", "the")
 PLACES = ("Anon", "Eren", "Ther", "Thon", "Tion")
-NAMES = ("Anon", "Aich", "Eren", "Eriner", "From", "Nicht", "Pour", "Sich", "Than", "That", "Thon",
-         "With")
 STOP_WORDS = ("the", "and", "that", "with", "les", "des", "die", "der", "que", "los")
 VALENCE = (("that", 1.5), ("with", 0.8), ("avec", 0.4), ("nicht", -1.2), ("stupid", -2.0),
            ("worthless", -2.5))
