@@ -46,7 +46,7 @@ def _luhn(value: Column) -> Column:
 
 def _valid(kind: str, value: Column) -> Column:
     if kind == "ip":
-        part = "0*+(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
+        part = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
         return value.rlike(rf"^{part}(?:\.{part}){{3}}$")
     if kind == "card":
         return _luhn(value)

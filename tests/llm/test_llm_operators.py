@@ -262,6 +262,17 @@ def test_personal_data(awkward, docs, empty):
     assert personal_data.find_personal_data(empty).count() == 0
 
 
+def test_ip_parts_of_zeros(spark):
+    addresses = ["10.0.0.1", "0.0.0.0", "127.0.0.1", "00.1.2.3", "000.000.000.000", "0255.1.2.003",
+                 "192.168.0.10", "10.0.0.256", "0256.1.2.3", "1.2.3.0999", "300.0.0.1"]
+    rows = [(k, f"at {a} now") for k, a in enumerate(addresses)]
+    got = {r.doc_id: (r.n_ip, r.spans) for r in personal_data.find_personal_data(
+        spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for k, a in enumerate(addresses):
+        good = all(int(p) <= 255 for p in a.split("."))
+        assert got[k] == ((1, f"ip:3:{3 + len(a)}") if good else (0, "")), a
+
+
 def test_bootstrapped_contexts(spark):
     rows = [(k, f"write to contact user{k}@mail{k}.org now") for k in range(9)]
     rows += [(50, "write to contact user77@intranet now"), (51, "nothing about user78@intranet now")]
