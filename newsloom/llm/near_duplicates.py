@@ -85,7 +85,7 @@ def least_matches(threshold: float, tolerance: float, compared: int = COMPARED,
 
 def _documents(docs: DataFrame, doc_id: str, text: str, size: int) -> DataFrame:
     """(doc_id, copy, node, n, bands): ``node`` is a hash of the text's words (null: it has none),
-    ``n`` its number of runs of words, ``bands`` the hashes of its MinHash bands."""
+    ``n`` the size of its set of runs of words, ``bands`` the hashes of its MinHash bands."""
     schema = T.StructType([
         T.StructField("doc_id", docs.schema[doc_id].dataType), T.StructField("copy", T.LongType()),
         T.StructField("node", T.BinaryType()), T.StructField("n", T.LongType()),
@@ -108,9 +108,10 @@ def _documents(docs: DataFrame, doc_id: str, text: str, size: int) -> DataFrame:
                               + np.uint64(k) for k in range(BANDS)], axis=1)
             nodes = [xxhash.xxh3_128_digest(values[a:b].tobytes()) if b > a else None
                      for a, b in zip(starts[:-1], starts[1:])]
+            sizes = [len(np.unique(runs[a:b])) for a, b in zip(at[:-1], at[1:])]
             yield pa.RecordBatch.from_arrays([
                 pa.array(ids, kind), pa.array(copies, pa.int64()), pa.array(nodes, pa.binary()),
-                pa.array(np.diff(at)), pa.array([row.tobytes() for row in bands], pa.binary())],
+                pa.array(sizes, pa.int64()), pa.array([row.tobytes() for row in bands], pa.binary())],
                 schema.fieldNames())
 
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("copy"),

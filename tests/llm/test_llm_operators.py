@@ -210,6 +210,17 @@ def test_near_duplicates(spark, awkward, empty, block):
         assert near_duplicates.near_duplicates(empty).count() == 0
 
 
+def test_near_duplicates_of_doubled_texts(spark):
+    base = [f"alpha{k}" for k in range(300)]
+    rows = [(k, " ".join(base[:295] + [f"own{k}"] + base[296:])) for k in range(20)]
+    rows += [(20 + k, t + " " + t) for k, t in rows[:6]] + [(30, " ".join([rows[0][1]] * 4))]
+    links = jaccard_truth(rows)
+    got = {r.doc_id: r for r in near_duplicates.near_duplicates(
+        spark.createDataFrame(rows, "doc_id long, text string"), block=8).collect()}
+    assert [got[i].n_links for i, _ in rows] == [len(x) for x in links]
+    assert {r.class_id for r in got.values()} == {0} and sum(r.keep for r in got.values()) == 1
+
+
 def test_components(spark):
     edges = [(k, k + 1) for k in range(40)] + [(100, 200), (7, 7), (None, 3)]
     rows = components(spark.createDataFrame(edges, "u long, v long")).collect()
