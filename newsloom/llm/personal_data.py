@@ -20,8 +20,13 @@ PATTERNS = {
 # What a text must contain for a kind's pattern to be worth running.
 HINTS = {"email": "@[A-Za-z0-9-]", "ip": r"[0-9]\.[0-9]", "card": r"[0-9](?:[\x20-]?[0-9]){13}",
          "phone": r"\+[0-9]"}
-# A word that looks like an identifier: it has a digit or an at sign.
-TOKEN = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9@]*+[0-9@][^\x20\x09-\x0D]*+"
+# An identifier-like run: number words with single blanks between them, or else one word that has
+# a digit or an at sign. It begins after a blank or a label's mark, and touches no base span.
+_BLANK, _MASK, _MARK = r"\x20\x09-\x0D", "\x01", r"\x01"
+_NUMBER = rf"[(+]{{0,2}}[0-9][0-9().+/-]*+(?![^{_BLANK},;:!?\"'\])}}])"
+TOKEN = (rf"(?<![^{_BLANK}=:])(?:{_NUMBER}(?:\x20{_NUMBER})*+"
+         rf"|[^{_BLANK}{_MARK}=:0-9@]*+[0-9@][^{_BLANK}{_MARK}]*+(?!{_MARK}))")
+AROUND = 256  # characters before and after a candidate in which its contexts are looked for
 ROUNDS, LEAST_SUPPORT, LEAST_CONFIDENCE = 3, 3, 0.8
 
 _SPAN = "struct<start:bigint,end:bigint,value:string,before:string>"
@@ -90,30 +95,69 @@ def base_spans(text: Column) -> Column:
     return F.concat(*[spans(rank, kind) for rank, kind in enumerate(KINDS)])
 
 
-def _candidates(text: Column, base: Column) -> Column:
-    """(start, end, value, context, shape, kind) of identifier-like words; kind: a base span's.
+def _masked(text: Column, base: Column) -> Column:
+    """The text with every character of a base span replaced by a mark, so that places stay."""
+    zero = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
 
-    Words that begin inside a base span, or have no word before them, are left out.
-    ``context`` is the word before, in lower case and without marks; ``shape`` has 9 for digits, a
-    for letters and w for both.
+    def step(state, span):
+        start, end = (F.greatest(state["at"], span[x]) for x in ("start", "end"))
+        return F.struct(end.alias("at"), F.concat(
+            state["out"], F.substring(text, (state["at"] + 1).cast("int"),
+                                      (start - state["at"]).cast("int")),
+            F.repeat(F.lit(_MASK), (end - start).cast("int"))).alias("out"))
+
+    return F.aggregate(base, zero, step, lambda s: F.concat(
+        s["out"], F.substring(text, (s["at"] + 1).cast("int"), F.length(text))))
+
+
+def _shapes(value: Column) -> tuple[Column, Column]:
+    """The exact shape (9 for digits, a for letters, w for both) and the coarse one.
+
+    The coarse shape is an at sign, w, a number of four or more dotted parts, or how many digits a
+    number has: under 7, 14, 20 or more.
     """
-    def described(s):
-        core = F.regexp_extract(s["value"], r"[\p{L}0-9](?:.*[\p{L}0-9])?", 0)
-        lead = F.length(F.regexp_extract(s["value"], r"^[^\p{L}0-9]*+", 0))
-        start = s["start"] + lead
-        end = start + F.length(core)
-        shape = F.regexp_replace(F.regexp_replace(F.regexp_replace(
-            core, "[0-9]+", "9"), r"\p{L}+", "a"), "(?:a9|9a)[a9]*", "w")
-        word = F.regexp_extract(s["before"], r"([^\x20\x09-\x0D]++)[\x20\x09-\x0D]*+$", 1)
-        kinds = F.filter(base, lambda b: (b["start"] < end) & (start < b["end"]))
+    exact = F.regexp_replace(F.regexp_replace(F.regexp_replace(
+        value, "[0-9]+", "9"), r"\p{L}+", "a"), "(?:a9|9a)[a9]*", "w")
+    many = F.length(_digits(value))
+    coarse = (F.when(value.contains("@"), "~@").when(value.rlike(r"\p{L}"), "~w")
+              .when(value.rlike(r"^[0-9]+(?:\.[0-9]+){3,}$"), "~.").when(many < 7, "~9")
+              .when(many < 14, "~99").when(many < 20, "~999").otherwise("~9999"))
+    return exact, coarse
+
+
+def _candidates(text: Column, base: Column, masked: Column) -> Column:
+    """(start, end, value, left, right, exact, coarse, kind) of base spans and identifier-like runs.
+
+    ``kind`` is a base span's and else null. ``left`` is the word before, ``right`` the two words
+    after (one alone says little), in lower case and without marks; empty: there is none.
+    """
+    def plain(word):
+        return F.lower(F.regexp_replace(word, r"^[^\p{L}0-9=:]+|[^\p{L}0-9=:]+$", ""))
+
+    def described(start, end, value, kind):
+        lead = F.greatest(start - AROUND, F.lit(0))
+        before = F.substring(text, (lead + 1).cast("int"), (start - lead).cast("int"))
+        after = F.substring(text, (end + 1).cast("int"), F.lit(AROUND))
+        pair = rf"^[^{_BLANK}\p{{L}}0-9]*+[{_BLANK}]++([^{_BLANK}]++)[{_BLANK}]++([^{_BLANK}]++)"
+        first, second = (plain(F.regexp_extract(after, pair, k)) for k in (1, 2))
+        exact, coarse = _shapes(value)
         return F.struct(
-            start.alias("start"), end.alias("end"), core.alias("value"),
-            F.lower(F.regexp_replace(word, r"^[^\p{L}0-9=:]+|[^\p{L}0-9=:]+$", "")).alias("context"),
-            shape.alias("shape"), F.get(kinds, F.lit(0))["kind"].alias("kind"))
+            start.alias("start"), end.alias("end"), value.alias("value"),
+            plain(F.regexp_extract(before, rf"([^{_BLANK}]++)[{_BLANK}]*+$", 1)).alias("left"),
+            F.when((first != "") & (second != ""), F.concat_ws(" ", first, second))
+            .otherwise("").alias("right"),
+            exact.alias("exact"), coarse.alias("coarse"), kind.alias("kind"))
+
+    def trimmed(s):
+        core = F.regexp_extract(
+            s["value"], r"(?:\(\+?[0-9]+\)|\+?[\p{L}0-9])(?:.*[\p{L}0-9])?", 0)
+        start = s["start"] + F.position(core, s["value"]) - 1
+        return described(start, start + F.length(core), core, F.lit(None).cast("string"))
 
-    words = F.filter(matches(text, TOKEN, "[0-9@]", lambda v: F.lit(True)), lambda s: ~F.exists(
-        base, lambda b: (b["start"] < s["start"]) & (s["start"] < b["end"])))
-    return F.filter(F.transform(words, described), lambda w: w["context"] != "")
+    seeds = F.transform(base, lambda b: described(b["start"], b["end"], F.substring(
+        text, (b["start"] + 1).cast("int"), (b["end"] - b["start"]).cast("int")), b["kind"]))
+    words = F.transform(matches(masked, TOKEN, "[0-9@]", lambda v: v.rlike(r"[\p{L}0-9]")), trimmed)
+    return F.filter(F.concat(seeds, words), lambda w: (w["left"] != "") | (w["right"] != ""))
 
 
 def score_patterns(found: DataFrame, rounds: int = ROUNDS, support: int = LEAST_SUPPORT,
@@ -154,9 +198,10 @@ def find_personal_data(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
 
     Base spans are the matches of the four seed patterns that pass their kind's test; they are
     counted, and ``base_sha256`` digests their kind:start:end by start and kind. They are the
-    seeds: a pattern is the word before an identifier-like word and that word's shape, and patterns
-    that seeds fill nearly always (``score_patterns``) give their kind to other words in their
-    place. ``spans`` lists base spans and those, likewise. Places count code points, ends are
+    seeds, each whole: a pattern is the word before an identifier-like run or the two words after
+    it, with the run's exact or coarse shape, and patterns that seeds fill nearly always
+    (``score_patterns``) give their kind to other runs in their place; of several kinds that of
+    the highest confidence counts. Contexts are looked for in 256 characters on each side. ``spans`` lists base spans and those, likewise. Places count code points, ends are
     exclusive.
 
     The texts are read once and not shuffled; what later steps read is a written table of spans and
@@ -167,13 +212,20 @@ def find_personal_data(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(text, F.lit("")).alias("text"))
     base = rows.select("doc_id", F.xxhash64("text").alias("copy"), "text",
                        F.array_sort(base_spans(F.col("text"))).alias("base"))
-    found = materialize(base.select(
-        "doc_id", "copy", "base", _candidates(F.col("text"), F.col("base")).alias("words")), "pii")
+    base = base.withColumn("masked", _masked(F.col("text"), F.col("base")))
+    found = materialize(base.select("doc_id", "copy", "base", _candidates(
+        F.col("text"), F.col("base"), F.col("masked")).alias("words")), "pii")
+    sides = F.array(*[F.when(F.col(side) != "", F.struct(
+        F.concat(F.lit(side + " "), side).alias("context"), F.col(shape).alias("shape")))
+        for side in ("left", "right") for shape in ("exact", "coarse")])
     words = found.select("doc_id", "copy", F.explode("words").alias("w")).select(
-        "doc_id", "copy", "w.*")
+        "doc_id", "copy", "w.*").withColumn("p", F.explode(F.array_compact(sides))).select(
+        "doc_id", "copy", "start", "end", "value", "kind", "p.*")
     accepted = score_patterns(words.select("context", "shape", "value", "kind"))
     ranks = F.create_map(*[F.lit(x) for k, kind in enumerate(KINDS) for x in (kind, k)])
     new = (words.filter("kind IS NULL").drop("kind").join(accepted, ["context", "shape"])
+           .groupBy("doc_id", "copy", "start", "end")
+           .agg(F.max_by("kind", F.struct("confidence", "kind")).alias("kind"))
            .groupBy(F.col("doc_id").alias("d"), F.col("copy").alias("c"))
            .agg(F.collect_set(F.struct("start", ranks[F.col("kind")].alias("rank"), "end", "kind"))
                 .alias("new")))

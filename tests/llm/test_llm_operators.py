@@ -292,6 +292,27 @@ def test_bootstrapped_contexts(spark):
     assert got[3].startswith("email:17:") and got[51] == ""
 
 
+def test_unseen_identifiers_get_their_whole_span(spark):
+    def luhn_card(k):
+        head = f"4111 1111 {k:04d} 000"
+        return next(head + c for c in "0123456789" if luhn(re.sub(" ", "", head + c)))
+
+    rows = [(k, f"please dial +1 (212) 555-01{k:02d} for more help") for k in range(20)]
+    rows += [(100 + k, f"paid by card {luhn_card(k)} on that day") for k in range(20)]
+    rows += [(200 + k, f"mail=user{k}@mail{k}.org") for k in range(20)]
+    planted = {300: ("phone", "please dial ", "212 555 0100", ", friend"),
+               301: ("phone", "ring ", "(212) 555-0177", " for more help"),
+               302: ("phone", "dial ", "(212) 555-0188", " at noon"),
+               303: ("card", "by card ", "4111 1111 1111 1112", " again"),
+               304: ("email", "your mail=", "someone@intranet", " here"),
+               305: (None, "there are 12 555 0100 of them", "", "")}
+    rows += [(k, a + v + b) for k, (_, a, v, b) in planted.items()]
+    got = {r.doc_id: r.spans for r in personal_data.find_personal_data(
+        spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for k, (kind, a, v, _) in planted.items():
+        assert got[k] == (f"{kind}:{len(a)}:{len(a) + len(v)}" if kind else ""), k
+
+
 def test_toxicity():
     import random
 
