@@ -139,7 +139,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text
     tiers = tuple(tiers)
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(tokenizer).encode
+        encode = encoder(tokenizer, True).encode
         base = TaskContext.get().partitionId() << 40
         count = groups = 0
         kind = None

@@ -37,7 +37,7 @@ def train_dictionary(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", te
     sample = (docs.filter((F.pmod(F.xxhash64(doc_id), F.lit(step)) == 0)
                           & (F.length(text) <= longest))
               .select(text).limit(2 * rows).collect())
-    model = encoder(tokenizer)
+    model = encoder(tokenizer, True)
     ids, starts = model.encode([r[0] for r in sample])
     ids = ids.astype(_kind(model))
     samples = [np.append(part, ids.dtype.type(end_id)).tobytes()
@@ -115,7 +115,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, doc_id: str
         T.StructField("doc_ids", T.ArrayType(kind)), T.StructField("payload", T.BinaryType())])
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, part = encoder(tokenizer), TaskContext.get().partitionId()
+        model, part = encoder(tokenizer, True), TaskContext.get().partitionId()
         width = _kind(model)
         dictionary = _dictionary(raw)
         dictionary.precompute_compress(level=3)

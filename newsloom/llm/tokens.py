@@ -9,6 +9,7 @@ whole. Either way the ids are those of the tokenizer for the whole text.
 from __future__ import annotations
 
 import os
+import re
 from functools import lru_cache
 
 import numpy as np
@@ -28,15 +29,19 @@ _MARKED = f"([{_LETTERS}])([.,;:!?]+)(\\s|$)"
 class WordEncoder:
     """Ids by a ``tokenizers`` file, as unsigned 32-bit numbers.
 
-    Special tokens are never added, and their strings in a text are ordinary text.
+    Special tokens are never added. The string of an added token in a text gives that token's id
+    if ``added``, as the library has it, and is ordinary text otherwise; texts with such a string,
+    in any case, go through the tokenizer whole.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, added: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = not added
+        strings = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.added = "|".join(map(re.escape, strings)) if added else ""
         names = [self.tokenizer.id_to_token(i) or ""
                  for i in range(self.tokenizer.get_vocab_size())]
         self.spaced = self.tokenizer.normalizer is None  # a space belongs to the word after it
@@ -77,6 +82,9 @@ class WordEncoder:
         """Ids of all texts one after the other, and where each begins (one more); null: none."""
         column = pa.array([t or "" for t in texts], pa.large_string())
         odd = pc.match_substring_regex(column, _IRREGULAR).to_numpy(zero_copy_only=False)
+        if self.added:
+            odd = odd | pc.match_substring_regex(column, self.added, ignore_case=True).to_numpy(
+                zero_copy_only=False)
         cut = pc.if_else(pa.array(odd), "", column)
         cut = pc.replace_substring_regex(cut, _MARKED, "\\1\x01\\2\\3")
         cut = pc.replace_substring(cut, " ", "\x01 ")
@@ -112,6 +120,6 @@ class WordEncoder:
 
 
 @lru_cache(maxsize=2)
-def encoder(path: str) -> WordEncoder:
-    """One encoder for each file and Python process."""
-    return WordEncoder(path)
+def encoder(path: str, added: bool = False) -> WordEncoder:
+    """One encoder for each file, way with added tokens and Python process."""
+    return WordEncoder(path, added)

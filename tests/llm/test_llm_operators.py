@@ -62,6 +62,21 @@ def test_encoder_equals_tokenizer(docs, name):
             text or "", add_special_tokens=False).ids
 
 
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_encoder_with_added_tokens_equals_the_tokenizer_as_it_is(name):
+    path = public_tokenizers.path(name)
+    whole = Tokenizer.from_file(path)
+    strings = [t.content for t in whole.get_added_tokens_decoder().values()]
+    assert strings
+    texts = [text for s in strings + ["<|startoftext|>", "<|EndOfText|>", "<|end"] for text in (
+        s, f"one {s} two", f"one{s}two, three", f"{s}{s}\nfour", f" {s} ", f"{s.upper()} a b")]
+    texts += [t for _, t in AWKWARD if t]
+    ids, starts = encoder(path, True).encode(texts)
+    for k, text in enumerate(texts):
+        assert ids[starts[k]:starts[k + 1]].tolist() == whole.encode(
+            text, add_special_tokens=False).ids, text
+
+
 def encoded(path, text, end):
     tokenizer = Tokenizer.from_file(path)
     return np.array(tokenizer.encode(text or "", add_special_tokens=False).ids + [end], "<u4")
@@ -89,6 +104,19 @@ def test_packing(awkward, empty):
     assert packing.pack_documents(empty, path).count() == 0
 
 
+def test_packing_and_token_files_keep_added_tokens(spark, tmp_path):
+    text = "one two <|endoftext|> three"
+    df = spark.createDataFrame([(1, text), (2, "four")], "doc_id long, text string")
+    path = public_tokenizers.path("word_bpe_49k.json")
+    pieces = packing.pack_documents(df.coalesce(1), path).filter("doc_id = 1").collect()
+    assert b"".join(r.ids for r in sorted(pieces, key=lambda r: r.start)) == encoded(
+        path, text, 1).tobytes()
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    token_files.write_token_files(df, str(tmp_path / "a"), path)
+    got = {r.doc_id: r for r in token_files.read_token_files(spark, str(tmp_path / "a")).collect()}
+    assert got[1].ids == encoded(path, text, 2).tobytes() and got[2].start == got[1].n_tokens
+
+
 def test_step_groups_are_even():
     windows = [[packing._Piece((0, n), 0, np.zeros(n, "<u4"))] for n in [256] * 600 + [2048] * 70]
     groups = packing.step_groups(windows, 65_536)
