@@ -20,7 +20,8 @@ SCALE = 1_000_000_000
 MIN_DOCUMENTS, TOP_TERMS = 3, 200
 MAX_VOCABULARY = 2**31 - 1
 PART_BYTES, MOST_PARTS = 256 << 20, 1024
-BLOCK = 256  # sources of a lang whose pairs meet in one group
+BLOCK = 256       # sources of a lang whose pairs meet in one group
+HELD = 1 << 18    # counts that a group has on average
 
 # A-Z in lower case, ASCII other than letters as a space; the rest is part of terms.
 _LETTERS = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 97 <= b <= 122 else 32
@@ -28,13 +29,13 @@ _LETTERS = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 97 <= b <= 122 el
 
 
 def tagged_terms(docs: DataFrame, parts: int) -> DataFrame:
-    """(lang, source, part, terms): each document's terms as often as they occur.
+    """(grp, part, terms): each document's terms as often as they occur.
 
     A term is ``lang``, a space and the word, so that one vocabulary keeps the langs apart, and goes
     to one of ``parts`` rows of its document by its hash.
     """
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for langs, sources, texts in chunks(batches, ["lang", "source", "text"], "text", 4 << 20):
+        for groups, langs, texts in chunks(batches, ["grp", "lang", "text"], "text", 4 << 20):
             words, starts = split_words([t.encode().translate(_LETTERS) for t in texts])
             if not len(words):
                 continue
@@ -45,7 +46,8 @@ def tagged_terms(docs: DataFrame, parts: int) -> DataFrame:
             found, which = np.unique(both, return_inverse=True)
             names = pc.binary_join_element_wise(
                 spoken.dictionary.take(pa.array(found // width)).cast(pa.large_string()),
-                coded.dictionary.take(pa.array(found % width)).cast(pa.large_string()), pa.scalar(" ", pa.large_string()))
+                coded.dictionary.take(pa.array(found % width)).cast(pa.large_string()),
+                pa.scalar(" ", pa.large_string()))
             part = np.fromiter((xxhash.xxh3_64_intdigest(n) % parts
                                 for n in names.cast(pa.large_binary()).to_pylist()), np.int64, len(names))
             row = owner * parts + part[which]
@@ -55,18 +57,18 @@ def tagged_terms(docs: DataFrame, parts: int) -> DataFrame:
             terms = pa.ListArray.from_arrays(
                 pa.array(np.append(first, len(row)), pa.int32()),
                 names.take(pa.array(which[order])).cast(pa.string()))
-            document = pa.array(row[first] // parts)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(langs, pa.string()).take(document), pa.array(sources, pa.string()).take(document),
-                 pa.array(row[first] % parts, pa.int32()), terms], ["lang", "source", "part", "terms"])
+                [pa.array(groups, pa.int64()).take(pa.array(row[first] // parts)),
+                 pa.array(row[first] % parts, pa.int32()), terms], ["grp", "part", "terms"])
 
-    return docs.mapInArrow(cut, "lang string, source string, part int, terms array<string>")
+    return docs.select("grp", "lang", "text").mapInArrow(cut, "grp long, part int, terms array<string>")
 
 
-def term_counts(docs: DataFrame, min_documents: int = MIN_DOCUMENTS) -> DataFrame:
-    """(lang, source, term, n): occurrences in each group of the terms that a lang keeps.
+def term_counts(docs: DataFrame, min_documents: int = MIN_DOCUMENTS) -> tuple[DataFrame, DataFrame]:
+    """Occurrences in each group of the terms that a lang keeps: (grp, part, at, n), and the terms'
+    names (part, at, lang, term).
 
-    ``docs`` has lang, source and text without nulls. A lang keeps the terms in at least
+    ``docs`` has grp (a number), lang and text without nulls. A lang keeps the terms in at least
     ``min_documents`` of its documents: one CountVectorizer for each part of the terms makes its
     vocabulary and exact sparse vectors of the documents, and their entries add up by group. A part
     is a hashed share of all langs' terms, one for each 256 MB of the table and at most 1024, so the
@@ -75,114 +77,175 @@ def term_counts(docs: DataFrame, min_documents: int = MIN_DOCUMENTS) -> DataFram
     """
     spark = docs.sparkSession
     parts = max(1, min(MOST_PARTS, -(-shuffle_partitions(spark, docs, 1 << 20) // (PART_BYTES >> 20))))
-    tokens, out = scratch_path(spark, "terms"), scratch_path(spark, "term-counts")
+    tokens, counts, vocabulary = (scratch_path(spark, n) for n in ("terms", "term-counts", "term-names"))
     tagged_terms(docs, parts).write.partitionBy("part").parquet(tokens)
-    schema = "lang string, source string, terms array<string>, part int"
     # Fits need a term. No word is empty, so this one is nobody's.
     never = spark.range(min_documents).select(F.array(F.lit("")).alias("terms"))
     for part in range(parts):
-        rows = spark.read.schema(schema).parquet(tokens).filter(F.col("part") == part)
+        rows = spark.read.schema("grp long, terms array<string>, part int").parquet(tokens).filter(
+            F.col("part") == part)
         model = CountVectorizer(inputCol="terms", outputCol="vector", minDF=float(min_documents),
                                 vocabSize=MAX_VOCABULARY).fit(rows.select("terms").unionByName(never))
-        saved = f"{scratch_path(spark, 'vocabulary')}"
+        saved = scratch_path(spark, "vocabulary")
         model.save(saved)
-        names = spark.read.parquet(f"{saved}/data").select(F.posexplode("vocabulary").alias("at", "name"))
-        vectors = model.transform(rows).select("lang", "source", F.unwrap_udt("vector").alias("v"))
-        sums = vectors.select("lang", "source", F.explode(F.arrays_zip(
-            F.col("v.indices").alias("at"), F.col("v.values").alias("n"))).alias("e")).groupBy(
-            "lang", "source", F.col("e.at").alias("at")).agg(F.sum("e.n").cast("long").alias("n"))
-        sums.join(names, "at").select(
-            "lang", "source", F.substring_index("name", " ", -1).alias("term"), "n",
-        ).write.mode("append").parquet(out)
-    return spark.read.schema("lang string, source string, term string, n long").parquet(out)
+        number = F.lit(part).alias("part")
+        word = F.substring_index("name", " ", -1)
+        spark.read.parquet(f"{saved}/data").select(number, F.posexplode("vocabulary").alias("at", "name")).filter(
+            "name <> ''").select("part", "at", F.expr("left(name, length(name) - length(substring_index("
+                                                      "name, ' ', -1)) - 1)").alias("lang"),
+                                 word.alias("term")).write.mode("append").parquet(vocabulary)
+        vectors = model.transform(rows).select("grp", F.unwrap_udt("vector").alias("v"))
+        entries = vectors.select("grp", "v", F.posexplode("v.indices").alias("k", "at"))
+        entries.select("grp", "at", F.get("v.values", F.col("k")).cast("long").alias("n")).groupBy(
+            "grp", "at").agg(F.sum("n").alias("n")).select("grp", number, "at", "n").write.mode(
+            "append").parquet(counts)
+    return (spark.read.schema("grp long, part int, at int, n long").parquet(counts),
+            spark.read.schema("part int, at int, lang string, term string").parquet(vocabulary))
+
+
+def _floor(a: Column, b: Column) -> Column:
+    return F.call_function("div", a, b)
 
 
 def share(n: Column, total: Column, terms: Column) -> Column:
-    """1 + floor(10^9 * (n + 1) / (total + terms)), exactly."""
-    top = (n + 1).cast("decimal(20,0)") * F.lit(SCALE).cast("decimal(10,0)")
-    return 1 + F.call_function("div", top, (total + terms).cast("decimal(20,0)"))
+    """1 + floor(10^9 * (n + 1) / (total + terms)), exactly: in decimals where longs are too short."""
+    wide = _floor((n + 1).cast("decimal(20,0)") * F.lit(SCALE).cast("decimal(10,0)"),
+                  (total + terms).cast("decimal(20,0)"))
+    return 1 + F.when(n < 9 * SCALE, _floor(F.when(n < 9 * SCALE, n + 1) * SCALE, total + terms)).otherwise(wide)
 
 
 def distance(p: Column, q: Column) -> Column:
-    return F.call_function("div", (p - q) * (p - q), q)
+    return _floor((p - q) * (p - q), q)
 
 
-def group_totals(docs: DataFrame, counts: DataFrame) -> DataFrame:
-    """A row for each (lang, source): at (its number in the lang), sources, total, terms (kept terms
-    that occur in it), zero (the share of the others), lang_terms and lang_total."""
-    langs = counts.groupBy("lang", "term").agg(F.sum("n").alias("n")).groupBy("lang").agg(
-        F.count("*").alias("lang_terms"), F.sum("n").alias("lang_total"))
-    sums = counts.groupBy("lang", "source").agg(F.sum("n").alias("total"), F.count("*").alias("terms"))
-    groups = docs.select("lang", "source").distinct()
-    out = groups.join(sums, ["lang", "source"], "left").join(langs, "lang", "left").fillna(0)
+def group_totals(groups: DataFrame, counts: DataFrame, names: DataFrame) -> DataFrame:
+    """``groups`` (grp, lang, source) with spoken and place (the lang's number, the source's in the
+    lang), sources, total, terms (kept terms that occur), zero (the share of the others), lang_terms
+    and lang_total."""
+    sums = counts.groupBy("grp").agg(F.sum("n").alias("total"), F.count("*").alias("terms"))
+    kept = names.groupBy("lang").agg(F.count("*").alias("lang_terms"))
+    out = groups.join(sums, "grp", "left").join(kept, "lang", "left").fillna(0)
     line = Window.partitionBy("lang")
     zero = F.when(F.col("lang_terms") > 0, share(F.lit(0).cast("long"), F.col("total"), F.col("lang_terms")))
-    return out.select("*", (F.row_number().over(line.orderBy("source")) - 1).alias("at"),
-                      F.count("*").over(line).alias("sources"), zero.alias("zero"))
+    return out.select(
+        "*", F.min("grp").over(line).alias("spoken"), F.sum("total").over(line).alias("lang_total"),
+        (F.row_number().over(line.orderBy("source")) - 1).cast("long").alias("place"),
+        F.count("*").over(line).alias("sources"), zero.alias("zero"))
 
 
-def _term_part(counts: DataFrame, groups: DataFrame) -> DataFrame:
-    langs = counts.groupBy("lang", "term").agg(F.sum("n").alias("all"))
-    both = counts.join(langs, ["lang", "term"]).join(
-        groups.select("lang", "source", "total", "lang_terms", "lang_total"), ["lang", "source"])
+def _term_part(counts: DataFrame, names: DataFrame, groups: DataFrame, top: int) -> DataFrame:
+    total = F.sum("n").over(Window.partitionBy("part", "at"))
+    both = counts.withColumn("all", total).join(
+        groups.select("grp", "total", "lang_terms", "lang_total"), "grp")
     p = share(F.col("n"), F.col("total"), F.col("lang_terms"))
     q = share(F.col("all"), F.col("lang_total"), F.col("lang_terms"))
-    both = both.select("lang", "source", "term", p.alias("p"), q.alias("q")).filter("p > q")
-    return both.select("lang", "source", F.lit("term").alias("part"), F.col("term").alias("item"),
-                       distance(F.col("p"), F.col("q")).alias("value"))
+    both = both.select("grp", "part", "at", p.alias("p"), q.alias("q")).filter("p > q").select(
+        "grp", "part", "at", distance(F.col("p"), F.col("q")).alias("value"))
+    best = Window.partitionBy("grp").orderBy(F.col("value").desc())
+    some = both.withColumn("rank", F.rank().over(best)).filter(F.col("rank") <= top).drop("rank")
+    out = some.join(names, ["part", "at"]).join(groups.select("grp", "source"), "grp").select(
+        "lang", "source", F.lit("term").alias("part"), F.col("term").alias("item"), "value")
+    return _ranked(out).filter(F.col("rank") <= top)
+
+
+def _ranked(rows: DataFrame) -> DataFrame:
+    order = Window.partitionBy("lang", "source").orderBy(F.col("value").desc(), "item")
+    return rows.withColumn("rank", F.row_number().over(order))
+
 
+def _distance(p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    return (p - q) ** 2 // q
 
-def _pair_part(counts: DataFrame, groups: DataFrame) -> DataFrame:
+
+def _common(table: pa.Table, size: int) -> pa.Table:
+    """What pairs of sources that both have a term change, summed over the table's terms."""
+    table = table.sort_by([("spoken", "ascending"), ("part", "ascending"), ("at", "ascending"),
+                           ("place", "ascending")])
+    spoken, part, at, place, p, zero = (table[c].to_numpy() for c in (
+        "spoken", "part", "at", "place", "p", "zero"))
+    apart = np.append(True, (part[1:] != part[:-1]) | (at[1:] != at[:-1]) | (spoken[1:] != spoken[:-1]))
+    run = np.cumsum(apart)
+    places, small = np.unique(place, return_inverse=True)  # two blocks' sources at most
+    block, wide = places // size, len(places)
+    langs, lang = np.unique(spoken, return_inverse=True)
+    across = bool(block.min() != block.max())
+    out = []
+    for low in range(0, len(langs), 64):
+        start, end = np.searchsorted(lang, (low, low + 64))
+        sums = np.zeros((min(64, len(langs) - low), wide, wide), np.int64)
+        left = np.arange(start, end)
+        shift = 1
+        while True:
+            left = left[left + shift < end]
+            left = left[run[left] == run[left + shift]]
+            if not len(left):
+                break
+            x, y = left, left + shift
+            if across:
+                other = block[small[x]] != block[small[y]]
+                x, y = x[other], y[other]
+            for i, j in ((x, y), (y, x)):
+                more = (_distance(p[i], p[j]) - _distance(p[i], zero[j])
+                        - _distance(zero[i], p[j]) + _distance(zero[i], zero[j]))
+                np.add.at(sums, (lang[i] - low, small[i], small[j]), more)
+            shift += 1
+        k, i, j = np.nonzero(sums)
+        out.append((langs[k + low], places[i], places[j], sums[k, i, j]))
+    return pa.table([pa.array(np.concatenate(c).astype(np.int64)) for c in zip(*out)],
+                    ["spoken", "place", "other", "common"])
+
+
+def _pair_part(counts: DataFrame, groups: DataFrame, size: int, held_rows: int) -> DataFrame:
     """Sums over all kept terms of both sources' distances, from the terms that occur.
 
     A pair's sum is that of p against the other's share of absent terms, and of the own one against
     q, for the terms of each; the terms of neither count alike; and the terms of both are corrected.
-    The first two come from the numbers of terms by count, the last from lists of a term's sources.
+    The first two come from the numbers of terms by share. For the last, hashed parts of the terms
+    meet by pairs of blocks of a lang's sources, so no group has more than two blocks of a term.
     """
-    facts = groups.select("lang", "source", "at", "sources", "total", "lang_terms", "zero")
-    held = counts.join(facts, ["lang", "source"]).select(
-        "lang", "term", "at", "sources", "zero",
+    facts = groups.select("grp", "spoken", "place", "sources", "total", "lang_terms", "zero")
+    held = counts.join(facts, "grp").select(
+        "part", "at", "spoken", "place", "sources", "zero",
         share(F.col("n"), F.col("total"), F.col("lang_terms")).alias("p"))
-    block = F.floor(F.col("at") / BLOCK).cast("int")
-    last = F.floor((F.col("sources") - 1) / BLOCK).cast("int")
-    dealt = held.select("lang", "term", F.struct("at", "p", "zero").alias("e"), block.alias("b"),
-                        F.explode(F.sequence(F.lit(0), last)).alias("o"))
-    lists = dealt.groupBy("lang", "term", F.least("b", "o").alias("lo"), F.greatest("b", "o").alias("hi")
-                          ).agg(F.collect_list("e").alias("es")).filter(F.size("es") > 1)
-    pairs = lists.select("lang", "lo", "hi", "es", F.explode("es").alias("x")).select(
-        "lang", "lo", "hi", "x", F.explode("es").alias("y"))
-    one, two = (F.floor(F.col(f"{e}.at") / BLOCK) for e in "xy")
-    pairs = pairs.filter((F.col("x.at") != F.col("y.at"))
-                         & ((F.col("lo") == F.col("hi")) | (one != two)))
-    more = (distance(F.col("x.p"), F.col("y.p")) - distance(F.col("x.p"), F.col("y.zero"))
-            - distance(F.col("x.zero"), F.col("y.p")) + distance(F.col("x.zero"), F.col("y.zero")))
-    common = pairs.groupBy("lang", F.col("x.at").alias("at"), F.col("y.at").alias("other")).agg(
-        F.sum(more).alias("common"))
+    buckets = counts.count() // held_rows + 1
+    block = F.floor(F.col("place") / size)
+    last = F.floor((F.col("sources") - 1) / size)
+    dealt = held.select("part", "at", "spoken", "place", "zero", "p", block.alias("b"),
+                        F.pmod(F.xxhash64("part", "at"), F.lit(buckets)).alias("bucket"),
+                        F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("o"))
+    dealt = dealt.withColumns({"lo": F.least("b", "o"), "hi": F.greatest("b", "o")}).drop("b", "o")
+
+    def meet(table: pa.Table) -> pa.Table:
+        return _common(table, size)
+
+    pair = ["spoken", "place", "other"]
+    common = dealt.groupBy("bucket", "lo", "hi").applyInArrow(
+        meet, "spoken long, place long, other long, common long").groupBy(*pair).agg(
+        F.sum("common").alias("common"))
     # How many of a group's terms have each share.
-    levels = held.groupBy("lang", "at", "p").agg(F.count("*").alias("k"))
-    zeros = groups.select("lang", F.col("at").alias("other"), F.col("zero").alias("there"))
-    apart = levels.join(zeros, "lang").filter(F.col("at") != F.col("other")).groupBy(
-        "lang", "at", "other").agg(
+    levels = held.groupBy("spoken", "place", "p").agg(F.count("*").alias("k"))
+    zeros = groups.select("spoken", F.col("place").alias("other"), F.col("zero").alias("there"))
+    apart = levels.join(zeros, "spoken").filter(F.col("place") != F.col("other")).groupBy(*pair).agg(
         F.sum(F.col("k") * distance(F.col("p"), F.col("there"))).alias("out"),
         F.sum(F.col("k") * distance(F.col("there"), F.col("p"))).alias("back"))
-    mine = apart.select("lang", "at", "other", "out")
-    theirs = apart.select("lang", F.col("other").alias("at"), F.col("at").alias("other"), "back")
-    left = groups.select("lang", "source", "at", "lang_terms", F.col("terms").alias("a"),
+    apart = materialize(apart, "apart")
+    theirs = apart.select("spoken", F.col("other").alias("place"), F.col("place").alias("other"), "back")
+    left = groups.select("spoken", "lang", "source", "place", "lang_terms", F.col("terms").alias("a"),
                          F.col("zero").alias("z"))
-    right = groups.select("lang", F.col("source").alias("item"), F.col("at").alias("other"),
+    right = groups.select("spoken", F.col("source").alias("item"), F.col("place").alias("other"),
                           F.col("terms").alias("b"), F.col("zero").alias("y"))
-    pair = ["lang", "at", "other"]
-    out = left.join(right, "lang").filter(F.col("at") != F.col("other"))
-    for part in (mine, theirs, common):
+    out = left.join(right, "spoken").filter(F.col("place") != F.col("other"))
+    for part in (apart.drop("back"), theirs, common):
         out = out.join(part, pair, "left")
     nobody = (F.col("lang_terms") - F.col("a") - F.col("b")) * distance(F.col("z"), F.col("y"))
     value = F.coalesce(nobody, F.lit(0)) + sum(
         (F.coalesce(c, F.lit(0)) for c in ("out", "back", "common")), F.lit(0))
-    return out.select("lang", "source", F.lit("pair").alias("part"), "item",
-                      value.cast("long").alias("value"))
+    return _ranked(out.select("lang", "source", F.lit("pair").alias("part"), "item",
+                              value.cast("long").alias("value")))
 
 
-def audit(docs: DataFrame, min_documents: int = MIN_DOCUMENTS, top: int = TOP_TERMS) -> DataFrame:
+def audit(docs: DataFrame, min_documents: int = MIN_DOCUMENTS, top: int = TOP_TERMS,
+          size: int = BLOCK, held: int = HELD) -> DataFrame:
     """(lang, source, part, item, value, rank): how each source differs from the others of its lang.
 
     Terms are runs of letters and of characters beyond ASCII, A-Z in lower case; a lang keeps those
@@ -197,9 +260,9 @@ def audit(docs: DataFrame, min_documents: int = MIN_DOCUMENTS, top: int = TOP_TE
     """
     rows = docs.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c)
                          for c in ("lang", "source", "text")])
-    counts = term_counts(rows, min_documents)
-    groups = broadcast_if_small(materialize(group_totals(rows, counts), "groups"))
-    order = Window.partitionBy("lang", "source", "part").orderBy(F.col("value").desc(), "item")
-    terms = _term_part(counts, groups).withColumn("rank", F.row_number().over(order)).filter(
-        F.col("rank") <= top)
-    return _pair_part(counts, groups).withColumn("rank", F.row_number().over(order)).unionByName(terms)
+    groups = materialize(rows.select("lang", "source").distinct().withColumn(
+        "grp", F.monotonically_increasing_id()), "groups")
+    rows = rows.join(broadcast_if_small(groups), ["lang", "source"])
+    counts, names = term_counts(rows, min_documents)
+    groups = broadcast_if_small(materialize(group_totals(groups, counts, names), "groups"))
+    return _pair_part(counts, groups, size, held).unionByName(_term_part(counts, names, groups, top))

@@ -9,6 +9,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from newsloom.llm import divergence, merkle, secrets
 
@@ -194,21 +195,32 @@ def audit_truth(rows, least=3, top=200):
     return sorted(out)
 
 
-@pytest.mark.parametrize("block", [256, 2])
-def test_audit(awkward, empty, spark, folder, monkeypatch, block):
-    monkeypatch.setattr(divergence, "BLOCK", block)
-    monkeypatch.setattr(divergence, "PART_BYTES", (1 if block == 2 else 256) << 20)
+@pytest.mark.parametrize("size", [256, 2])
+def test_audit(awkward, empty, spark, folder, size):
     many = spark.createDataFrame(
         [(k, f"ab Cd{'e' * (k % 5)} éß 9x İ zz{'y' * (k % 3)} {'ab ' * (k % 4)}", "l" if k % 3 else None,
           f"s{k % 7}" if k % 11 else None, None, None, None) for k in range(60)], SCHEMA)
     for table in (many, awkward, spark.read.parquet(f"{folder}/documents.parquet").limit(60)):
-        assert sorted(map(tuple, divergence.audit(table).collect())) == audit_truth(table.collect())
+        assert sorted(map(tuple, divergence.audit(
+            table, size=size, held=100 * size).collect())) == audit_truth(table.collect())
     assert divergence.audit(empty).count() == 0
 
 
 def test_terms_in_parts_give_the_same_counts(spark, folder, monkeypatch):
-    docs = spark.read.parquet(f"{folder}/documents.parquet").limit(80).fillna("").select(
-        "lang", "source", "text")
-    whole = sorted(map(tuple, divergence.term_counts(docs).collect()))
+    docs = spark.read.parquet(f"{folder}/documents.parquet").limit(80).select(
+        (F.col("doc_id") % 5).alias("grp"), "lang", "text")
+
+    def found():
+        counts, names = divergence.term_counts(docs)
+        return sorted(map(tuple, counts.join(names, ["part", "at"]).select("grp", "lang", "term", "n").collect()))
+
+    whole = found()
     monkeypatch.setattr(divergence, "shuffle_partitions", lambda *_: 3 * 256)
-    assert sorted(map(tuple, divergence.term_counts(docs).collect())) == whole and whole
+    assert found() == whole and whole
+
+
+def test_shares_are_exact(spark):
+    totals = [(0, 1, 1), (3, 10**9, 7), (9 * 10**9 - 1, 10**13, 3), (9 * 10**9, 10**13, 3), (10**13, 10**13 + 5, 1)]
+    rows = spark.createDataFrame(totals, "n long, t long, v long")
+    got = rows.select("*", divergence.share(F.col("n"), F.col("t"), F.col("v")).alias("p")).collect()
+    assert all(r.p == 1 + 10**9 * (r.n + 1) // (r.t + r.v) for r in got)
