@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # A-Z in lower case, ASCII other than letters and digits as a space; the rest is part of words.
@@ -179,6 +179,11 @@ def shuffle_partitions(spark: SparkSession, df: DataFrame | None = None,
     return max(least, min(size // target, 1 << 20)) if size < 1 << 60 else least
 
 
+def whole_rows(docs: DataFrame) -> Column:
+    """Each row as one struct, so that a job's own columns meet none of the table's names."""
+    return F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+
+
 def may_contain(df: DataFrame, key: str, members: DataFrame, bits: int = 25) -> DataFrame:
     """``df`` with ``__may``: false only where no row of ``members`` has the 64-bit hash ``key``.
 

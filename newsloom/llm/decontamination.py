@@ -14,9 +14,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from newsloom.llm.common import (WordHashes, chunks, flat, folded_words, valid_starts,
-                                 window_hashes)
+                                 whole_rows, window_hashes)
 
-BROADCAST_BYTES = 64 << 20
+BROADCAST_BYTES = 1 << 20  # of items: half a million windows at most, about 60 MB here in English
 _WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 
 
@@ -223,11 +223,12 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, remove: str = "document
         found = _joined(texts, benchmark, size, "doc_id", "text", item_id, item_text)
         hits = found.filter(F.size("hit_words") > 0).select(
             F.col("doc_id").alias("__digest"), F.col("hit_words").alias("__hit"))
+        rows = docs.select(whole_rows(docs), F.sha2(text, 256).alias("key"), F.col(text).alias("old"))
         if remove == "documents":
-            return docs.join(hits, F.sha2(docs[text], 256) == hits["__digest"], "left_anti")
+            return rows.join(hits, F.col("key") == F.col("__digest"), "left_anti").select("row.*")
         cut = F.udf(lambda t, h: t if not h else without_words(t, np.array(h)))
-        both = docs.join(hits, F.sha2(docs[text], 256) == hits["__digest"], "left")
-        return both.withColumn(text, cut(text, "__hit")).select(docs.columns)
+        both = rows.join(hits, F.col("key") == F.col("__digest"), "left")
+        return both.select(F.col("row").withField(f"`{text}`", cut("old", "__hit")).alias("row")).select("row.*")
     shared = docs.sparkSession.sparkContext.broadcast(windows)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

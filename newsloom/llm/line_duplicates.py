@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 
 from newsloom.llm.common import (WordHashes, chunks, flat, fold, folded_words,
                                  may_contain, mix, planes, ranks, shuffle_partitions, split_words,
-                                 unplaned)
+                                 unplaned, whole_rows)
 from newsloom.session import materialize
 
 THRESHOLD = 0.8
@@ -286,6 +286,8 @@ def _similar(words, sizes, place, tallies, rank, threshold, chosen):
 def _best(found):
     """The pairs, of sets with more than ``FEW`` only the best two; ``more`` adds up the others."""
     late, early, apart, more = (np.concatenate(x) for x in zip(*found))
+    if not len(late):
+        return late, early, apart, more
     order = np.lexsort((early, apart, late))
     late, early, apart, more = late[order], early[order], apart[order], more[order]
     first = np.append(True, late[1:] != late[:-1])
@@ -389,20 +391,19 @@ def _settle(rows: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame:
     return first.unionByName(materialize(_verified(others, lines, threshold), "lines-done"))
 
 
-def _kept(docs: DataFrame, doc_id: str, text: str, threshold: float) -> tuple[DataFrame, str]:
-    """The rows with a column of line numbers to remove, and that column's name.
+def _kept(docs: DataFrame, doc_id: str, text: str, threshold: float) -> DataFrame:
+    """(row, lines): each row as a struct, and the numbers of its lines to remove or null.
 
     Only rows that may lose lines are shuffled.
     """
     gone = repeated_lines(docs, doc_id, text, threshold).select(
-        F.col("doc_id").alias("__d"), F.col("copy").alias("__c"), F.col("lines").alias("__lines"))
-    marked = may_contain(docs.withColumn("__copy", F.xxhash64(text)), "__copy",
-                         gone.select(F.col("__c").alias("__copy")))
+        F.col("doc_id").alias("d"), F.col("copy").alias("c"), "lines")
+    rows = docs.select(whole_rows(docs), F.col(doc_id).alias("id"), F.xxhash64(text).alias("copy"))
+    marked = may_contain(rows, "copy", gone.select(F.col("c").alias("copy")))
     some = marked.filter("__may")
-    some = some.join(gone, some[doc_id].eqNullSafe(gone["__d"])
-                     & (some["__copy"] == gone["__c"]), "left").drop("__d", "__c")
-    rest = marked.filter("NOT __may").withColumn("__lines", F.lit(None).cast("array<bigint>"))
-    return some.unionByName(rest).drop("__copy", "__may"), "__lines"
+    some = some.join(gone, some["id"].eqNullSafe(gone["d"]) & (some["copy"] == gone["c"]), "left")
+    rest = marked.filter("NOT __may").withColumn("lines", F.lit(None).cast("array<bigint>"))
+    return some.select("row", "lines").unionByName(rest.select("row", "lines"))
 
 
 def drop_repeated_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
@@ -411,14 +412,15 @@ def drop_repeated_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "te
 
     A document that loses all its lines goes; one that had no word stays. Null and empty texts
     stay as they are. Rows repeated whole are one document and get one result each; null ids come
-    first. An empty table gives no rows.
+    first. Other columns may have any names. An empty table gives no rows.
     """
-    marked, lines = _kept(docs, doc_id, text, threshold)
-    left = F.filter(F.split(text, "\n"), lambda x, i: ~F.array_contains(lines, i.cast("long")))
-    out = marked.withColumn(text, F.when(F.col(lines).isNull(), F.col(text)).otherwise(
-        F.array_join(left, "\n")))
-    return out.filter(F.col(lines).isNull() | F.col(text).rlike(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]")
-                      ).select(docs.columns)
+    lines, old = F.col("lines"), F.col("row")[text]
+    left = F.filter(F.split(old, "\n"), lambda x, i: ~F.array_contains(lines, i.cast("long")))
+    out = _kept(docs, doc_id, text, threshold).select(
+        F.when(lines.isNull(), F.col("row")).otherwise(
+            F.col("row").withField(f"`{text}`", F.array_join(left, "\n"))).alias("row"), "lines")
+    return out.filter(lines.isNull() | old.rlike(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]")
+                      ).select("row.*")
 
 
 def line_report(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
@@ -428,9 +430,9 @@ def line_report(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     ``kept_sha256`` digests the kept lines, joined by line breaks.
     """
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    marked, name = _kept(rows, "doc_id", "text", threshold)
+    marked = _kept(rows, "doc_id", "text", threshold).select("row.*", "lines")
     lines = F.split(F.coalesce("text", F.lit("")), "\n")
-    gone = F.coalesce(F.col(name), F.array().cast("array<bigint>"))
+    gone = F.coalesce("lines", F.array().cast("array<bigint>"))
     kept = F.filter(lines, lambda x, i: ~F.array_contains(gone, i.cast("long")))
     return marked.select(
         "doc_id", F.size(lines).cast("long").alias("n_lines"),

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from newsloom.llm.common import (WordHashes, chunks, flat, may_contain, mix, shuffle_partitions,
-                                 window_hashes)
+                                 whole_rows, window_hashes)
 from newsloom.llm.components import components
 from newsloom.session import materialize
 
@@ -329,9 +329,14 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
 
 def drop_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The documents, all columns, that ``near_duplicates`` keeps: one of each class."""
+    """The documents, all columns, that ``near_duplicates`` keeps: one of each class.
+
+    Rows of one id (or of none) with one text are one document and stay or go together. Null and
+    empty texts have no words and stay. Other columns may have any names. An empty table gives no
+    rows.
+    """
     kept = near_duplicates(docs, doc_id, text).filter("keep").select(
-        F.col("doc_id").alias("__id"), F.col("copy").alias("__copy")).distinct()
-    marked = docs.withColumn("__hash", F.xxhash64(text))
-    return marked.join(kept, marked[doc_id].eqNullSafe(kept["__id"])
-                       & (marked["__hash"] == kept["__copy"]), "left_semi").drop("__hash")
+        F.col("doc_id").alias("d"), F.col("copy").alias("c")).distinct()
+    rows = docs.select(whole_rows(docs), F.col(doc_id).alias("id"), F.xxhash64(text).alias("copy"))
+    return rows.join(kept, rows["id"].eqNullSafe(kept["d"]) & (rows["copy"] == kept["c"]),
+                     "left_semi").select("row.*")

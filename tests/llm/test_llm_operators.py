@@ -433,3 +433,39 @@ def test_pipeline_stages(spark, folder):
             assert docs.columns == columns and 0 < docs.count() <= before
             before = docs.count()
     assert docs.agg(F.sum("length")).first()[0] > before
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_lines_of_few_words(spark, seed):
+    """Small vocabularies make pairs that pass the cheap filters and none of the dear ones."""
+    draw = np.random.default_rng(seed)
+    rows = [(k, "\n".join(" ".join(f"w{j}" for j in draw.integers(0, 60, draw.integers(0, 9)))
+                          for _ in range(draw.integers(1, 9)))) for k in range(150)]
+    seen, want = [], {}
+    for k, t in rows:
+        sets = [set(folded_words(line)) for line in t.split("\n")]
+        want[k] = 0
+        for words in filter(None, sets):
+            want[k] += any(len(words & s) >= 0.8 * len(words | s) - 1e-9 for s in seen)
+            seen.append(words)
+    got = line_duplicates.line_report(spark.createDataFrame(rows, "doc_id long, text string").repartition(5))
+    assert {r.doc_id: r.n_removed for r in got.collect()} == want
+
+
+CLASHES = ("doc_id", "text", "__copy", "__hash", "__hit", "__digest", "row", "copy", "lines", "id", "d", "c", "__may")
+
+
+def test_names_that_clash(spark, awkward, empty):
+    more = [F.concat(F.lit(name), F.col("doc_id").cast("string")).alias(name) for name in CLASHES[2:]]
+    for table in (awkward.select("doc_id", "text", *more), empty.select("doc_id", "text", *more)):
+        items = awkward.filter("doc_id IN (4, 9)").select(F.col("doc_id").alias("item_id"), "text")
+        jobs = [lambda: line_duplicates.drop_repeated_lines(table),
+                lambda: near_duplicates.drop_near_duplicates(table)]
+        jobs += [lambda way=way, size=size: decontamination.decontaminate(
+            table, items, way, broadcast_bytes=size) for way in ("documents", "spans") for size in (0, 1 << 20)]
+        rows = [sorted(job().collect(), key=repr) for job in jobs]
+        assert rows[2] == rows[3] and rows[4] == rows[5]
+        for found in rows:
+            for r in found:
+                assert r.asDict().keys() == set(table.columns)
+                assert r.doc_id is None or all(r[n] == f"{n}{r.doc_id}" for n in CLASHES[2:])
