@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -14,13 +15,16 @@ from newsloom.functions.normalize import entity_count
 from newsloom.functions.text import (cluster_key, event_id, matching_keywords, negation_sentiment,
                                      plain_keywords, title_keywords)
 from newsloom.functions.vector import cosine
-from newsloom.operators.bounds import compute_once, one_per_item
+from newsloom.operators.bounds import broadcast_if_small, compute_once, one_per_item
+from newsloom.operators.components import roots
 from newsloom.operators.entities import entity_groups
 from newsloom.operators.matching import match_substrings
 from newsloom.operators.ranking import running_rank, time_slot, top_per_group
 from newsloom.schema import DETECTED_EVENT
 from newsloom.session import materialize
 
+MOST_ROWS, MOST_ROUNDS = 2048, 16  # rows that a group of merges has; rounds of merges
+
 # --- events from embeddings --------------------------------------------------------
 
 
@@ -110,56 +114,116 @@ def _leader_pass(rows: DataFrame, group: Sequence[str], order: Sequence[str],
         run, f"id {kind}, event {kind}, similarity double, is_new boolean")
 
 
+def _in_chunks(rows: DataFrame, keys: Sequence[str], most: int) -> DataFrame:
+    """Adds ``chunk``: the rows of a key with more than ``most`` are dealt over several by their id.
+
+    Only the counts of such keys meet the rows, so no row moves for it if they are few.
+    """
+    large = rows.groupBy(*keys).agg(F.count("*").alias("__n")).filter(F.col("__n") > most)
+    dealt = rows.join(broadcast_if_small(materialize(large, "large")), list(keys), "left")
+    chunks = F.ceil(F.coalesce("__n", F.lit(1)) / most)
+    return dealt.withColumn("chunk", F.pmod(F.xxhash64("id"), chunks)).drop("__n")
+
+
 def _event_sums(members: DataFrame) -> DataFrame:
-    """One row per event of members(event, id, ts, n, vsum, bucket), as a member of the next
-    pass: its id is the event's, its place that of the earliest member."""
+    """One row per event of members(event, id, ts, n, vsum), as a member of the next pass: its id
+    is the event's, its place that of the earliest member."""
     from pyspark.ml.functions import array_to_vector, vector_to_array
     from pyspark.ml.stat import Summarizer
 
     mean = Summarizer.mean(
         array_to_vector(F.transform("vsum", lambda x: x / F.col("n"))), F.col("n"))
     sums = members.groupBy("event").agg(
-        mean.alias("m"), F.sum("n").alias("n"), F.min("ts").alias("ts"),
-        F.min_by("bucket", F.struct("ts", "id")).alias("bucket"))
-    return sums.select(F.col("event").alias("id"), "ts", "n", "bucket",
+        mean.alias("m"), F.sum("n").alias("n"), F.min("ts").alias("ts"))
+    return sums.select(F.col("event").alias("id"), "ts", "n",
                        F.transform(vector_to_array("m"), lambda x: x * F.col("n")).alias("vsum"))
 
 
+def lsh_codes(vector: Column, tables: int, bits: int, seed: int) -> Column:
+    """For each of several tables, the signs of that many random projections as an integer."""
+    weights = 1 << np.arange(bits, dtype=np.int64)
+
+    @F.pandas_udf(T.ArrayType(T.LongType()))
+    def codes(vectors: pd.Series) -> pd.Series:
+        matrix = np.stack(vectors.to_numpy()).astype(float)
+        planes = np.random.default_rng(seed).standard_normal((matrix.shape[1], tables * bits))
+        signs = ((matrix @ planes) > 0).reshape(len(matrix), tables, bits)
+        return pd.Series(list(signs @ weights))
+
+    return codes(vector)
+
+
+def merge_parts(parts: DataFrame, threshold: float, most: int = MOST_ROWS, seed: int = 42
+                ) -> tuple[DataFrame, DataFrame]:
+    """Events of parts (id, ts, n, vsum): the names (id, event), and the events as parts.
+
+    A round deals the parts to several tables of buckets by random projections, so many that parts
+    as similar as the threshold asks share a bucket of some table in 19 of 20 cases. In a bucket the
+    rule is applied in the order of time; a bucket of more than ``most`` parts takes more
+    projections, and parts that these leave together are dealt over chunks. Each part then follows
+    the most similar earlier one that it met, chains are put together, and the events are the next
+    round's parts, with other projections. Rounds end when one compares all parts with each other or
+    joins less than one part in a hundred. No group has more than about ``most`` parts.
+    """
+    agree = 1 - math.acos(min(1.0, max(-1.0, threshold))) / math.pi
+    names, before = parts.select("id", F.col("id").alias("event")), parts.count()
+    for turn in range(MOST_ROUNDS):
+        bits = max(0, math.ceil(math.log2(max(1, before) / most)))
+        if bits:
+            tables, extra = math.ceil(3 / agree ** bits), 12
+            codes = lsh_codes(F.col("vsum"), tables, bits + extra, seed + turn)
+            dealt = parts.select("id", "ts", "n", "vsum", F.posexplode(codes).alias("table", "code"))
+            dealt = dealt.withColumn("bucket", F.pmod("code", F.lit(1 << bits)))
+            sizes = parts.select(F.posexplode(codes).alias("table", "code")).groupBy(
+                "table", F.pmod("code", F.lit(1 << bits)).alias("bucket")).agg(F.count("*").alias("size"))
+            sizes = sizes.filter(F.col("size") > most).select(
+                "table", "bucket", F.least(F.lit(extra), F.ceil(F.log2(F.col("size") / most)))
+                .cast("int").alias("more"))
+            dealt = dealt.join(broadcast_if_small(materialize(sizes, "sizes")), ["table", "bucket"], "left")
+            wide = F.lit(bits) + F.coalesce("more", F.lit(0))
+            dealt = dealt.withColumn("bucket", F.pmod(F.col("code"), F.pow(F.lit(2), wide).cast("long")))
+            dealt = _in_chunks(dealt.drop("code", "more"), ["table", "bucket"], 2 * most)
+            group = ["table", "bucket", "chunk"]
+        else:
+            dealt = parts.select("*", F.lit(0).alias("table"))
+            group = ["table"]
+        met = _leader_pass(dealt, group, ["ts", "id"], threshold).filter("NOT is_new")
+        followed = materialize(met.groupBy("id").agg(F.max_by(
+            "event", F.struct("similarity", "event")).alias("parent")), "followed")
+        ends = roots(followed, "id", "parent")
+        joined = parts.join(ends.select("id", F.col("root").alias("event")), "id", "left")
+        parts = materialize(_event_sums(joined.withColumn(
+            "event", F.coalesce("event", "id"))), "parts")
+        into = ends.select(F.col("id").alias("event"), "root")
+        names = materialize(names.join(into, "event", "left").select(
+            "id", F.coalesce("root", "event").alias("event")), "names")
+        after = parts.count()
+        if not bits or after > 0.99 * before:
+            break
+        before = after
+    return names, parts
+
+
 def semantic_events(vectors: DataFrame, threshold: float = 0.75, lsh_bits: int = 12,
                     slot_seconds: float | None = 3600.0, dim: int = 384,
-                    seed: int = 42) -> DataFrame:
+                    seed: int = 42, most: int = MOST_ROWS) -> DataFrame:
     """Assign each (id, ts, vector) to an event: (id, event, similarity, is_new).
 
     ``event`` is the id of the article that started the event. Articles meet first within
-    time slots of buckets of similar vectors, which may split an event. Its parts are put
-    together by passes over their centroids, by the same rule in the order of time: over
-    all slots of a bucket, over coarser buckets of half the bits, and over all. Only the last
-    pass is one task, and it meets one row per event of the pass before, not articles.
+    time slots of buckets of similar vectors (of ``most`` rows or so), which may split an event.
+    ``merge_parts`` puts its parts together by their centroids; no pass is one task's.
 
     ``similarity`` is that to the event's centroid over all its articles, and 0 for the article
     that started it (``is_new``). ``lsh_bits=0, slot_seconds=None`` is the rule applied to one
     global sequence, by its nature one task; there ``similarity`` is that on arrival. Rows
     without a vector belong to no event and are left out.
     """
-    rows = vectors.filter(F.col("vector").isNotNull()).select(
-        "id", "ts", F.col("vector").cast("array<double>").alias("vsum"), F.lit(1.0).alias("n"),
-        lsh_bucket(F.col("vector"), lsh_bits, dim, seed).alias("bucket"))
+    rows = _members(vectors)
     if not lsh_bits and slot_seconds is None:
         return _leader_pass(rows, [], ["ts", "id"], threshold)
-
-    slot = F.lit(0) if slot_seconds is None else time_slot(F.col("ts"), slot_seconds)
-    local = materialize(_leader_pass(rows.withColumn("slot", slot), ["bucket", "slot"],
-                                     ["ts", "id"], threshold).select("id", "event"), "local")
-    parts = materialize(_event_sums(local.join(rows, "id")), "parts")
-    names = parts.select(F.col("id").alias("local"), F.col("id").alias("event"))
-    for bits in sorted({lsh_bits, lsh_bits // 2, 0}, reverse=True):
-        coarse = parts.withColumn("bucket", F.pmod("bucket", F.lit(1 << bits)))
-        merged = materialize(_leader_pass(coarse, ["bucket"], ["ts", "id"], threshold).select(
-            "id", "event"), "merged")
-        parts = materialize(_event_sums(merged.join(parts, "id")), "parts")
-        into = merged.select(F.col("id").alias("event"), F.col("event").alias("into"))
-        names = names.join(into, "event").select("local", F.col("into").alias("event"))
-
+    local, parts = local_events(rows, threshold, lsh_bits, slot_seconds, dim, seed, most)
+    names, parts = merge_parts(parts, threshold, most, seed)
+    names = names.select(F.col("id").alias("local"), "event")
     events = names.join(parts.select(F.col("id").alias("event"), F.col("vsum").alias("centroid")),
                         "event")
     found = local.withColumnRenamed("event", "local").join(events, "local").join(
@@ -170,6 +234,22 @@ def semantic_events(vectors: DataFrame, threshold: float = 0.75, lsh_bits: int =
                         is_new.alias("is_new"))
 
 
+def _members(vectors: DataFrame) -> DataFrame:
+    return vectors.filter(F.col("vector").isNotNull()).select(
+        "id", "ts", F.col("vector").cast("array<double>").alias("vsum"), F.lit(1.0).alias("n"))
+
+
+def local_events(rows: DataFrame, threshold: float, lsh_bits: int, slot_seconds: float | None,
+                 dim: int, seed: int = 42, most: int = MOST_ROWS) -> tuple[DataFrame, DataFrame]:
+    """Events within slots of buckets: the names (id, event), and the events as parts."""
+    slot = F.lit(0) if slot_seconds is None else time_slot(F.col("ts"), slot_seconds)
+    keyed = rows.withColumns({"bucket": lsh_bucket(F.col("vsum"), lsh_bits, dim, seed), "slot": slot})
+    keyed = _in_chunks(keyed, ["bucket", "slot"], most)
+    local = materialize(_leader_pass(keyed, ["bucket", "slot", "chunk"], ["ts", "id"], threshold)
+                        .select("id", "event"), "local")
+    return local, materialize(_event_sums(local.join(rows, "id")), "parts")
+
+
 def event_records(assigned: DataFrame, articles: DataFrame) -> DataFrame:
     """The record of each detected event, as ``schema.DETECTED_EVENT``.
 
