@@ -218,7 +218,7 @@ def semantic_events(vectors: DataFrame, threshold: float = 0.75, lsh_bits: int =
     global sequence, by its nature one task; there ``similarity`` is that on arrival. Rows
     without a vector belong to no event and are left out.
     """
-    rows = _members(vectors)
+    rows = event_members(vectors)
     if not lsh_bits and slot_seconds is None:
         return _leader_pass(rows, [], ["ts", "id"], threshold)
     local, parts = local_events(rows, threshold, lsh_bits, slot_seconds, dim, seed, most)
@@ -234,7 +234,8 @@ def semantic_events(vectors: DataFrame, threshold: float = 0.75, lsh_bits: int =
                         is_new.alias("is_new"))
 
 
-def _members(vectors: DataFrame) -> DataFrame:
+def event_members(vectors: DataFrame) -> DataFrame:
+    """(id, ts, vsum, n): each (id, ts, vector) with a vector, as an event of one article."""
     return vectors.filter(F.col("vector").isNotNull()).select(
         "id", "ts", F.col("vector").cast("array<double>").alias("vsum"), F.lit(1.0).alias("n"))
 

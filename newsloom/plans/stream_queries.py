@@ -72,7 +72,9 @@ def _(t):
 @query("f1_semantic_stream")
 def _(t):
     rows = t.vectors.select("id", F.col("ts").cast("timestamp").alias("ts"), "vector")
-    return jobs.run_available(jobs.semantic_events(streamed(t, rows, "f1-in"), 0.2, 3, 64), "f1")
+    path = scratch_path(t.spark, "f1")
+    jobs.merged_events(streamed(t, rows, "f1-in"), path, 0.2, 3, 86_400.0, 64).awaitTermination()
+    return jobs.event_names(t.spark, path)
 
 
 @query("g1_match_posts_stream", f"""WITH {EVENTS}, {POSTS} SELECT post_id, event_id FROM posts JOIN ev

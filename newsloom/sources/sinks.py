@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
@@ -33,8 +33,7 @@ def file_sink(stream: DataFrame, path: str, checkpoint: str, format: str = "text
     return writer.trigger(**trigger).start(path)
 
 
-def _exists(df: DataFrame, path: str) -> bool:
-    spark = df.sparkSession
+def exists(spark: SparkSession, path: str) -> bool:
     jvm = spark.sparkContext._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)
     return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
@@ -53,7 +52,7 @@ def upsert(batch: DataFrame, path: str, key: str, order: Sequence[str], partitio
     spark = batch.sparkSession
     latest = [F.col(c).desc() for c in order]
     last = top_per_group(batch, [key], latest, 1)
-    if not _exists(batch, path):
+    if not exists(spark, path):
         last.hint("rebalance", F.col(partition)).write.partitionBy(partition).parquet(path)
         return
     staged = scratch_path(spark, "upsert")

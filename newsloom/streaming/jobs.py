@@ -11,14 +11,19 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from newsloom import lexicons as lx
+from newsloom.operators import events
+from newsloom.operators.components import roots
 from newsloom.operators.events import LeaderClusters, lsh_bucket
 from newsloom.operators.matching import GRAM, pieces
-from newsloom.session import scratch_path
+from newsloom.session import materialize, scratch_path
+from newsloom.sources.sinks import exists, foreach_batch
+
+EVENT_COLUMNS = ["id", "ts", "n", "vsum", "seen"]
 
 
 def run_available(stream: DataFrame, name: str, mode: str = "append",
@@ -250,6 +255,54 @@ def semantic_events(stream: DataFrame, threshold: float = 0.75, lsh_bits: int =
         outputMode="Append", timeMode="None")
 
 
+def merged_events(stream: DataFrame, path: str, threshold: float = 0.75, lsh_bits: int = 12,
+                  slot_seconds: float | None = 3600.0, dim: int = 384,
+                  ttl_seconds: float | None = 86_400, most: int = events.MOST_ROWS,
+                  every: str | None = None) -> StreamingQuery:
+    """Assign (id, ts, vector) rows to events as they arrive, merged over all buckets.
+
+    Each micro-batch is cut into local events, and these and the events known so far are put
+    together as in the batch form (``events.merge_parts``), so the work is spread and events meet
+    whatever bucket their articles fell into. Events whose last article is more than
+    ``ttl_seconds`` older than a micro-batch's first row are forgotten.
+
+    Under ``path``, a micro-batch writes its articles' names, the known events that it merged and the
+    events known after it, each to a folder of its own; a batch that is repeated replaces them.
+    ``event_names`` reads them.
+    """
+    def step(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        rows = materialize(events.event_members(batch), "articles")
+        local, parts = events.local_events(rows, threshold, lsh_bits, slot_seconds, dim, most=most)
+        last = local.join(rows.select("id", "ts"), "id").groupBy(F.col("event").alias("id")).agg(
+            F.max("ts").alias("seen"))
+        parts = parts.join(last, "id").select(EVENT_COLUMNS)
+        if exists(spark, f"{path}/events/batch={number - 1}"):
+            known = spark.read.schema(parts.schema).parquet(f"{path}/events/batch={number - 1}")
+            if ttl_seconds is not None:
+                start = rows.agg(F.min("ts")).scalar()
+                age = F.unix_micros(start.cast("timestamp")) - F.unix_micros(F.col("seen").cast("timestamp"))
+                known = known.filter(F.coalesce(age <= ttl_seconds * 1_000_000, F.lit(True)))
+            parts = known.unionByName(parts)
+        parts = materialize(parts, "parts")
+        names, merged = events.merge_parts(parts.drop("seen"), threshold, most)
+        seen = names.join(parts.select("id", "seen"), "id").groupBy(F.col("event").alias("id")).agg(
+            F.max("seen").alias("seen"))
+        for folder, table in (("articles", local), ("merges", names.filter("id <> event")),
+                              ("events", merged.join(seen, "id").select(EVENT_COLUMNS))):
+            table.write.mode("overwrite").parquet(f"{path}/{folder}/batch={number}")
+
+    return foreach_batch(stream, step, f"{path}/checkpoint", every)
+
+
+def event_names(spark: SparkSession, path: str) -> DataFrame:
+    """(id, event) of all articles that ``merged_events`` has seen, by the events of now."""
+    told = spark.read.parquet(f"{path}/articles").select("id", F.col("event").alias("local"))
+    ends = roots(spark.read.parquet(f"{path}/merges").select("id", "event"), "id", "event").select(
+        F.col("id").alias("local"), "root")
+    return told.join(ends, "local", "left").select("id", F.coalesce("root", "local").alias("event"))
+
+
 def match_posts(posts: DataFrame, events: DataFrame, ttl: str = "24 hours",
                 lateness: str = "10 minutes", salts: int = 8) -> DataFrame:
     """(post_id, post_ts, event_id) pairs of two streams; every pair once.

@@ -219,6 +219,23 @@ def test_semantic_events_over_batches_equal_one_pass(spark, tmp_path):
         {(r["id"], r["event"]) for r in want.collect()}
 
 
+def test_merged_events_over_batches_equal_the_batch_form(spark, tmp_path):
+    rng = np.random.default_rng(8)
+    centers = rng.standard_normal((12, 16))
+    vectors = [centers[i % 12] + rng.standard_normal(16) * 0.3 if i % 2 else rng.standard_normal(16)
+               for i in range(300)]
+    rows = [(i, at(60 * i), v.tolist()) for i, v in enumerate(vectors)] + [(300, at(0), None)]
+    df = spark.createDataFrame(rows, "id long, ts timestamp, vector array<double>")
+    land(df, tmp_path / "in", 3)
+    jobs.merged_events(stream_of(spark, tmp_path / "in", df.schema), str(tmp_path / "out"), 0.75, 4,
+                       3600.0, 16, most=64).awaitTermination()
+    got = {r["id"]: r["event"] for r in jobs.event_names(spark, str(tmp_path / "out")).collect()}
+    want = {r["id"]: r["event"] for r in events.semantic_events(df, 0.75, 0, None).collect()}
+    assert got.keys() == want.keys() and len(got) == 300
+    assert abs(len(set(got.values())) - len(set(want.values()))) <= 0.05 * len(set(want.values()))
+    assert sum(got[k] == want[k] for k in got) >= 0.95 * len(got)
+
+
 def test_semantic_events_are_forgotten_after_a_day(spark, tmp_path):
     rows = [("0", at(0), [1.0, 0.0]), ("1", at(86_400), [1.0, 0.0]),
             ("2", at(2 * 86_400 + 1), [1.0, 0.0]), ("3", at(2 * 86_400 + 2), None)]
