@@ -119,6 +119,8 @@ def _in_chunks(rows: DataFrame, keys: Sequence[str], most: int) -> DataFrame:
 
     Only the counts of such keys meet the rows, so no row moves for it if they are few.
     """
+    if rows.select(F.lit(1)).limit(most + 1).count() <= most:  # then no key has more
+        return rows.withColumn("chunk", F.lit(0).cast("long"))
     large = rows.groupBy(*keys).agg(F.count("*").alias("__n")).filter(F.col("__n") > most)
     dealt = rows.join(broadcast_if_small(materialize(large, "large")), list(keys), "left")
     chunks = F.ceil(F.coalesce("__n", F.lit(1)) / most)
@@ -188,17 +190,22 @@ def merge_parts(parts: DataFrame, threshold: float, most: int = MOST_ROWS, seed:
             dealt = parts.select("*", F.lit(0).alias("table"))
             group = ["table"]
         met = _leader_pass(dealt, group, ["ts", "id"], threshold).filter("NOT is_new")
-        followed = materialize(met.groupBy("id").agg(F.max_by(
-            "event", F.struct("similarity", "event")).alias("parent")), "followed")
-        ends = roots(followed, "id", "parent")
+        if bits:
+            followed = materialize(met.groupBy("id").agg(F.max_by(
+                "event", F.struct("similarity", "event")).alias("parent")), "followed")
+            ends = roots(followed, "id", "parent")
+        else:  # one pass over all: what a part joins has joined nothing
+            ends = materialize(met.select("id", F.col("event").alias("root")), "followed")
         joined = parts.join(ends.select("id", F.col("root").alias("event")), "id", "left")
         parts = materialize(_event_sums(joined.withColumn(
             "event", F.coalesce("event", "id"))), "parts")
         into = ends.select(F.col("id").alias("event"), "root")
-        names = materialize(names.join(into, "event", "left").select(
-            "id", F.coalesce("root", "event").alias("event")), "names")
+        names = names.join(into, "event", "left").select(
+            "id", F.coalesce("root", "event").alias("event"))
+        if not bits:
+            break
         after = parts.count()
-        if not bits or after > 0.99 * before:
+        if after > 0.99 * before:
             break
         before = after
     return names, parts

@@ -50,6 +50,23 @@ def _(t):
     return events.semantic_events(rows, threshold=0.2, lsh_bits=3, slot_seconds=86_400.0, dim=64)
 
 
+# The rule, one article after the other: the most similar sum so far, or an event of its own.
+@query("f1_semantic_rule", """WITH RECURSIVE v AS MATERIALIZED (SELECT event_id AS id,
+    embedding::DOUBLE[] AS x, row_number() OVER (ORDER BY ts, event_id) AS k
+    FROM embeddings JOIN events ON vec_id = event_id),
+  run AS (SELECT 0::BIGINT AS k, 0::BIGINT AS id, 0::BIGINT AS event, []::STRUCT(id BIGINT, s DOUBLE[])[] AS es
+    UNION ALL SELECT k, id, CASE WHEN best >= 0.2 THEN es[place].id ELSE id END,
+      CASE WHEN best >= 0.2 THEN list_transform(es, lambda e, i: CASE WHEN i = place THEN
+          {'id': e.id, 's': list_transform(list_zip(e.s, x), lambda z: z[1] + z[2])} ELSE e END)
+        ELSE list_append(es, {'id': id, 's': x}) END
+    FROM (SELECT *, list_position(sims, best) AS place FROM (SELECT *, list_max(sims) AS best FROM (
+      SELECT v.k, v.id, v.x, run.es, list_transform(run.es, lambda e: list_cosine_similarity(e.s, v.x)) AS sims
+      FROM run JOIN v ON v.k = run.k + 1))))
+  SELECT id, event FROM run WHERE k > 0""")
+def _(t):
+    return events.semantic_events(t.vectors.select("id", "ts", "vector"), 0.2, 0, None).select("id", "event")
+
+
 # Events: one per document, with the keywords of its title. Posts: conversation turns.
 EVENTS = f"""{ART}, kw0 AS (SELECT id AS doc_id, title AS text FROM art),
   {ordered_distinct_cte('kw', 'doc_id', fill(D1, 'text'), 'kw0', 5)},
