@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Sequence
 
 import numpy as np
@@ -19,11 +20,12 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from newsloom.functions.vector import cosine, drift_band, euclidean
+from newsloom.functions.vector import cosine, drift_band, euclidean, squared_norm
 from newsloom.operators.bounds import broadcast_if_small, rows_if_small
 from newsloom.session import materialize
 
 MAX_LOCAL_CENTROIDS = 4096  # rows; a few megabytes at some hundred dimensions
+MAX_PIVOTS = 1024
 
 
 # --- centroids -------------------------------------------------------------------------
@@ -49,9 +51,9 @@ def nearest_centroid(df: DataFrame, key: str, vector: str, cents: DataFrame) ->
 
     ``cents(id, centroid)``; ties go to the lower id. One row out for each row in; a null
     vector, or none above 0, gives (null, 0). Up to ``MAX_LOCAL_CENTROIDS`` the centroids
-    travel to the tasks as one matrix and each Arrow batch is one product. Beyond, vectors
-    meet blocks of centroids of that number through an equi-join on the block number and
-    only the best per vector leaves a task. Both ways give the same rows.
+    travel to the tasks as one matrix and each Arrow batch is one product. Beyond, a vector meets
+    only the cells of a ``CentroidIndex`` that may hold its nearest centroid. Both ways give the
+    same rows.
     """
     id_type = cents.schema["id"].dataType
     usable = cents.select("id", "centroid").filter("id is not null and centroid is not null")
@@ -85,24 +87,119 @@ def nearest_centroid(df: DataFrame, key: str, vector: str, cents: DataFrame) ->
         return hit.select(key, F.when(F.col("b.at") >= 0, F.get(ids, F.col("b.at")))
                           .alias("centroid_id"), F.col("b.sim").alias("similarity"))
 
-    blocks = -(-usable.count() // MAX_LOCAL_CENTROIDS) if MAX_LOCAL_CENTROIDS else 2
-    numbered = usable.select(F.col("id").alias("__c"), "centroid",
-                             F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("__block"))
     # Equal rows travel once; their number brings them back.
-    once = df.groupBy(F.col(key).alias("__k"), F.col(vector).alias("__v")).agg(
-        F.count("*").alias("__n"))
-    spread = once.withColumn("__block", F.explode(F.sequence(
-        F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
-    similarity = F.coalesce(cosine(F.col("__v"), F.col("centroid")), F.lit(0.0))
-    pairs = spread.join(numbered, "__block").select("__k", "__v", "__n", "__c",
-                                                    similarity.alias("sim"))
-    found = pairs.groupBy("__k", "__v", "__n").agg(
-        F.min(F.struct((-F.col("sim")).alias("neg"), F.col("__c").alias("c"))).alias("b"))
-    positive = F.col("b.neg") < 0
+    once = df.groupBy(F.col(key).alias("k"), F.col(vector).alias("v")).agg(F.count("*").alias("n"))
+    once = materialize(once.withColumn("no", F.monotonically_increasing_id()), "vectors")
+    index = CentroidIndex(usable)
+    near = materialize(index.nearest(once, index.first_cell("v")), "nearest")
+    again = once.join(near, "no", "left")
+    rest = index.nearest(again, index.other_cells("v", F.coalesce(-F.col("best.neg"), F.lit(0.0))))
+    best = near.unionByName(rest).groupBy("no").agg(F.min("best").alias("best"))
+    found = once.join(best, "no", "left")
+    positive = F.col("best.neg") < 0
     return found.select(
-        F.col("__k").alias(key), F.when(positive, F.col("b.c")).alias("centroid_id"),
-        F.when(positive, -F.col("b.neg")).otherwise(0.0).alias("similarity"),
-        F.explode(F.sequence(F.lit(1).cast("long"), F.col("__n"))).alias("__copy")).drop("__copy")
+        F.col("k").alias(key), F.when(positive, F.col("best.c")).alias("centroid_id"),
+        F.when(positive, -F.col("best.neg")).otherwise(0.0).alias("similarity"),
+        F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))).alias("__copy")).drop("__copy")
+
+
+def _far_apart(vectors: np.ndarray, count: int) -> np.ndarray:
+    """Up to ``count`` of the vectors at length 1: each the farthest from those taken before."""
+    if not len(vectors):
+        return vectors
+    unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+    taken, nearest = [0], unit @ unit[0]
+    while len(taken) < min(count, len(unit)):
+        taken.append(int(nearest.argmin()))
+        nearest = np.maximum(nearest, unit @ unit[taken[-1]])
+    return unit[taken]
+
+
+class CentroidIndex:
+    """Centroids in cells around pivots, for the exact nearest one by cosine.
+
+    The pivots, at most ``MAX_PIVOTS`` centroids far apart of a hashed pick of four times as many,
+    and each cell's largest angle to its pivot are all that the driver holds. No member of a cell is nearer to a vector than the
+    angle between vector and pivot less that largest angle. So a vector meets the cell whose pivot is
+    nearest, and then only the cells that could hold a centroid at least as near as the one it found.
+    """
+
+    def __init__(self, cents: DataFrame, most: int = MAX_PIVOTS):
+        rows = cents.select("id", F.col("centroid").cast("array<double>").alias("centroid")).filter(
+            squared_norm(F.col("centroid")) > 0)
+        count = min(most, 2 * math.isqrt(rows.count()) + 1)
+        picked = rows.orderBy(F.xxhash64("centroid"), "id").limit(4 * count).select("centroid").collect()
+        self.pivots = pivots = _far_apart(np.array([r[0] for r in picked], dtype=float), count)
+        self.cells = materialize(rows.select(
+            F.explode(self.first_cell("centroid")).alias("cell"), F.col("id").alias("c"), "centroid",
+            self._angle("centroid").alias("angle")), "cells")
+        radii = np.full(len(pivots), -np.inf)  # a cell without members is out of reach
+        for cell, angle in self.cells.groupBy("cell").agg(F.max("angle")).collect():
+            radii[cell] = angle
+        self.radii = radii
+
+    def _angles(self):
+        pivots = self.pivots
+
+        def angles(vectors: pd.Series) -> np.ndarray:
+            rows = np.stack(vectors.to_numpy()).astype(float)
+            length = np.linalg.norm(rows, axis=1, keepdims=True)
+            sims = np.divide(rows @ pivots.T, length, out=np.zeros((len(rows), len(pivots))),
+                             where=length > 0)
+            return np.arccos(np.clip(sims, -1, 1))
+
+        return angles
+
+    def _angle(self, vector: str) -> Column:
+        angles = self._angles()
+
+        @F.pandas_udf("double")
+        def nearest(vectors: pd.Series) -> pd.Series:
+            return pd.Series(angles(vectors).min(axis=1))
+
+        return nearest(F.col(vector))
+
+    def first_cell(self, vector: str) -> Column:
+        """A list of the cell with the nearest pivot; empty without a vector."""
+        angles = self._angles()
+
+        @F.pandas_udf("array<int>")
+        def nearest(vectors: pd.Series) -> pd.Series:
+            given = vectors.notna().to_numpy()
+            found = iter(angles(vectors[given]).argmin(axis=1) if given.any() else ())
+            return pd.Series([[int(next(found))] if g else [] for g in given], dtype=object)
+
+        return nearest(F.col(vector))
+
+    def other_cells(self, vector: str, similarity: Column) -> Column:
+        """The other cells that may hold a centroid of at least that similarity (above 0)."""
+        angles, radii = self._angles(), self.radii
+
+        @F.pandas_udf("array<int>")
+        def reach(vectors: pd.Series, sims: pd.Series) -> pd.Series:
+            given = vectors.notna().to_numpy()
+            if not given.any():
+                return pd.Series([[]] * len(vectors), dtype=object)
+            turned = angles(vectors[given])
+            limit = np.arccos(np.clip(sims[given].to_numpy(), 0, 1))[:, None] + 1e-6
+            near = turned - radii <= limit
+            near[np.arange(len(near)), turned.argmin(axis=1)] = False
+            found = iter(near)
+            return pd.Series([np.flatnonzero(next(found)).tolist() if g else [] for g in given],
+                             dtype=object)
+
+        return reach(F.col(vector), similarity)
+
+    def nearest(self, rows: DataFrame, cells: Column) -> DataFrame:
+        """(no, best) of ``rows`` (no, v): the least (neg, c), minus similarity and id, in the cells.
+
+        Only the best per vector leaves a task; adaptive execution splits a cell that many meet.
+        """
+        dealt = rows.select("no", "v", F.explode(cells).alias("cell"))
+        similarity = F.coalesce(cosine(F.col("v"), F.col("centroid")), F.lit(0.0))
+        pairs = dealt.join(self.cells, "cell").select("no", F.struct(
+            (-similarity).alias("neg"), "c").alias("pair"))
+        return pairs.groupBy("no").agg(F.min("pair").alias("best"))
 
 
 # --- drift -----------------------------------------------------------------------------

@@ -461,6 +461,25 @@ def test_nearest_centroid_odd_rows(spark, monkeypatch, limit):
                           (None, big, 1.0), (3, None, 0.0)], key=str)
 
 
+def test_centroid_index_is_exact_and_meets_few_cells(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "MAX_LOCAL_CENTROIDS", 100)
+    rng = np.random.default_rng(3)
+    topics = rng.standard_normal((60, 16))
+    cents = (topics[rng.integers(0, 60, 3000)] + 0.1 * rng.standard_normal((3000, 16)))
+    cents[1000:1010] = cents[0]  # ties: the least id counts
+    rows = topics[rng.integers(0, 60, 500)] + 0.1 * rng.standard_normal((500, 16))
+    cdf = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(cents)], "id long, centroid array<double>")
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate([*rows, cents[0]])], "no long, v array<double>")
+    got = {r["no"]: r["centroid_id"] for r in vectors.nearest_centroid(df, "no", "v", cdf).collect()}
+    unit = cents / np.linalg.norm(cents, axis=1, keepdims=True)
+    want = dict(enumerate((rows @ unit.T).argmax(axis=1).tolist()))
+    assert got == want | {500: 0}
+    index = vectors.CentroidIndex(cdf)
+    near = index.nearest(df, index.first_cell("v"))
+    more = df.join(near, "no").select(F.size(index.other_cells("v", -F.col("best.neg"))).alias("n"))
+    assert 1 + more.agg(F.avg("n")).first()[0] < 0.05 * len(index.radii) + 1
+
+
 def test_nearest_centroid_without_centroids(spark, points_df):
     none = spark.createDataFrame([], "id long, centroid array<double>")
     row = vectors.nearest_centroid(points_df, "id", "vector", none).first()
