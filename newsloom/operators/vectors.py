@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml import Pipeline
-from pyspark.ml.clustering import KMeans, KMeansModel
+from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import (IDF, PCA, CountVectorizer, ElementwiseProduct, Normalizer,
                                 RegexTokenizer, StopWordsRemover)
@@ -26,6 +28,7 @@ from newsloom.session import materialize
 
 MAX_LOCAL_CENTROIDS = 4096  # rows; a few megabytes at some hundred dimensions
 MAX_PIVOTS = 1024
+FEW_TASKS = 16
 
 
 # --- centroids -------------------------------------------------------------------------
@@ -243,29 +246,127 @@ def _features(df: DataFrame, vector: str) -> DataFrame:
     return df.withColumn("features", array_to_vector(F.col(vector).cast("array<double>")))
 
 
-def fit_kmeans(df: DataFrame, vector: str, k: int = 8, n_init: int = 1, max_iter: int = 500,
-               seed: int = 42) -> KMeansModel:
-    """Best of ``n_init`` k-means|| fits by training cost.
+@dataclass(frozen=True)
+class KMeansCenters:
+    """Centres (k x dimensions), the sum of squared distances to them, and the passes it took."""
 
-    Training reads the data once per iteration, so the vectors are cached meanwhile.
-    """
-    data = _features(df.select(vector), vector).select("features").persist()
-    try:
-        fits = [KMeans(k=k, maxIter=max_iter, seed=seed + i).fit(data) for i in range(n_init)]
-        return min(fits, key=lambda m: m.summary.trainingCost)
-    finally:
-        data.unpersist()
+    centers: np.ndarray
+    cost: float
+    passes: int
+
+
+def _starts(sample: np.ndarray, k: int, n_init: int, seed: int) -> np.ndarray:
+    """Starting centres of each restart: drawn far apart from the sample (k-means++)."""
+    out = np.empty((n_init, k, sample.shape[1]))
+    for restart in range(n_init):
+        draw = np.random.default_rng((seed, restart))
+        at = draw.integers(len(sample))
+        nearest = np.full(len(sample), np.inf)
+        for c in range(k):
+            out[restart, c] = sample[at]
+            nearest = np.minimum(nearest, ((sample - sample[at]) ** 2).sum(axis=1))
+            total = nearest.sum()
+            at = draw.choice(len(sample), p=nearest / total) if total > 0 else draw.integers(len(sample))
+    return out
 
 
-def assign_clusters(df: DataFrame, model: KMeansModel, vector: str) -> DataFrame:
-    """Adds ``cluster`` and the distance to its centre."""
-    spark = df.sparkSession
-    centers = spark.createDataFrame(
-        [(i, [float(x) for x in c]) for i, c in enumerate(model.clusterCenters())],
-        "cluster int, center array<double>")  # k rows
-    placed = model.transform(_features(df, vector)).withColumnRenamed("prediction", "cluster")
-    return placed.drop("features").join(F.broadcast(centers), "cluster").withColumn(
-        "distance", euclidean(F.col(vector), F.col("center"))).drop("center")
+def _advance(blocks: DataFrame, centers: dict[int, np.ndarray], few: bool) -> dict[int, tuple]:
+    """One pass for all running restarts: each one's (sums, counts, cost) over its clusters.
+
+    Sums of tasks add up by a shuffle, or on the driver if there are ``few`` tasks.
+    """
+    runs = sorted(centers)
+    stacked = np.stack([centers[r] for r in runs])
+    squares = (stacked ** 2).sum(axis=2)
+
+    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        r, k, dim = stacked.shape
+        sums, counts, cost = np.zeros((r, k, dim)), np.zeros((r, k)), np.zeros((r, k))
+        for batch in batches:
+            for raw in batch.column(0).to_pylist():
+                x = np.frombuffer(raw).reshape(-1, dim)
+                own = (x ** 2).sum(axis=1)
+                for run in range(r):
+                    apart = squares[run] - 2 * x @ stacked[run].T
+                    at = apart.argmin(axis=1)
+                    chosen = np.zeros((len(x), k))
+                    chosen[np.arange(len(x)), at] = 1.0
+                    sums[run] += chosen.T @ x
+                    counts[run] += chosen.sum(axis=0)
+                    cost[run] += np.maximum(own + apart.min(axis=1), 0) @ chosen
+        flat = np.concatenate((sums, counts[..., None], cost[..., None]), axis=2).reshape(r * k, -1)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(np.arange(r * k), pa.int32()), pa.array(list(flat), pa.list_(pa.float64()))],
+            ["at", "figures"])
+
+    parts = blocks.mapInArrow(assign, "at int, figures array<double>")
+    if not few:
+        parts = parts.groupBy("at").agg(vector_to_array(Summarizer.sum(array_to_vector("figures"))))
+    found = np.zeros((stacked.shape[0] * stacked.shape[1], stacked.shape[2] + 2))
+    for batch in parts.toArrow().to_batches():  # a row for each centre, of each task if they are few
+        figures = batch.column(1).flatten().to_numpy().reshape(batch.num_rows, -1)
+        np.add.at(found, batch.column(0).to_numpy(), figures)
+    found = found.reshape(*stacked.shape[:2], -1)
+    return {r: (f[:, :-2], f[:, -2], f[:, -1].sum()) for r, f in zip(runs, found)}
+
+
+def fit_kmeans(df: DataFrame, vector: str, k: int = 8, n_init: int = 20, max_iter: int = 500,
+               seed: int = 42, tol: float = 1e-4, sample: int = 4096) -> KMeansCenters:
+    """The best of ``n_init`` k-means fits by cost, all advanced in the same passes.
+
+    The vectors are written once, in blocks. A pass reads them and moves the centres of every restart
+    that still runs; what leaves a task is one row of sums for each centre, and these add up before
+    and after the shuffle. A restart ends when its centres' squared moves add up to at most ``tol``
+    times the vectors' mean variance, or after ``max_iter`` passes. Starts are drawn from a hashed
+    pick of at most ``sample`` vectors; all vectors count in the passes. Null vectors are left out.
+    """
+    rows = df.select(F.col(vector).cast("array<double>").alias("v")).filter(F.col("v").isNotNull())
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                values = batch.column(0).flatten().to_numpy()
+                yield pa.RecordBatch.from_arrays([pa.array([values.tobytes()], pa.binary())], ["block"])
+
+    blocks = materialize(rows.mapInArrow(pack, "block binary"), "vector-blocks")
+    picked = np.array([r[0] for r in rows.orderBy(F.xxhash64("v"), "v").limit(sample).collect()], float)
+    if len(picked) < k:
+        raise ValueError(f"{k} clusters need {k} vectors")
+    limit = tol * picked.var(axis=0).mean()
+    few = blocks.rdd.getNumPartitions() <= FEW_TASKS
+    centers = dict(enumerate(_starts(picked, k, n_init, seed)))
+    done: dict[int, KMeansCenters] = {}
+    for turn in range(1, max_iter + 1):
+        for run, (sums, counts, cost) in _advance(blocks, centers, few).items():
+            filled = counts[:, None] > 0
+            moved = np.divide(sums, counts[:, None], out=centers[run].copy(), where=filled)
+            if ((moved - centers[run]) ** 2).sum() <= limit or turn == max_iter:
+                done[run] = KMeansCenters(moved, cost, turn)
+                del centers[run]
+            else:
+                centers[run] = moved
+        if not centers:
+            break
+    return done[min(done, key=lambda r: (done[r].cost, r))]
+
+
+def assign_clusters(df: DataFrame, model: KMeansCenters, vector: str) -> DataFrame:
+    """Adds ``cluster`` and the distance to its centre; a null vector has neither."""
+    centers = model.centers
+
+    @F.pandas_udf("cluster int, distance double")
+    def nearest(vectors: pd.Series) -> pd.DataFrame:
+        out = pd.DataFrame({"cluster": None, "distance": None}, index=vectors.index, dtype=object)
+        given = vectors.notna().to_numpy()
+        if given.any():
+            x = np.stack(vectors[given].to_numpy()).astype(float)
+            apart = np.stack([((x - c) ** 2).sum(axis=1) for c in centers], axis=1)
+            out.loc[given, "cluster"] = apart.argmin(axis=1)
+            out.loc[given, "distance"] = np.sqrt(apart.min(axis=1))
+        return out.astype({"cluster": "Int32", "distance": "Float64"})
+
+    placed = df.select("*", nearest(F.col(vector).cast("array<double>")).alias("__k"))
+    return placed.withColumns({"cluster": F.col("__k.cluster"), "distance": F.col("__k.distance")}).drop("__k")
 
 
 def with_confidence(df: DataFrame, distance: str = "distance") -> DataFrame:

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from newsloom.functions.vector import cosine, running_mean, silhouette_band
+from newsloom.functions.vector import cosine, euclidean, running_mean, silhouette_band
 from newsloom.operators import vectors as vec
 from newsloom.operators.bounds import broadcast_if_small
 from newsloom.plans.catalog import query
 from newsloom.plans.tables import VECTORS, STAMP, rounded, stamp
+from newsloom.session import materialize
 
 COSINE = "list_cosine_similarity({}, {})"
 
@@ -100,10 +101,35 @@ def _(t):
 @query("e8_kmeans")
 def _(t):
     rows = t("embeddings").select("vec_id", "embedding")
-    model = vec.fit_kmeans(rows, "embedding", k=8, n_init=2, max_iter=20)
+    model = vec.fit_kmeans(rows, "embedding", k=8, n_init=20, max_iter=500)
     return vec.assign_clusters(rows, model, "embedding").select("vec_id", "cluster", "distance")
 
 
+# Within and between clusters, squared distances add up to those from the mean of all, if the
+# centres are the means of their members; no row has a nearer centre than its own.
+@query("e8_kmeans_invariants", """WITH x AS (SELECT i, embedding[i]::DOUBLE AS x
+    FROM embeddings, generate_series(1, 64) g(i)),
+  m AS (SELECT i, avg(x) AS m FROM x GROUP BY i)
+  SELECT count(*) // 64 AS rows, 8 AS clusters, 0 AS misplaced, round(sum((x - m) ** 2), 3) AS total
+  FROM x JOIN m USING (i)""")
+def _(t):
+    rows = t("embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
+    model = vec.fit_kmeans(rows, "v", k=8, n_init=20, max_iter=500, tol=1e-12)
+    placed = materialize(vec.assign_clusters(rows, model, "v"), "placed")
+    means = vec.centroids(placed, "v", ["cluster"]).withColumnRenamed("centroid", "mean")
+    middle = vec.centroids(placed, "v").select("centroid").scalar()
+    own = vec.cluster_distances(placed.drop("distance"), "cluster", "v",
+                                means.select("cluster", F.col("mean").alias("centroid")))
+    found = own.join(placed.select("vec_id", F.col("distance").alias("to_centre")), "vec_id").agg(
+        F.count("*").alias("rows"), F.countDistinct("cluster").cast("int").alias("clusters"),
+        F.count_if(F.abs(F.col("distance") - F.col("to_centre")) > 1e-6).cast("int").alias("misplaced"),
+        F.sum(F.col("distance") ** 2).alias("within"))
+    between = means.withColumn("middle", middle).agg(
+        F.sum(F.col("n") * euclidean(F.col("mean"), F.col("middle")) ** 2)).scalar()
+    return found.withColumn("between", between).select("rows", "clusters", "misplaced", F.round(
+        F.col("within") + F.col("between"), 3).alias("total"))
+
+
 @query("e9_confidence", f"""WITH {VECTORS}, {MEANS}, d AS (SELECT id, list_distance(vector, c) AS d
     FROM vectors JOIN means USING (label))
   SELECT id, round(1 - d / (SELECT max(d) FROM d), 6) AS confidence FROM d""")

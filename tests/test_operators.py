@@ -525,6 +525,29 @@ def test_kmeans_and_projection(points_df):
     assert {"x", "y"} <= set(flat.columns)
 
 
+def test_restarts_in_shared_passes_are_single_fits(spark):
+    rng = np.random.default_rng(4)
+    x = np.concatenate([rng.standard_normal((60, 5)) + 4 * rng.standard_normal(5) for _ in range(7)])
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)] + [(999, None)], "id long, v array<double>")
+    model = vectors.fit_kmeans(df, "v", k=7, n_init=20, tol=1e-12)
+    sample = np.array([r[0] for r in df.filter("v IS NOT NULL").orderBy(F.xxhash64("v"), "v").select("v").collect()])
+    costs = []
+    for centers in vectors._starts(sample, 7, 20, 42):
+        for _ in range(500):
+            apart = ((x[:, None] - centers) ** 2).sum(axis=2)
+            at, last = apart.argmin(axis=1), centers
+            centers = np.stack([x[at == k].mean(axis=0) if (at == k).any() else centers[k] for k in range(7)])
+            if ((centers - last) ** 2).sum() <= 1e-12 * sample.var(axis=0).mean():
+                break
+        costs.append(apart.min(axis=1).sum())
+    assert model.cost == pytest.approx(min(costs)) and model.passes > 1
+    placed = vectors.assign_clusters(df, model, "v").collect()
+    assert [r["cluster"] for r in placed if r["v"] is None] == [None]
+    assert sum(r["distance"] ** 2 for r in placed if r["v"]) == pytest.approx(model.cost)
+    with pytest.raises(ValueError):
+        vectors.fit_kmeans(df.limit(3), "v", k=7)
+
+
 def test_embed_is_deterministic(spark):
     df = spark.createDataFrame([("a b",), ("a b",), ("c",)], "t string")
     rows = [r[0] for r in df.select(vectors.embed(F.col("t"), vectors.hash_embedder(16))).collect()]
