@@ -309,13 +309,12 @@ def keyword_event_births(articles: DataFrame, size: int = 3,
         "event_id", F.concat(F.lit("event_"), "cluster_key"))
 
 
-def keyword_event_updates(articles: DataFrame, size: int = 3, slot_seconds: float = 3600.0,
-                          **columns) -> DataFrame:
+def keyword_event_updates(articles: DataFrame, size: int = 3, **columns) -> DataFrame:
     """One update per article after the ``size``-th of its keyword group."""
-    # Ranks read their input twice: let that be the written keys, not the texts.
+    # Ranges are cut by a sample: let that read the written keys, not the texts.
     clusters = materialize(keyword_clusters(articles, **columns), "clusters")
     ranked = running_rank(clusters, ["cluster_key"], "ts", ["id"], rank="article_count",
-                          slot_seconds=slot_seconds, first="first_seen")
+                          first="first_seen")
     return ranked.filter(F.col("article_count") > size).select(
         F.concat(F.lit("event_"), "cluster_key").alias("event_id"), "id", "ts", "keywords",
         "article_count", "first_seen", "cluster_key", F.lit(True).alias("event_update"))

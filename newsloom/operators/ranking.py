@@ -4,8 +4,8 @@
 first k rows of each group before the shuffle (WindowGroupLimit).
 
 Ranks over *all* rows of a group cannot be limited that way. They are computed in two
-levels: within short time slots, and as offsets over the slot totals. A group that
-holds a third of all rows is spread over as many tasks as it has slots.
+levels: within ranges of the sorted rows (ranks) or short time slots (sums), and as offsets
+over the totals of those. A group that holds a third of all rows is spread over many tasks.
 """
 
 from __future__ import annotations
@@ -48,27 +48,34 @@ def newest_first(ts: Column, tie: Column) -> Column:
 
 
 def running_rank(df: DataFrame, keys: Sequence[str], ts: str, tie: Sequence[str | Column],
-                 rank: str = "rank", slot_seconds: float = 3600.0,
-                 first: str | None = None) -> DataFrame:
-    """Position 1, 2, … of each row within its group by (ts, tie).
+                 rank: str = "rank", first: str | None = None) -> DataFrame:
+    """Position 1, 2, … of each row within its group (all rows without keys) by (ts, tie).
 
-    ``first`` additionally names a column for the earliest ``ts`` of the group.
+    The rows are sorted by ranges over all groups, which spreads a large group and rows of one time
+    alike if the tie differs, and written with their place. The numbers of rows of the ranges before
+    in the group, one value for each group and range, are added. ``first`` additionally names a
+    column for the earliest ``ts`` of the group.
     """
-    slotted = df.withColumn("__slot", time_slot(F.col(ts), slot_seconds))
-    totals = slotted.groupBy(*keys, "__slot").agg(F.count("*").alias("__n"),
-                                                  F.min(ts).alias("__first"))
-    earlier = W.partitionBy(*keys).orderBy("__slot").rowsBetween(W.unboundedPreceding, -1)
+    order = [*_columns(keys), F.col(ts), *_columns(tie)]
+    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    placed = materialize(ranged.withColumn("__seq", F.monotonically_increasing_id()), "ranges")
+    placed = placed.withColumn("__range", F.shiftright("__seq", 33))
+    totals = placed.groupBy(*keys, "__range").agg(
+        F.count("*").alias("__n"), F.min("__seq").alias("__start"), F.min(ts).alias("__first"))
+    group = W.partitionBy(*keys)
+    before = group.orderBy("__range").rowsBetween(W.unboundedPreceding, -1)
     offsets = totals.select(
-        *keys, "__slot", F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__before"),
-        F.min("__first").over(W.partitionBy(*keys)).alias("__group_first"),
-    )
-    within = W.partitionBy(*keys, "__slot").orderBy(ts, *_columns(tie))
-    out = slotted.withColumn("__in_slot", F.row_number().over(within)).join(
-        offsets, [*keys, "__slot"])
-    out = out.withColumn(rank, F.col("__before") + F.col("__in_slot"))
+        *[F.col(k).alias(f"__key{i}") for i, k in enumerate(keys)], F.col("__range").alias("__at"),
+        (F.coalesce(F.sum("__n").over(before), F.lit(0)) - F.col("__start") + 1).alias("__shift"),
+        F.min("__first").over(group).alias("__group_first"))
+    same = F.col("__range") == F.col("__at")
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"__key{i}"))
+    out = placed.join(offsets, same).withColumn(rank, F.col("__seq") + F.col("__shift"))
     if first:
         out = out.withColumn(first, F.col("__group_first"))
-    return out.drop("__slot", "__before", "__in_slot", "__group_first")
+    return out.drop("__seq", "__range", "__at", "__shift", "__group_first",
+                    *[f"__key{i}" for i in range(len(keys))])
 
 
 def running_sum(df: DataFrame, keys: Sequence[str], ts: str, value: str, name: str,

@@ -82,25 +82,23 @@ def recent_lifecycle(df: DataFrame, ts: str, days: int = 7, switch_hours: float
     return out.withColumn("stage", stage(F.col("velocity")))
 
 
-def spread_evenly(df: DataFrame, ts: str, tie: str, days: int = 7, within_seconds: float = 60.0,
-                  slot_seconds: float = 0.01) -> DataFrame:
+def spread_evenly(df: DataFrame, ts: str, tie: str, days: int = 7, within_seconds: float = 60.0
+                  ) -> DataFrame:
     """If all rows fall within ``within_seconds``, space them evenly over ``days``.
 
-    The rank over all rows comes from ranks within short slots plus slot offsets, so no
-    task sorts everything.
+    The figures that decide are read first; rows that lie far enough apart are returned as they are,
+    without a rank. Rows without a time count as the earliest if the others are close.
     """
-    first = df.agg(F.min(ts)).scalar()
-    count = df.agg(F.count("*")).scalar()
-    dense = df.agg(_seconds(F.max(ts), F.min(ts)) < within_seconds).scalar()
-    ranked = running_rank(df, [], ts, [tie], "__rank", slot_seconds)
-    ranked = ranked.withColumn("__first", first).withColumn("__count", count).withColumn(
-        "__dense", dense)
-    share = F.coalesce(F.try_divide((F.col("__rank") - 1).cast("double"),
-                                    (F.col("__count") - 1).cast("double")), F.lit(0.0))
-    moved = F.col("__first") + F.make_dt_interval(secs=F.round(share * (days * 86_400.0), 6)
-                                                  .cast("decimal(18,6)"))
-    return ranked.withColumn(ts, F.when(F.col("__dense"), moved).otherwise(F.col(ts))).drop(
-        "__rank", "__first", "__count", "__dense")
+    found = df.agg(F.count("*").alias("n"), F.min(ts).alias("first"),
+                   (_seconds(F.max(ts), F.min(ts)) < within_seconds).alias("dense"))
+    if not found.first()["dense"]:
+        return df
+    ranked = running_rank(df, [], ts, [tie], "__rank")
+    steps = F.greatest(found.select("n").scalar() - 1, F.lit(1)).cast("double")
+    share = (F.col("__rank") - 1).cast("double") / steps
+    moved = found.select("first").scalar() + F.make_dt_interval(secs=F.round(
+        share * (days * 86_400.0), 6).cast("decimal(18,6)"))
+    return ranked.withColumn(ts, moved).drop("__rank")
 
 
 def sliding_velocity(df: DataFrame, ts: str, group: str, window: int = 60, poll: int = 5

@@ -366,6 +366,17 @@ def _(t):
     return out.select("doc_id", F.round(gap / 1e6, 0).cast("long").alias("seconds"))
 
 
+@query("i5_spread_sparse", """SELECT doc_id, doc_id * 37 % 1000 AS seconds FROM documents""")
+def _(t):
+    """Rows that lie more than a minute apart stay where they are."""
+    start = F.lit("2024-01-01 00:00:00").cast("timestamp_ntz")
+    offset = (F.col("doc_id") * 37 % 1000).cast("decimal(18,6)")
+    rows = t("documents").select("doc_id", (start + F.make_dt_interval(secs=offset)).alias("ts"))
+    out = timeseries.spread_evenly(rows, "ts", "doc_id")
+    gap = F.unix_micros(F.col("ts").cast("timestamp")) - F.unix_micros(start.cast("timestamp"))
+    return out.select("doc_id", F.round(gap / 1e6, 0).cast("long").alias("seconds"))
+
+
 SLIDING = """q AS (SELECT event_type, epoch_us(ts) // 5000000 AS b FROM events),
   w AS (SELECT event_type, unnest(generate_series(b - 11, b)) * 5 AS s FROM q),
   h AS (SELECT make_timestamp(s * 1000000) AS window_start, event_type, count(*) AS n,

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from newsloom.operators import (boards, dedup, entities, events, graph, matching, metrics, ranking,
                                 sentiment, timeseries, vectors)
+from newsloom.session import materialize
 
 T0 = dt.datetime(2024, 1, 1)
 
@@ -42,7 +43,7 @@ def by_key(rows):
 
 
 def test_running_rank(skewed, skewed_df):
-    out = ranking.running_rank(skewed_df, ["k"], "ts", ["id"], slot_seconds=600, first="first")
+    out = ranking.running_rank(skewed_df, ["k"], "ts", ["id"], first="first")
     want = {r[0]: (n, rows[0][2]) for rows in by_key(skewed).values()
             for n, r in enumerate(rows, 1)}
     assert {r["id"]: (r["rank"], r["first"]) for r in out.collect()} == want
@@ -249,7 +250,7 @@ def test_keyword_births_and_updates(spark):
     births = events.keyword_event_births(df).collect()
     assert [(b["seed"], b["article_count"], b["first_seen"]) for b in births] == [(2, 3, at(2))]
     assert [a["n"] for a in births[0]["initial_articles"]] == [1, 2, 3]
-    updates = events.keyword_event_updates(df, slot_seconds=2).collect()
+    updates = events.keyword_event_updates(df).collect()
     assert sorted((u["id"], u["article_count"], u["first_seen"]) for u in updates) == \
         [(3, 4, at(0)), (4, 5, at(0))]
     assert {u["event_id"] for u in updates} == {births[0]["event_id"]}
@@ -581,6 +582,23 @@ def test_peaks_first_time_of_maximum(spark):
     assert (row["peak_velocity"], row["peak_time"]) == (3.0, at(5))
 
 
+def test_ranks_of_one_key_and_time_are_spread(spark, monkeypatch):
+    rows = [("k", at(0), i) for i in range(4000)] + [(None, at(0), 1), (None, None, 0)]
+    df = spark.createDataFrame(rows, "k string, ts timestamp, id long").repartition(4)
+    written = []
+    monkeypatch.setattr(ranking, "materialize", lambda *a: written.append(materialize(*a)) or written[-1])
+    small = "spark.sql.adaptive.coalescePartitions.enabled"  # would join ranges of so few rows
+    spark.conf.set(small, "false")
+    try:
+        out = ranking.running_rank(df, ["k"], "ts", ["id"]).collect()
+    finally:
+        spark.conf.set(small, "true")
+    assert sorted(r["rank"] for r in out if r["k"]) == list(range(1, 4001))
+    assert all(r["rank"] == r["id"] + 1 for r in out if r["k"])
+    sizes = [r[0] for r in written[0].groupBy(F.shiftright("__seq", 33)).count().select("count").collect()]
+    assert len(sizes) > 1 and max(sizes) < 0.6 * len(rows)
+
+
 def test_spread_evenly_only_dense_rows(spark):
     dense = spark.createDataFrame([(i, at(i % 3)) for i in range(5)], "id long, ts timestamp")
     got = [r["ts"] for r in timeseries.spread_evenly(dense, "ts", "id").orderBy("ts").collect()]
