@@ -64,19 +64,27 @@ def tagged_terms(docs: DataFrame, parts: int) -> DataFrame:
     return docs.select("grp", "lang", "text").mapInArrow(cut, "grp long, part int, terms array<string>")
 
 
-def term_counts(docs: DataFrame, min_documents: int = MIN_DOCUMENTS) -> tuple[DataFrame, DataFrame]:
+def parts_of(docs: DataFrame) -> int:
+    """Parts of the terms of a table: one for each 256 MB, at most 1024.
+
+    The table must be a scan: the estimate for a join is the product of its sides.
+    """
+    megabytes = shuffle_partitions(docs.sparkSession, docs, 1 << 20)
+    return max(1, min(MOST_PARTS, -(-megabytes // (PART_BYTES >> 20))))
+
+
+def term_counts(docs: DataFrame, parts: int, min_documents: int = MIN_DOCUMENTS
+                ) -> tuple[DataFrame, DataFrame]:
     """Occurrences in each group of the terms that a lang keeps: (grp, part, at, n), and the terms'
     names (part, at, lang, term).
 
     ``docs`` has grp (a number), lang and text without nulls. A lang keeps the terms in at least
     ``min_documents`` of its documents: one CountVectorizer for each part of the terms makes its
     vocabulary and exact sparse vectors of the documents, and their entries add up by group. A part
-    is a hashed share of all langs' terms, one for each 256 MB of the table and at most 1024, so the
-    vocabulary that a fit holds on the driver is that of a bounded piece of the table (beyond
-    256 GB: a 1024th of all distinct terms).
+    is a hashed share of all langs' terms. With ``parts_of`` the vocabulary that a fit holds on the
+    driver is that of a bounded piece of the table (beyond 256 GB: a 1024th of all distinct terms).
     """
     spark = docs.sparkSession
-    parts = max(1, min(MOST_PARTS, -(-shuffle_partitions(spark, docs, 1 << 20) // (PART_BYTES >> 20))))
     tokens, counts, vocabulary = (scratch_path(spark, n) for n in ("terms", "term-counts", "term-names"))
     tagged_terms(docs, parts).write.partitionBy("part").parquet(tokens)
     # Fits need a term. No word is empty, so this one is nobody's.
@@ -263,6 +271,6 @@ def audit(docs: DataFrame, min_documents: int = MIN_DOCUMENTS, top: int = TOP_TE
     groups = materialize(rows.select("lang", "source").distinct().withColumn(
         "grp", F.monotonically_increasing_id()), "groups")
     rows = rows.join(broadcast_if_small(groups), ["lang", "source"])
-    counts, names = term_counts(rows, min_documents)
+    counts, names = term_counts(rows, parts_of(docs), min_documents)
     groups = broadcast_if_small(materialize(group_totals(groups, counts, names), "groups"))
     return _pair_part(counts, groups, size, held).unionByName(_term_part(counts, names, groups, top))
