@@ -29,7 +29,7 @@ _LETTERS = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 97 <= b <= 122 el
 
 
 def tagged_terms(docs: DataFrame, parts: int) -> DataFrame:
-    """(grp, part, terms): each document's terms as often as they occur.
+    """(grp, part, terms, again): each document's distinct terms, and their further occurrences.
 
     A term is ``lang``, a space and the word, so that one vocabulary keeps the langs apart, and goes
     to one of ``parts`` rows of its document by its hash.
@@ -50,18 +50,24 @@ def tagged_terms(docs: DataFrame, parts: int) -> DataFrame:
                 pa.scalar(" ", pa.large_string()))
             part = np.fromiter((xxhash.xxh3_64_intdigest(n) % parts
                                 for n in names.cast(pa.large_binary()).to_pylist()), np.int64, len(names))
-            row = owner * parts + part[which]
-            order = np.argsort(row, kind="stable")
-            row = row[order]
-            first = np.flatnonzero(np.append(True, row[1:] != row[:-1]))
-            terms = pa.ListArray.from_arrays(
-                pa.array(np.append(first, len(row)), pa.int32()),
-                names.take(pa.array(which[order])).cast(pa.string()))
+            # By row (a document's part) and term; a term's first place in a row stands for its others.
+            order = np.argsort((owner * parts + part[which]) * len(names) + which)
+            row, term = (owner * parts + part[which])[order], which[order]
+            new = np.append(True, (row[1:] != row[:-1]) | (term[1:] != term[:-1]))
+            rows = np.unique(row)
+
+            def lists(chosen):
+                starts = np.searchsorted(row[chosen], np.append(rows, rows[-1] + 1))
+                return pa.ListArray.from_arrays(pa.array(starts, pa.int32()),
+                                                names.take(pa.array(term[chosen])).cast(pa.string()))
+
             yield pa.RecordBatch.from_arrays(
-                [pa.array(groups, pa.int64()).take(pa.array(row[first] // parts)),
-                 pa.array(row[first] % parts, pa.int32()), terms], ["grp", "part", "terms"])
+                [pa.array(groups, pa.int64()).take(pa.array(rows // parts)),
+                 pa.array(rows % parts, pa.int32()), lists(new), lists(~new)],
+                ["grp", "part", "terms", "again"])
 
-    return docs.select("grp", "lang", "text").mapInArrow(cut, "grp long, part int, terms array<string>")
+    return docs.select("grp", "lang", "text").mapInArrow(
+        cut, "grp long, part int, terms array<string>, again array<string>")
 
 
 def parts_of(docs: DataFrame) -> int:
@@ -90,8 +96,8 @@ def term_counts(docs: DataFrame, parts: int, min_documents: int = MIN_DOCUMENTS
     # Fits need a term. No word is empty, so this one is nobody's.
     never = spark.range(min_documents).select(F.array(F.lit("")).alias("terms"))
     for part in range(parts):
-        rows = spark.read.schema("grp long, terms array<string>, part int").parquet(tokens).filter(
-            F.col("part") == part)
+        rows = spark.read.schema("grp long, terms array<string>, again array<string>, part int").parquet(
+            tokens).filter(F.col("part") == part)
         model = CountVectorizer(inputCol="terms", outputCol="vector", minDF=float(min_documents),
                                 vocabSize=MAX_VOCABULARY).fit(rows.select("terms").unionByName(never))
         saved = scratch_path(spark, "vocabulary")
@@ -102,11 +108,13 @@ def term_counts(docs: DataFrame, parts: int, min_documents: int = MIN_DOCUMENTS
             "name <> ''").select("part", "at", F.expr("left(name, length(name) - length(substring_index("
                                                       "name, ' ', -1)) - 1)").alias("lang"),
                                  word.alias("term")).write.mode("append").parquet(vocabulary)
-        vectors = model.transform(rows).select("grp", F.unwrap_udt("vector").alias("v"))
-        entries = vectors.select("grp", "v", F.posexplode("v.indices").alias("k", "at"))
-        entries.select("grp", "at", F.get("v.values", F.col("k")).cast("long").alias("n")).groupBy(
-            "grp", "at").agg(F.sum("n").alias("n")).select("grp", number, "at", "n").write.mode(
-            "append").parquet(counts)
+        vectors = model.transform(rows.select("grp", F.concat("terms", "again").alias("terms"))).select(
+            "grp", F.unwrap_udt("vector").alias("v"))
+        # One expression: fields of the vector taken apart would each compute it again.
+        entries = vectors.select("grp", F.explode(F.arrays_zip(
+            F.col("v.indices").alias("at"), F.col("v.values").alias("n"))).alias("e"))
+        entries.groupBy("grp", F.col("e.at").alias("at")).agg(F.sum("e.n").cast("long").alias("n")).select(
+            "grp", number, "at", "n").write.mode("append").parquet(counts)
     return (spark.read.schema("grp long, part int, at int, n long").parquet(counts),
             spark.read.schema("part int, at int, lang string, term string").parquet(vocabulary))
 
