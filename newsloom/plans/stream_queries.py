@@ -65,7 +65,7 @@ def _(t):
 def _(t):
     clusters = keyword_clusters(t.articles, text=("title", "content")).select(
         "cluster_key", "id", F.col("ts").cast("timestamp").alias("ts"))
-    out = jobs.run_available(jobs.keyword_events(streamed(t, clusters, "f2-in")), "f2")
+    out = jobs.run_available(jobs.keyword_events(streamed(t, clusters, "f2-in"), idle_seconds=None), "f2")
     return out.withColumn("first_seen", stamp("first_seen"))
 
 

@@ -625,12 +625,34 @@ def _(t):
     return t("documents").select("doc_id", tx.lead_summary(F.col("text")).alias("summary"))
 
 
-@query("d25_rouge_l")
-def _(t):
-    pairs = t("documents").select("doc_id", "lang", tx.lead_summary(F.col("text"), 3).alias("a"),
-                                  tx.lead_summary(F.col("text"), 5).alias("b"))
+# The words of a text's first sentences are a subsequence of the text's, so all of them are common.
+@query("d25_rouge_l", r"""WITH p AS (SELECT lang,
+    len(regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+')) AS whole,
+    len(regexp_extract_all(lower(array_to_string(string_split(coalesce(text, ''), '.')[1:3], '. ')),
+      '[a-z0-9]+')) AS lead FROM documents)
+  SELECT lang, round(avg(CASE WHEN lead > 0 THEN 2.0 * lead / (whole + lead) ELSE 0 END), 6) AS rouge_l
+  FROM p GROUP BY lang""")
+def _(t):
+    pairs = t("documents").select("lang", "text", tx.lead_summary(F.col("text"), 3).alias("lead"))
     return pairs.groupBy("lang").agg(
-        F.avg(summaries.rouge_l(F.col("a"), F.col("b"))).alias("rouge_l"))
+        F.round(F.avg(summaries.rouge_l(F.col("text"), F.col("lead"))), 6).alias("rouge_l"))
+
+
+# The table of common lengths, a row for each word of the other title.
+@query("d25_rouge_titles", f"""WITH {ART}, w AS (SELECT id,
+    regexp_extract_all(lower(coalesce(title, '')), '[a-z0-9]+') AS w FROM art),
+  p AS (SELECT a.id, a.w AS a, b.w AS b FROM w a JOIN w b ON b.id = a.id + 1),
+  l AS (SELECT id, len(a) AS m, len(b) AS n, list_reduce(list_prepend(
+      list_transform(range(len(a) + 1), lambda z: 0::BIGINT), list_transform(range(len(b)), lambda y: [y + 1])),
+    lambda p, y: list_reduce(list_prepend([0::BIGINT], list_transform(range(len(a)), lambda x: [x + 1])),
+      lambda q, x: list_append(q, CASE WHEN a[x[1]] = b[y[1]] THEN p[x[1]] + 1
+        ELSE greatest(p[x[1] + 1], q[len(q)]) END)))[len(a) + 1] AS common FROM p)
+  SELECT id, CASE WHEN common > 0 THEN round(2.0 * common / (m + n), 6) ELSE 0 END::DOUBLE AS rouge_l FROM l""")
+def _(t):
+    titles = t.articles.select("id", "title")
+    other = titles.select((F.col("id") - 1).alias("id"), F.col("title").alias("other"))
+    return titles.join(other, "id").select("id", F.round(
+        summaries.rouge_l(F.col("title"), F.col("other")), 6).alias("rouge_l"))
 
 
 @query("d27_event_id", """SELECT doc_id, 'evt_' || left(sha256(doc_id::VARCHAR), 16) AS event_id

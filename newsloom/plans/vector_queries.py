@@ -179,6 +179,33 @@ def _(t):
     return out.select("vec_id", "label", "x", "y")
 
 
+# Principal components: the axes' values are not correlated, the first varies more, and the sum of
+# squares along them is the largest there is, found here by powers of the covariance matrix.
+@query("e13_projection_invariants", """WITH RECURSIVE x AS MATERIALIZED (SELECT vec_id, i, embedding[i]::DOUBLE AS x
+    FROM embeddings, generate_series(1, 64) g(i)),
+  m AS (SELECT i, avg(x) AS m FROM x GROUP BY i),
+  c AS MATERIALIZED (SELECT vec_id, i, x - m AS x FROM x JOIN m USING (i)),
+  s AS MATERIALIZED (SELECT a.i, b.i AS j, sum(a.x * b.x) / (count(*) - 1) AS s
+    FROM c a JOIN c b USING (vec_id) GROUP BY ALL),
+  power AS (SELECT 0 AS step, i, j, s AS p FROM s
+    UNION ALL (SELECT step + 1, i, j, p / max(abs(p)) OVER () FROM (
+      SELECT a.step, a.i, b.j, sum(a.p * b.p) AS p FROM power a JOIN power b ON a.j = b.i
+      WHERE a.step < 16 GROUP BY a.step, a.i, b.j))),
+  axis AS (SELECT i, p FROM power WHERE step = 16 AND j = (SELECT j FROM power
+    WHERE step = 16 AND i = j ORDER BY p DESC, j LIMIT 1)),
+  first AS (SELECT sum(a.p * s.s * b.p) / any_value((SELECT sum(p * p) FROM axis)) AS variance
+    FROM axis a JOIN s ON s.i = a.i JOIN axis b ON b.i = s.j)
+  SELECT (SELECT count(*) FROM embeddings) AS rows, round(variance, 5) AS first, true AS ordered,
+    true AS apart FROM first""")
+def _(t):
+    out = vec.project_2d(t("embeddings").select("vec_id", "embedding"), "embedding")
+    found = out.agg(F.count("*").alias("rows"), F.var_samp("x").alias("first"),
+                    F.var_samp("y").alias("second"), F.corr("x", "y").alias("corr"))
+    return found.select("rows", F.round("first", 5).alias("first"),
+                        (F.col("first") >= F.col("second")).alias("ordered"),
+                        (F.abs("corr") < 1e-6).alias("apart"))
+
+
 @query("e13_centers_2d")
 def _(t):
     out = vec.project_2d(t("embeddings").select("vec_id", "label", "embedding"), "embedding")

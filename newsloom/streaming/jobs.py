@@ -160,43 +160,72 @@ def running_peaks(counts: DataFrame, group: str) -> DataFrame:
 
 
 class KeywordEventProcessor(StatefulProcessor):
-    """Counts the articles of a keyword group; keeps only the group's first article times."""
+    """Counts the articles of a keyword group; keeps its number, its first and its last time.
 
-    def __init__(self, size: int):
-        self.size = size
+    A group that had no article for longer than ``idle_seconds`` starts again. A timer removes its
+    state once the watermark is past that time.
+    """
+
+    def __init__(self, size: int, idle_seconds: float | None):
+        self.size, self.idle = size, idle_seconds
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.seen = handle.getValueState("seen", "n long, first_ts timestamp")
+        self.handle = handle
+        self.seen = handle.getValueState("seen", "n long, first_ts timestamp, last_ts timestamp")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues
                         ) -> Iterator[pd.DataFrame]:
-        n, first = self.seen.get() if self.seen.exists() else (0, None)
-        batch = pd.concat(list(rows)).sort_values(["ts", "id"])  # one group of one micro-batch
-        numbers = np.arange(n + 1, n + 1 + len(batch))
-        first = first if first is not None else batch["ts"].iloc[0].to_pydatetime()
-        self.seen.update((int(numbers[-1]), first))
-        out = batch.assign(article_count=numbers)
+        parts = [part for part in rows if len(part)]
+        if not parts:  # the call that precedes a timer
+            return
+        n, first, last = self.seen.get() if self.seen.exists() else (0, None, None)
+        batch = pd.concat(parts).sort_values(["ts", "id"])  # one group of one micro-batch
+        numbers, firsts = [], []
+        for at in map(pd.Timestamp.to_pydatetime, batch["ts"]):
+            gone = last is not None and self.idle is not None and \
+                (at - last).total_seconds() > self.idle
+            n, first = (1, at) if gone or first is None else (n + 1, first)
+            last = at if last is None or gone else max(last, at)
+            numbers.append(n)
+            firsts.append(first)
+        self.seen.update((n, first, last))
+        if self.idle is not None:
+            for timer in self.handle.listTimers():
+                self.handle.deleteTimer(timer)
+            self.handle.registerTimer(int((pd.Timestamp(last).timestamp() + self.idle) * 1000) + 1)
+        out = batch.assign(article_count=numbers, first_seen=firsts)
         out = out[out["article_count"] >= self.size]
         if len(out):
             birth = out["article_count"] == self.size
             yield pd.DataFrame({
                 "event_id": "event_" + key[0], "id": out["id"], "article_count":
-                out["article_count"], "first_seen": out["ts"].where(birth, pd.Timestamp(first)),
+                out["article_count"], "first_seen": out["ts"].where(birth, out["first_seen"]),
                 "event_update": ~birth})
 
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.seen.clear()
+        return iter(())
+
     def close(self) -> None:
         pass
 
 
-def keyword_events(clusters: DataFrame, size: int = 3) -> DataFrame:
-    """Births and updates of keyword groups from (id, ts, cluster_key) as they arrive."""
+def keyword_events(clusters: DataFrame, size: int = 3, idle_seconds: float | None = 86_400,
+                   lateness: str = "1 hour") -> DataFrame:
+    """Births and updates of keyword groups from (id, ts, cluster_key) as they arrive.
+
+    A group without an article for ``idle_seconds`` is forgotten, so the state holds the groups of a
+    day; None keeps all groups for good, as the batch form does.
+    """
     narrow = clusters.select("cluster_key", "id", F.col("ts").cast("timestamp").alias("ts"))
     kind = dict(narrow.dtypes)["id"]
+    if idle_seconds is not None:
+        narrow = narrow.withWatermark("ts", lateness)
     return narrow.groupBy("cluster_key").transformWithStateInPandas(
-        statefulProcessor=KeywordEventProcessor(size),
+        statefulProcessor=KeywordEventProcessor(size, idle_seconds),
         outputStructType=f"event_id string, id {kind}, article_count long, "
                          "first_seen timestamp, event_update boolean",
-        outputMode="Append", timeMode="None")
+        outputMode="Append", timeMode="None" if idle_seconds is None else "EventTime")
 
 
 class SemanticEventProcessor(StatefulProcessor):

@@ -265,3 +265,16 @@ def test_latency_of_rows_without_a_time(spark):
     df = spark.createDataFrame([(at(0), at(1)), (None, at(1))], "sent timestamp, got timestamp")
     got = [r["latency_ms"] for r in jobs.latency_rows(df, "sent", F.col("got")).collect()]
     assert got == [1000.0, None]
+
+
+def test_idle_keyword_groups_start_again(spark, tmp_path):
+    day = 86_400
+    times = [0, 1, 2, 3, day + 3, 2 * day + 4, 2 * day + 5, 2 * day + 6, 5 * day]
+    rows = [(i, at(s), "k") for i, s in enumerate(times)]
+    df = spark.createDataFrame(rows, "id long, ts timestamp, cluster_key string")
+    want = {(2, 3, at(2), False), (3, 4, at(0), True), (4, 5, at(0), True), (7, 3, at(2 * day + 6), False)}
+    for parts in (1, 9):
+        land(df, tmp_path / f"in{parts}", parts)
+        stream = stream_of(spark, tmp_path / f"in{parts}", df.schema)
+        out = jobs.run_available(jobs.keyword_events(stream), "t").drop("event_id")
+        assert {tuple(r) for r in out.collect()} == want
