@@ -4,13 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from newsloom import lexicons as lx
 from newsloom.functions.text import title_keywords
 from newsloom.operators.events import keyword_clusters
 from newsloom.operators.timeseries import peaks
 from newsloom.plans.catalog import query
 from newsloom.plans.event_queries import CLUSTERS, EVENTS
 from newsloom.plans.series_queries import SLIDING
-from newsloom.plans.tables import KEPT, POSTS, STAMP, rounded, stamp
+from newsloom.plans.tables import KEPT, NEGATIVE, POSTS, STAMP, hits, rounded, stamp
+from newsloom.plans.text_queries import RAW, TOKEN_BAD, TOKEN_GOOD, negation_sql, raw_news
 from newsloom.session import scratch_path
 from newsloom.sources import readers, sinks
 from newsloom.streaming import jobs
@@ -88,6 +90,28 @@ def _(t):
     return jobs.run_available(pairs, "g1").select("post_id", "event_id")
 
 
+@query("live_articles", f"""WITH {negation_sql(TOKEN_GOOD, TOKEN_BAD, lx.NEGATIONS)}, {RAW}
+  SELECT raw.url, raw.title, raw.source, published_at, coalesce(label, 'neutral') AS sentiment,
+    round(coalesce(score, 0)::DOUBLE, 6) AS sentiment_score
+  FROM raw LEFT JOIN scored USING (doc_id) WHERE title <> '' AND {hits('text', NEGATIVE)} = 0""")
+def _(t):
+    """Every article comes twice, most of them half an hour later the second time."""
+    path = scratch_path(t.spark, "live")
+    raw = raw_news(t)
+    again = raw.withColumns({
+        "publishedAt": F.replace("publishedAt", F.lit("10:20:30"), F.lit("10:50:30")),
+        "published_at": F.replace("published_at", F.lit("04:05:06"), F.lit("04:35:06"))})
+    raw.write.parquet(f"{path}/in")
+    again.write.mode("append").parquet(f"{path}/in")
+    stream = readers.table_stream(t.spark, f"{path}/in", raw.schema)
+    jobs.live_articles(stream, f"{path}/articles", f"{path}/checkpoint",
+                       F.lit("2024-03-01 00:00:00").cast("timestamp"), lateness="90 days",
+                       blocked_words=NEGATIVE, positive=TOKEN_GOOD, negative=TOKEN_BAD).awaitTermination()
+    rows = t.spark.read.parquet(f"{path}/articles")
+    return rows.select("url", "title", "source", stamp("published_at").alias("published_at"),
+                       "sentiment", rounded(F.col("sentiment_score")).alias("sentiment_score"))
+
+
 @query("l1_late_rows", """SELECT count(*) AS rows FROM events""")
 def _(t):
     """Rows within the allowed lateness are all counted."""

@@ -16,12 +16,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from newsloom import lexicons as lx
+from newsloom.functions.normalize import enrich_articles, normalize_articles
 from newsloom.operators import events
 from newsloom.operators.components import roots
 from newsloom.operators.events import LeaderClusters, lsh_bucket
 from newsloom.operators.matching import GRAM, pieces
 from newsloom.session import materialize, scratch_path
-from newsloom.sources.sinks import exists, foreach_batch
+from newsloom.sources.sinks import exists, foreach_batch, upsert_stream
 
 EVENT_COLUMNS = ["id", "ts", "n", "vsum", "seen"]
 
@@ -116,6 +117,21 @@ def drop_duplicates(stream: DataFrame, key: str, ts: str, seconds: int = 3600,
         outputMode="Append", timeMode="EventTime")
 
 
+def live_articles(raw: DataFrame, path: str, checkpoint: str, now: Column | None = None,
+                  seconds: int = 3600, lateness: str = "1 hour", every: str | None = None,
+                  **enrich) -> StreamingQuery:
+    """The live path as one stream: raw news is normalised, loses repeated links within an hour, is
+    enriched and goes into a table by its id, in folders by day.
+
+    An id comes from link, title and time, so an article that comes again replaces itself, and it
+    never changes its day.
+    """
+    first = drop_duplicates(normalize_articles(raw, now), "url", "published_at", seconds, lateness)
+    rows = enrich_articles(first, **enrich).withColumn("day", F.to_date("event_time"))
+    return upsert_stream(rows, path, checkpoint, "id", ["ingested_at", "event_time"], "day",
+                         rows_move=False, every=every)
+
+
 def sliding_counts(stream: DataFrame, ts: str, group: str, window: int = 60, poll: int = 5,
                    lateness: str = "0 seconds") -> DataFrame:
     """(window_start, group, n, velocity): final once the watermark has passed a window."""
