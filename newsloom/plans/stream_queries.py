@@ -143,11 +143,16 @@ def _(t):
     return out.withColumn("avg_ms", rounded(F.col("avg_ms")))
 
 
-@query("f4_l3_progress", "SELECT count(*) AS rows FROM documents")
+@query("f4_l3_progress", """SELECT count(*) AS rows, count(*) AS reported,
+  count(*) FILTER (lang = 'en') AS english FROM documents""")
 def _(t):
-    """Rows written by a checkpointed stream that also reports counters."""
-    stream = jobs.with_progress(streamed(t, t("documents").select("doc_id"), "f4-in"), "articles")
+    """Rows written by a checkpointed stream, and the counters that it reported."""
+    stream = jobs.with_progress(streamed(t, t("documents").select("doc_id", "lang"), "f4-in"), "articles",
+                                english=F.count_if(F.col("lang") == "en"))
     base = scratch_path(t.spark, "f4")
-    sinks.file_sink(stream, f"{base}/out", f"{base}/checkpoint", "parquet").awaitTermination()
+    query = sinks.file_sink(stream, f"{base}/out", f"{base}/checkpoint", "parquet")
+    query.awaitTermination()
+    told = jobs.progress_totals(query, "articles")
     return t.spark.read.schema("doc_id long").parquet(f"{base}/out").agg(
-        F.count("*").alias("rows"))
+        F.count("*").alias("rows"), F.lit(told["rows"]).cast("long").alias("reported"),
+        F.lit(told["english"]).cast("long").alias("english"))

@@ -395,3 +395,14 @@ def with_progress(stream: DataFrame, name: str, **metrics: Column) -> DataFrame:
     """Counters that appear in each progress report of the query."""
     rows = F.count(F.lit(1)).alias("rows")
     return stream.observe(name, rows, *[c.alias(n) for n, c in metrics.items()])
+
+
+def progress_totals(query: StreamingQuery, name: str) -> dict[str, int]:
+    """The counters of ``with_progress``, added up over the reports that the query still holds
+    (``spark.sql.streaming.numRecentProgressUpdates``, 100 unless set)."""
+    totals: dict[str, int] = {}
+    for report in query.recentProgress:
+        counters = report.observedMetrics.get(name)
+        for counter, value in (counters.asDict() if counters else {}).items():
+            totals[counter] = totals.get(counter, 0) + value
+    return totals
