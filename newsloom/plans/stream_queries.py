@@ -143,6 +143,25 @@ def _(t):
     return out.withColumn("avg_ms", rounded(F.col("avg_ms")))
 
 
+@query("l1_rows_too_late", """SELECT event_type, count(*) AS rows FROM events
+  WHERE ts >= (SELECT min(ts)::DATE + 1 FROM events) GROUP BY event_type""")
+def _(t):
+    """The first day's rows arrive last, when the watermark is past their window, and are dropped."""
+    rows = events(t).select("event_type", "ts")
+    first = rows.withColumn("next", F.date_trunc("day", rows.agg(F.min("ts")).scalar())
+                            + F.expr("INTERVAL 1 DAY"))
+    path = scratch_path(t.spark, "l1-late")
+    # One file for each micro-batch. A watermark drops rows from the second batch after its own on.
+    turn = F.when(F.col("ts") < F.col("next"), 2).otherwise(F.pmod(F.xxhash64("ts"), F.lit(2)))
+    for batch in range(3):
+        first.filter(turn == batch).drop("next").coalesce(1).write.mode("append").parquet(path)
+    stream = t.spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    counts = stream.withWatermark("ts", "1 hour").groupBy(F.window("ts", "1 day"), "event_type").agg(
+        F.count("*").alias("n"))
+    out = jobs.run_updates(counts, "l1-late", ["window", "event_type"])
+    return out.groupBy("event_type").agg(F.sum("n").alias("rows"))
+
+
 @query("f4_l3_progress", """SELECT count(*) AS rows, count(*) AS reported,
   count(*) FILTER (lang = 'en') AS english FROM documents""")
 def _(t):
