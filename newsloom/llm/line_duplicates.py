@@ -11,15 +11,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from newsloom.llm.common import (WordHashes, chunks, flat, fold, folded_words,
-                                 may_contain, mix, planes, ranks, shuffle_partitions, split_words,
-                                 unplaned, whole_rows)
+from newsloom.llm.common import (WordHashes, chunks, fold, folded_words, may_contain, mix, planes,
+                                 ranks, shuffle_partitions, split_words, unplaned, whole_rows)
 from newsloom.session import materialize
 
 THRESHOLD = 0.8
 FREQUENT = 10_000  # a word with this part of all words' occurrences, or more, is frequent
-FEW = 64           # candidates of a set in a bucket that are all kept
-MOST_HELD = 2_000_000  # pairs held at once; beyond it, those of sets with more than ``FEW`` go
+FEW = 256          # candidates of a set in a bucket that are all kept; of more, the ``BEST``
+BEST = 8
+MOST_HELD = 1_000_000  # pairs held at once; beyond it, those of sets with more than ``FEW`` go
+LONG = 160         # words of a line that has tallies beside its parities
+BUCKET = 4 << 20   # bytes of input for each bucket of postings
 
 
 def frequent_words(docs: DataFrame, text: str) -> dict[int, int]:
@@ -52,28 +54,47 @@ def prefix_length(sizes: np.ndarray, threshold: float) -> np.ndarray:
     return sizes - np.ceil(threshold * sizes - 1e-9).astype(np.int64) + 1
 
 
-def _sets(values, starts, places):
+def _sets(lines: list[str], places, hashes: WordHashes):
     """(words' sort keys by line, rarest first, without repeats; starts; owners)."""
-    owner = np.repeat(np.arange(len(starts) - 1), np.diff(starts))
+    words, starts = split_words([fold(x) for x in lines])
+    coded = pc.dictionary_encode(words)
+    values = hashes.array(coded.dictionary.view(pa.large_binary()).to_pylist())
     names, place = places
-    at = np.minimum(np.searchsorted(names, values), max(0, len(names) - 1))
-    known = names[at] == values if len(names) else np.zeros(len(values), bool)
     keys = values >> np.uint64(21)  # 43 bits of a rare word's hash, a frequent word's place
     if len(names):
-        keys = np.where(known, np.uint64(1 << 43) + place[at].astype(np.uint64), keys)
-    order = np.argsort(owner.astype(np.uint64) << np.uint64(44) | keys) if len(starts) <= 1 << 20 \
-        else np.lexsort((keys, owner))
-    keys, owner = keys[order], owner[order]
-    new = np.append(True, (keys[1:] != keys[:-1]) | (owner[1:] != owner[:-1])) if len(keys) else \
-        np.zeros(0, bool)
-    keys, owner = keys[new], owner[new]
+        at = np.minimum(np.searchsorted(names, values), len(names) - 1)
+        keys = np.where(names[at] == values, np.uint64(1 << 43) + place[at].astype(np.uint64), keys)
+    keys = keys[coded.indices.to_numpy()]
+    owner = np.repeat(np.arange(len(starts) - 1, dtype=np.uint64), np.diff(starts))
+    if len(starts) <= 1 << 20:
+        both = np.sort(owner << np.uint64(44) | keys)
+        new = np.append(True, both[1:] != both[:-1])[:len(both)]
+        both = both[new]
+        keys, owner = both & np.uint64((1 << 44) - 1), (both >> np.uint64(44)).astype(np.int64)
+    else:
+        order = np.lexsort((keys, owner))
+        keys, owner = keys[order], owner[order].astype(np.int64)
+        new = np.append(True, (keys[1:] != keys[:-1]) | (owner[1:] != owner[:-1]))[:len(keys)]
+        keys, owner = keys[new], owner[new]
     return keys, np.append(0, np.cumsum(np.bincount(owner, minlength=len(starts) - 1))), owner
 
 
-def _tallies(parts: np.ndarray, owner: np.ndarray, count: int) -> np.ndarray:
+def _parities(spread: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Whether a line's words in each of 128 hashed parts are odd in number: two 64-bit values."""
+    part = spread >> np.uint64(57)
+    bit = np.uint64(1) << (part & np.uint64(63))
+    high = part >= 64
+    zero = np.uint64(0)
+    return np.stack([np.bitwise_xor.reduceat(np.where(high, zero, bit), starts),
+                     np.bitwise_xor.reduceat(np.where(high, bit, zero), starts)], axis=1)
+
+
+def _tallies(spread: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """How many of a line's words fall into each of 32 hashed parts, modulo 16: two in a byte."""
-    each = np.bincount(owner * 32 + parts.astype(np.int64), minlength=count * 32)
-    each = (each & 15).astype(np.uint8).reshape(count, 32)
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+    part = (spread >> np.uint64(40) & np.uint64(31)).astype(np.int64)
+    each = np.bincount(owner * 32 + part, minlength=len(sizes) * 32)
+    each = (each & 15).astype(np.uint8).reshape(len(sizes), 32)
     return each[:, :16] | each[:, 16:] << 4
 
 
@@ -112,15 +133,15 @@ def _postings(docs: DataFrame, threshold: float, buckets: int, frequent: dict[in
             lines = [(texts[k] or "").split("\n") for k in order]
             line = np.concatenate([np.arange(len(x)) for x in lines])
             document = np.repeat(np.arange(len(lines)), [len(x) for x in lines])
-            values, starts = flat([x for part in lines for x in part], True, hashes)
-            keys, at, owner = _sets(values, starts, places)
+            keys, at, owner = _sets([x for part in lines for x in part], places, hashes)
             sizes = np.diff(at)
             some = np.flatnonzero(sizes)
             if not len(some):
                 continue
+            spread = mix(keys)
             with np.errstate(over="ignore"):
-                marks = np.add.reduceat(mix(keys), at[some])
-            tallies = _tallies(mix(keys) >> np.uint64(59), owner, len(starts) - 1)[some]
+                marks = np.add.reduceat(spread, at[some])
+            parities = _parities(spread, at[some])
             _, first = np.unique(marks, return_index=True)
             fresh = np.zeros(len(some), bool)
             fresh[first] = True
@@ -138,14 +159,20 @@ def _postings(docs: DataFrame, threshold: float, buckets: int, frequent: dict[in
             words = mix(keys[at[kept][which] + place])
             target = words % np.uint64(buckets)
             order = np.argsort(target, kind="stable")
-            marks, tallies = marks[fresh], tallies[fresh]
+            marks, parities = marks[fresh], parities[fresh]
+            long = sizes[kept] >= LONG
+            row_of = np.cumsum(long) - 1
+            listed = np.zeros(len(sizes), bool)
+            listed[kept[long]] = True
+            tallies = _tallies(spread[listed[owner]], sizes[kept[long]])
             for part in np.split(order, np.flatnonzero(np.diff(target[order])) + 1):
                 w = which[part]
                 used, name = np.unique(document[kept[w]], return_inverse=True)
                 yield row(int(target[part[0]]), False, ids, copies, used, b"".join([
-                    np.array([len(part)], "<u4").tobytes(), marks[w].tobytes(), tallies[w].tobytes(),
-                    (words[part] >> np.uint64(32)).astype("<u4").tobytes(), planes(name),
-                    planes(line[kept[w]]), planes(sizes[kept[w]]), planes(place[part])]))
+                    np.array([len(part)], "<u4").tobytes(), marks[w].tobytes(),
+                    parities[w].tobytes(), (words[part] >> np.uint64(32)).astype("<u4").tobytes(),
+                    planes(name), planes(line[kept[w]]), planes(sizes[kept[w]]),
+                    planes(place[part]), tallies[row_of[w[long[w]]]].tobytes()]))
 
     return docs.mapInArrow(deal, sent)
 
@@ -155,9 +182,10 @@ def _candidates(postings: DataFrame, threshold: float, only: np.ndarray | None =
     other_id, other_copy, other_line).
 
     Where the postings of a word meet, equal sets keep their first line. A pair that the filters by
-    length, position and tallies leave is a candidate for its later set. A set with more
-    than ``FEW`` candidates in a bucket gets the two with the nearest tallies (``apart``) from it,
-    and ``more`` counts the others there. With ``only``, a bitmap of sets' marks, those sets get all their candidates.
+    length, position, parities and tallies leave is a candidate for its later set. A set with more
+    than ``FEW`` candidates in a bucket gets the ``BEST`` nearest (``apart``) from it, and ``more``
+    counts the others there. With ``only``, a bitmap of sets' marks, those sets get all their
+    candidates.
     """
     kind = postings.schema["ids"].dataType.elementType
     long = T.LongType()
@@ -183,26 +211,30 @@ def _candidates(postings: DataFrame, threshold: float, only: np.ndarray | None =
                 gone.append((unplaned(raw, 4, n) + base[r], unplaned(raw, 4 + 4 * n, n)))
             else:
                 at = 4 + 28 * n
+                lists = [unplaned(raw, at + 4 * n * k, n).astype(np.int32) for k in range(4)]
+                lists[0] += base[r].astype(np.int32)
                 rows.append((
                     np.frombuffer(raw, "<u8", n, 4),
-                    np.frombuffer(raw, np.uint8, 16 * n, 4 + 8 * n).reshape(n, 16),
-                    np.frombuffer(raw, "<u4", n, 4 + 24 * n).astype(np.int64),
-                    unplaned(raw, at, n) + base[r],
-                    *[unplaned(raw, at + 4 * n * k, n) for k in (1, 2, 3)]))
+                    np.frombuffer(raw, "<u8", 2 * n, 4 + 8 * n).reshape(n, 2),
+                    np.frombuffer(raw, "<u4", n, 4 + 24 * n).astype(np.int64), *lists,
+                    np.frombuffer(raw, np.uint8, -1, at + 16 * n).reshape(-1, 16)))
         late = early = np.zeros(0, np.int64)
         apart, more = np.zeros(0), late
         marks, owner, line = np.zeros(0, np.uint64), late, late
         if rows:
-            marks, tallies, words, owner, line, sizes, place = (
+            marks, parities, words, owner, line, sizes, place, tallies = (
                 np.concatenate(x) for x in zip(*rows))
+            rows.clear()
+            row_of = (np.cumsum(sizes >= LONG) - 1).astype(np.int32)  # of ``tallies``
             rank = ranks(ids, copies)[owner] << 32 | line
             order = np.lexsort((rank, words << 31 | (marks >> np.uint64(33)).astype(np.int64)))
-            marks, tallies, words, owner, line, sizes, place, rank = (
-                x[order] for x in (marks, tallies, words, owner, line, sizes, place, rank))
+            marks, parities, words, owner, line, sizes, place, rank, row_of = (
+                x[order] for x in (marks, parities, words, owner, line, sizes, place, rank, row_of))
             # Sets whose marks differ in their last bits only may stand between equal ones, which
             # are then candidates of each other.
             same = np.append(False, (words[1:] == words[:-1]) & (marks[1:] == marks[:-1])
-                             & (tallies[1:] == tallies[:-1]).all(axis=1))
+                             & (sizes[1:] == sizes[:-1])
+                             & (parities[1:] == parities[:-1]).all(axis=1))
             lead = np.maximum.accumulate(np.where(same, 0, np.arange(len(same))))
             again = same & (place == 0) & (rank > rank[lead])  # a set has one rarest word
             gone.append((owner[again], line[again]))
@@ -211,8 +243,8 @@ def _candidates(postings: DataFrame, threshold: float, only: np.ndarray | None =
             chosen = None if only is None else only[
                 (marks[order] & np.uint64(len(only) - 1)).astype(np.int64)]
             late, early, apart, more = _similar(
-                words[order], sizes[order], place[order], tallies[order], rank[order], threshold,
-                chosen)
+                words[order], sizes[order], place[order], parities[order], tallies, row_of[order],
+                rank[order], threshold, chosen)
             late, early = order[late], order[early]
         holders, lines = (np.concatenate(x) for x in zip(*gone))
         n, m = len(holders), len(late)
@@ -232,15 +264,15 @@ def _candidates(postings: DataFrame, threshold: float, only: np.ndarray | None =
     return postings.groupBy("bucket").applyInArrow(meet, schema)
 
 
-def _similar(words, sizes, place, tallies, rank, threshold, chosen):
+def _similar(words, sizes, place, parities, tallies, row_of, rank, threshold, chosen):
     """Candidate pairs of postings of one word, ordered by size: (later, earlier, apart, more).
 
     Length: the smaller set has ``threshold`` of the larger one's size. Position: the words after
-    the shared one must suffice for the needed overlap. Tallies: the words' numbers in hashed parts
-    differ by no more than the sets do. Of a set with more than ``FEW`` pairs only the best two are
-    kept as the pairs go by, unless ``chosen`` marks the sets all of whose pairs are wanted.
+    the shared one must suffice for the needed overlap. Parities, and tallies of long lines: the
+    words' numbers in hashed parts differ by no more than the sets do. Of a set with more than
+    ``FEW`` pairs only the ``BEST`` are kept as the pairs go by, unless ``chosen`` marks the sets
+    all of whose pairs are wanted.
     """
-    counts = np.concatenate((tallies & 15, tallies >> 4), axis=1).astype(np.int8)
     left = np.arange(len(words))
     if chosen is not None:
         wanted = np.unique(words[chosen])
@@ -263,13 +295,22 @@ def _similar(words, sizes, place, tallies, rank, threshold, chosen):
         if not good.any():
             continue
         a, b, allowed = left[good], right[good], (total - 2 * needed)[good]
-        apart = np.abs(counts[a] - counts[b])
-        differ = np.minimum(apart, 16 - apart).sum(axis=1, dtype=np.int64)
+        differ = np.bitwise_count(parities[a] ^ parities[b]).sum(axis=1, dtype=np.int64)
         good = differ <= allowed
-        a, b = a[good], b[good]
+        a, b, allowed, differ = a[good], b[good], allowed[good], differ[good]
+        long = np.flatnonzero(np.minimum(sizes[a], sizes[b]) >= LONG)
+        if len(long):
+            one, two = tallies[row_of[a[long]]], tallies[row_of[b[long]]]
+            total = np.zeros(len(long), np.int64)
+            for x, y in ((one & 15, two & 15), (one >> 4, two >> 4)):
+                gap = np.abs(x.astype(np.int8) - y.astype(np.int8))
+                total += np.minimum(gap, 16 - gap).sum(axis=1, dtype=np.int64)
+            differ[long] = np.maximum(differ[long], total)
+            good = differ <= allowed
+            a, b, differ = a[good], b[good], differ[good]
         later = rank[a] > rank[b]
         late = np.where(later, a, b)
-        part = (late, np.where(later, b, a), differ[good] / (sizes[a] + sizes[b]),
+        part = (late, np.where(later, b, a), differ / (sizes[a] + sizes[b]),
                 np.zeros(len(a), np.int64))
         if chosen is not None:
             part = tuple(x[chosen[late]] for x in part)
@@ -284,7 +325,7 @@ def _similar(words, sizes, place, tallies, rank, threshold, chosen):
 
 
 def _best(found):
-    """The pairs, of sets with more than ``FEW`` only the best two; ``more`` adds up the others."""
+    """The pairs, of sets with more than ``FEW`` only the best; ``more`` adds up the others."""
     late, early, apart, more = (np.concatenate(x) for x in zip(*found))
     if not len(late):
         return late, early, apart, more
@@ -296,8 +337,8 @@ def _best(found):
     place = np.arange(len(late)) - np.repeat(lead, size)
     gone = np.add.reduceat(more, lead)
     many = (size > FEW) | (gone > 0)
-    rest = np.where(many, np.maximum(size - 2, 0) + gone, 0)
-    keep = (place < 2) | ~np.repeat(many, size)
+    rest = np.where(many, np.maximum(size - BEST, 0) + gone, 0)
+    keep = (place < BEST) | ~np.repeat(many, size)
     more = np.where(place == 0, np.repeat(rest, size), 0)
     return late[keep], early[keep], apart[keep], more[keep]
 
@@ -360,7 +401,7 @@ def repeated_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     spark = docs.sparkSession
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("copy"),
                        F.col(text).alias("text"))
-    buckets = 4 * shuffle_partitions(spark, docs, 32 << 20)
+    buckets = shuffle_partitions(spark, docs, BUCKET)
     postings = _postings(rows, threshold, buckets, frequent_words(docs, text))
     found = materialize(_candidates(postings, threshold), "line-candidates")
     pairs = found.filter("set IS NOT NULL")

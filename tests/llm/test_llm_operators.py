@@ -391,6 +391,7 @@ def test_lines(spark, awkward, empty):
 
 def test_many_similar_lines_take_the_second_pass(spark, monkeypatch):
     monkeypatch.setattr(line_duplicates, "FEW", 1)
+    monkeypatch.setattr(line_duplicates, "BEST", 2)
     rows = [(k, " ".join(f"w{j}" for j in range(40) if j % 10 != k % 10) + f" x{k} y{k}")
             for k in range(30)]
     seen, want = [], {}
@@ -452,6 +453,26 @@ def test_lines_of_few_words(spark, seed):
     assert {r.doc_id: r.n_removed for r in got.collect()} == want
 
 
+def test_lines_around_the_length_that_gets_tallies(spark):
+    """Similar lines just under, at and far over ``LONG`` words, some with over 400 words."""
+    draw, rows = np.random.default_rng(5), []
+    for size in (120, 150, 158, 160, 163, 190, 420):
+        base = [f"v{j}" for j in draw.integers(0, 900, size)]
+        for swapped in (0, 4, size // 12, size // 9, size // 8, size // 4):
+            words = list(base)
+            for place in draw.choice(size, swapped, replace=False):
+                words[place] = f"v{draw.integers(0, 900)}"
+            rows.append((len(rows), " ".join(words[:size - swapped // 3])))
+    seen, want = [], {}
+    for k, t in rows:
+        words = set(folded_words(t))
+        want[k] = int(any(len(words & s) >= 0.8 * len(words | s) - 1e-9 for s in seen))
+        seen.append(words)
+    assert 10 < sum(want.values()) < len(rows) - 10
+    got = line_duplicates.line_report(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
+    assert {r.doc_id: r.n_removed for r in got.collect()} == want
+
+
 CLASHES = ("doc_id", "text", "__copy", "__hash", "__hit", "__digest", "row", "copy", "lines", "id", "d", "c", "__may")
 
 
