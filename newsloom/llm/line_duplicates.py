@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -16,12 +17,12 @@ from newsloom.llm.common import (WordHashes, chunks, fold, folded_words, may_con
 from newsloom.session import materialize
 
 THRESHOLD = 0.8
-FREQUENT = 10_000  # a word with this part of all words' occurrences, or more, is frequent
-FEW = 256          # candidates of a set in a bucket that are all kept; of more, the ``BEST``
+FREQUENT = 100_000  # a word with this part of all words' occurrences, or more, is frequent
+FEW = 64           # candidates of a set in a bucket that are all kept; of more, the ``BEST``
 BEST = 8
 MOST_HELD = 1_000_000  # pairs held at once; beyond it, those of sets with more than ``FEW`` go
 LONG = 160         # words of a line that has tallies beside its parities
-BUCKET = 4 << 20   # bytes of input for each bucket of postings
+BUCKET = 2 << 20   # bytes of input for each bucket of postings
 
 
 def frequent_words(docs: DataFrame, text: str) -> dict[int, int]:
@@ -54,11 +55,12 @@ def prefix_length(sizes: np.ndarray, threshold: float) -> np.ndarray:
     return sizes - np.ceil(threshold * sizes - 1e-9).astype(np.int64) + 1
 
 
-def _sets(lines: list[str], places, hashes: WordHashes):
+def _sets(lines: list[str], places):
     """(words' sort keys by line, rarest first, without repeats; starts; owners)."""
     words, starts = split_words([fold(x) for x in lines])
     coded = pc.dictionary_encode(words)
-    values = hashes.array(coded.dictionary.view(pa.large_binary()).to_pylist())
+    distinct = coded.dictionary.view(pa.large_binary()).to_pylist()
+    values = np.fromiter(map(xxhash.xxh3_64_intdigest, distinct), np.uint64, len(distinct))
     names, place = places
     keys = values >> np.uint64(21)  # 43 bits of a rare word's hash, a frequent word's place
     if len(names):
@@ -111,7 +113,7 @@ def _postings(docs: DataFrame, threshold: float, buckets: int, frequent: dict[in
     places = names, np.array([frequent[int(n)] for n in names], np.int64)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, arrow = WordHashes(), None
+        arrow = None
 
         def typed():
             nonlocal arrow
@@ -133,7 +135,7 @@ def _postings(docs: DataFrame, threshold: float, buckets: int, frequent: dict[in
             lines = [(texts[k] or "").split("\n") for k in order]
             line = np.concatenate([np.arange(len(x)) for x in lines])
             document = np.repeat(np.arange(len(lines)), [len(x) for x in lines])
-            keys, at, owner = _sets([x for part in lines for x in part], places, hashes)
+            keys, at, owner = _sets([x for part in lines for x in part], places)
             sizes = np.diff(at)
             some = np.flatnonzero(sizes)
             if not len(some):
