@@ -18,11 +18,12 @@ from newsloom.session import materialize
 
 THRESHOLD = 0.8
 FREQUENT = 100_000  # a word with this part of all words' occurrences, or more, is frequent
-FEW = 256          # candidates of a set in a bucket that are all kept; of more, the ``BEST``
-BEST = 32
+FEW = 64           # candidates of a set in a bucket that are all kept; of more, the ``BEST``
+BEST = 16
 MOST_HELD = 1_000_000  # pairs held at once; beyond it, those of sets with more than ``FEW`` go
 LONG = 160         # words of a line that has tallies beside its parities
 BUCKET = 2 << 20   # bytes of input for each bucket of postings
+CHUNK = 4 << 20    # characters of text cut at once
 
 
 def frequent_words(docs: DataFrame, text: str) -> dict[int, int]:
@@ -100,10 +101,18 @@ def _tallies(spread: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return each[:, :16] | each[:, 16:] << 4
 
 
+def _packed(marks, parities, words, name, line, sizes, place, tallies) -> bytes:
+    """Postings with the high halves of their words' hashes; ``tallies`` are those of long lines."""
+    return b"".join([
+        np.array([len(marks)], "<u4").tobytes(), marks.tobytes(), parities.tobytes(),
+        words.astype("<u4").tobytes(), planes(name), planes(line), planes(sizes), planes(place),
+        tallies.tobytes()])
+
+
 def _postings(docs: DataFrame, threshold: float, buckets: int, frequent: dict[int, int]) -> DataFrame:
-    """Prefix words of each distinct line of about 8 MB of text, dealt by the word, packed.
+    """Prefix words of each distinct line of some ``CHUNK`` of text, dealt by the word, packed.
 
-    A line whose set of words stands before in the same 8 MB is sent as removed instead.
+    A line whose set of words stands before in the same chunk is sent as removed instead.
     """
     sent = T.StructType([
         T.StructField("bucket", T.IntegerType()), T.StructField("removed", T.BooleanType()),
@@ -128,7 +137,7 @@ def _postings(docs: DataFrame, threshold: float, buckets: int, frequent: dict[in
                 pa.array([copies[used]], pa.list_(pa.int64())), pa.array([payload], pa.binary())],
                 sent.fieldNames())
 
-        for ids, copies, texts in chunks(typed(), ["doc_id", "copy", "text"], "text"):
+        for ids, copies, texts in chunks(typed(), ["doc_id", "copy", "text"], "text", CHUNK):
             seen = {(i, c): k for k, (i, c) in enumerate(zip(ids, copies))}  # rows repeated whole
             order = sorted(seen.values(), key=lambda k: (ids[k] is not None, ids[k], copies[k]))
             ids, copies = [ids[k] for k in order], np.array([copies[k] for k in order])
@@ -170,24 +179,22 @@ def _postings(docs: DataFrame, threshold: float, buckets: int, frequent: dict[in
             for part in np.split(order, np.flatnonzero(np.diff(target[order])) + 1):
                 w = which[part]
                 used, name = np.unique(document[kept[w]], return_inverse=True)
-                yield row(int(target[part[0]]), False, ids, copies, used, b"".join([
-                    np.array([len(part)], "<u4").tobytes(), marks[w].tobytes(),
-                    parities[w].tobytes(), (words[part] >> np.uint64(32)).astype("<u4").tobytes(),
-                    planes(name), planes(line[kept[w]]), planes(sizes[kept[w]]),
-                    planes(place[part]), tallies[row_of[w[long[w]]]].tobytes()]))
+                yield row(int(target[part[0]]), False, ids, copies, used, _packed(
+                    marks[w], parities[w], words[part] >> np.uint64(32), name, line[kept[w]],
+                    sizes[kept[w]], place[part], tallies[row_of[w[long[w]]]]))
 
     return docs.mapInArrow(deal, sent)
 
 
 def _candidates(postings: DataFrame, threshold: float, only: np.ndarray | None = None) -> DataFrame:
     """Removed lines (``set`` null) and candidates: (doc_id, copy, line, set, other, apart, more,
-    other_id, other_copy, other_line).
+    other_id, other_copy, other_line), and postings for a second pass (bucket, ids, copies, payload).
 
     Where the postings of a word meet, equal sets keep their first line. A pair that the filters by
     length, position, parities and tallies leave is a candidate for its later set. A set with more
     than ``FEW`` candidates in a bucket gets the ``BEST`` nearest (``apart``) from it, and ``more``
-    counts the others there. With ``only``, a bitmap of sets' marks, those sets get all their
-    candidates.
+    counts the others there; the bucket's postings of such sets' words are returned, packed in one
+    row. With ``only``, a bitmap of sets' marks, those sets get all their candidates.
     """
     kind = postings.schema["ids"].dataType.elementType
     long = T.LongType()
@@ -196,7 +203,9 @@ def _candidates(postings: DataFrame, threshold: float, only: np.ndarray | None =
          T.StructField("set", long), T.StructField("other", long),
          T.StructField("apart", T.DoubleType()), T.StructField("more", long),
          T.StructField("other_id", kind), T.StructField("other_copy", long),
-         T.StructField("other_line", long)])
+         T.StructField("other_line", long), T.StructField("bucket", T.IntegerType()),
+         T.StructField("ids", T.ArrayType(kind)), T.StructField("copies", T.ArrayType(long)),
+         T.StructField("payload", T.BinaryType())])
 
     def meet(table: pa.Table) -> pa.Table:
         ids = table.column("ids").combine_chunks()
@@ -222,7 +231,7 @@ def _candidates(postings: DataFrame, threshold: float, only: np.ndarray | None =
                     np.frombuffer(raw, np.uint8, -1, at + 16 * n).reshape(-1, 16)))
         late = early = np.zeros(0, np.int64)
         apart, more = np.zeros(0), late
-        marks, owner, line = np.zeros(0, np.uint64), late, late
+        marks, owner, line, again = np.zeros(0, np.uint64), late, late, []
         if rows:
             marks, parities, words, owner, line, sizes, place, tallies = (
                 np.concatenate(x) for x in zip(*rows))
@@ -238,8 +247,8 @@ def _candidates(postings: DataFrame, threshold: float, only: np.ndarray | None =
                              & (sizes[1:] == sizes[:-1])
                              & (parities[1:] == parities[:-1]).all(axis=1))
             lead = np.maximum.accumulate(np.where(same, 0, np.arange(len(same))))
-            again = same & (place == 0) & (rank > rank[lead])  # a set has one rarest word
-            gone.append((owner[again], line[again]))
+            later = same & (place == 0) & (rank > rank[lead])  # a set has one rarest word
+            gone.append((owner[later], line[later]))
             order = np.flatnonzero(~same)
             order = order[np.lexsort((sizes[order], words[order]))]
             chosen = None if only is None else only[
@@ -248,6 +257,13 @@ def _candidates(postings: DataFrame, threshold: float, only: np.ndarray | None =
                 words[order], sizes[order], place[order], parities[order], tallies, row_of[order],
                 rank[order], threshold, chosen)
             late, early = order[late], order[early]
+            if only is None and more.any():
+                cut = words[order[np.isin(marks[order], marks[late[more > 0]])]]
+                held = order[np.isin(words[order], cut)]
+                used, name = np.unique(owner[held], return_inverse=True)
+                again = [(pa.array(used), _packed(
+                    marks[held], parities[held], words[held], name, line[held], sizes[held],
+                    place[held], tallies[row_of[held[sizes[held] >= LONG]]]))]
         holders, lines = (np.concatenate(x) for x in zip(*gone))
         n, m = len(holders), len(late)
         empty = np.append(np.ones(n, bool), np.zeros(m, bool))
@@ -257,11 +273,20 @@ def _candidates(postings: DataFrame, threshold: float, only: np.ndarray | None =
 
         other = pa.array(np.append(np.zeros(n, np.int64), owner[early]), mask=empty)
         mine = pa.array(np.append(holders, owner[late]))
-        return pa.table([
+        names = schema.fieldNames()
+        out = pa.table([
             ids.take(mine), copies.take(mine), pa.array(np.append(lines, line[late])),
             known(marks[late].view(np.int64), np.int64), known(marks[early].view(np.int64), np.int64),
             known(apart, np.float64), known(more, np.int64), ids.take(other), copies.take(other),
-            known(line[early], np.int64)], names=schema.fieldNames())
+            known(line[early], np.int64)], names=names[:10])
+        lists = pa.list_(ids.type), pa.list_(pa.int64())
+        kinds = [*out.schema.types, pa.int32(), *lists, pa.binary()]
+        out = pa.table([*out.columns, *[pa.nulls(n + m, k) for k in kinds[10:]]], names=names)
+        packed = [pa.table([*[pa.nulls(1, k) for k in kinds[:10]], table["bucket"].slice(0, 1),
+                            pa.array([ids.take(used).to_pylist()], lists[0]),
+                            pa.array([copies.take(used).to_pylist()], lists[1]),
+                            pa.array([raw], pa.binary())], names=names) for used, raw in again]
+        return pa.concat_tables([out, *packed])
 
     return postings.groupBy("bucket").applyInArrow(meet, schema)
 
@@ -398,7 +423,7 @@ def repeated_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     prefix filter); pairs that pass the filters of ``_similar`` are candidates. One similar earlier
     set is enough: each set is verified by its words against its best candidate, the rest against
     the others that were kept, and sets that are left and had more against all of them, in a second
-    pass over the postings. So a group of n similar lines gives of the order of n pairs.
+    pass over the postings of such sets' words. So a group of n similar lines gives of the order of n pairs.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("copy"),
@@ -406,17 +431,20 @@ def repeated_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     buckets = shuffle_partitions(spark, docs, BUCKET)
     postings = _postings(rows, threshold, buckets, frequent_words(docs, text))
     found = materialize(_candidates(postings, threshold), "line-candidates")
-    pairs = found.filter("set IS NOT NULL")
+    pairs = found.filter("set IS NOT NULL").drop("bucket", "ids", "copies", "payload")
     done = _settle(rows, pairs, threshold)
     left = pairs.filter("more > 0").select("set").join(done, "set", "left_anti").distinct()
     left = materialize(left, "lines-left")
     if left.take(1):
-        rest = _candidates(postings, threshold, _bitmap(left)).filter("set IS NOT NULL")
+        again = found.filter("bucket IS NOT NULL").select(
+            "bucket", F.lit(False).alias("removed"), "ids", "copies", "payload")
+        rest = _candidates(again, threshold, _bitmap(left)).filter("set IS NOT NULL")
+        rest = rest.drop("bucket", "ids", "copies", "payload")
         rest = materialize(rest.join(left, "set", "left_semi"), "line-candidates")
         done = done.unionByName(_settle(rows, rest, threshold))
         pairs = pairs.unionByName(rest)
     near = pairs.join(done.distinct(), "set", "left_semi").select("doc_id", "copy", "line")
-    sure = found.filter("set IS NULL").select("doc_id", "copy", "line")
+    sure = found.filter("set IS NULL AND bucket IS NULL").select("doc_id", "copy", "line")
     return materialize(sure.unionByName(near).groupBy("doc_id", "copy").agg(
         F.collect_set("line").alias("lines")), "lines")
 
