@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 _FOLD = bytes(
     b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32
     for b in range(256))
+_FOLD_LINES = _FOLD[:10] + b"\n" + _FOLD[11:]
 
 CACHE_WORDS = 400_000
 
@@ -109,6 +110,11 @@ def fold(text: str | None) -> bytes:
     return (text or "").encode().translate(_FOLD)
 
 
+def fold_lines(text: str | None) -> list[bytes]:
+    """``fold`` of each part between line breaks."""
+    return (text or "").encode().translate(_FOLD_LINES).split(b"\n")
+
+
 def split_words(texts: list[bytes]) -> tuple[pa.Array, np.ndarray]:
     """All texts' words (between ASCII white space), and where each text's begin (one more)."""
     column = pc.ascii_trim_whitespace(pa.array(texts, pa.large_binary()).view(pa.large_string()))

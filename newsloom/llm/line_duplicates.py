@@ -12,8 +12,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from newsloom.llm.common import (WordHashes, chunks, fold, folded_words, may_contain, mix, planes,
-                                 ranks, shuffle_partitions, split_words, unplaned, whole_rows)
+from newsloom.llm.common import (WordHashes, chunks, fold, fold_lines, folded_words, may_contain, mix,
+                                 planes, ranks, shuffle_partitions, split_words, unplaned, whole_rows)
 from newsloom.session import materialize
 
 THRESHOLD = 0.8
@@ -23,7 +23,7 @@ BEST = 16
 MOST_HELD = 1_000_000  # pairs held at once; beyond it, those of sets with more than ``FEW`` go
 LONG = 160         # words of a line that has tallies beside its parities
 BUCKET = 2 << 20   # bytes of input for each bucket of postings
-CHUNK = 4 << 20    # characters of text cut at once
+CHUNK = 6 << 20    # characters of text cut at once
 
 
 def frequent_words(docs: DataFrame, text: str) -> dict[int, int]:
@@ -56,9 +56,9 @@ def prefix_length(sizes: np.ndarray, threshold: float) -> np.ndarray:
     return sizes - np.ceil(threshold * sizes - 1e-9).astype(np.int64) + 1
 
 
-def _sets(lines: list[str], places):
-    """(words' sort keys by line, rarest first, without repeats; starts; owners)."""
-    words, starts = split_words([fold(x) for x in lines])
+def _sets(lines: list[bytes], places):
+    """Of folded lines (words' sort keys by line, rarest first, without repeats; starts; owners)."""
+    words, starts = split_words(lines)
     coded = pc.dictionary_encode(words)
     distinct = coded.dictionary.view(pa.large_binary()).to_pylist()
     values = np.fromiter(map(xxhash.xxh3_64_intdigest, distinct), np.uint64, len(distinct))
@@ -141,7 +141,7 @@ def _postings(docs: DataFrame, threshold: float, buckets: int, frequent: dict[in
             seen = {(i, c): k for k, (i, c) in enumerate(zip(ids, copies))}  # rows repeated whole
             order = sorted(seen.values(), key=lambda k: (ids[k] is not None, ids[k], copies[k]))
             ids, copies = [ids[k] for k in order], np.array([copies[k] for k in order])
-            lines = [(texts[k] or "").split("\n") for k in order]
+            lines = [fold_lines(texts[k]) for k in order]
             line = np.concatenate([np.arange(len(x)) for x in lines])
             document = np.repeat(np.arange(len(lines)), [len(x) for x in lines])
             keys, at, owner = _sets([x for part in lines for x in part], places)
