@@ -85,7 +85,8 @@ def chunks(batches: Iterable[pa.RecordBatch], columns: list[str], text: str,
            limit: int = 8 << 20) -> Iterator[list[list]]:
     """Rows as lists of columns, in groups of about ``limit`` characters of the text column.
 
-    A single longer text makes a group of its own, so a task holds one group at a time.
+    A single longer text makes a group of its own, so a task holds one group at a time. Workers
+    live on after a task: what it no longer uses is given back.
     """
     at = columns.index(text)
     rows: list[list] = [[] for _ in columns]
@@ -103,6 +104,8 @@ def chunks(batches: Iterable[pa.RecordBatch], columns: list[str], text: str,
                     rows, size = [[] for _ in columns], 0
     if rows[0]:
         yield rows
+    del rows
+    pa.default_memory_pool().release_unused()
 
 
 def fold(text: str | None) -> bytes:
