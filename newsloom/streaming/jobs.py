@@ -355,24 +355,32 @@ def match_posts(posts: DataFrame, events: DataFrame, ttl: str = "24 hours",
     The words of a post are cut into pieces of four characters, which meet the leading
     piece of each keyword in a time-bounded equi-join (a stream-stream join needs one);
     ``contains`` decides. Keywords need four characters or more and no white space.
-    Posts are dealt over ``salts`` copies of the keywords, so that a very common piece is
-    not one task's work.
+    The time bound is also an equality on slots of its length, else a post would be compared with
+    all keywords of its pieces that the state holds, whatever their time. Posts are dealt over
+    ``salts`` copies of the keywords, so that a very common piece is not one task's work.
     """
+    width = F.unix_micros(F.expr(f"TIMESTAMP '1970-01-01 00:00:00Z' + INTERVAL {ttl}"))
+
+    def slot(ts: Column) -> Column:
+        return F.floor(F.unix_micros(ts.cast("timestamp")) / width)
+
     words = posts.withWatermark("post_ts", lateness).select(
         "post_id", "post_ts", F.explode(F.array_distinct(F.split(F.lower("text"), lx.SPACES)))
         .alias("word"))
     words = words.select("post_id", "post_ts", "word",
                          F.pmod(F.xxhash64("post_id"), F.lit(salts)).alias("salt"),
+                         slot(F.col("post_ts")).alias("post_slot"),
                          F.explode(pieces(F.col("word"))).alias("piece"))
     keywords = events.withWatermark("event_ts", lateness).select(
         "event_id", "event_ts", F.explode(F.array_distinct("keywords")).alias("k"))
     keywords = keywords.select("event_id", "event_ts", F.lower("k").alias("keyword")).filter(
         F.length("keyword") >= GRAM).withColumn("lead", F.substring("keyword", 1, GRAM))
     copies = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long")))
-    keywords = keywords.withColumn("copy", copies)
+    keywords = keywords.withColumn("copy", copies).withColumn("event_slot", F.explode(F.sequence(
+        slot(F.col("event_ts")), slot(F.col("event_ts") + F.expr(f"INTERVAL {ttl}")))))
     pairs = words.join(keywords, F.expr(
-        f"piece = lead AND salt = copy AND contains(word, keyword) AND post_ts >= event_ts "
-        f"AND post_ts < event_ts + INTERVAL {ttl}"))
+        f"piece = lead AND salt = copy AND post_slot = event_slot AND contains(word, keyword) "
+        f"AND post_ts >= event_ts AND post_ts < event_ts + INTERVAL {ttl}"))
     return pairs.select("post_id", "event_id", "post_ts").dropDuplicatesWithinWatermark(
         ["post_id", "event_id"])
 

@@ -278,3 +278,24 @@ def test_idle_keyword_groups_start_again(spark, tmp_path):
         stream = stream_of(spark, tmp_path / f"in{parts}", df.schema)
         out = jobs.run_available(jobs.keyword_events(stream), "t").drop("event_id")
         assert {tuple(r) for r in out.collect()} == want
+
+
+def test_match_posts_compares_within_slots_of_time(spark, tmp_path):
+    # Posts at, and a microsecond beside, the ends of an event's 90 minutes, over several slots.
+    ev = [(i, at(i * 5400 + 60 * i), ["storm"]) for i in range(5)]
+    tick = dt.timedelta(microseconds=1)
+    ends = sorted({e[1] + dt.timedelta(seconds=s) + d for e in ev for s in (0, 5400)
+                   for d in (-tick, dt.timedelta(0), tick)})
+    edf = spark.createDataFrame(ev, "event_id long, event_ts timestamp, keywords array<string>")
+    pdf = spark.createDataFrame([(i, t, "Thunderstorms") for i, t in enumerate(ends)],
+                                "post_id long, post_ts timestamp, text string")
+    land(edf, tmp_path / "e", 1, "event_id")
+    land(pdf, tmp_path / "p", 1, "post_id")
+    pairs = jobs.match_posts(stream_of(spark, tmp_path / "p", pdf.schema),
+                             stream_of(spark, tmp_path / "e", edf.schema), "90 minutes")
+    plan = pairs._jdf.queryExecution().analyzed().toString()
+    assert "(post_slot#" in plan and "= event_slot#" in plan
+    got = [(r["post_id"], r["event_id"]) for r in jobs.run_available(pairs, "t").collect()]
+    want = [(i, e[0]) for i, t in enumerate(ends) for e in ev
+            if e[1] <= t < e[1] + dt.timedelta(minutes=90)]
+    assert sorted(got) == sorted(want)
