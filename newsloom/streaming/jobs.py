@@ -14,6 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from newsloom import lexicons as lx
 from newsloom.functions.normalize import enrich_articles, normalize_articles
@@ -58,48 +59,47 @@ def run_updates(stream: DataFrame, name: str, keys: Sequence[str]) -> DataFrame:
     return last.select(*keys, "r.*")
 
 
-MILLIS = "millis_of_row"  # a processor renames columns that begin with an underscore
+MILLIS, KEY, BUCKET = "millis_of_row", "key_of_row", "bucket_of_row"
+BUCKETS = 4096  # groups of keys that share a state: a call in Python costs more than a row
 
 
-class FirstPerWindow(StatefulProcessor):
-    """Keeps the time of a key's last kept row until the watermark is past its window."""
+def _bucket(key: Column) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(BUCKETS))
 
-    def __init__(self, seconds: int):
-        self.millis = seconds * 1000
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.last = handle.getValueState("last", "millis double")
+def _first_per_window(seconds: int):
+    """Keeps the times of the last kept rows of a bucket's keys until the watermark is past them."""
+    millis = seconds * 1000
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues
-                        ) -> Iterator[pd.DataFrame]:
-        before = self.last.get()[0] if self.last.exists() else None
-        last, first = before, {}
-        for batch in rows:
-            if batch.empty:  # the call that precedes a timer
-                continue
-            millis = batch[MILLIS].to_numpy()
-            for at in np.argsort(millis, kind="stable"):
-                first.setdefault(float(millis[at]), batch.iloc[[at]])
-        kept = []
-        for at in sorted(first):
-            if last is None or at >= last + self.millis or at <= last - self.millis:
-                kept.append(first[at])
-                last = at if last is None else max(last, at)
-        if last is not None and last != before:
-            self.last.update((last,))
-            self.handle.registerTimer(int(last) + self.millis)
-        if kept:
-            yield pd.concat(kept).drop(columns=MILLIS)
+    def put(state: GroupState, known: dict) -> None:
+        now = state.getCurrentWatermarkMs()
+        known = {name: last for name, last in known.items() if last + millis > now}
+        if known:
+            state.update((list(known), list(known.values())))
+            state.setTimeoutTimestamp(int(max(known.values())) + millis + 1)
+        elif state.exists:
+            state.remove()
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        if self.last.exists() and \
-                self.last.get()[0] + self.millis <= expiredTimerInfo.getExpiryTimeInMs():
-            self.last.clear()
-        return iter(())
-
-    def close(self) -> None:
-        pass
+    def run(key, rows: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        known = dict(zip(*state.get)) if state.exists else {}
+        if state.hasTimedOut:
+            put(state, known)
+            return
+        # Of a key's equal times only the first to arrive can stay.
+        parts = [part.drop_duplicates([KEY, MILLIS]) for part in rows]
+        batch = pd.concat(parts).drop_duplicates([KEY, MILLIS]) if len(parts) > 1 else parts[0]
+        batch = batch.sort_values(MILLIS, kind="stable")
+        keep = []
+        for name, at in zip(batch[KEY].tolist(), batch[MILLIS].tolist()):
+            last = known.get(name)
+            stays = last is None or at >= last + millis or at <= last - millis
+            if stays:
+                known[name] = at if last is None else max(last, at)
+            keep.append(stays)
+        put(state, known)
+        yield batch[np.array(keep, dtype=bool)]
+
+    return run
 
 
 def drop_duplicates(stream: DataFrame, key: str, ts: str, seconds: int = 3600,
@@ -108,13 +108,16 @@ def drop_duplicates(stream: DataFrame, key: str, ts: str, seconds: int = 3600,
     lies less than ``seconds`` before it, then the key is forgotten.
 
     Rows of one micro-batch are taken in the order of time; of equal times the first to
-    arrive stays. Rows without a time cannot be placed and go.
+    arrive stays. Rows without a time cannot be placed and go. Keys are compared as strings; those
+    of a bucket share one state, which holds a key and a time each.
     """
     millis = F.unix_micros(F.col(ts).cast("timestamp")) / 1000.0
-    timed = stream.filter(F.col(ts).isNotNull()).withColumn(MILLIS, millis)
-    return timed.withWatermark(ts, lateness).groupBy(key).transformWithStateInPandas(
-        statefulProcessor=FirstPerWindow(seconds), outputStructType=stream.schema,
-        outputMode="Append", timeMode="EventTime")
+    timed = stream.filter(F.col(ts).isNotNull()).withColumns(
+        {MILLIS: millis, KEY: F.col(key).cast("string")}).withWatermark(ts, lateness)
+    timed = timed.withColumn(BUCKET, _bucket(F.col(KEY)))
+    return timed.groupBy(BUCKET).applyInPandasWithState(
+        _first_per_window(seconds), timed.schema, "names array<string>, last array<double>",
+        "append", GroupStateTimeout.EventTimeTimeout).select(stream.columns)
 
 
 def live_articles(raw: DataFrame, path: str, checkpoint: str, now: Column | None = None,

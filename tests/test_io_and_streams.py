@@ -299,3 +299,20 @@ def test_match_posts_compares_within_slots_of_time(spark, tmp_path):
     want = [(i, e[0]) for i, t in enumerate(ends) for e in ev
             if e[1] <= t < e[1] + dt.timedelta(minutes=90)]
     assert sorted(got) == sorted(want)
+
+
+def test_dedup_of_keys_that_share_a_state(spark, tmp_path, monkeypatch):
+    from newsloom.operators.dedup import first_per_window
+
+    monkeypatch.setattr(jobs, "BUCKETS", 2)
+    rng = np.random.default_rng(5)
+    times = np.sort(rng.choice(40_000, 300, replace=False))
+    keys = [None, *range(2 ** 60, 2 ** 60 + 19)]
+    rows = [(i, keys[rng.integers(20)], at(int(s))) for i, s in enumerate(times)]
+    df = spark.createDataFrame(rows, "id long, user long, ts timestamp")
+    land(df, tmp_path / "in", 3)
+    out = jobs.drop_duplicates(stream_of(spark, tmp_path / "in", df.schema), "user", "ts", 3600)
+    got = jobs.run_available(out, "t")
+    want = first_per_window(df, "user", "ts", 3600, "id")
+    assert got.columns == df.columns
+    assert sorted(r["id"] for r in got.collect()) == sorted(r["id"] for r in want.collect())
