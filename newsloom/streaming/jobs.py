@@ -178,55 +178,53 @@ def running_peaks(counts: DataFrame, group: str) -> DataFrame:
         outputMode="Append", timeMode="None")
 
 
-class KeywordEventProcessor(StatefulProcessor):
-    """Counts the articles of a keyword group; keeps its number, its first and its last time.
+def _keyword_counts(size: int, idle_seconds: float | None):
+    """Counts the articles of a bucket's keyword groups; keeps of each its number, its first and its
+    last time, in microseconds.
 
-    A group that had no article for longer than ``idle_seconds`` starts again. A timer removes its
-    state once the watermark is past that time.
+    A group that had no article for longer than ``idle_seconds`` starts again, and it is forgotten
+    once the watermark is past that time.
     """
+    idle = None if idle_seconds is None else idle_seconds * 1_000_000
 
-    def __init__(self, size: int, idle_seconds: float | None):
-        self.size, self.idle = size, idle_seconds
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.seen = handle.getValueState("seen", "n long, first_ts timestamp, last_ts timestamp")
+    def put(state: GroupState, known: dict) -> None:
+        if idle is not None:
+            now = state.getCurrentWatermarkMs() * 1000
+            known = {name: group for name, group in known.items()
+                     if group[2] is None or group[2] + idle >= now}
+        if known:
+            state.update((list(known), *map(list, zip(*known.values()))))
+        elif state.exists:
+            state.remove()
+        timed = [last for _, _, last in known.values() if last is not None]
+        if idle is not None and timed:
+            state.setTimeoutTimestamp(int((max(timed) + idle) / 1000) + 1)
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues
-                        ) -> Iterator[pd.DataFrame]:
-        parts = [part for part in rows if len(part)]
-        if not parts:  # the call that precedes a timer
+    def run(key, rows: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        known = {}
+        if state.exists:
+            names, *figures = state.get
+            known = dict(zip(names, zip(*figures)))
+        if state.hasTimedOut:
+            put(state, known)
             return
-        n, first, last = self.seen.get() if self.seen.exists() else (0, None, None)
-        batch = pd.concat(parts).sort_values(["ts", "id"])  # one group of one micro-batch
+        batch = pd.concat(list(rows)).sort_values(["micros", "id"])  # a bucket of one micro-batch
         numbers, firsts = [], []
-        for at in map(pd.Timestamp.to_pydatetime, batch["ts"]):
-            gone = last is not None and self.idle is not None and \
-                (at - last).total_seconds() > self.idle
-            n, first = (1, at) if gone or first is None else (n + 1, first)
-            last = at if last is None or gone else max(last, at)
+        for name, at in zip(batch["cluster_key"].tolist(), batch["micros"].tolist()):
+            at = int(at) if at == at else None  # rows without a time come last and change no time
+            n, first, last = known.get(name, (0, None, None))
+            gone = idle is not None and None not in (at, last) and at - last > idle
+            n, first = (1, at) if gone else (n + 1, at if first is None else first)
+            last = last if at is None else at if last is None or gone else max(last, at)
+            known[name] = n, first, last
             numbers.append(n)
-            firsts.append(first)
-        self.seen.update((n, first, last))
-        if self.idle is not None:
-            for timer in self.handle.listTimers():
-                self.handle.deleteTimer(timer)
-            self.handle.registerTimer(int((pd.Timestamp(last).timestamp() + self.idle) * 1000) + 1)
-        out = batch.assign(article_count=numbers, first_seen=firsts)
-        out = out[out["article_count"] >= self.size]
-        if len(out):
-            birth = out["article_count"] == self.size
-            yield pd.DataFrame({
-                "event_id": "event_" + key[0], "id": out["id"], "article_count":
-                out["article_count"], "first_seen": out["ts"].where(birth, out["first_seen"]),
-                "event_update": ~birth})
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        self.seen.clear()
-        return iter(())
+            firsts.append(at if n == size else first)
+        put(state, known)
+        out = batch[["cluster_key", "id"]].assign(
+            article_count=numbers, micros=pd.array(firsts, dtype="Int64"))
+        yield out[out["article_count"] >= size]
 
-    def close(self) -> None:
-        pass
+    return run
 
 
 def keyword_events(clusters: DataFrame, size: int = 3, idle_seconds: float | None = 86_400,
@@ -234,17 +232,23 @@ def keyword_events(clusters: DataFrame, size: int = 3, idle_seconds: float | Non
     """Births and updates of keyword groups from (id, ts, cluster_key) as they arrive.
 
     A group without an article for ``idle_seconds`` is forgotten, so the state holds the groups of a
-    day; None keeps all groups for good, as the batch form does.
+    day; None keeps all groups for good, as the batch form does. Groups of a bucket share a state.
     """
-    narrow = clusters.select("cluster_key", "id", F.col("ts").cast("timestamp").alias("ts"))
+    narrow = clusters.select(F.col("cluster_key").cast("string").alias("cluster_key"), "id",
+                             F.col("ts").cast("timestamp").alias("ts"))
     kind = dict(narrow.dtypes)["id"]
     if idle_seconds is not None:
         narrow = narrow.withWatermark("ts", lateness)
-    return narrow.groupBy("cluster_key").transformWithStateInPandas(
-        statefulProcessor=KeywordEventProcessor(size, idle_seconds),
-        outputStructType=f"event_id string, id {kind}, article_count long, "
-                         "first_seen timestamp, event_update boolean",
-        outputMode="Append", timeMode="None" if idle_seconds is None else "EventTime")
+    keyed = narrow.withColumns({"micros": F.unix_micros("ts"), BUCKET: _bucket(F.col("cluster_key"))})
+    counted = keyed.groupBy(BUCKET).applyInPandasWithState(
+        _keyword_counts(size, idle_seconds),
+        f"cluster_key string, id {kind}, article_count long, micros long",
+        "names array<string>, n array<long>, first array<long>, last array<long>", "append",
+        GroupStateTimeout.NoTimeout if idle_seconds is None else GroupStateTimeout.EventTimeTimeout)
+    return counted.select(
+        F.concat(F.lit("event_"), "cluster_key").alias("event_id"), "id", "article_count",
+        F.timestamp_micros("micros").alias("first_seen"),
+        (F.col("article_count") > size).alias("event_update"))
 
 
 class SemanticEventProcessor(StatefulProcessor):

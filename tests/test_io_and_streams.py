@@ -316,3 +316,19 @@ def test_dedup_of_keys_that_share_a_state(spark, tmp_path, monkeypatch):
     want = first_per_window(df, "user", "ts", 3600, "id")
     assert got.columns == df.columns
     assert sorted(r["id"] for r in got.collect()) == sorted(r["id"] for r in want.collect())
+
+
+@pytest.mark.parametrize("idle", [None, 3600.0])
+def test_keyword_groups_that_share_a_state(spark, tmp_path, monkeypatch, idle):
+    monkeypatch.setattr(jobs, "BUCKETS", 1)
+    rows = [(i, at(60 * i), f"k{i * i % 7}") for i in range(60)]
+    df = spark.createDataFrame(rows, "id long, ts timestamp, cluster_key string")
+    land(df, tmp_path / "in", 3)
+    stream = stream_of(spark, tmp_path / "in", df.schema)
+    out = jobs.run_available(jobs.keyword_events(stream, 2, idle_seconds=idle), "t")
+    want = set()
+    for k in {r[2] for r in rows}:
+        members = [r for r in rows if r[2] == k]  # no group is idle for an hour
+        want |= {("event_" + k, r[0], n, (r if n == 2 else members[0])[1], n > 2)
+                 for n, r in enumerate(members, 1) if n >= 2}
+    assert {tuple(r) for r in out.collect()} == want
