@@ -39,15 +39,19 @@ class LeaderClusters:
         self.threshold = threshold
         self.names: list = []
         self.sums: np.ndarray | None = None
+        self.norms: np.ndarray | None = None  # of the sums: kept, not computed for each vector
         self.counts: list[float] = []
 
     def load(self, name, vector_sum: np.ndarray, count: float) -> None:
         vector_sum = np.asarray(vector_sum, dtype=float)
         if self.sums is None:
-            self.sums = np.empty((16, vector_sum.size))
+            self.sums, self.norms = np.empty((16, vector_sum.size)), np.empty(16)
         elif len(self.names) == len(self.sums):
-            self.sums = np.concatenate([self.sums, np.empty_like(self.sums)])
+            more = max(16, len(self.sums) // 4)
+            self.sums = np.concatenate([self.sums, np.empty((more, vector_sum.size))])
+            self.norms = np.concatenate([self.norms, np.empty(more)])
         self.sums[len(self.names)] = vector_sum
+        self.norms[len(self.names)] = np.linalg.norm(vector_sum)
         self.names.append(name)
         self.counts.append(count)
 
@@ -55,7 +59,7 @@ class LeaderClusters:
         if not self.names:
             return -1, 0.0
         sums = self.sums[:len(self.names)]
-        scale = np.linalg.norm(sums, axis=1) * np.linalg.norm(vector)
+        scale = self.norms[:len(sums)] * np.linalg.norm(vector)
         sims = np.divide(sums @ vector, scale, out=np.zeros(len(sums)), where=scale > 0)
         at = int(np.argmax(sims))
         return (at, float(sims[at])) if sims[at] > 0 else (-1, 0.0)
@@ -68,6 +72,7 @@ class LeaderClusters:
             self.load(name, vector_sum, count)
             return name, 0.0, True
         self.sums[at] += vector_sum
+        self.norms[at] = np.linalg.norm(self.sums[at])
         self.counts[at] += count
         return self.names[at], similarity, False
 
@@ -91,9 +96,10 @@ def _leader_pass(rows: DataFrame, group: Sequence[str], order: Sequence[str],
                  threshold: float) -> DataFrame:
     """Assign each (id, vsum, n) row of a group, in order, to an event.
 
-    Rows stream through the task in Arrow batches; a task holds centroids, not rows.
+    Rows stream through the task in Arrow batches; a task holds centroids, not rows. Without a
+    group one task sorts and assigns the rows, but does not compute them.
     """
-    spread = rows.repartition(*group) if group else rows.coalesce(1)
+    spread = rows.repartition(*group) if group else rows.repartition(1)
     ordered = spread.sortWithinPartitions(*group, *order)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

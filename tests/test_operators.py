@@ -665,3 +665,16 @@ def test_boards_take_string_ids_and_null_keys(spark):
     top = entities.top_stories(df, "names", "ts", "id").collect()
     assert [(r["entity"], r["rank"], r["title"]) for r in top] == [("E", 1, "A x"), ("E", 2, "B")]
     assert [r["id"] for r in boards.newest(df, "ts", "id", 2).collect()] == [None, "a"]
+
+
+def test_the_rule_on_one_sequence_leaves_the_input_spread(spark):
+    rows = spark.range(40, numPartitions=4).select(
+        "id", F.timestamp_seconds("id").alias("ts"),
+        F.array(F.cos(F.col("id")), F.sin(F.col("id"))).alias("vector"))
+    out = events.semantic_events(rows, 0.9, 0, None)
+    assert "Coalesce" not in out._jdf.queryExecution().executedPlan().toString()
+    clusters = events.LeaderClusters(0.9)
+    want = {i: clusters.add(i, np.array([np.cos(i), np.sin(i)]))[0] for i in range(40)}
+    assert {r["id"]: r["event"] for r in out.collect()} == want
+    np.testing.assert_allclose(clusters.norms[:len(clusters.names)],
+                               np.linalg.norm(clusters.sums[:len(clusters.names)], axis=1))
