@@ -7,11 +7,12 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from newsloom.operators.bounds import one_per_item
+from newsloom.operators.bounds import one_per_item, small_or_merge
 from newsloom.operators.entities import frequency
 from newsloom.session import materialize
 
 BLOCK = 128
+PAIRS = 500_000  # pairs of names that a task counts
 
 
 def entity_pairs(articles: DataFrame, items: str, carry: Sequence[str] = ()) -> DataFrame:
@@ -60,20 +61,32 @@ def _blocked_pairs(counts: DataFrame) -> DataFrame:
                        ).select("a", "b")
 
 
+def _dealt(pairs: DataFrame, counts: DataFrame) -> DataFrame:
+    """The pairs (src, dst, …) of an article's names in ``counts``, all rows of a pair in one task.
+
+    The number of tasks follows from that of the pairs, which the lists' lengths give beforehand, so a
+    task's table of pairs does not grow with the input.
+    """
+    n = F.count("*")
+    total = counts.groupBy("doc").agg(F.ceil(n * (n + 1) / 2).alias("n")).agg(F.sum("n")).first()[0]
+    return pairs.repartition(1 + (total or 0) // PAIRS, "src", "dst")
+
+
 def edge_weights(articles: DataFrame, key: str, items: str) -> DataFrame:
     """Undirected (src, dst, weight): how many pairs of list entries name both, src <= dst.
 
-    A pair of names travels once per article, weighted by its repetitions, and weights are
-    summed before the shuffle. A repeated name gives a loop of c(c-1)/2.
+    A pair of names travels once per article, weighted by its repetitions. A repeated name gives a
+    loop of c(c-1)/2.
     """
-    counts = _article_counts(articles, key, items)
+    counts = materialize(_article_counts(articles, key, items), "counts")
     cross = _blocked_pairs(counts).select(
         F.col("a.entity").alias("src"), F.col("b.entity").alias("dst"),
         (F.col("a.c") * F.col("b.c")).alias("w"))
     loops = counts.filter("c > 1").select(
         F.col("entity").alias("src"), F.col("entity").alias("dst"),
         (F.col("c") * (F.col("c") - 1) / 2).cast("long").alias("w"))
-    return cross.unionByName(loops).groupBy("src", "dst").agg(F.sum("w").alias("weight"))
+    return _dealt(cross.unionByName(loops), counts).groupBy("src", "dst").agg(
+        F.sum("w").alias("weight"))
 
 
 def weighted_degree(articles: DataFrame, items: str) -> DataFrame:
@@ -129,22 +142,28 @@ def article_edges(articles: DataFrame, key: str, items: str, min_mentions: int =
     """(src, dst, weight): entity pairs that share at least ``min_articles`` articles.
 
     Only entities that can still be in such a pair are paired: those with enough mentions
-    and in enough articles. ``self_loops`` keeps the loop of a name that one article
+    and in enough articles. Pairs are counted by the names' numbers. ``self_loops`` keeps the loop of a name that one article
     mentions twice.
     """
-    counts = _article_counts(articles, key, items)
+    counts = materialize(_article_counts(articles, key, items), "counts")
     usable = counts.groupBy("entity").agg(
         F.sum("c").alias("m"), F.count("*").alias("d")).filter(
         (F.col("m") >= min_mentions) & (F.col("d") >= min_articles)).select("entity")
-    kept = counts.join(usable, "entity", "left_semi")
-    pairs = _blocked_pairs(kept)
-    edges = pairs.select(F.col("a.entity").alias("src"), F.col("b.entity").alias("dst")).groupBy(
-        "src", "dst").agg(F.count("*").alias("weight"))
+    names = materialize(usable.withColumn("number", F.monotonically_increasing_id()), "names")
+    kept = materialize(counts.join(small_or_merge(names), "entity").select(
+        "doc", "blocks", F.col("number").alias("entity"), "c"), "kept")
+    pairs = _blocked_pairs(kept).select(F.col("a.entity").alias("src"), F.col("b.entity").alias("dst"))
+    edges = _dealt(pairs, kept).groupBy("src", "dst").agg(F.count("*").alias("weight"))
     if self_loops:
         loops = kept.filter("c > 1").groupBy(F.col("entity").alias("src")).agg(
             F.count("*").alias("weight")).select("src", F.col("src").alias("dst"), "weight")
         edges = edges.unionByName(loops)
-    return edges.filter(F.col("weight") >= min_articles)
+    heavy = edges.filter(F.col("weight") >= min_articles)
+    for end in ("src", "dst"):
+        ends = names.select(F.col("number").alias(end), F.col("entity").alias(f"{end}_name"))
+        heavy = heavy.join(small_or_merge(ends), end)
+    return heavy.select(F.least("src_name", "dst_name").alias("src"),
+                        F.greatest("src_name", "dst_name").alias("dst"), "weight")
 
 
 def degrees(edges: DataFrame) -> DataFrame:

@@ -678,3 +678,25 @@ def test_the_rule_on_one_sequence_leaves_the_input_spread(spark):
     assert {r["id"]: r["event"] for r in out.collect()} == want
     np.testing.assert_allclose(clusters.norms[:len(clusters.names)],
                                np.linalg.norm(clusters.sums[:len(clusters.names)], axis=1))
+
+
+def test_pairs_are_dealt_by_their_number(spark, monkeypatch):
+    from collections import Counter
+
+    monkeypatch.setattr(graph, "PAIRS", 20)
+    rng = np.random.default_rng(3)
+    lists = [[f"n{x}" for x in rng.integers(0, 9, rng.integers(0, 12))] for _ in range(20)]
+    df = spark.createDataFrame(list(enumerate(lists)), "id long, names array<string>")
+    out = graph.edge_weights(df, "id", "names")
+    assert out.select(F.spark_partition_id()).distinct().count() > 4
+    want = Counter(tuple(sorted(p)) for x in lists for p in itertools.combinations(x, 2))
+    assert {(r["src"], r["dst"]): r["weight"] for r in out.collect()} == want
+
+    mentions = Counter(n for x in lists for n in x)
+    shared = Counter(p for x in lists for p in itertools.combinations(sorted(set(x)), 2))
+    shared += Counter((n, n) for x in lists for n, c in Counter(x).items() if c > 1)
+    want = {p: n for p, n in shared.items() if n >= 3 and min(mentions[p[0]], mentions[p[1]]) >= 5}
+    out = graph.article_edges(df, "id", "names", 5, 3, self_loops=True)
+    assert {(r["src"], r["dst"]): r["weight"] for r in out.collect()} == want
+    assert out.filter("src > dst").count() == 0
+    assert dict(out.dtypes)["src"] == "string"
