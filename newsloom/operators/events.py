@@ -382,8 +382,9 @@ def enrich_matches(matches: DataFrame, posts: DataFrame, events: DataFrame,
         details = details.join(found, list(post_key), "left")
     lists = [F.coalesce(F.col(k), none) if mentions is not None else none for k in kinds]
     details = details.withColumn("entities", F.struct(*[v.alias(k) for v, k in zip(lists, kinds)]))
-    return matches.drop("matched_keywords").join(details, list(post_key)).join(
-        titles, "event_id").select(
+    # Titles first: a post's text then moves once, not once for each event that it matches.
+    return matches.drop("matched_keywords").join(titles, "event_id").join(
+        details, list(post_key)).select(
         "event_id", "event_title", *post_key, "post_ts",
         matching_keywords(F.col("text"), F.col("keywords")).alias("matched_keywords"),
         F.col("text").alias("social_text"), "platform", "user", "location", "sentiment",

@@ -700,3 +700,16 @@ def test_pairs_are_dealt_by_their_number(spark, monkeypatch):
     assert {(r["src"], r["dst"]): r["weight"] for r in out.collect()} == want
     assert out.filter("src > dst").count() == 0
     assert dict(out.dtypes)["src"] == "string"
+
+
+def test_enriched_posts_move_once(spark):
+    posts = spark.createDataFrame([(i, at(10), f"A storm {i}") for i in range(4)],
+                                  "post_id long, post_ts timestamp, text string")
+    ev = spark.createDataFrame([(i, at(0), f"T{i}", ["storm"]) for i in range(3)],
+                               "event_id long, event_ts timestamp, title string, keywords array<string>")
+    out = events.enrich_matches(events.match_posts(posts, ev), posts, ev)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    joins = [line for line in plan.splitlines() if "Join Inner" in line]
+    assert "post_id" in joins[0] and "event_id" not in joins[0]  # texts come in with the last join
+    assert {(r["post_id"], r["event_id"], r["event_title"], r["social_text"]) for r in out.collect()} == {
+        (p, e, f"T{e}", f"A storm {p}") for p in range(4) for e in range(3)}
