@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import math
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
@@ -9,11 +10,11 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.ml import Pipeline
+import pyarrow.compute as pc
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
-from pyspark.ml.feature import (IDF, PCA, CountVectorizer, ElementwiseProduct, Normalizer,
-                                RegexTokenizer, StopWordsRemover)
+from pyspark.ml.feature import (PCA, CountVectorizerModel, ElementwiseProduct, Normalizer,
+                                StopWordsRemover)
 from pyspark.ml.functions import array_to_vector, predict_batch_udf, vector_to_array
 from pyspark.ml.linalg import Vectors
 from pyspark.ml.stat import Summarizer
@@ -28,6 +29,7 @@ from newsloom.session import materialize
 
 MAX_LOCAL_CENTROIDS = 4096  # rows; a few megabytes at some hundred dimensions
 MAX_PIVOTS = 1024
+MAX_KEPT_WORDS = 400_000
 FEW_TASKS = 16
 
 
@@ -394,24 +396,48 @@ def cluster_totals(df: DataFrame, cluster: str = "cluster") -> DataFrame:
                   F.count_if(inside).alias("clustered"), F.count_if(~inside).alias("noise"))
 
 
+def _word_counts(words: DataFrame) -> DataFrame:
+    """(word, n, docs) of a list column: occurrences and rows. The null word has the number of rows."""
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            lists = batch.column(0)
+            coded = pc.dictionary_encode(lists.flatten())
+            at, width = coded.indices.to_numpy(), len(coded.dictionary)
+            row = np.repeat(np.arange(batch.num_rows), pc.list_value_length(lists).to_numpy())
+            n = np.bincount(at, minlength=width)
+            docs = np.bincount(np.unique(row * width + at) % max(width, 1), minlength=width)
+            names = pa.concat_arrays([coded.dictionary.cast(pa.string()), pa.nulls(1, pa.string())])
+            yield pa.RecordBatch.from_arrays(
+                [names, *[pa.array(np.append(x, batch.num_rows)) for x in (n, docs)]], ["word", "n", "docs"])
+
+    return words.mapInArrow(count, "word string, n long, docs long").groupBy("word").agg(
+        F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+
+
 def tfidf(df: DataFrame, text: str, terms: int = 1000,
           stop_words: Sequence[str] | None = None) -> DataFrame:
-    """Adds unit-length ``features``: counts of the most frequent terms times smoothed idf."""
+    """Adds unit-length ``features``: counts of the most frequent terms times smoothed idf.
+
+    Words are runs of two or more word characters in lower case. One pass over the texts counts them
+    and the texts they are in; the vocabulary is read off the counts, without the stop words.
+    """
     stop = list(stop_words) if stop_words is not None else \
         StopWordsRemover.loadDefaultStopWords("english")
-    steps = Pipeline(stages=[
-        RegexTokenizer(inputCol=text, outputCol="__words", pattern=r"(?U)\w\w+", gaps=False),
-        StopWordsRemover(inputCol="__words", outputCol="__kept", stopWords=stop),
-        CountVectorizer(inputCol="__kept", outputCol="__tf", vocabSize=terms),
-        IDF(inputCol="__tf", outputCol="__idf"),
-    ]).fit(df.select(text))
-    # Spark's idf lacks the "+ 1" that keeps terms of every document.
-    weights = Vectors.dense([v + 1.0 for v in steps.stages[-1].idf])
-    counted = steps.transform(df)
+    words = F.split(F.lower(F.col(text)), r"(?U)\W+")
+    counts = _word_counts(df.select(words.alias("words")))
+    best = counts.filter(F.col("word").isNull() | (
+        (F.length("word") > 1) & ~F.col("word").isin([w.lower() for w in stop]))).orderBy(
+        F.col("word").isNotNull(), F.desc("n"), "word").limit(terms + 1).collect()
+    rows = best[0].n if best else 0
+    model = CountVectorizerModel.from_vocabulary([r.word for r in best[1:]], "__words", "__tf")
+    counted = model.transform(df.withColumn("__words", words))
+    weights = Vectors.dense([math.log((rows + 1) / (r.docs + 1)) + 1 for r in best[1:]])
     weighted = ElementwiseProduct(scalingVec=weights, inputCol="__tf",
                                   outputCol="__w").transform(counted)
     unit = Normalizer(p=2.0, inputCol="__w", outputCol="features").transform(weighted)
-    return unit.drop("__words", "__kept", "__tf", "__idf", "__w")
+    return unit.drop("__words", "__tf", "__w")
 
 
 def clustering_benchmark(sets: dict[str, DataFrame], ks: Sequence[int] = (5, 10, 15),
@@ -455,12 +481,21 @@ def hash_embedder(dim: int = 64) -> Callable:
     def make():
         import zlib
 
+        class Codes(dict):
+            def __missing__(self, word):
+                value = self[word] = zlib.crc32(word.encode())
+                return value
+
+        codes = Codes()
+
         def predict(texts: np.ndarray) -> np.ndarray:
-            out = np.zeros((len(texts), dim), dtype=np.float32)
-            for row, text in enumerate(texts):
-                for word in str(text).lower().split():
-                    code = zlib.crc32(word.encode())
-                    out[row, code % dim] += 1.0 if code & 0x10000 else -1.0
+            if len(codes) > MAX_KEPT_WORDS:
+                codes.clear()
+            found = [list(map(codes.__getitem__, str(text).lower().split())) for text in texts]
+            row = np.repeat(np.arange(len(found)), [len(x) for x in found])
+            code = np.fromiter(itertools.chain.from_iterable(found), np.int64, len(row))
+            out = np.bincount(row * dim + code % dim, np.where(code & 0x10000, 1.0, -1.0),
+                              len(found) * dim).reshape(-1, dim).astype(np.float32)
             norms = np.linalg.norm(out, axis=1, keepdims=True)
             return np.divide(out, norms, out=out, where=norms > 0)
 

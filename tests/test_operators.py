@@ -518,6 +518,49 @@ def test_confidence(spark):
     assert vectors.with_confidence(zero).first()["confidence"] == 1.0
 
 
+TEXTS = ["The Cat sat, the cat_9 sat!", "ΟΔΟΣ ÀÉ école x y", None, "", "don't Don't a b", "नमस्ते दुनिया दुनिया", "cat dog dog"]
+
+
+def test_tfidf_is_that_of_the_ml_stages_in_one_pass(spark):
+    from pyspark.ml import Pipeline
+    from pyspark.ml.feature import IDF, CountVectorizer, RegexTokenizer, StopWordsRemover
+    from pyspark.ml.functions import vector_to_array
+
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(text):
+        read.add(1)
+        return text or ""
+
+    raw = spark.createDataFrame(list(enumerate(TEXTS)), "id int, raw string").coalesce(1)
+    df = raw.select("id", F.udf(counted)("raw").alias("text"))
+    out = vectors.tfidf(df, "text", 12)
+    assert read.value == len(TEXTS)  # the vocabulary and its weights
+    plain = df.cache()
+    steps = Pipeline(stages=[
+        RegexTokenizer(inputCol="text", outputCol="w", pattern=r"(?U)\w\w+", gaps=False),
+        StopWordsRemover(inputCol="w", outputCol="k"),
+        CountVectorizer(inputCol="k", outputCol="tf", vocabSize=12), IDF(inputCol="tf", outputCol="i")]).fit(plain)
+    weights = np.array(steps.stages[-1].idf) + 1
+    want = {r.id: r.tf.toArray() * weights for r in steps.transform(plain).collect()}
+    for r in out.select("id", vector_to_array("features").alias("v")).collect():
+        # Terms of one count have no order there.
+        assert np.allclose(sorted(r.v), sorted(want[r.id] / (np.linalg.norm(want[r.id]) or 1)))
+
+
+def test_hash_embedder_adds_up_words():
+    import zlib
+
+    texts = ["a b a", "", "Ünïcode a"]
+    sums = np.zeros((3, 8), np.float32)
+    for row, text in zip(sums, texts):
+        for code in (zlib.crc32(w.encode()) for w in text.lower().split()):
+            row[code % 8] += 1 if code & 0x10000 else -1
+    norms = np.linalg.norm(sums, axis=1, keepdims=True)
+    got = vectors.hash_embedder(8)()(np.array(texts, object))
+    assert got.dtype == np.float32 and (got == np.divide(sums, norms, out=sums, where=norms > 0)).all()
+
+
 def test_kmeans_and_projection(points_df):
     model = vectors.fit_kmeans(points_df, "vector", k=6, n_init=3, max_iter=20)
     placed = vectors.assign_clusters(points_df, model, "vector")
