@@ -20,6 +20,11 @@ _FOLD_LINES = _FOLD[:10] + b"\n" + _FOLD[11:]
 CACHE_WORDS = 400_000
 
 
+def listed(values: pa.Array) -> list:
+    """Strings or bytes as a list; ``to_pylist`` makes an object of each on the way."""
+    return values.to_numpy(zero_copy_only=False).tolist()
+
+
 def folded_words(text: str | None) -> list[bytes]:
     """Lower-case words ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+``; a null text has none."""
     return text.encode().translate(_FOLD).split() if text else []
@@ -139,7 +144,7 @@ def flat(texts: list[str | None], folded: bool, hashes: WordHashes) -> tuple[np.
     """
     words, starts = split_words([fold(t) if folded else (t or "").encode() for t in texts])
     coded = pc.dictionary_encode(words)
-    known = hashes.array(coded.dictionary.view(pa.large_binary()).to_pylist())
+    known = hashes.array(listed(coded.dictionary.view(pa.large_binary())))
     return known[coded.indices.to_numpy()], starts
 
 

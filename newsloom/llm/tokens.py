@@ -16,6 +16,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from newsloom.llm.common import listed
+
 KEPT_PARTS = 700_000
 
 _WHITE = ("\\t-\\r\\x1c-\\x20\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}"
@@ -70,11 +72,11 @@ class WordEncoder:
     def _learn(self, new: pa.Array) -> None:
         wanted = f"^ [{_LETTERS}]+$" if self.spaced else f"^ ?[{_LETTERS}]+$"
         plain = pc.match_substring_regex(new, wanted)
-        words = new.filter(plain).to_pylist()
+        words = listed(new.filter(plain))
         if words:
             self.kept.update(zip(words, self._letters(
                 words if self.spaced else [w.strip() for w in words])))
-        odd = new.filter(pc.invert(plain)).to_pylist()
+        odd = listed(new.filter(pc.invert(plain)))
         if odd:
             self.kept.update(zip(odd, self._whole(odd)))
 
@@ -92,7 +94,7 @@ class WordEncoder:
         lists = pc.split_pattern(cut, "\x01")
         at = lists.offsets.to_numpy()
         coded = pc.dictionary_encode(lists.flatten())
-        names = coded.dictionary.to_pylist()
+        names = listed(coded.dictionary)
         if len(self.kept) > KEPT_PARTS:
             self.kept.clear()
         found = list(map(self.kept.get, names))
@@ -101,14 +103,11 @@ class WordEncoder:
             self._learn(coded.dictionary.take(pa.array(new)))
             for i in new:
                 found[i] = self.kept[names[i]]
-        lengths = np.fromiter(map(len, found), np.int64, len(found)) // 4
-        store = np.frombuffer(b"".join(found), "<u4")
-        offsets = np.cumsum(lengths) - lengths
-        index = coded.indices.to_numpy()
-        each = lengths[index]
-        ends = np.cumsum(each)
-        ids = store[np.repeat(offsets[index] - ends + each, each) + np.arange(each.sum())]
-        starts = np.append(0, ends)[at]
+        taken = pa.array(found, pa.large_binary()).take(coded.indices)
+        _, offsets, store = taken.buffers()
+        ends = np.frombuffer(offsets, np.int64, len(taken) + 1)
+        ids = np.frombuffer(store, "<u4", ends[-1] // 4) if ends[-1] else np.empty(0, "<u4")
+        starts = ends[at] // 4
         if odd.any():
             parts = np.split(ids, starts[1:-1])
             for i, raw in zip(np.flatnonzero(odd), self._whole([texts[i] for i in

@@ -7,12 +7,13 @@ from collections import defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from newsloom.llm import (decontamination, fingerprints, line_duplicates, near_duplicates, packing,
-                          personal_data, substrings, token_files, toxicity, transcripts)
+from newsloom.llm import (common, decontamination, fingerprints, line_duplicates, near_duplicates, packing,
+                          personal_data, substrings, token_files, tokens, toxicity, transcripts)
 from newsloom.llm.common import folded_words, plain_words
 from newsloom.llm.components import components
 from newsloom.llm.tokens import encoder
@@ -490,3 +491,30 @@ def test_names_that_clash(spark, awkward, empty):
             for r in found:
                 assert r.asDict().keys() == set(table.columns)
                 assert r.doc_id is None or all(r[n] == f"{n}{r.doc_id}" for n in CLASHES[2:])
+
+
+def test_strings_are_listed_without_scalars():
+    """An object for each string on the way took longer than cutting and hashing them."""
+    words = [f"w{k}" for k in range(300)] + ["", "é", "日本"]
+    for kind in (pa.string(), pa.large_string()):
+        assert common.listed(pa.array(words, kind)) == words
+    assert common.listed(pa.array([w.encode() for w in words], pa.large_binary())) == [w.encode() for w in words]
+    assert common.listed(pa.array([], pa.large_string())) == []
+
+
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_ids_are_put_together_in_place(name):
+    """The ids are the taken parts themselves: no index for each id is made beside them."""
+    import tracemalloc
+
+    encoder = tokens.WordEncoder(public_tokenizers.path(name))
+    encoder.encode(["the cat sat"])
+    texts = ["the cat sat " * 20_000 + "on", None, "", "the cat"]
+    encoder.encode(texts)
+    tracemalloc.start()
+    ids, starts = encoder.encode(texts)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    for text, a, b in zip(texts, starts, starts[1:]):
+        assert ids[a:b].tolist() == encoder.tokenizer.encode(text or "", add_special_tokens=False).ids
+    assert most < 2 * ids.nbytes + (1 << 20)
