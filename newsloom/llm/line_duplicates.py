@@ -12,8 +12,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from newsloom.llm.common import (WordHashes, chunks, fold, fold_lines, folded_words, may_contain, mix,
-                                 planes, ranks, shuffle_partitions, split_words, unplaned, whole_rows)
+from newsloom.llm.common import (WordHashes, chunks, fold, fold_lines, folded_words, listed, may_contain,
+                                 mix, planes, ranks, shuffle_partitions, split_words, unplaned, whole_rows)
 from newsloom.session import materialize
 
 THRESHOLD = 0.8
@@ -60,7 +60,7 @@ def _sets(lines: list[bytes], places):
     """Of folded lines (words' sort keys by line, rarest first, without repeats; starts; owners)."""
     words, starts = split_words(lines)
     coded = pc.dictionary_encode(words)
-    distinct = coded.dictionary.view(pa.large_binary()).to_pylist()
+    distinct = listed(coded.dictionary.view(pa.large_binary()))
     values = np.fromiter(map(xxhash.xxh3_64_intdigest, distinct), np.uint64, len(distinct))
     names, place = places
     keys = values >> np.uint64(21)  # 43 bits of a rare word's hash, a frequent word's place
