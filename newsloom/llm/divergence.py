@@ -12,7 +12,7 @@ from pyspark.ml.feature import CountVectorizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from newsloom.llm.common import chunks, shuffle_partitions, split_words
+from newsloom.llm.common import chunks, listed, shuffle_partitions, split_words
 from newsloom.operators.bounds import broadcast_if_small
 from newsloom.session import materialize, scratch_path
 
@@ -28,46 +28,73 @@ _LETTERS = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 97 <= b <= 122 el
                  for b in range(256))
 
 
-def tagged_terms(docs: DataFrame, parts: int) -> DataFrame:
-    """(grp, part, terms, again): each document's distinct terms, and their further occurrences.
+def _numbered(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct values, and the place of each value among them."""
+    coded = pc.dictionary_encode(pa.array(values, pa.int64()))
+    return coded.dictionary.to_numpy(), coded.indices.to_numpy().astype(np.int64)
+
+
+def tagged_terms(docs: DataFrame, parts: int, min_documents: int = MIN_DOCUMENTS) -> DataFrame:
+    """(part, seen, grp, times, terms): the terms of some 8 MB of documents, put together.
 
     A term is ``lang``, a space and the word, so that one vocabulary keeps the langs apart, and goes
-    to one of ``parts`` rows of its document by its hash.
+    to one of ``parts`` by its hash. A row either has ``seen``: of ``min_documents`` such rows, a term
+    is in as many as there are documents with it, or in all if there are more. So the rows of the whole
+    table with a term are ``min_documents`` or more just where its documents are. Or it has ``terms`` of
+    a group, each of which counts ``times``: a term's number of occurrences is the sum of its powers of two.
     """
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for groups, langs, texts in chunks(batches, ["grp", "lang", "text"], "text", 4 << 20):
+        for groups, langs, texts in chunks(batches, ["grp", "lang", "text"], "text", 8 << 20):
             words, starts = split_words([t.encode().translate(_LETTERS) for t in texts])
             if not len(words):
                 continue
             coded, spoken = pc.dictionary_encode(words), pc.dictionary_encode(pa.array(langs, pa.string()))
             owner = np.repeat(np.arange(len(texts)), np.diff(starts))
             width = len(coded.dictionary)
-            both = spoken.indices.to_numpy()[owner].astype(np.int64) * width + coded.indices.to_numpy()
-            found, which = np.unique(both, return_inverse=True)
+            found, which = _numbered(spoken.indices.to_numpy()[owner].astype(np.int64) * width
+                                     + coded.indices.to_numpy())
+            count = len(found)
             names = pc.binary_join_element_wise(
                 spoken.dictionary.take(pa.array(found // width)).cast(pa.large_string()),
                 coded.dictionary.take(pa.array(found % width)).cast(pa.large_string()),
                 pa.scalar(" ", pa.large_string()))
             part = np.fromiter((xxhash.xxh3_64_intdigest(n) % parts
-                                for n in names.cast(pa.large_binary()).to_pylist()), np.int64, len(names))
-            # By row (a document's part) and term; a term's first place in a row stands for its others.
-            order = np.argsort((owner * parts + part[which]) * len(names) + which)
-            row, term = (owner * parts + part[which])[order], which[order]
-            new = np.append(True, (row[1:] != row[:-1]) | (term[1:] != term[:-1]))
-            rows = np.unique(row)
-
-            def lists(chosen):
-                starts = np.searchsorted(row[chosen], np.append(rows, rows[-1] + 1))
-                return pa.ListArray.from_arrays(pa.array(starts, pa.int32()),
-                                                names.take(pa.array(term[chosen])).cast(pa.string()))
-
+                                for n in listed(names.cast(pa.large_binary()))), np.int64, count)
+            names = names.cast(pa.string())
+            pairs, at = _numbered(owner * count + which)  # a document and a term
+            held = np.bincount(pairs % count, minlength=count)
+            kinds, kind = _numbered(np.array(groups, np.int64))
+            sums, place = _numbered(kind[pairs // count] * count + pairs % count)
+            n = np.bincount(place, np.bincount(at)).astype(np.int64)
+            of, term = sums // count, sums % count
+
+            def lists(key, chosen):
+                """The rows' keys, and each one's terms."""
+                order = np.argsort(key, kind="stable")
+                rows, starts = np.unique(key[order], return_index=True)
+                return rows, pa.ListArray.from_arrays(
+                    pa.array(np.append(starts, len(order)), pa.int32()), names.take(pa.array(chosen[order])))
+
+            most = min(min_documents, int(held.max()))
+            some = [np.flatnonzero(held > k) for k in range(most)]
+            rows, seen = lists(np.concatenate([part[x] * most + k for k, x in enumerate(some)]),
+                               np.concatenate(some))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(rows // most, pa.int32()), seen, pa.nulls(len(rows), pa.int64()),
+                 pa.nulls(len(rows), pa.int64()), pa.nulls(len(rows), seen.type)],
+                ["part", "seen", "grp", "times", "terms"])
+            bits = int(n.max()).bit_length()
+            some = [np.flatnonzero(n >> k & 1) for k in range(bits)]
+            rows, terms = lists(np.concatenate([(part[term[x]] * len(kinds) + of[x]) * bits + k
+                                                for k, x in enumerate(some)]),
+                                term[np.concatenate(some)])
             yield pa.RecordBatch.from_arrays(
-                [pa.array(groups, pa.int64()).take(pa.array(rows // parts)),
-                 pa.array(rows % parts, pa.int32()), lists(new), lists(~new)],
-                ["grp", "part", "terms", "again"])
+                [pa.array(rows // bits // len(kinds), pa.int32()), pa.nulls(len(rows), terms.type),
+                 pa.array(kinds[rows // bits % len(kinds)]), pa.array(1 << rows % bits), terms],
+                ["part", "seen", "grp", "times", "terms"])
 
     return docs.select("grp", "lang", "text").mapInArrow(
-        cut, "grp long, part int, terms array<string>, again array<string>")
+        cut, "part int, seen array<string>, grp long, times long, terms array<string>")
 
 
 def parts_of(docs: DataFrame) -> int:
@@ -86,20 +113,21 @@ def term_counts(docs: DataFrame, parts: int, min_documents: int = MIN_DOCUMENTS
 
     ``docs`` has grp (a number), lang and text without nulls. A lang keeps the terms in at least
     ``min_documents`` of its documents: one CountVectorizer for each part of the terms makes its
-    vocabulary and exact sparse vectors of the documents, and their entries add up by group. A part
+    vocabulary and exact sparse vectors of groups of documents, and their entries add up by group. A part
     is a hashed share of all langs' terms. With ``parts_of`` the vocabulary that a fit holds on the
     driver is that of a bounded piece of the table (beyond 256 GB: a 1024th of all distinct terms).
     """
     spark = docs.sparkSession
     tokens, counts, vocabulary = (scratch_path(spark, n) for n in ("terms", "term-counts", "term-names"))
-    tagged_terms(docs, parts).write.partitionBy("part").parquet(tokens)
+    tagged_terms(docs, parts, min_documents).write.partitionBy("part").parquet(tokens)
     # Fits need a term. No word is empty, so this one is nobody's.
     never = spark.range(min_documents).select(F.array(F.lit("")).alias("terms"))
     for part in range(parts):
-        rows = spark.read.schema("grp long, terms array<string>, again array<string>, part int").parquet(
+        rows = spark.read.schema("seen array<string>, grp long, times long, terms array<string>, part int").parquet(
             tokens).filter(F.col("part") == part)
+        seen = rows.filter("seen IS NOT NULL").select(F.col("seen").alias("terms"))
         model = CountVectorizer(inputCol="terms", outputCol="vector", minDF=float(min_documents),
-                                vocabSize=MAX_VOCABULARY).fit(rows.select("terms").unionByName(never))
+                                vocabSize=MAX_VOCABULARY).fit(seen.unionByName(never))
         saved = scratch_path(spark, "vocabulary")
         model.save(saved)
         number = F.lit(part).alias("part")
@@ -108,12 +136,13 @@ def term_counts(docs: DataFrame, parts: int, min_documents: int = MIN_DOCUMENTS
             "name <> ''").select("part", "at", F.expr("left(name, length(name) - length(substring_index("
                                                       "name, ' ', -1)) - 1)").alias("lang"),
                                  word.alias("term")).write.mode("append").parquet(vocabulary)
-        vectors = model.transform(rows.select("grp", F.concat("terms", "again").alias("terms"))).select(
-            "grp", F.unwrap_udt("vector").alias("v"))
+        vectors = model.transform(rows.filter("terms IS NOT NULL").select("grp", "times", "terms")).select(
+            "grp", "times", F.unwrap_udt("vector").alias("v"))
         # One expression: fields of the vector taken apart would each compute it again.
-        entries = vectors.select("grp", F.explode(F.arrays_zip(
+        entries = vectors.select("grp", "times", F.explode(F.arrays_zip(
             F.col("v.indices").alias("at"), F.col("v.values").alias("n"))).alias("e"))
-        entries.groupBy("grp", F.col("e.at").alias("at")).agg(F.sum("e.n").cast("long").alias("n")).select(
+        entries.groupBy("grp", F.col("e.at").alias("at")).agg(
+            F.sum(F.col("e.n").cast("long") * F.col("times")).alias("n")).select(
             "grp", number, "at", "n").write.mode("append").parquet(counts)
     return (spark.read.schema("grp long, part int, at int, n long").parquet(counts),
             spark.read.schema("part int, at int, lang string, term string").parquet(vocabulary))

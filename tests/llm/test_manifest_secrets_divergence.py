@@ -218,6 +218,19 @@ def test_terms_in_parts_give_the_same_counts(spark, folder):
     assert divergence.parts_of(spark.read.parquet(f"{folder}/documents.parquet")) == 1
 
 
+def test_terms_are_put_together(spark):
+    """A frequent term is handed on once a power of two and group, not once an occurrence."""
+    docs = spark.createDataFrame([(k % 2, "l", "ab cd" + " ab" * 6) for k in range(40)], "grp long, lang string, text string")
+    rows = divergence.tagged_terms(docs.coalesce(1), 1).collect()
+    seen = Counter(w for r in rows for w in r.seen or ())
+    assert seen == {"l ab": 3, "l cd": 3}
+    sums = Counter()
+    for r in rows:
+        sums.update({(r.grp, w): r.times for w in r.terms or ()})
+    assert sums == {(g, w): n for g in (0, 1) for w, n in (("l ab", 140), ("l cd", 20))}
+    assert sum(len(r.terms or ()) for r in rows) == 2 * (140).bit_count() + 2 * (20).bit_count()
+
+
 def test_shares_are_exact(spark):
     totals = [(0, 1, 1), (3, 10**9, 7), (9 * 10**9 - 1, 10**13, 3), (9 * 10**9, 10**13, 3), (10**13, 10**13 + 5, 1)]
     rows = spark.createDataFrame(totals, "n long, t long, v long")
