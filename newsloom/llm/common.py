@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -86,13 +88,28 @@ def window_hashes(values: np.ndarray, size: int) -> np.ndarray:
         return mix(out)
 
 
+@lru_cache(maxsize=1)
+def _trim():
+    """The C library's call that returns freed memory, if it has one."""
+    try:
+        return ctypes.CDLL(None).malloc_trim
+    except (AttributeError, OSError, TypeError):
+        return lambda kept: 0
+
+
+def give_back() -> None:
+    """Workers live on after a task: memory that nothing uses any more goes back to the system."""
+    pa.default_memory_pool().release_unused()
+    _trim()(0)
+
+
 def chunks(batches: Iterable[pa.RecordBatch], columns: list[str], text: str,
            limit: int = 8 << 20) -> Iterator[list[list]]:
     """Rows as lists of columns, in groups of about ``limit`` characters of the text column.
 
-    A single longer text makes a group of its own, so a task holds one group at a time. Workers
-    live on after a task: what it no longer uses is given back.
+    A single longer text makes a group of its own, so a task holds one group at a time.
     """
+    give_back()
     at = columns.index(text)
     rows: list[list] = [[] for _ in columns]
     size = 0
@@ -110,7 +127,7 @@ def chunks(batches: Iterable[pa.RecordBatch], columns: list[str], text: str,
     if rows[0]:
         yield rows
     del rows
-    pa.default_memory_pool().release_unused()
+    give_back()
 
 
 def fold(text: str | None) -> bytes:

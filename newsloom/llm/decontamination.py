@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from newsloom.llm.common import (WordHashes, chunks, flat, folded_words, valid_starts,
+from newsloom.llm.common import (WordHashes, chunks, flat, folded_words, give_back, valid_starts,
                                  whole_rows, window_hashes)
 
 BROADCAST_BYTES = 1 << 20  # of items: half a million windows at most, about 60 MB here in English
@@ -232,6 +232,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, remove: str = "document
     shared = docs.sparkSession.sparkContext.broadcast(windows)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
         hashes = WordHashes()
         for batch in batches:
             at = batch.schema.get_field_index(text)

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from newsloom.llm.common import chunks, folded_words, mix
+from newsloom.llm.common import chunks, folded_words, give_back, mix
 
 GRAM = 6              # bytes; a shorter run of bytes is not told apart
 COMMON_SHARE = 0.01   # words in more of the ordinary sample are left out of windows
@@ -303,6 +303,7 @@ def drop_toxic(docs: DataFrame, model: ToxicityModel, text: str = "text") -> Dat
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
         for batch in batches:
             at = batch.schema.get_field_index(text)
             for start in range(0, batch.num_rows, 1024):

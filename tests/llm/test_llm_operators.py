@@ -1,7 +1,10 @@
 """Each training-data operator against a brute-force version, on small and awkward tables."""
 
 import hashlib
+import os
 import re
+import subprocess
+import sys
 import zlib
 from collections import defaultdict
 
@@ -518,3 +521,43 @@ def test_ids_are_put_together_in_place(name):
     for text, a, b in zip(texts, starts, starts[1:]):
         assert ids[a:b].tolist() == encoder.tokenizer.encode(text or "", add_special_tokens=False).ids
     assert most < 2 * ids.nbytes + (1 << 20)
+
+
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_encoder_in_slices_and_with_few_kept_parts(monkeypatch, name):
+    """Slices, batches of new words and dropped parts leave the ids as they are."""
+    monkeypatch.setattr(tokens, "SLICE", 300)
+    monkeypatch.setattr(tokens, "KEPT_PARTS", 40)
+    model = tokens.WordEncoder(public_tokenizers.path(name))
+    texts = [t for _, t in AWKWARD] + [" ".join(f"w{chr(97 + k % 26)}{chr(97 + j)}q, x{j}" for j in range(26))
+                                       for k in range(60)]
+    for part in (texts, texts[::-1], texts[:1], [], texts[20:30] * 3):
+        ids, starts = model.encode(part)
+        assert len(starts) == len(part) + 1 and starts[-1] == len(ids)
+        for text, a, b in zip(part, starts, starts[1:]):
+            assert ids[a:b].tolist() == model.tokenizer.encode(text or "", add_special_tokens=False).ids
+    assert len(model.words) == len(model.ids) <= 40 + 26 * 30
+
+
+@pytest.mark.skipif(not os.path.exists("/proc/self/clear_refs"), reason="memory is read from /proc")
+def test_an_encoder_takes_little_memory_beside_its_tokenizer():
+    """8 MB of text with many distinct words took a worker over 200 MB, twice in an executor."""
+    program = f"""
+import random, re
+from newsloom.llm import tokens
+def memory():
+    found = dict(re.findall(r"(VmHWM|RssAnon|RssFile):\\s+(\\d+)", open("/proc/self/status").read()))
+    return int(found["VmHWM"]) - int(found["RssFile"])
+model = tokens.WordEncoder({public_tokenizers.path("word_bpe_49k.json")!r})
+model.encode(["a b"])
+pick = random.Random(1)
+words = ["".join(pick.choices("abcdefghijklmnopqrstuvwxyz", k=7)) for _ in range(150_000)]
+texts = [" ".join(pick.choices(words, k=400)) for _ in range(2600)]
+open("/proc/self/clear_refs", "w").write("5")
+before = memory()
+model.encode(texts)
+print((memory() - before) // 1024)
+"""
+    out = subprocess.run([sys.executable, "-c", program], capture_output=True, text=True, check=True,
+                         env=os.environ | {"PYTHONPATH": os.pathsep.join(sys.path)})
+    assert int(out.stdout) < 140
