@@ -12,7 +12,7 @@ from pyspark.ml.feature import CountVectorizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from newsloom.llm.common import chunks, listed, shuffle_partitions, split_words
+from newsloom.llm.common import chunks, give_back, listed, shuffle_partitions, split_words
 from newsloom.operators.bounds import broadcast_if_small
 from newsloom.session import materialize, scratch_path
 
@@ -22,79 +22,225 @@ MAX_VOCABULARY = 2**31 - 1
 PART_BYTES, MOST_PARTS = 256 << 20, 1024
 BLOCK = 256       # sources of a lang whose pairs meet in one group
 HELD = 1 << 18    # counts that a group has on average
+# A task hands on what it has counted once there are so many counts by group, or bytes of terms.
+TALLY_ENTRIES, TALLY_BYTES = 1 << 21, 32 << 20
+BATCH_TERMS = 1 << 18
+PART_TASKS, TASK_BUCKETS = 16, 4  # tasks that put a part's terms together, and buckets for each
+DIGIT_BITS = 4    # a term's count is handed on by digits of so many bits
 
 # A-Z in lower case, ASCII other than letters as a space; the rest is part of terms.
 _LETTERS = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 97 <= b <= 122 else 32
                  for b in range(256))
 
 
-def _numbered(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct values, and the place of each value among them."""
+def _numbered(values: np.ndarray, top: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct values, and the place of each value among them; ``top`` is above all."""
+    if top is not None and top <= 4 * len(values):
+        there = np.zeros(top, bool)
+        there[values] = True
+        return np.flatnonzero(there), (np.cumsum(there) - 1)[values]
     coded = pc.dictionary_encode(pa.array(values, pa.int64()))
     return coded.dictionary.to_numpy(), coded.indices.to_numpy().astype(np.int64)
 
 
-def tagged_terms(docs: DataFrame, parts: int, min_documents: int = MIN_DOCUMENTS) -> DataFrame:
-    """(part, seen, grp, times, terms): the terms of some 8 MB of documents, put together.
+class Tally:
+    """Terms of many documents: in how many of these each is, and how often by group.
 
-    A term is ``lang``, a space and the word, so that one vocabulary keeps the langs apart, and goes
-    to one of ``parts`` by its hash. A row either has ``seen``: of ``min_documents`` such rows, a term
-    is in as many as there are documents with it, or in all if there are more. So the rows of the whole
-    table with a term are ``min_documents`` or more just where its documents are. Or it has ``terms`` of
-    a group, each of which counts ``times``: a term's number of occurrences is the sum of its powers of two.
+    A term is ``lang``, a space and the word, so that one vocabulary keeps the langs apart.
     """
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for groups, langs, texts in chunks(batches, ["grp", "lang", "text"], "text", 8 << 20):
-            words, starts = split_words([t.encode().translate(_LETTERS) for t in texts])
-            if not len(words):
-                continue
-            coded, spoken = pc.dictionary_encode(words), pc.dictionary_encode(pa.array(langs, pa.string()))
-            owner = np.repeat(np.arange(len(texts)), np.diff(starts))
-            width = len(coded.dictionary)
-            found, which = _numbered(spoken.indices.to_numpy()[owner].astype(np.int64) * width
-                                     + coded.indices.to_numpy())
-            count = len(found)
-            names = pc.binary_join_element_wise(
-                spoken.dictionary.take(pa.array(found // width)).cast(pa.large_string()),
-                coded.dictionary.take(pa.array(found % width)).cast(pa.large_string()),
-                pa.scalar(" ", pa.large_string()))
-            part = np.fromiter((xxhash.xxh3_64_intdigest(n) % parts
-                                for n in listed(names.cast(pa.large_binary()))), np.int64, count)
-            names = names.cast(pa.string())
-            pairs, at = _numbered(owner * count + which)  # a document and a term
-            held = np.bincount(pairs % count, minlength=count)
-            kinds, kind = _numbered(np.array(groups, np.int64))
-            sums, place = _numbered(kind[pairs // count] * count + pairs % count)
-            n = np.bincount(place, np.bincount(at)).astype(np.int64)
-            of, term = sums // count, sums % count
-
-            def lists(key, chosen):
-                """The rows' keys, and each one's terms."""
-                order = np.argsort(key, kind="stable")
-                rows, starts = np.unique(key[order], return_index=True)
-                return rows, pa.ListArray.from_arrays(
-                    pa.array(np.append(starts, len(order)), pa.int32()), names.take(pa.array(chosen[order])))
-
-            most = min(min_documents, int(held.max()))
-            some = [np.flatnonzero(held > k) for k in range(most)]
-            rows, seen = lists(np.concatenate([part[x] * most + k for k, x in enumerate(some)]),
-                               np.concatenate(some))
+
+    def __init__(self):
+        self.names, self.held = pa.array([], pa.large_string()), np.empty(0, np.int64)
+        self.kinds: dict[int, int] = {}
+        self.keys, self.counts, self.entries = [], [], 0  # keys: a group's place, and below 2^32 the term's
+
+    def add(self, groups: list[int], langs: list[str], texts: list[str]) -> None:
+        """Count a chunk of documents."""
+        words, starts = split_words([t.encode().translate(_LETTERS) for t in texts])
+        if not len(words):
+            return
+        coded, spoken = pc.dictionary_encode(words), pc.dictionary_encode(pa.array(langs, pa.string()))
+        owner = np.repeat(np.arange(len(texts)), np.diff(starts))
+        width = len(coded.dictionary)
+        found, which = _numbered(spoken.indices.to_numpy()[owner].astype(np.int64) * width
+                                 + coded.indices.to_numpy(), len(spoken.dictionary) * width)
+        count = len(found)
+        names = pc.binary_join_element_wise(
+            spoken.dictionary.take(pa.array(found // width)).cast(pa.large_string()),
+            coded.dictionary.take(pa.array(found % width)).cast(pa.large_string()),
+            pa.scalar(" ", pa.large_string()))
+        held = np.bincount(_counted(owner * count + which)[0] % count, minlength=count)
+        kinds, kind = _numbered(np.array(groups, np.int64))
+        sums, n = _counted(kind[owner] * count + which)
+        self.put(names, held, kinds[sums // count], sums % count, n)
+
+    def put(self, names: pa.Array, held: np.ndarray, group: np.ndarray, term: np.ndarray, n: np.ndarray) -> None:
+        """Add ``held`` documents to each of ``names``, and ``n`` occurrences in a group to its ``term``-th."""
+        known = len(self.names)  # these keep their places
+        coded = pc.dictionary_encode(pa.concat_arrays([self.names, names]))
+        self.names, place = coded.dictionary, coded.indices.to_numpy()[known:].astype(np.int64)
+        more = np.bincount(place, held, len(self.names)).astype(np.int64)
+        more[:known] += self.held
+        self.held = more
+        kinds, kind = _numbered(group)
+        number = np.array([self.kinds.setdefault(g, len(self.kinds)) for g in kinds.tolist()], np.int64)
+        self.keys.append(number[kind] << 32 | place[term])
+        self.counts.append(n)
+        self.entries += len(n)
+
+    def full(self) -> bool:
+        return self.entries >= TALLY_ENTRIES or self.names.nbytes >= TALLY_BYTES
+
+    def sums(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Group, term and occurrences, one row for each term of a group."""
+        keys, n = _counted(np.concatenate(self.keys), np.concatenate(self.counts))
+        return np.array(list(self.kinds), np.int64)[keys >> 32], keys & 0xFFFFFFFF, n
+
+    def hashed(self, buckets: int) -> np.ndarray:
+        return np.fromiter((xxhash.xxh3_64_intdigest(n) % buckets for n in listed(
+            self.names.cast(pa.large_binary()))), np.int64, len(self.names))
+
+    def pieces(self, buckets: int) -> Iterator[pa.RecordBatch]:
+        """A row for each bucket of terms: what ``put`` takes, as lists."""
+        if not self.entries:
+            return
+        bucket = self.hashed(buckets)
+        order = np.argsort(bucket)
+        names, held = self.names.cast(pa.string()).take(pa.array(order)), self.held[order]
+        found, starts = np.unique(bucket[order], return_index=True)
+        starts = np.append(starts, len(order))
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order)) - np.repeat(starts[:-1], np.diff(starts))
+        group, term, n = self.sums()
+        order = np.argsort(bucket[term])
+        group, of, n = group[order], place[term[order]], n[order]
+        ends = np.append(0, np.cumsum(np.bincount(bucket[term], minlength=buckets)[found]))
+        for low, high in _runs(ends):
+            def lists(values, ends):
+                return pa.ListArray.from_arrays(pa.array(ends[low:high + 1] - ends[low], pa.int32()),
+                                                values[ends[low]:ends[high]])
+
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(found[low:high], pa.int32()), lists(names, starts), lists(pa.array(held), starts),
+                 lists(pa.array(group), ends), lists(pa.array(of, pa.int32()), ends), lists(pa.array(n), ends)],
+                ["bucket", "names", "held", "groups", "places", "counts"])
+
+    def rows(self, parts: int, min_documents: int, bits: int) -> Iterator[pa.RecordBatch]:
+        """The rows of ``tagged_terms``."""
+        if not self.entries:
+            return
+        part, names = self.hashed(parts), self.names.cast(pa.string())
+        most = min(min_documents, int(self.held.max()))
+        some = [np.flatnonzero(self.held > k) for k in range(most)]
+        for rows, seen in _lists(np.concatenate([part[x] * most + k for k, x in enumerate(some)]),
+                                 np.concatenate(some), names):
+            none = pa.nulls(len(rows), pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [pa.array(rows // most, pa.int32()), seen, pa.nulls(len(rows), pa.int64()),
-                 pa.nulls(len(rows), pa.int64()), pa.nulls(len(rows), seen.type)],
+                [pa.array(rows // most, pa.int32()), seen, none, none, pa.nulls(len(rows), seen.type)],
                 ["part", "seen", "grp", "times", "terms"])
-            bits = int(n.max()).bit_length()
-            some = [np.flatnonzero(n >> k & 1) for k in range(bits)]
-            rows, terms = lists(np.concatenate([(part[term[x]] * len(kinds) + of[x]) * bits + k
-                                                for k, x in enumerate(some)]),
-                                term[np.concatenate(some)])
+        group, term, n = self.sums()
+        kinds, of = _numbered(group)
+        of += part[term] * len(kinds)
+        span, levels = 1 << bits, -(-int(n.max()).bit_length() // bits)
+        keys, chosen = [], []
+        for level in range(levels):
+            digit = n >> level * bits & span - 1
+            some = np.flatnonzero(digit)
+            keys.append((of[some] * levels + level) * span + digit[some])
+            chosen.append(term[some])
+        for rows, terms in _lists(np.concatenate(keys), np.concatenate(chosen), names):
+            of, digit = rows // span // levels, rows % span << rows // span % levels * bits
             yield pa.RecordBatch.from_arrays(
-                [pa.array(rows // bits // len(kinds), pa.int32()), pa.nulls(len(rows), terms.type),
-                 pa.array(kinds[rows // bits % len(kinds)]), pa.array(1 << rows % bits), terms],
+                [pa.array(of // len(kinds), pa.int32()), pa.nulls(len(rows), terms.type),
+                 pa.array(kinds[of % len(kinds)]), pa.array(digit), terms],
                 ["part", "seen", "grp", "times", "terms"])
 
-    return docs.select("grp", "lang", "text").mapInArrow(
-        cut, "part int, seen array<string>, grp long, times long, terms array<string>")
+
+def _counted(values: np.ndarray, n: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct values in ascending order, and how often each is there (or the sum of its ``n``)."""
+    if n is None:
+        values = np.sort(values)
+    else:
+        order = np.argsort(values)
+        values, n = values[order], n[order]
+    starts = np.flatnonzero(np.append(True, values[1:] != values[:-1]))
+    return values[starts], np.diff(np.append(starts, len(values))) if n is None else np.add.reduceat(n, starts)
+
+
+def _runs(ends: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Ranges of lists with some ``BATCH_TERMS`` items; ``ends`` is where each list begins (one more)."""
+    low = 0
+    while low < len(ends) - 1:
+        high = max(low + 1, int(np.searchsorted(ends, ends[low] + BATCH_TERMS, "right")) - 1)
+        yield low, high
+        low = high
+
+
+def _lists(key: np.ndarray, chosen: np.ndarray, names: pa.Array) -> Iterator[tuple[np.ndarray, pa.Array]]:
+    """The distinct keys and each one's names."""
+    order = np.argsort(key)
+    found, n = _counted(key)
+    ends = np.append(0, np.cumsum(n))
+    for low, high in _runs(ends):
+        yield found[low:high], pa.ListArray.from_arrays(
+            pa.array(ends[low:high + 1] - ends[low], pa.int32()),
+            names.take(pa.array(chosen[order[ends[low]:ends[high]]])))
+
+
+def tallied(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
+    """Rows of documents (grp, lang, text) as pieces of tallies."""
+    tally = Tally()
+    for rows in chunks(batches, ["grp", "lang", "text"], "text", 8 << 20):
+        tally.add(*rows)
+        if tally.full():
+            yield from tally.pieces(buckets)
+            tally = Tally()
+    yield from tally.pieces(buckets)
+    del tally
+    give_back()
+
+
+def merged(batches: Iterator[pa.RecordBatch], parts: int, min_documents: int, bits: int
+           ) -> Iterator[pa.RecordBatch]:
+    """Pieces of tallies as the rows of ``tagged_terms``."""
+    give_back()
+    tally = Tally()
+    for batch in batches:
+        names, held, groups, places, counts = (batch[c] for c in ("names", "held", "groups", "places", "counts"))
+        if not len(batch):
+            continue
+        # A row's places are those among its own names.
+        first = np.append(0, np.cumsum(pc.list_value_length(names).to_numpy()))[:-1]
+        of = places.flatten().to_numpy() + np.repeat(first, pc.list_value_length(places).to_numpy())
+        tally.put(names.flatten().cast(pa.large_string()), held.flatten().to_numpy(),
+                  groups.flatten().to_numpy(), of, counts.flatten().to_numpy())
+        if tally.full():
+            yield from tally.rows(parts, min_documents, bits)
+            tally = Tally()
+    yield from tally.rows(parts, min_documents, bits)
+    del tally
+    give_back()
+
+
+def tagged_terms(docs: DataFrame, parts: int, min_documents: int = MIN_DOCUMENTS,
+                 bits: int = 1) -> DataFrame:
+    """(part, seen, grp, times, terms): the terms of the documents, put together.
+
+    Each task counts its documents in a ``Tally``; these meet by hashed buckets of the terms, finer than
+    the ``parts`` that a term goes to by its hash. A row either has ``seen``: of ``min_documents`` such
+    rows, a term is in as many as there are documents with it, or in all if there are more. So the rows
+    of the whole table with a term are ``min_documents`` or more just where its documents are. Or it has
+    ``terms`` of a group, each of which counts ``times``: a term's number of occurrences is the sum of
+    its digits of ``bits`` bits, each with its power. A tally that is full is handed on and a new one
+    begun, so that a term may have several rows, but no task holds a bucket whole.
+    """
+    tasks = parts * PART_TASKS
+    pieces = docs.select("grp", "lang", "text").mapInArrow(
+        lambda batches: tallied(batches, tasks * TASK_BUCKETS),
+        "bucket int, names array<string>, held array<long>, groups array<long>, places array<int>, counts array<long>")
+    return pieces.repartition(tasks, "bucket").mapInArrow(
+        lambda batches: merged(batches, parts, min_documents, bits),
+        "part int, seen array<string>, grp long, times long, terms array<string>")
 
 
 def parts_of(docs: DataFrame) -> int:
@@ -119,7 +265,7 @@ def term_counts(docs: DataFrame, parts: int, min_documents: int = MIN_DOCUMENTS
     """
     spark = docs.sparkSession
     tokens, counts, vocabulary = (scratch_path(spark, n) for n in ("terms", "term-counts", "term-names"))
-    tagged_terms(docs, parts, min_documents).write.partitionBy("part").parquet(tokens)
+    tagged_terms(docs, parts, min_documents, DIGIT_BITS).write.partitionBy("part").parquet(tokens)
     # Fits need a term. No word is empty, so this one is nobody's.
     never = spark.range(min_documents).select(F.array(F.lit("")).alias("terms"))
     for part in range(parts):

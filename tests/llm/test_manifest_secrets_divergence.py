@@ -8,6 +8,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -231,6 +232,45 @@ def test_terms_are_put_together(spark):
     assert sum(len(r.terms or ()) for r in rows) == 2 * (140).bit_count() + 2 * (20).bit_count()
 
 
+def test_terms_of_all_tasks_are_put_together(spark):
+    """Texts of several chunks and tasks: a term is seen three times at most, its count has a row a digit."""
+    docs = spark.range(6, numPartitions=2).select(
+        F.lit(7).cast("long").alias("grp"), F.lit("l").alias("lang"), F.repeat(F.lit("ab cd "), 800_000).alias("text"))
+    rows = divergence.tagged_terms(docs, 1).collect()
+    assert Counter(w for r in rows for w in r.seen or ()) == {"l ab": 3, "l cd": 3}
+    assert Counter(w for r in rows for w in r.terms or ()) == dict.fromkeys(["l ab", "l cd"], (4_800_000).bit_count())
+    assert sum(r.times for r in rows if "l ab" in (r.terms or ())) == 4_800_000
+
+
+@pytest.mark.parametrize("entries,limit", [(1 << 21, 1 << 18), (1, 3), (40, 1)])
+@pytest.mark.parametrize("bits", [1, 4])
+def test_tallies(monkeypatch, entries, limit, bits):
+    """Counts are whole however often a tally is full and however few terms a batch has."""
+    monkeypatch.setattr(divergence, "TALLY_ENTRIES", entries)
+    monkeypatch.setattr(divergence, "chunks", lambda batches, *_: (
+        [[r[c] for r in b.to_pylist()] for c in ("grp", "lang", "text")] for b in batches))
+    monkeypatch.setattr(divergence, "BATCH_TERMS", limit)
+    docs = [{"grp": k % 3 << 40, "lang": "l" if k % 3 else "", "text": " ".join(
+        ["Ab"] * (k % 40) + [f"é{'x' * (k % 5)}"] * 17 + ["zz" * (k % 7)])} for k in range(90)] + [
+        {"grp": 5, "lang": "m", "text": ""}]
+    batches = pa.Table.from_pylist(docs).to_batches(11)
+    pieces = [p for half in (batches[:4], batches[4:]) for p in divergence.tallied(iter(half), 12)]
+    rows = [r for b in divergence.merged(iter(pieces), 4, 3, bits) for r in b.to_pylist()]
+    seen, counts, part = Counter(), Counter(), {}
+    for r in rows:
+        seen.update(r["seen"] or ())
+        counts.update({(r["grp"], w): r["times"] for w in r["terms"] or ()})
+        assert all(part.setdefault(w, r["part"]) == r["part"] for w in (r["seen"] or []) + (r["terms"] or []))
+    held, truth = Counter(), Counter()
+    for d in docs:
+        words = [f"{d['lang']} {w.lower()}" for w in d["text"].split()]
+        held.update(set(words))
+        truth.update((d["grp"], w) for w in words)
+    assert counts == truth and len(set(part.values())) > 1
+    assert all(min(held[w], 3) <= seen[w] <= held[w] for w in held) and set(seen) == set(held)
+    assert entries < 1 << 21 or max(seen.values()) == 3
+
+
 def test_shares_are_exact(spark):
     totals = [(0, 1, 1), (3, 10**9, 7), (9 * 10**9 - 1, 10**13, 3), (9 * 10**9, 10**13, 3), (10**13, 10**13 + 5, 1)]
     rows = spark.createDataFrame(totals, "n long, t long, v long")
