@@ -11,14 +11,17 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from newsloom import lexicons as lx
 from newsloom.functions.normalize import enrich_articles, normalize_articles
 from newsloom.operators import events
+from newsloom.operators.bounds import one_per_item
 from newsloom.operators.components import roots
 from newsloom.operators.events import LeaderClusters, lsh_bucket
 from newsloom.operators.matching import GRAM, pieces
@@ -355,41 +358,112 @@ def event_names(spark: SparkSession, path: str) -> DataFrame:
     return told.join(ends, "local", "left").select("id", F.coalesce("root", "local").alias("event"))
 
 
+PIECE_BUCKETS = 1024  # groups of pieces whose posts share a row of the join's state
+LINKS = 1024  # of a word to a post, in one row at most
+HELD = 32 << 20  # bytes of links that a task holds at once
+
+
+def _packed(names: Sequence[str]):
+    """Rows (post_slot, bucket, word, post_id, post_ts) of a slot and bucket as lists in one row, with
+    their last time."""
+    def lists(rows: list[pa.RecordBatch]) -> pa.RecordBatch:
+        table = pa.Table.from_batches(rows).combine_chunks()
+        slot, bucket = table["post_slot"].to_numpy(), table["bucket"].to_numpy()
+        order = np.lexsort((bucket, slot))
+        slot, bucket = slot[order], bucket[order]
+        first = np.ones(len(order), dtype=bool)
+        first[1:] = (slot[1:] != slot[:-1]) | (bucket[1:] != bucket[:-1])
+        starts = np.flatnonzero(first)
+        place = np.arange(len(order)) - np.repeat(starts, np.diff(starts, append=len(order)))
+        starts = np.flatnonzero(place % LINKS == 0)
+        links = table.select(["word", "post_id", "post_ts"]).take(order).combine_chunks()
+        ts = links["post_ts"].chunk(0)
+        last = np.maximum.reduceat(ts.cast("int64").to_numpy(), starts)
+        posts = pa.StructArray.from_arrays([c.chunk(0) for c in links.columns], links.column_names)
+        ends = pa.array(np.append(starts, len(order)), "int32")
+        return pa.RecordBatch.from_arrays(
+            [pa.array(slot[starts]), pa.array(bucket[starts]), pa.array(last).cast(ts.type),
+             pa.ListArray.from_arrays(ends, posts)], names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for batch in batches:
+            if batch.num_rows:
+                held.append(batch)
+                size += batch.nbytes
+            if size >= HELD:
+                yield lists(held)
+                held, size = [], 0
+        if held:
+            yield lists(held)
+
+    return run
+
+
 def match_posts(posts: DataFrame, events: DataFrame, ttl: str = "24 hours",
-                lateness: str = "10 minutes", salts: int = 8) -> DataFrame:
+                lateness: str = "10 minutes", salts: int = 1) -> DataFrame:
     """(post_id, post_ts, event_id) pairs of two streams; every pair once.
 
     The words of a post are cut into pieces of four characters, which meet the leading
     piece of each keyword in a time-bounded equi-join (a stream-stream join needs one);
     ``contains`` decides. Keywords need four characters or more and no white space.
     The time bound is also an equality on slots of its length, else a post would be compared with
-    all keywords of its pieces that the state holds, whatever their time. Posts are dealt over
-    ``salts`` copies of the keywords, so that a very common piece is not one task's work.
+    all keywords of its pieces that the state holds, whatever their time.
+
+    A row of the state costs far more than a word, so the words of a micro-batch's posts are packed
+    by slot and bucket of pieces before the join, up to ``LINKS`` in a row. A row is as old as its last
+    post: a post that comes too late may still be matched together with later ones of its slot, and
+    the state holds a keyword for two lengths of the time bound. So a common piece is few rows; posts
+    can also be dealt over ``salts`` copies of the keywords.
     """
     width = F.unix_micros(F.expr(f"TIMESTAMP '1970-01-01 00:00:00Z' + INTERVAL {ttl}"))
 
     def slot(ts: Column) -> Column:
         return F.floor(F.unix_micros(ts.cast("timestamp")) / width)
 
-    words = posts.withWatermark("post_ts", lateness).select(
-        "post_id", "post_ts", F.explode(F.array_distinct(F.split(F.lower("text"), lx.SPACES)))
-        .alias("word"))
-    words = words.select("post_id", "post_ts", "word",
-                         F.pmod(F.xxhash64("post_id"), F.lit(salts)).alias("salt"),
-                         slot(F.col("post_ts")).alias("post_slot"),
-                         F.explode(pieces(F.col("word"))).alias("piece"))
+    def bucket(piece: Column) -> Column:
+        return F.pmod(F.xxhash64(piece), F.lit(PIECE_BUCKETS))
+
+    timed = posts.withWatermark("post_ts", lateness)
+    fields = {f.name: f for f in timed.schema}
+
+    def post_time(ts: str) -> Column:
+        # The mark of a time with a watermark is in the column's metadata, which packing loses.
+        return F.col(ts).alias("post_ts", metadata=fields["post_ts"].metadata)
+
+    words = one_per_item(timed, F.array_distinct(F.split(F.lower("text"), lx.SPACES)), "word",
+                         ["post_id", "post_ts"]).filter(F.col("post_ts").isNotNull())
+    buckets = F.array_distinct(F.transform(pieces(F.col("word")), bucket))
+    words = one_per_item(words, buckets, "bucket", [
+        "post_id", "post_ts", "word", slot(F.col("post_ts")).alias("post_slot")])
+    salt = F.pmod(F.xxhash64("post_id"), F.lit(salts))
+    words = words.withColumn("bucket", F.col("bucket") + salt * PIECE_BUCKETS)
+    link = T.StructType([T.StructField("word", T.StringType()), *[
+        T.StructField(name, fields[name].dataType) for name in ("post_id", "post_ts")]])
+    row = T.StructType([
+        T.StructField("post_slot", T.LongType()), T.StructField("bucket", T.LongType()),
+        T.StructField("post_ts", link["post_ts"].dataType), T.StructField("posts", T.ArrayType(link))])
+    packed = words.repartition("post_slot", "bucket").mapInArrow(_packed(row.names), row)
+    packed = packed.select("post_slot", "bucket", post_time("post_ts"), "posts")
+
     keywords = events.withWatermark("event_ts", lateness).select(
         "event_id", "event_ts", F.explode(F.array_distinct("keywords")).alias("k"))
     keywords = keywords.select("event_id", "event_ts", F.lower("k").alias("keyword")).filter(
-        F.length("keyword") >= GRAM).withColumn("lead", F.substring("keyword", 1, GRAM))
-    copies = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long")))
-    keywords = keywords.withColumn("copy", copies).withColumn("event_slot", F.explode(F.sequence(
+        F.length("keyword") >= GRAM).withColumn("lead", bucket(F.substring("keyword", 1, GRAM)))
+    copies = F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))
+    keywords = keywords.withColumn("lead", F.explode(
+        F.transform(copies, lambda copy: F.col("lead") + copy * PIECE_BUCKETS)))
+    keywords = keywords.withColumn("event_slot", F.explode(F.sequence(
         slot(F.col("event_ts")), slot(F.col("event_ts") + F.expr(f"INTERVAL {ttl}")))))
-    pairs = words.join(keywords, F.expr(
-        f"piece = lead AND salt = copy AND post_slot = event_slot AND contains(word, keyword) "
-        f"AND post_ts >= event_ts AND post_ts < event_ts + INTERVAL {ttl}"))
-    return pairs.select("post_id", "event_id", "post_ts").dropDuplicatesWithinWatermark(
-        ["post_id", "event_id"])
+    # The last of a row's posts is less than a slot after any of them.
+    met = packed.join(keywords, F.expr(
+        f"bucket = lead AND post_slot = event_slot AND post_ts >= event_ts "
+        f"AND post_ts < event_ts + INTERVAL {ttl} + INTERVAL {ttl}"))
+    pairs = met.select("event_id", "event_ts", "keyword", F.explode("posts").alias("post")).filter(
+        f"contains(post.word, keyword) AND post.post_ts >= event_ts "
+        f"AND post.post_ts < event_ts + INTERVAL {ttl}")
+    return pairs.select("post.post_id", "event_id", post_time("post.post_ts")
+                        ).dropDuplicatesWithinWatermark(["post_id", "event_id"])
 
 
 def latency_rows(stream: DataFrame, sent: str, received: Column | None = None) -> DataFrame:

@@ -301,6 +301,51 @@ def test_match_posts_compares_within_slots_of_time(spark, tmp_path):
     assert sorted(got) == sorted(want)
 
 
+def test_match_posts_packs_the_words_of_posts(spark, tmp_path):
+    words = [f"{a}{b}storming" for a in "abcd" for b in "abcde"]
+    posts = [(f"p{i}", at(60 * i), " ".join(words)) for i in range(50)]
+    ev = [(i, at(600 * i + 1), ["storm", f"{'abcd'[i]}astorm"]) for i in range(4)]
+    edf = spark.createDataFrame(ev, "event_id long, event_ts timestamp, keywords array<string>")
+    pdf = spark.createDataFrame(posts, "post_id string, post_ts timestamp, text string")
+    land(edf, tmp_path / "e", 1, "event_id")
+    pdf.coalesce(1).write.parquet(f"{tmp_path}/p")
+    pairs = jobs.match_posts(stream_of(spark, tmp_path / "p", pdf.schema),
+                             stream_of(spark, tmp_path / "e", edf.schema))
+    assert "spark.watermarkDelayMs" in pairs.schema["post_ts"].metadata
+    query = (pairs.writeStream.format("parquet").option("path", f"{tmp_path}/out")
+             .option("checkpointLocation", f"{tmp_path}/checkpoint").trigger(availableNow=True).start())
+    query.awaitTermination()
+    got = spark.read.schema(pairs.schema).parquet(f"{tmp_path}/out").collect()
+    want = [(p, e, ts) for p, ts, _ in posts for e, since, _ in ev if ts >= since]
+    assert sorted((r["post_id"], r["event_id"], r["post_ts"]) for r in got) == sorted(want)
+    written = sum(s.numRowsUpdated for report in query.recentProgress for s in report.stateOperators
+                  if s.operatorName == "symmetricHashJoin")
+    assert 0 < written < len(posts) * len(words)  # rows of the state are not one for each word of a post
+
+
+@pytest.mark.parametrize("salts", [1, 3])
+def test_match_posts_in_short_rows(spark, tmp_path, monkeypatch, salts):
+    monkeypatch.setattr(jobs, "PIECE_BUCKETS", 2)
+    monkeypatch.setattr(jobs, "LINKS", 3)
+    monkeypatch.setattr(jobs, "HELD", 1)
+    names = ["flood", "Storm", "quakes", "fire", "İzmir", "naïveté"]
+    ev = [(i, at(i * 7200), [names[i % 6], names[i * i % 5], "it"]) for i in range(20)] + [
+        (20, None, ["flood"]), (21, at(0), None)]
+    posts = [(i, at(i * 3600 + 5), " ".join(f"x{n}S" for n in names[i % 4:i % 4 + 2])) for i in range(60)]
+    posts += [(60, None, "flood"), (61, at(5), None), (62, at(5), "it")]
+    edf = spark.createDataFrame(ev, "event_id long, event_ts timestamp, keywords array<string>")
+    pdf = spark.createDataFrame(posts, "post_id long, post_ts timestamp, text string")
+    land(edf, tmp_path / "e", 2, "event_id")
+    land(pdf, tmp_path / "p", 2, "post_id")
+    pairs = jobs.match_posts(stream_of(spark, tmp_path / "p", pdf.schema),
+                             stream_of(spark, tmp_path / "e", edf.schema), "6 hours", "40 days", salts)
+    got = [(r["post_id"], r["event_id"]) for r in jobs.run_available(pairs, "t").collect()]
+    want = [(p, e) for p, ts, text in posts for e, since, keywords in ev
+            if None not in (ts, text, since, keywords) and since <= ts < since + dt.timedelta(hours=6)
+            and any(len(k) > 3 and k.lower() in text.lower() for k in keywords)]
+    assert sorted(got) == sorted(want) and len(want) > 20
+
+
 def test_dedup_of_keys_that_share_a_state(spark, tmp_path, monkeypatch):
     from newsloom.operators.dedup import first_per_window
 
